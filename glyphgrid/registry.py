@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import detection, tables
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["a4_global_prf"](spark, sf_dir)
+    return detection.a4_global_prf(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return detection.QUERIES | tables.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return detection.ORACLE | tables.ORACLE
