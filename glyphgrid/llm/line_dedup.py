@@ -6,7 +6,7 @@ against each other by their letters' counts, then by a banded bit-parallel edit
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,8 @@ from ._graph import connected_components
 
 #: Lines shorter than SHORTEST characters are near only their equals. Pairs verified together; rows of a group compared at once.
 EDITS, SHORTEST, BATCH, BLOCK = 2, 8, 4_096, 1_024
+#: Ids of lines with possible partners that are broadcast at most (8 bytes each); more of them are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 _U = np.uint64
 
 
@@ -230,14 +232,23 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(x[keep].view(np.int64)) for x in (key, lid, pack)], names=["key", "lid", "pack"])
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, "text", 1 << 20):
-            lines = _Lines(text_array(part, "text"))
-            _, rows = np.unique(lines.lid, return_index=True)
-            rows = rows[lines.size[rows] >= SHORTEST]
-            texts = [lines.codes[a:b].tobytes().decode("utf-32-le") for a, b in zip(lines.start[rows].tolist(), lines.end[rows].tolist(), strict=True)]
-            yield pa.record_batch([pa.array(lines.lid[rows].view(np.int64)), pa.array(texts, pa.string())], names=["lid", "text"])
+def _texts_of(wanted: Callable[[], np.ndarray | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """lid, text of the distinct lines of each slice, of the wanted ids if these are given (sorted)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = wanted()
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                lines = _Lines(text_array(part, "text"))
+                _, rows = np.unique(lines.lid, return_index=True)
+                rows = rows[lines.size[rows] >= SHORTEST]
+                if ids is not None:
+                    at = np.minimum(np.searchsorted(ids, lines.lid[rows]), max(0, len(ids) - 1))
+                    rows = rows[ids[at] == lines.lid[rows]] if len(ids) else rows[:0]
+                texts = [lines.codes[a:b].tobytes().decode("utf-32-le") for a, b in zip(lines.start[rows].tolist(), lines.end[rows].tolist(), strict=True)]
+                yield pa.record_batch([pa.array(lines.lid[rows].view(np.int64)), pa.array(texts, pa.string())], names=["lid", "text"])
+
+    return run
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,7 +315,13 @@ def line_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     signed = own.select("text").mapInArrow(_sign, "key long, lid long, pack long")
     met = materialise(signed.repartition("key").sortWithinPartitions("key").mapInArrow(_meet, "key long, lid long, pack long").distinct(), "met")
-    texts = own.select("text").mapInArrow(_texts, "lid long, text string").join(met.select("lid").distinct(), "lid", "left_semi").groupBy("lid").agg(F.first("text").alias("text"))
+    lids = met.select("lid").distinct()
+    if lids.count() <= BROADCAST_IDS:
+        shared = docs.sparkSession.sparkContext.broadcast(np.sort(lids.toPandas()["lid"].to_numpy(np.int64).view(np.uint64)))
+        texts = own.select("text").mapInArrow(_texts_of(lambda: shared.value), "lid long, text string")
+    else:
+        texts = own.select("text").mapInArrow(_texts_of(lambda: None), "lid long, text string").join(lids, "lid", "left_semi")
+    texts = texts.groupBy("lid").agg(F.first("text").alias("text"))
     rows = met.join(texts, "lid").select("key", "lid", "pack", "text").repartition("key").sortWithinPartitions("key")
     found = materialise(rows.mapInArrow(_verify, "a long, b long, links long"), "found")
     roots = connected_components(found.where("links = 0").select("a", "b"))
