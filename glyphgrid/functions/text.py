@@ -8,14 +8,15 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFKC", v))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def casefold(values: pd.Series) -> pd.Series:
     return values.map(lambda v: v if v is None else v.casefold())
 
