@@ -98,7 +98,7 @@ def fit_partitions(sample: np.ndarray, parts: int = PARTS, neighbours: int = 20,
     order = rng.permutation(n)
     held, train = order[: min(256, n // 8)], order[min(256, n // 8) :]
     x = sample[train]
-    near = np.concatenate([_nearest(x[s : s + 1024], x, NEIGHBOURS, s) for s in range(0, len(x), 1024)])
+    near = np.concatenate([_nearest(x[s : s + 128], x, NEIGHBOURS, s) for s in range(0, len(x), 128)])
     part = balanced_parts(near, parts)
     # Targets are the parts of a vector's neighbours and its own.
     target = np.zeros((len(x), parts))
