@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import detection, tables
+from .plans import detection, ranking, tables
+
+PARTS = (detection, ranking, tables)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +16,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return detection.QUERIES | tables.QUERIES
+    return {name: q for part in PARTS for name, q in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return detection.ORACLE | tables.ORACLE
+    return {name: sql for part in PARTS for name, sql in part.ORACLE.items()}
