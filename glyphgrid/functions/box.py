@@ -84,3 +84,34 @@ def polygon_box(xs: Column, ys: Column) -> Column:
 def normal_angle(degrees: Column) -> Column:
     """Into [-180, 180)."""
     return F.pmod(degrees + 180.0, F.lit(360.0)) - 180.0
+
+
+def tight_crop(b: Column, width: Column, height: Column) -> Column:
+    """Whole pixels inside the image; null if nothing is left."""
+    c = box(F.greatest(b["x1"].cast("int"), F.lit(0)), F.greatest(b["y1"].cast("int"), F.lit(0)), F.least(b["x2"].cast("int"), width), F.least(b["y2"].cast("int"), height))
+    return F.when((c["x2"] > c["x1"]) & (c["y2"] > c["y1"]), c)
+
+
+def within(b: Column, width: Column, height: Column, slack: float = 0.0) -> Column:
+    return (b["x1"] >= -slack) & (b["y1"] >= -slack) & (b["x2"] <= width + slack) & (b["y2"] <= height + slack)
+
+
+def centred(b: Column) -> Column:
+    return F.struct(((b["x1"] + b["x2"]) / 2).alias("cx"), ((b["y1"] + b["y2"]) / 2).alias("cy"), (b["x2"] - b["x1"]).alias("w"), (b["y2"] - b["y1"]).alias("h"))
+
+
+def clockwise(xs: Column, ys: Column) -> Column:
+    """Sign of the shoelace sum in coordinates whose y grows downward."""
+    turn = lambda v: F.concat(F.slice(v, 2, F.greatest(F.size(v) - 1, F.lit(0))), F.slice(v, 1, 1))
+    terms = F.zip_with(F.zip_with(xs, turn(ys), lambda a, b: a * b), F.zip_with(ys, turn(xs), lambda a, b: a * b), lambda a, b: a - b)
+    return F.aggregate(terms, F.lit(0.0), lambda t, v: t + v) > 0
+
+
+def shifted_keypoints(values: Column, by: float = 0.5) -> Column:
+    """x, y, visibility triples with x and y moved."""
+    return F.transform(values, lambda v, k: F.when(k % 3 != 2, v + by).otherwise(v))
+
+
+def rle_area(counts: Column) -> Column:
+    """Set pixels of alternating run lengths, the first run unset."""
+    return F.aggregate(F.transform(counts, lambda n, k: F.when(k % 2 == 1, n).otherwise(0)), F.lit(0).cast("bigint"), lambda t, n: t + n)

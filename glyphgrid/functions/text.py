@@ -117,3 +117,58 @@ def consensus_score(answers: Column, answer: Column) -> Column:
     n = F.size(answers)
     c = F.size(F.filter(answers, lambda a: a == answer))
     return (c * F.least(F.lit(1.0), (c - 1) / 3) + (n - c) * F.least(F.lit(1.0), c / 3)) / n
+
+
+def image_key(path: Column) -> Column:
+    """Without a leading train/ and the extension."""
+    return F.regexp_replace(F.regexp_replace(path, "^train/", ""), r"(?<=.)\.[^./]*$", "")
+
+
+def first_given(*texts: Column) -> Column:
+    """The first that is neither null nor empty, else empty."""
+    return F.coalesce(*[F.nullif(t, F.lit("")) for t in texts], F.lit(""))
+
+
+def prompt(texts: Column, most: int = 8) -> Column:
+    """The first non-blank texts, quoted, joined by commas."""
+    kept = F.slice(F.filter(texts, lambda t: F.trim(t) != ""), 1, most)
+    return F.array_join(F.transform(kept, lambda t: F.concat(F.lit('"'), t, F.lit('"'))), ", ")
+
+
+def chunk_number(name: Column) -> Column:
+    """n of chunk_n, null for any other name."""
+    return F.regexp_extract(F.when(name.rlike("^chunk_[0-9]+$"), name), "([0-9]+)$", 1).cast("long")
+
+
+def without_lines(text: Column, n: int) -> Column:
+    """Without the first n lines."""
+    return F.regexp_replace(text, "^(?:[^\n]*\n){" + str(n) + "}", "")
+
+
+def same_but_edges(truth: Column, guess: Column, specials: str) -> Column:
+    """Equal, or equal once the truth's first, last or both characters go, where these are specials."""
+    n = F.length(truth)
+    special = lambda c: (c != "") & F.contains(F.lit(specials), c)
+    head, tail = special(F.substring(truth, 1, 1)), special(F.right(truth, F.lit(1)))
+    cut = lambda start, less: F.substr(truth, F.lit(start), F.greatest(n - less, F.lit(0)))
+    return (truth == guess) | (head & (cut(2, 1) == guess)) | (tail & (cut(1, 1) == guess)) | (head & tail & (cut(2, 2) == guess))
+
+
+def character_f(truth: Column, guess: Column, epsilon: float = 1e-5) -> Column:
+    """F score of the sets of characters."""
+    a, b = F.array_distinct(F.split(truth, "")), F.array_distinct(F.split(guess, ""))
+    both = F.size(F.array_intersect(a, b))
+    p, r = both / (F.size(b) + epsilon), both / (F.size(a) + epsilon)
+    return 2 * p * r / (p + r + epsilon)
+
+
+def confidence(scores: Column) -> Column:
+    """Product of the characters' scores, 1 for none."""
+    return F.aggregate(scores, F.lit(1.0), lambda p, s: p * s)
+
+
+def until_blank_option(options: Column) -> Column:
+    """Options before the first that is null, nan or none in any case."""
+    bad = F.transform(options, lambda o: F.lower(F.coalesce(o, F.lit("none"))).isin("nan", "none"))
+    at = F.array_position(bad, F.lit(True)).cast("int")
+    return F.when(at > 0, F.slice(options, 1, at - 1)).otherwise(options)

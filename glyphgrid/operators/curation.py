@@ -87,3 +87,49 @@ def rolling_median(df: DataFrame, key: str, order: str, value: str, size: int) -
     """Adds median over the last ``size`` steps of order (a range, not a number of rows)."""
     w = Window.partitionBy(key).orderBy(order).rangeBetween(-(size - 1), 0)
     return df.withColumn("median", F.percentile(value, F.lit(0.5)).over(w))
+
+
+def attached(images: DataFrame, annotations: DataFrame, key: str, columns: list[str], order: str) -> DataFrame:
+    """Images with annotations: an array of structs by order, empty for an image without any."""
+    own = annotations.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, *[c for c in columns if c != order]))).alias("annotations"))
+    return images.join(own, key, "left").withColumn("annotations", F.coalesce("annotations", F.array()))
+
+
+def tag_filter(images: DataFrame, annotations: DataFrame, key: str, tag_col: str, keep: str) -> tuple[DataFrame, DataFrame]:
+    """Images of one tag that have an annotation, and the annotations of the images of that tag."""
+    chosen = images.where(F.col(tag_col) == keep)
+    notes = annotations.join(chosen.select(key).distinct(), key, "left_semi")
+    return chosen.join(notes.select(key).distinct(), key, "left_semi"), notes
+
+
+def cuts_no_box(region: Column, boxes: Column) -> Column:
+    """Whether every box is inside the region or apart from it."""
+    from ..functions.box import contains, overlaps
+
+    return F.forall(boxes, lambda b: contains(region, b) | ~overlaps(region, b))
+
+
+def nearest_same_text(left: DataFrame, right: DataFrame, group: str, left_key: str, right_key: str, least: float = 0.01) -> DataFrame:
+    """group, left_key, right_key, closeness: the row of the same text whose corner is closest, 1 / (1 + dx + dy) above least; ties to the lower key.
+
+    left and right: group, key, text, box."""
+    a = left.select(group, left_key, "text", F.col("box").alias("a"))
+    pairs = a.join(right.select(group, right_key, "text", F.col("box").alias("b")), [group, "text"])
+    gap = F.abs(F.col("a.x1") - F.col("b.x1")) + F.abs(F.col("a.y1") - F.col("b.y1"))
+    pairs = pairs.withColumn("closeness", 1 / (1 + gap)).where(F.col("closeness") > least)
+    best = F.max_by(F.struct(right_key, "closeness"), F.struct("closeness", (-F.col(right_key)).alias("o")))
+    return pairs.groupBy(group, left_key).agg(best.alias("b")).select(group, left_key, f"b.{right_key}", "b.closeness")
+
+
+def crop_score(instances: Column, spread: Column) -> Column:
+    return 0.7 * F.least(F.lit(1.0), instances / 10) + F.when(instances > 1, 0.3 * spread).otherwise(0.0)
+
+
+def renumbered(annotations: DataFrame, categories: DataFrame, category: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """Categories in use numbered from 1 by name, and the annotations with the new numbers; those of unknown categories go.
+
+    categories: category, name. Several ids of one name become one."""
+    used = annotations.select(category).distinct().join(categories, category)
+    table = used.groupBy(name).agg(F.count("*").alias("merged")).withColumn("new_id", F.row_number().over(Window.orderBy(name)))  # a row a category
+    ids = used.join(table, name).select(category, "new_id")
+    return table.select("new_id", name, "merged"), annotations.join(ids, category).withColumn(category, F.col("new_id")).drop("new_id")

@@ -6,9 +6,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def place_in_order(df: DataFrame, order: list[str], parts: int = 256) -> DataFrame:
+    """Adds place (from 0) and total: the row's place in the whole table by order, whose first column is a number (nulls first).
+
+    Quantiles of that column cut it into ranges; the ranges' counts give each its start, and rows are numbered inside their range only."""
+    lead = F.col(order[0]).cast("double")
+    cuts = sorted(set(df.select(lead.alias("v")).approxQuantile("v", [k / parts for k in range(1, parts)], 0.25 / parts)))
+    split = F.size(F.filter(F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>"), lambda c: c <= lead))
+    rows = df.withColumn("_part", F.when(lead.isNull(), -1).otherwise(split))
+    n = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    starts = n.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"), F.sum("_n").over(Window.partitionBy()).alias("total"))  # a row a range
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return rows.join(F.broadcast(starts), "_part").withColumn("place", own - 1 + F.col("_start")).drop("_part", "_start")
+
+
 def contiguous_shards(df: DataFrame, order: list[str], shards: int) -> DataFrame:
     """Adds shard (from 0): the first n mod shards ones hold one row more."""
-    return df.withColumn("shard", (F.ntile(shards).over(Window.orderBy(*order)) - 1).cast("long"))
+    out = place_in_order(df, order)
+    small, extra = F.expr(f"total div {shards}"), F.col("total") % shards
+    ahead = extra * (small + 1)
+    shard = F.when(F.col("place") < ahead, F.floor(F.col("place") / (small + 1))).otherwise(extra + F.floor((F.col("place") - ahead) / F.greatest(small, F.lit(1))))
+    return out.withColumn("shard", shard.cast("long")).drop("place", "total")
+
+
+def leading_share(df: DataFrame, order: list[str], over: int, under: int) -> DataFrame:
+    """Adds train: whether the row is among the first int(n * over / under) by order."""
+    out = place_in_order(df, order)
+    return out.withColumn("train", F.col("place") < F.expr(f"total * {over} div {under}")).drop("place", "total")
 
 
 def full_batches(df: DataFrame, group: list[str], order: list[str], size: int) -> DataFrame:
@@ -33,7 +57,7 @@ def repeat_factors(df: DataFrame, image: str, category: str, threshold: float) -
 
 
 def rows_between(df: DataFrame, order: list[str], start: int, count: int) -> DataFrame:
-    return df.withColumn("_r", F.row_number().over(Window.orderBy(*order)) - 1).where(F.col("_r").between(start, start + count - 1)).drop("_r")
+    return place_in_order(df, order).where(F.col("place").between(start, start + count - 1)).drop("place", "total")
 
 
 def rotated(index: Column, total: Column, offset: int) -> Column:
@@ -49,3 +73,29 @@ def stochastic_repeats(df: DataFrame, factor: str, key: str, seed: int = 0) -> D
 def subset(df: DataFrame, key: str, ratio: float, seed: int = 0) -> DataFrame:
     """int(n * ratio) rows in the order of a seeded hash."""
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(int(df.count() * ratio))
+
+
+def dataset_repeat_factors(df: DataFrame, source: str, image: str, category: str, weights: DataFrame, threshold: float) -> DataFrame:
+    """source, image, factor: each source's own repeat factors times its weight (1 if weights, of source and weight, has none), over the least of all."""
+    pairs = df.select(source, image, category).distinct()
+    total = pairs.select(source, image).distinct().groupBy(source).agg(F.count("*").alias("total"))
+    share = pairs.groupBy(source, category).agg(F.count("*").alias("images")).join(total, source)
+    own = share.select(source, category, F.greatest(F.lit(1.0), F.sqrt(F.lit(threshold) / (F.col("images") / F.col("total")))).alias("factor"))
+    best = pairs.join(own, [source, category]).groupBy(source, image).agg(F.max("factor").alias("factor")).join(weights, source, "left")
+    best = best.select(source, image, (F.col("factor") * F.coalesce("weight", F.lit(1.0))).alias("factor"))
+    return best.crossJoin(best.agg(F.min("factor").alias("least"))).select(source, image, (F.col("factor") / F.col("least")).alias("factor"))  # one row
+
+
+def padded_groups(df: DataFrame, group: str, order: list[str], size: int, columns: list[str]) -> DataFrame:
+    """group, batch, members: structs of the columns in order, so many a batch, the last batch filled up with nulls."""
+    w = Window.partitionBy(group).orderBy(*order)
+    rows = df.withColumn("_r", F.row_number().over(w) - 1).withColumn("batch", F.floor(F.col("_r") / size))
+    own = rows.groupBy(group, "batch").agg(F.sort_array(F.collect_list(F.struct("_r", F.struct(*columns).alias("v")))).alias("m"))
+    m = F.transform("m", lambda x: x["v"])
+    return own.select(group, "batch", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.get(m, k)).alias("members"))
+
+
+def chosen_frames(df: DataFrame, group: str, order: str, count: int, how: str, seed: int = 0) -> DataFrame:
+    """The first, last or (by a seeded hash) random ``count`` rows of each group."""
+    by = {"first": [F.asc(order)], "last": [F.desc(order)], "random": [F.xxhash64(F.col(order), F.lit(seed)), F.asc(order)]}[how]
+    return df.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(*by))).where(F.col("_r") <= count).drop("_r")

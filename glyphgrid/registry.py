@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import detection, ranking, tables
+from .plans import annotations, detection, ranking, tables
 
-PARTS = (detection, ranking, tables)
+PARTS = (annotations, detection, ranking, tables)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
