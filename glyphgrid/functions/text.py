@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType, StringType
 
 
 @pandas_udf(StringType())
@@ -172,3 +172,42 @@ def until_blank_option(options: Column) -> Column:
     bad = F.transform(options, lambda o: F.lower(F.coalesce(o, F.lit("none"))).isin("nan", "none"))
     at = F.array_position(bad, F.lit(True)).cast("int")
     return F.when(at > 0, F.slice(options, 1, at - 1)).otherwise(options)
+
+
+#: Fixed values of the word-spotting rules: separators, and letters that count.
+SEPARATORS, LETTERS, NOT_LETTERS = r"['!?.:,*\"()·\[\]/]", r"a-zA-ZÀ-ƿǄ-ɿΆ-Ͽ-", r"[×÷]"
+
+
+def in_dictionary(word: Column, least: int = 3) -> Column:
+    """One run of letters, long enough, once a final 's, outer hyphens and outer separators go."""
+    own = F.regexp_replace(F.regexp_replace(word, "'[sS]$", ""), "^-+|-+$", "")
+    own = F.trim(F.regexp_replace(own, SEPARATORS, " "))
+    return own.rlike("^[" + LETTERS + "]{" + str(least) + ",}$") & ~own.rlike(NOT_LETTERS)
+
+
+def weighted_distance(alphabet: str):
+    """A function of word, other word and an array of each position's scores over the alphabet: edit distance by the confidence in the word's characters.
+
+    Deleting costs the character's score, inserting the mean of its and the next one's, replacing 1 - 5 * score of the new / score of the old, not below 0."""
+
+    at = {c: k for k, c in enumerate(alphabet)}
+
+    def score(row, c: str) -> float:
+        return max(row[at[c.upper()]], row[at[c.lower()]])
+
+    def one(word: str, other: str, rows) -> float:
+        own = [score(rows[j], c) for j, c in enumerate(word)]
+        insert = [(s + own[j + 1]) / 2 if j + 1 < len(own) else s for j, s in enumerate(own)]
+        line = [float(j) for j in range(len(word) + 1)]
+        for i, c in enumerate(other, 1):
+            last, line = line, [float(i)]
+            for j, w in enumerate(word):
+                swap = 0.0 if w == c else max(1 - 5 * score(rows[j], c) / own[j], 0.0)
+                line.append(min(last[j + 1] + insert[j], line[j] + own[j], last[j] + swap))
+        return line[-1]
+
+    @pandas_udf(DoubleType())
+    def distance(word: pd.Series, other: pd.Series, scores: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None or b is None or s is None else one(a, b, s) for a, b, s in zip(word, other, scores, strict=True)], dtype="float64")
+
+    return distance

@@ -127,9 +127,9 @@ def a45_character_f(spark, d):
     return _side_by_side(spark, d).select(*_KEY, F.round(T.character_f(F.col("text"), F.col("guess")), 9).alias("f"))
 
 
-@query(f"{_W} SELECT image_id, round(product(1 - score), 6) AS confidence FROM gt GROUP BY 1")
+@query(f"{_W} SELECT image_id, product(1 - gi / 16) AS confidence FROM gt GROUP BY 1")
 def a46_confidence(spark, d):
-    return truth(spark, d).groupBy("image_id").agg(F.array_sort(F.collect_list(1 - F.col("score"))).alias("s")).select("image_id", F.round(T.confidence(F.col("s")), 6).alias("confidence"))
+    return truth(spark, d).groupBy("image_id").agg(F.collect_list(1 - F.col("gi") / 16).alias("s")).select("image_id", T.confidence(F.col("s")).alias("confidence"))
 
 
 @query("SELECT o_orderpriority AS tag, count(*) AS n FROM orders GROUP BY 1")
@@ -238,3 +238,9 @@ def q13_score_filter(spark, d):
 @query(f"{_W} SELECT image_id, gi FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY gi DESC) AS r FROM gt) WHERE r <= 2")
 def q14_last_frames(spark, d):
     return sampling.chosen_frames(truth(spark, d), "image_id", "gi", 2, "last").select("image_id", "gi")
+
+
+@query(r"""SELECT word, regexp_matches(c, '^[a-zA-Z\x{00C0}-\x{01BF}\x{01C4}-\x{027F}\x{0386}-\x{03FF}-]{3,}$') AND NOT regexp_matches(c, '[\x{00D7}\x{00F7}]') AS included FROM (SELECT word, trim(regexp_replace(trim(CASE WHEN regexp_matches(word, '''[sS]$') THEN left(word, length(word) - 2) ELSE word END, '-'), '[''!?.:,*"()\x{00B7}\[\]/]', ' ', 'g')) AS c FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM documents))""")
+def f15_dictionary_words(spark, d):
+    words = table(spark, d, "documents").select(F.explode(F.split("text", " ")).alias("word")).distinct()
+    return words.select("word", T.in_dictionary(F.col("word")).alias("included"))
