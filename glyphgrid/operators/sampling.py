@@ -99,3 +99,29 @@ def chosen_frames(df: DataFrame, group: str, order: str, count: int, how: str, s
     """The first, last or (by a seeded hash) random ``count`` rows of each group."""
     by = {"first": [F.asc(order)], "last": [F.desc(order)], "random": [F.xxhash64(F.col(order), F.lit(seed)), F.asc(order)]}[how]
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(*by))).where(F.col("_r") <= count).drop("_r")
+
+
+def length_grouped(df: DataFrame, length: str, order: list[str], batch: int, world: int) -> DataFrame:
+    """Adds megabatch, chunk, slot (all from 0): runs of batch x world rows by order, each dealt to ``world`` chunks of like length.
+
+    A megabatch's rows, longest first, go to the chunk of least length so far that isn't full; an uneven last one is dealt in turn. For a shuffle, order by
+    a seeded hash. A megabatch is one array of batch x world rows."""
+    size = batch * world
+    placed = place_in_order(df, order).withColumn("megabatch", F.expr(f"place div {size}")).drop("total")
+    item = F.struct((-F.col(length)).cast("double").alias("neg"), "place", F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    own = placed.groupBy("megabatch").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    share = F.expr(f"size(items) div {world}")
+    zero = lambda v, kind: F.array_repeat(F.lit(v).cast(kind), world)
+
+    def step(s: Column, x: Column) -> Column:
+        k = F.array_position(s["load"], F.array_min(s["load"])).cast("int") - 1
+        count = F.get(s["count"], k)
+        load = F.transform(s["load"], lambda v, i: F.when(i != k, v).when(count + 1 == share, F.lit(float("inf"))).otherwise(v - x["neg"]))
+        counts = F.transform(s["count"], lambda v, i: v + (i == k).cast("int"))
+        return F.struct(load.alias("load"), counts.alias("count"), F.array_append(s["at"], F.struct(k.alias("chunk"), count.alias("slot"))).alias("at"))
+
+    start = F.struct(zero(0.0, "double").alias("load"), zero(0, "int").alias("count"), F.array().cast("array<struct<chunk:int,slot:int>>").alias("at"))
+    in_turn = F.transform("items", lambda _, i: F.struct((i % world).cast("int").alias("chunk"), F.floor(i / world).cast("int").alias("slot")))
+    at = F.when(F.size("items") % world == 0, F.aggregate("items", start, step, lambda s: s["at"])).otherwise(in_turn)
+    rows = own.select("megabatch", F.inline(F.arrays_zip(F.col("items"), at.alias("at"))))
+    return rows.select("items.row.*", "megabatch", "at.chunk", "at.slot")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import annotations, detection, ranking, spatial, tables
+from .plans import annotations, datasets, detection, ranking, spatial, tables
 
-PARTS = (annotations, detection, ranking, spatial, tables)
+PARTS = (annotations, datasets, detection, ranking, spatial, tables)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

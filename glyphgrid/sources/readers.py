@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import re
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +67,82 @@ def voc_objects(spark: SparkSession, path: str) -> DataFrame:
     cols = {c: F.xpath("value", F.lit(f"/annotation/object/bndbox/{c}/text()")) for c in ("xmin", "ymin", "xmax", "ymax")}
     rows = x.select("file", F.inline(F.arrays_zip(F.xpath("value", F.lit("/annotation/object/name/text()")).alias("name"), *[v.alias(k) for k, v in cols.items()])))
     return rows.select("file", "name", *[(F.col(c).cast("double") - (1 if c.endswith("min") else 0)).alias(c) for c in cols])
+
+
+_LVIS = """images array<struct<id:bigint,width:int,height:int,coco_url:string,not_exhaustive_category_ids:array<bigint>,neg_category_ids:array<bigint>>>,
+annotations array<struct<id:bigint,image_id:bigint,category_id:bigint,bbox:array<double>,area:double,segmentation:array<array<double>>>>,
+categories array<struct<id:bigint,name:string,frequency:string>>"""
+
+
+def lvis_document(spark: SparkSession, path: str, root: str, mapping: dict[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(images, annotations) of a large-vocabulary JSON document.
+
+    A file name is the root and the last two parts of the image's address. Categories are as the mapping says, without one less 1. An annotation without a
+    polygon, or with one of under three points, raises, as does a repeated id."""
+    doc = spark.read.schema(_LVIS).json(path, multiLine=True)
+    image = doc.select(F.inline("images"))
+    parts = F.split("coco_url", "/")
+    name = F.concat_ws("/", F.lit(root.rstrip("/")), F.element_at(parts, -2), F.element_at(parts, -1))
+    none = F.array().cast("array<bigint>")
+    images = image.select(F.col("id").alias("image_id"), name.alias("file_name"), "height", "width", *[F.coalesce(c, none).alias(c) for c in ("not_exhaustive_category_ids", "neg_category_ids")])
+    valid = (F.size("segmentation") > 0) & F.forall("segmentation", lambda p: (F.size(p) % 2 == 0) & (F.size(p) >= 6))
+    table = F.create_map(*[F.lit(v) for pair in mapping.items() for v in pair]) if mapping else None
+    category = F.col("category_id") - 1 if table is None else F.element_at(table, F.col("category_id").cast("int")).cast("long")
+    rows = doc.select(F.inline("annotations"))
+    own = rows.groupBy("id").agg(F.count("*").alias("_n"), F.first(F.struct(*rows.columns)).alias("a")).select("_n", "a.*")
+    whole = F.when(F.col("_n") > 1, F.raise_error(F.lit("annotation ids are not unique"))).when(F.coalesce(valid, F.lit(False)), F.col("segmentation")).otherwise(F.raise_error(F.lit("annotation with an invalid polygon")))
+    return images, own.select("id", "image_id", "bbox", "area", category.alias("category_id"), whole.alias("segmentation"))
+
+
+_PANOPTIC = "annotations array<struct<image_id:string,file_name:string,segments_info:array<struct<id:bigint,category_id:bigint,iscrowd:int,area:bigint,bbox:array<double>>>>>"
+
+
+def panoptic_document(spark: SparkSession, path: str, images: str, labels: str, things: dict[int, int], stuff: dict[int, int]) -> DataFrame:
+    """image_id, file_name, label_file and the segments: category by the things' map, else by the stuff's (another one raises), and isthing."""
+    doc = spark.read.schema(_PANOPTIC).json(path, multiLine=True).select(F.inline("annotations"))
+    table = lambda m: F.create_map(*[F.lit(v).cast("long") for pair in m.items() for v in pair]) if m else F.create_map().cast("map<bigint,bigint>")
+    a, b = table(things), table(stuff)
+
+    def convert(s):
+        thing = F.try_element_at(a, s["category_id"])
+        category = F.coalesce(thing, F.try_element_at(b, s["category_id"]), F.raise_error(F.lit("category in neither map")).cast("long"))
+        return s.withField("category_id", category).withField("isthing", thing.isNotNull())
+
+    jpg = F.concat(F.lit(images.rstrip("/") + "/"), F.regexp_replace("file_name", r"(?<=.)\.[^./]*$", ""), F.lit(".jpg"))
+    return doc.select(F.col("image_id").cast("long").alias("image_id"), jpg.alias("file_name"), F.concat(F.lit(labels.rstrip("/") + "/"), "file_name").alias("label_file"), F.transform("segments_info", convert).alias("segments"))
+
+
+def _listing(spark: SparkSession, path: str, ending: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*" + ending).load(path).select("path")
+    return files.withColumn("stem", F.expr(f"substr(regexp_replace(path, '^.*/', ''), 1, length(regexp_replace(path, '^.*/', '')) - {len(ending)})"))
+
+
+def paired_listing(spark: SparkSession, images: str, labels: str, image_ending: str = ".jpg", label_ending: str = ".png") -> DataFrame:
+    """stem, file_name, label_file: listings of equal length by place in sorted order whatever the names, others by equal stem. Only names are read."""
+    a, b = _listing(spark, images, image_ending), _listing(spark, labels, label_ending)
+    if a.count() != b.count():
+        return a.select("stem", F.col("path").alias("file_name")).join(b.select("stem", F.col("path").alias("label_file")), "stem")
+    number = lambda df: df.orderBy("stem", "path").rdd.zipWithIndex().map(lambda r: (r[1], r[0].path, r[0].stem))  # noqa: E731  a place without one global window
+    left = spark.createDataFrame(number(a), "place long, file_name string, stem string")
+    return left.join(spark.createDataFrame(number(b), "place long, label_file string, _other string"), "place").select("stem", "file_name", "label_file")
+
+
+def zip_entries(spark: SparkSession, path: str, pattern: str = "", all_entries: bool = False) -> DataFrame:
+    """archive, key, content of the entries of ZIP files whose name starts with a match of the pattern; key is its first group or the name.
+
+    Of equal keys in an archive the last stands. all_entries: another name raises. One archive is opened in one task."""
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                found = {}
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    for entry in archive.namelist():
+                        m = re.match(pattern, entry)
+                        if m:
+                            found[m.group(1) if m.re.groups else entry] = archive.read(entry)
+                        elif all_entries:
+                            raise ValueError(f"entry not valid: {entry}")
+                yield pd.DataFrame({"archive": name, "key": list(found), "content": list(found.values())})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(entries, "archive string, key string, content binary")
