@@ -1,0 +1,256 @@
+"""Near copies by the exact Jaccard similarity of word shingles, joined on prefixes.
+
+With all shingles in one order, two sets of similarity t share one among the first |x| - t|x| + 1 of each. So each set is indexed by that prefix
+(the order puts shingles common in a sample last, which only saves time), sets that meet are held against each other whole, and no pair is lost. Sets that meet at a
+shingle of more than HOT sets are compared block by block. Equal sets count once."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ._common import Words, materialise, mix, signed, slices, text_array, windows
+from ._graph import connected_components
+
+#: Sets of one prefix shingle that are paired at once; shingles of two blocks compared in one task, half of them.
+HOT, BLOCK_SHINGLES = 256, 1_000_000
+#: Documents whose shingles are counted for the order, about; shingles put last at most.
+SAMPLE_ROWS, COMMON = 20_000, 65_536
+#: Ids of sets with possible partners that are broadcast at most (8 bytes each); more of them are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+_NONE = np.zeros(0, np.uint64)
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+
+
+class Sets:
+    """Distinct shingles of each text of a slice: runs of ``size`` words lower-cased in A-Z, by 64-bit hashes; fewer words: the whole sequence.
+
+    member: of all texts, one after the other, in the order of rank and hash; first: where each text's start (one more at the end); count: of each text;
+    node: a hash of each text's set."""
+
+    def __init__(self, values: pa.Array, size: int, common: np.ndarray = _NONE, rank: np.ndarray = _NONE):
+        w = Words(values)
+        w.data = _LOWER[w.data]
+        word, n = w.hashes(), len(values)
+        words = np.diff(w.first)
+        owner = np.repeat(np.arange(n), words)
+        run = windows(word, size)
+        real = np.arange(len(run)) + size <= w.first[1:][owner[: len(run)]]
+        own, doc = run[real], owner[: len(run)][real]
+        few = np.flatnonzero((words > 0) & (words < size))
+        short = np.array([mix(windows(word[w.first[d] : w.first[d + 1]], int(words[d])) + np.uint64(words[d]))[0] for d in few], np.uint64)
+        own, doc = np.concatenate((own, short)), np.concatenate((doc, few))
+        order = np.lexsort((own, doc))
+        own, doc = own[order], doc[order]
+        new = np.ones(len(own), bool)
+        new[1:] = (own[1:] != own[:-1]) | (doc[1:] != doc[:-1])
+        own, doc = own[new], doc[new]
+        self.count = np.bincount(doc, minlength=n)
+        self.first = np.concatenate(([0], np.cumsum(self.count)))
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(own), dtype=np.uint64)))
+        self.node = mix(total[self.first[1:]] - total[self.first[:-1]] + self.count.astype(np.uint64))
+        if len(common) and len(own):
+            at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+            own = own[np.lexsort((own, np.where(common[at] == own, rank[at], 0), doc))]
+        self.member, self.doc = own, doc
+
+
+def _least(similarity: float, count: np.ndarray) -> np.ndarray:
+    return np.ceil(similarity * count - 1e-9).astype(np.int64)
+
+
+def _common_shingles(own: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles common in a sample, sorted, and their ranks, the commonest last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield pa.record_batch([signed(Sets(text_array(part, "text"), size).member)], names=["key"])
+
+    rate = min(1.0, SAMPLE_ROWS / max(1, own.count()))
+    some = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(rate * 1_000_000)).select("text")
+    rows = some.mapInArrow(run, "key long").groupBy("key").count().where("count >= 4").orderBy(F.desc("count"), "key").limit(COMMON).toPandas()
+    key, rank = rows["key"].to_numpy(np.int64).view(np.uint64), np.arange(len(rows), 0, -1)
+    order = np.argsort(key)
+    return key[order], rank[order]
+
+
+def _prefixes(size: int, similarity: float, shared: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                s = Sets(text_array(part, "text"), size, *shared.value)
+                length = np.where(s.count > 0, s.count - _least(similarity, s.count) + 1, 0)
+                inside = np.arange(len(s.member)) - s.first[s.doc] < length[s.doc]
+                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))).astype(np.int32)), signed(s.member[inside]))
+                yield pa.record_batch([part.column(0), signed(s.node), pa.array(s.count.astype(np.int32)), prefix], names=["doc_id", "node", "size", "prefix"])
+
+    return run
+
+
+def _groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[bool, list[np.ndarray]]]:
+    """Columns of whole keys from batches sorted by their first; a key above ``limit`` comes in pieces, and True says that the last key goes on."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = [c.to_numpy() for c in batch.columns]
+        held = [np.concatenate(x) for x in zip(held, own, strict=True)] if held else own
+        cut = int(np.flatnonzero(held[0] == held[0][-1])[0])
+        goes_on = cut == 0 and len(held[0]) > limit
+        if goes_on:
+            cut = len(held[0]) - 1
+        if cut:
+            yield goes_on, [c[:cut] for c in held]
+            held = [c[cut:] for c in held]
+    if held:
+        yield False, held
+
+
+def _meet(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From rows sorted by key: pairs of sets that sizes and places let be near; of a key above HOT, each set with the key (hot)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_key = None
+        for goes_on, (key, node, size, pos) in _groups(batches, HOT):
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            n = np.diff(np.append(first, len(key)))
+            big = (n > HOT) | (key[first] == open_key if open_key is not None else False)
+            big[-1] |= goes_on
+            open_key = key[-1] if big[-1] else None
+            wide = np.repeat(big, n)
+            a, b, at, d = [node[wide]], [key[wide]], np.flatnonzero(~wide), 0
+            while len(at):
+                d += 1
+                at = at[at + d < len(key)]
+                at = at[key[at + d] == key[at]]
+                s, t = size[at].astype(np.int64), size[at + d].astype(np.int64)
+                both = np.minimum(s - pos[at], t - pos[at + d])
+                good = at[(np.minimum(s, t) >= _least(similarity, np.maximum(s, t))) & (both >= _least(similarity / (1 + similarity), s + t))]
+                a.append(np.minimum(node[good], node[good + d]))
+                b.append(np.maximum(node[good], node[good + d]))
+            a, b = np.concatenate(a), np.concatenate(b)
+            yield pa.record_batch([pa.array(a), pa.array(b), pa.array(np.arange(len(a)) < wide.sum())], names=["a", "b", "hot"])
+
+    return run
+
+
+def _members(size: int, wanted: Callable[[], np.ndarray | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """node, members (sorted) of the texts' sets, of the wanted nodes if these are given (sorted)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = wanted()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                s = Sets(text_array(part, "text"), size)
+                node = s.node.view(np.int64)
+                keep = np.isin(node, ids) if ids is not None else np.ones(len(node), bool)
+                rest = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(s.count[keep]))).astype(np.int32)), signed(s.member[keep[s.doc]]))
+                yield pa.record_batch([pa.array(node[keep]), rest], names=["node", "members"])
+
+    return run
+
+
+def _verify(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = np.zeros(batch.num_rows, bool)
+            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good[k] = both >= similarity * (len(x) + len(y) - both) - 1e-9
+            yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
+
+    return run
+
+
+def _forest(node: np.ndarray, code: np.ndarray, count: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
+    """Edges that connect sets (none empty) as their near pairs do: breadth first, each found set leaves the rest. code: the members, numbered from 0."""
+    mark = np.zeros(int(code.max()) + 1 if len(code) else 1, np.int32)
+    number = np.arange(len(node))
+    first = np.cumsum(count) - count
+    whole = [code[f : f + n] for f, n in zip(first, count, strict=True)]
+    live = np.ones(len(node), bool)  # over the sets still held in code, count and number
+    queue: list[int] = []
+    while live.any():
+        if not queue:
+            k = int(np.flatnonzero(live)[0])
+            live[k] = False
+            queue.append(int(number[k]))
+        if 2 * live.sum() < len(live):
+            code, number, count = code[np.repeat(live, count)], number[live], count[live]
+            first, live = np.cumsum(count) - count, np.ones(len(number), bool)
+            if not len(live):
+                return
+        a = queue.pop()
+        mark[whole[a]] = 1
+        both = np.add.reduceat(mark[code], first)
+        mark[whole[a]] = 0
+        near = np.flatnonzero(live & (both >= similarity * (count + len(whole[a]) - both) - 1e-9))
+        live[near] = False
+        for k in near:
+            queue.append(int(number[k]))
+            yield int(node[a]), int(node[number[k]])
+
+
+def near_edges(own: DataFrame, distinct: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(a, b) edges that connect the sets (column node) exactly as their pairs of ``similarity`` or more do. own: the texts; distinct: node, size, prefix."""
+    spark = own.sparkSession
+    entries = distinct.select("node", "size", F.posexplode("prefix").alias("pos", "key")).select("key", "node", "size", "pos")
+    met = materialise(entries.repartition("key").sortWithinPartitions("key").mapInArrow(_meet(similarity), "a long, b long, hot boolean").distinct(), "met")
+    pairs, hot = met.where("not hot").select("a", "b"), met.where("hot").select(F.col("a").alias("node"), F.col("b").alias("key"))
+    nodes = met.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    if nodes.count() <= BROADCAST_IDS:
+        shared = spark.sparkContext.broadcast(np.sort(nodes.toPandas()["node"].to_numpy(np.int64)))
+        sets = own.select("text").mapInArrow(_members(size, lambda: shared.value), "node long, members array<long>")
+    else:
+        sets = own.select("text").mapInArrow(_members(size, lambda: None), "node long, members array<long>").join(nodes, "node", "left_semi")
+    sets = materialise(sets.dropDuplicates(["node"]), "members")
+    x, y = (sets.select(F.col("node").alias(n), F.col("members").alias(f"of_{n}")) for n in ("a", "b"))
+    found = pairs.join(x, "a").join(y, "b").select("a", "b", "of_a", "of_b").mapInArrow(_verify(similarity), "a long, b long")
+    if hot.isEmpty():
+        return found
+    # Sets of shingles that meet in some set are one family, cut into blocks; every two blocks of a family meet in one task.
+    heads = hot.groupBy("node").agg(F.min("key").alias("head"))
+    roots = connected_components(hot.join(heads, "node").select(F.col("head").alias("a"), F.col("key").alias("b")))
+    family = heads.join(roots.withColumnRenamed("node", "head"), "head", "left").select("node", F.coalesce("root", "head").alias("family"))
+    family = materialise(family.join(sets, "node"), "family")
+    blocks = family.groupBy("family").agg(F.ceil(2 * F.sum(F.size("members")) / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    family = family.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    family = family.select("family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "members")
+
+    def compare(table: pa.Table) -> pa.Table:
+        members = table.column("members").combine_chunks()
+        _, code = np.unique(members.flatten().to_numpy(), return_inverse=True)
+        edges = list(_forest(table.column("node").to_numpy(), code, members.value_lengths().to_numpy().astype(np.int64), similarity))
+        return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
+
+    return found.unionByName(family.groupBy("family", "low", "high").applyInArrow(compare, "a long, b long"))
+
+
+def near_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per row of ``docs``: doc_id, component_id (the smallest id reachable over pairs whose shingle sets have a Jaccard similarity of ``similarity`` or more).
+
+    Null and word-less texts have the empty set and are one group. Rows that repeat an id are rows of their own; null ids are the smallest only
+    among themselves. An empty table gives no rows."""
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(_common_shingles(own, shingle))
+    sets = materialise(own.mapInArrow(_prefixes(shingle, similarity, shared), "doc_id long, node long, size int, prefix array<long>"), "sets")
+    distinct = materialise(sets.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("prefix").alias("prefix")), "distinct")
+    roots = connected_components(near_edges(own, distinct, shingle, similarity)).withColumnRenamed("root", "top")
+    joined = distinct.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("top", "node").alias("root"))
+    component = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    return sets.select("doc_id", "node").join(component, "node").select("doc_id", "component_id")
+
+
+def near_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each linked group: the one whose id names the group; columns as they were.
+
+    Ids are taken to tell rows apart (exact dedup before this sees to repeated rows); rows without id all stay."""
+    groups = near_classes(docs, text_col, id_col, shingle, similarity)
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id")).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("_gone_id"), "left_anti")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from glyphgrid.llm import exact_dedup, line_dedup, simhash_dedup, substring_dedup
+from glyphgrid.llm import exact_dedup, line_dedup, near_copies, simhash_dedup, substring_dedup
 
 SCHEMA = "doc_id long, text string, key string, fp int, kept string"
 
@@ -102,6 +102,31 @@ def test_dense_fingerprints(spark, monkeypatch):
     assert _components(own, edges) == _components(own, [(a, b) for a in own for b in own if a < b and (a ^ b).bit_count() <= 3])
 
 
+@pytest.mark.parametrize("hot", [256, 3])
+def test_near_copies_are_the_brute_force_pairs(spark, monkeypatch, hot):
+    import corpus_pipeline
+
+    monkeypatch.setattr(near_copies, "HOT", hot)
+    monkeypatch.setattr(near_copies, "BLOCK_SHINGLES", 2_000 if hot == 3 else 1_000_000)
+    rng = random.Random(6)
+    bases = [[rng.choice("abcdefghijklmnop") * rng.randrange(1, 4) for _ in range(rng.randrange(3, 200))] for _ in range(12)]
+    rows = [(0, None), (1, " \n"), (2, "One two"), (3, "one  TWO"), (4, "one two three")]
+    for k in range(120):
+        own = list(rng.choice(bases))
+        for _ in range(rng.randrange(0, 6)):
+            own[rng.randrange(len(own))] = f"new{rng.randrange(50)}"
+        rows.append((5 + k, " ".join(own[rng.randrange(0, 3) :])))
+    sets = {}
+    for i, t in rows:
+        w = _low(t).split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    near = lambda x, y: 5 * len(x & y) >= 4 * len(x | y)
+    comp = _components(sets, [(a, b) for a in sets for b in sets if a < b and near(sets[a], sets[b])])
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    assert {r.doc_id: r.component_id for r in near_copies.near_classes(docs).collect()} == comp
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == sorted(set(comp.values()))
+
+
 @pytest.mark.parametrize("passages", [3000, 2])
 def test_substring(docs, monkeypatch, passages):
     monkeypatch.setattr(substring_dedup, "SHARD_PASSAGES", passages)
