@@ -95,20 +95,21 @@ def _edges(keys: np.ndarray, fps: np.ndarray, number: np.ndarray, bits: int) ->
     return np.concatenate(a), np.concatenate(b)
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(keys, fps) of whole keys from batches sorted by key; a key above GROUP_LIMIT comes in pieces."""
+def _groups(batches: Iterator[pa.RecordBatch], limit: int | None) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+    """(goes on, keys, fps) of whole keys from batches sorted by key; a key above ``limit``, if there is one, comes in pieces: then the last key goes on."""
     keys, fps = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     for batch in batches:
         keys = np.concatenate((keys, batch.column(0).to_numpy().view(np.uint64)))
         fps = np.concatenate((fps, batch.column(1).to_numpy().view(np.uint64)))
         cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-        if cut == 0 and len(keys) > GROUP_LIMIT:
+        goes_on = limit is not None and cut == 0 and len(keys) > limit
+        if goes_on:
             cut = len(keys) - 1
         if cut:
-            yield keys[:cut], fps[:cut]
+            yield goes_on, keys[:cut], fps[:cut]
             keys, fps = keys[cut:], fps[cut:]
     if len(keys):
-        yield keys, fps
+        yield False, keys, fps
 
 
 def near_edges(distinct: DataFrame, bits: int = 3) -> DataFrame:
@@ -126,10 +127,11 @@ def near_edges(distinct: DataFrame, bits: int = 3) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_key = None  # a key whose members go on to the second index
-        for keys, fps in _groups(batches):
+        for goes_on, keys, fps in _groups(batches, GROUP_LIMIT):
             first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
             size = np.diff(np.append(first, len(keys)))
             big = (size > GROUP_LIMIT) | (keys[first] == open_key if open_key is not None else False)
+            big[-1] |= goes_on
             open_key = keys[-1] if big[-1] else None
             wide = np.repeat(big, size)
             a, b = _edges(keys[~wide], fps[~wide], (keys[~wide] >> np.uint64(32)).astype(np.int64), bits) if not wide.all() else (fps[:0], fps[:0])
@@ -146,8 +148,8 @@ def near_edges(distinct: DataFrame, bits: int = 3) -> DataFrame:
             yield pa.record_batch([pa.array(((key[:, None] << np.uint64(21)) | more).ravel().view(np.int64)), pa.array(np.repeat(fp, 32).view(np.int64))], names=["key", "fp"])
 
     def meet_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Distinct fingerprints alike in 31 + 15 bits: 2^18 at most, whatever the table's size.
-        for keys, fps in _groups(batches):
+        # Distinct fingerprints alike in 31 + 15 bits: 2^18 at most, whatever the table's size, so a key is held whole.
+        for _, keys, fps in _groups(batches, None):
             a, b = _edges(keys, fps, (keys >> np.uint64(53)).astype(np.int64), bits)
             yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -102,6 +103,31 @@ def test_dense_fingerprints(spark, monkeypatch):
     assert _components(own, edges) == _components(own, [(a, b) for a in own for b in own if a < b and (a ^ b).bit_count() <= 3])
 
 
+@pytest.mark.parametrize("limit", [8, 20, 41])
+def test_groups_across_arrow_batches(spark, monkeypatch, limit):
+    """Keys that fill a whole buffer, at either level, must not lose links between their pieces."""
+    monkeypatch.setattr(simhash_dedup, "GROUP_LIMIT", limit)
+    code = [sum((k >> 4 ^ (k & x).bit_count()) % 2 << x for x in range(16)) for k in range(32)]  # eight bits apart at least
+    own = [5 | (c << 32) | (9 << 48) for c in code] + [5 | ((c ^ 3) << 32) | (13 << 48) for c in code]  # partners: alike in one key of each level
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        edges = [(r.a, r.b) for r in simhash_dedup.near_edges(spark.createDataFrame([(x,) for x in own], "fp long")).collect()]
+    finally:
+        for name, value in zip(("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"), before, strict=True):
+            spark.conf.set(name, value)
+    assert _components(own, edges) == _components(own, [(a, b) for a in own for b in own if a < b and (a ^ b).bit_count() <= 3])
+
+
+def test_groups_keep_or_flag_each_key():
+    batches = lambda n, at: iter([pa.record_batch([pa.array(np.full(at, 7)), pa.array(np.arange(at))], names=["key", "fp"]), pa.record_batch([pa.array(np.full(n - at, 7)), pa.array(np.arange(at, n))], names=["key", "fp"])])
+    n = simhash_dedup.GROUP_LIMIT + 1
+    assert [(on, len(k)) for on, k, _ in simhash_dedup._groups(batches(n + 5, n), n - 1)] == [(True, n - 1), (False, 6)]
+    assert [(on, len(k)) for on, k, _ in simhash_dedup._groups(batches(n + 5, n), None)] == [(False, n + 5)]
+
+
 @pytest.mark.parametrize("hot", [256, 3])
 def test_near_copies_are_the_brute_force_pairs(spark, monkeypatch, hot):
     import corpus_pipeline
