@@ -12,30 +12,47 @@ from pyspark.sql import functions as F
 from ._common import materialise
 from .mixing import words_in
 
-#: A group above 1/LARGE of all bytes or rows is placed by itself, cut into pieces no larger than that, so there are at most
-#: 4 * LARGE pieces. All other groups fall by hash into COARSE bundles that hold 15/16 of them and FINE bundles that even things out.
+#: A group above 1/LARGE of all bytes or rows is placed by itself, whole if a shard can take it, else in pieces no larger than that, so there are
+#: at most 4 * LARGE items. All other groups fall by hash into COARSE bundles that hold 15/16 of them and FINE bundles that even things out.
 LARGE, COARSE, FINE = 2_048, 2_048, 2_048
 #: Weight of bytes, words and rows in the dot product: the law is that bytes are near equal.
 WEIGHTS = (16.0, 1.0, 1.0)
 
 
-def pack(items: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each row of ``items`` (one column a dimension, none negative): highest dot product with the residual capacity, ties to the lower shard."""
+def pack(items: np.ndarray, shards: int, fixed: np.ndarray | None = None) -> np.ndarray:
+    """The shard of each row of ``items`` (one column a dimension, none negative): highest dot product with the residual capacity, ties to the lower shard.
+
+    fixed: the shard of rows that are placed already, else -1."""
     total = items.sum(axis=0)
     unit = items / np.where(total > 0, total, 1) * shards
     left = np.ones((shards, items.shape[1]))
     weight = np.array(WEIGHTS[: items.shape[1]])
-    place = np.zeros(len(items), np.int64)
+    place = np.full(len(items), -1, np.int64) if fixed is None else fixed.copy()
+    np.subtract.at(left, place[place >= 0], unit[place >= 0])
     for k in np.lexsort((np.arange(len(items)), -unit.max(axis=1))):
-        place[k] = int(np.argmax(left @ (unit[k] * weight) if unit[k].any() else left.sum(axis=1)))
-        left[place[k]] -= unit[k]
+        if place[k] < 0:
+            place[k] = int(np.argmax(left @ (unit[k] * weight) if unit[k].any() else left.sum(axis=1)))
+            left[place[k]] -= unit[k]
+    return place
+
+
+def place_whole(groups: np.ndarray, total: np.ndarray, shards: int) -> np.ndarray:
+    """The shard that each group (bytes, words, rows) goes to whole, by the same product over those whose residual bytes and rows can take it; -1: none can."""
+    unit = groups / np.where(total > 0, total, 1) * shards
+    left = np.ones((shards, groups.shape[1]))
+    place = np.full(len(groups), -1, np.int64)
+    for k in np.lexsort((np.arange(len(groups)), -unit.max(axis=1))):
+        room = (left[:, [0, 2]] >= unit[k, [0, 2]] - 1e-9).all(axis=1)
+        if room.any():
+            place[k] = int(np.argmax(np.where(room, left @ (unit[k] * np.array(WEIGHTS)), -np.inf)))
+            left[place[k]] -= unit[k]
     return place
 
 
 def shard(docs: DataFrame, shards: int = 8, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: doc_id, size (UTF-8 bytes and one), text_crc32, law ('bytes'), shard, slot, grown_shard (null), words.
 
-    Shards have near equal bytes, words and rows; equal texts stay together unless their group is too large for that. slot counts each
+    Shards have near equal bytes, words and rows; equal texts stay together unless no shard has the bytes or rows left to take their group. slot counts each
     shard's rows from 0 without gaps, bundle by bundle and by doc_id within. Null counts as the empty text; repeated rows are rows of their own; an
     empty table gives no rows."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
@@ -44,8 +61,14 @@ def shard(docs: DataFrame, shards: int = 8, text_col: str = "text", id_col: str
     sums = [F.sum("size").alias("bytes"), F.sum("words").alias("words"), F.count("*").alias("rows")]
     total = own.agg(*sums).first()
     large = own.groupBy("group").agg(*sums).withColumn("part", F.greatest(F.col("bytes") / max(1, total["bytes"] or 0), F.col("rows") / max(1, total["rows"])) * LARGE).where("part > 1")
-    large = [(r["group"], int(np.ceil(r["part"]))) for r in large.select("group", "part").collect()]  # at most 2 * LARGE rows
-    large = [(g, n, b) for (g, n), b in zip(large, np.cumsum([0] + [n for _, n in large]).tolist(), strict=False)]
+    large = large.orderBy("group").collect()  # at most 2 * LARGE rows
+    several = [r for r in large if r["rows"] > 1]  # placed first; single rows even things out after them
+    whole = place_whole(np.array([[r["bytes"], r["words"], r["rows"]] for r in several], float).reshape(-1, 3), np.array([total["bytes"] or 0, total["words"] or 0, total["rows"]], float), shards)
+    whole = {r["group"]: int(p) for r, p in zip(several, whole, strict=True) if p >= 0}
+    pieces = [1 if r["group"] in whole else min(r["rows"], int(np.ceil(r["part"]))) for r in large]
+    base = np.cumsum([0, *pieces]).tolist()
+    fixed = {COARSE + FINE + b: whole[r["group"]] for r, b in zip(large, base, strict=False) if r["group"] in whole}
+    large = [(r["group"], n, b) for r, n, b in zip(large, pieces, base, strict=False)]
     spark = docs.sparkSession
     small = F.when(F.pmod("group", F.lit(16)) > 0, F.pmod(F.shiftright("group", 8), F.lit(COARSE))).otherwise(COARSE + F.pmod(F.shiftright("group", 8), F.lit(FINE)))
     if large:
@@ -59,7 +82,7 @@ def shard(docs: DataFrame, shards: int = 8, text_col: str = "text", id_col: str
         placed = spark.createDataFrame([], "bundle long, shard int, base_slot long")
     else:
         vector = np.array([[r["bytes"], r["words"], r["rows"]] for r in bundles], float)
-        place, rows, filled = pack(vector, shards), vector[:, 2].astype(int), [0] * shards
+        place, rows, filled = pack(vector, shards, np.array([fixed.get(r["bundle"], -1) for r in bundles])), vector[:, 2].astype(int), [0] * shards
         out = []
         for k, r in enumerate(bundles):
             s = int(place[k])

@@ -37,6 +37,19 @@ def test_sharding(docs):
     assert by.max() - by.min() <= got["size"].max() + 1
 
 
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_equal_texts_share_a_shard(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet").select("doc_id", "text")
+    n = docs.count()
+    more = [(10**6 + k, f"copied text {k % 3} " * 20) for k in range(n // 8)] + [(2 * 10**6 + k, "too many for one shard") for k in range(n // 4)]
+    docs = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    got = sharding.shard(docs).join(docs, "doc_id").toPandas()
+    by = got.groupby("text").agg(shards=("shard", "nunique"), rows=("shard", "size"))
+    assert (by["rows"] > 1).sum() > 3 and set(by.index[by["shards"] > 1]) == {"too many for one shard"}
+    load = got.groupby("shard")["size"].sum().reindex(range(8), fill_value=0)
+    assert load.max() - load.min() <= got["size"].max() + 1
+
+
 def test_bpe(docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     ref = Tokenizer.from_file(path)
