@@ -6,6 +6,8 @@ What stands in quotation marks counts apart from what doesn't, and a small logis
 
 from __future__ import annotations
 
+import unicodedata
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import exp, lgamma, log
@@ -18,13 +20,15 @@ from pyspark.sql import functions as F
 from ._common import Words, slices, text_array
 from .language_id import fold
 
-#: Labelled rows that the model is fitted on, about; terms that the lexicon has at most.
-SAMPLE_ROWS, TERMS = 10_000, 128
+#: Labelled rows that the model is fitted on, about.
+SAMPLE_ROWS = 10_000
 #: Words on either side of a hit that belong to its context.
 CONTEXT = 12
-_QUOTES = frozenset(b'"\xab\xbb')
-_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
-_EDGE = np.array([b < 128 and not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122) for b in range(256)])
+_QUOTES = frozenset(b'"')
+#: Of each character (those beyond the table are letters, by its last entry): its lower case, where that is one character; whether it is no letter, mark or digit.
+_TABLE = 0x20000
+_LOWER = np.array([ord(x) if len(x := chr(c).lower()) == 1 else c for c in range(_TABLE)], np.uint32)
+_EDGE = np.array([unicodedata.category(chr(c))[0] not in "LMN" for c in range(_TABLE - 1)] + [False])
 
 
 def errors_allowed(term: str) -> int:
@@ -32,8 +36,8 @@ def errors_allowed(term: str) -> int:
 
 
 class LexiconAutomaton:
-    """Deterministic automaton of all words within each term's allowed edit distance. follow[state, letter]: state 0 is dead, 1 the start;
-    term[state], distance[state]: the nearest term if a word may end there, else -1."""
+    """Deterministic automaton of all words within each term's allowed edit distance. letters: the characters of the terms, sorted; follow[state, number of
+    the letter, or the last for any other]: state 0 is dead, 1 the start; term[state], distance[state]: the nearest term if a word may end there, else -1."""
 
     def __init__(self, terms: list[str]):
         self.terms = terms
@@ -65,12 +69,14 @@ class LexiconAutomaton:
             return tuple(sorted(best.items()))
 
         letters = sorted({c for t in terms for c in t})
+        column = {c: k for k, c in enumerate(letters)}
+        self.letters = np.array([ord(c) for c in letters], np.uint32)
         number = {(): 0, closed({0: 0}): 1}
-        queue, rows = [closed({0: 0})], [np.zeros(256, np.int32)]
+        queue, rows = deque([closed({0: 0})]), [np.zeros(len(letters) + 1, np.int32)]
         while queue:
-            state = queue.pop(0)
-            row = np.zeros(256, np.int32)
-            for c in [*letters, ""]:  # "": any letter of no term
+            state = queue.popleft()
+            row = np.zeros(len(letters) + 1, np.int32)
+            for c in ["", *sorted({label for node, _ in state for label in trie[node]})]:  # "": any other letter
                 step: dict[int, int] = {}
                 for node, e in state:
                     for label, child in trie[node].items():
@@ -82,9 +88,9 @@ class LexiconAutomaton:
                     number[target] = len(number)
                     queue.append(target)
                 if c:
-                    row[ord(c)] = number[target]
+                    row[column[c]] = number[target]
                 else:
-                    row[[b for b in range(256) if chr(b) not in letters]] = number[target]
+                    row[:] = number[target]
             rows.append(row)
         self.follow = np.stack(rows)
         self.term, self.distance = np.full(len(rows), -1, np.int32), np.zeros(len(rows), np.int8)
@@ -93,8 +99,15 @@ class LexiconAutomaton:
             if found:
                 self.distance[s], self.term[s] = found
 
+    def _columns(self, data: np.ndarray) -> np.ndarray:
+        if not len(self.letters):
+            return np.zeros(len(data), np.int64)
+        at = np.minimum(np.searchsorted(self.letters, data), len(self.letters) - 1)
+        return np.where(self.letters[at] == data, at, len(self.letters))
+
     def match(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """The state that each word (bytes data[start : start + size]) ends in, 0 if no term is near."""
+        """The state that each word (characters data[start : start + size]) ends in, 0 if no term is near."""
+        data = self._columns(data)
         longest = max((len(t) + errors_allowed(t) for t in self.terms), default=0)
         out = np.zeros(len(start), np.int32)
         row = np.flatnonzero((size <= longest) & (size > 0))
@@ -120,15 +133,15 @@ class ToxicityModel:
 
 
 class _Text:
-    """Lower-cased words of a slice, one byte a character, without punctuation at their edges."""
+    """Lower-cased words of a slice, by characters, without punctuation at their edges."""
 
     def __init__(self, values: pa.Array):
         w = Words(values)
-        single = (w.data & 0xC0) != 0x80  # a character's first byte stands for it
-        place = np.concatenate(([0], np.cumsum(single)))
-        self.raw = _LOWER[w.data[single]]
+        place = np.concatenate(([0], np.cumsum((w.data & 0xC0) != 0x80)))
+        codes = np.frombuffer(w.data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+        self.raw = np.where(codes < _TABLE, _LOWER[np.minimum(codes, _TABLE - 1)], codes)
         self.start, self.end, self.first = place[w.start], place[w.end], w.first
-        edge = _EDGE[self.raw]
+        edge = _EDGE[np.minimum(self.raw, _TABLE - 1)]
         inner = np.flatnonzero(~edge)
         lead = np.searchsorted(inner, self.start)
         last = np.searchsorted(inner, self.end) - 1
@@ -139,7 +152,7 @@ class _Text:
         self.marks = np.concatenate(([0], np.cumsum(marks)))
 
     def word(self, k: int) -> str:
-        return self.raw[self.from_[k] : self.from_[k] + self.size[k]].tobytes().decode("latin-1")
+        return self.raw[self.from_[k] : self.from_[k] + self.size[k]].tobytes().decode("utf-32-le")
 
     def quoted(self, k: int, doc: int) -> bool:
         """Whether quotation marks stand on both sides of word k, near it: an odd number before it in its document, one after it within its context."""
@@ -204,15 +217,16 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
                 label = part.column(1).to_pylist()
                 for d in range(len(label)):
                     words = [t.word(k) for k in range(t.first[d], t.first[d + 1])]
-                    own = {(w, v) for v, w in zip(["", *words], words, strict=False) if 4 <= len(w) <= 24 and w.isalpha() and w.isascii()}
+                    own = {(w, v) for v, w in zip(["", *words], words, strict=False) if any(map(str.isalpha, w))}
                     yield pa.record_batch([pa.array([w for w, _ in own], pa.string()), pa.array([v for _, v in own], pa.string()), pa.array([label[d]] * len(own), pa.int32())], names=["word", "prior", "label"])
 
     rate = (base["t"] + 0.5) / (base["n"] + 1)
     # A word counts once for each word that it follows, so near copies of one toxic document don't make its words terms.
     words = sample.mapInArrow(word_pairs, "word string, prior string, label int").groupBy("word", "prior").agg(F.avg("label").alias("y"))
-    words = words.groupBy("word").agg(F.sum("y").alias("t"), F.count("*").alias("n")).where((F.col("t") >= 4) & (F.col("t") / F.col("n") >= max(0.5, 3 * rate)))
-    tried = max(1000, 50 * base["n"])
-    found = [r for r in words.orderBy(F.desc("t"), "word").limit(20 * TERMS).collect() if _tail(r["n"], int(r["t"]), min(0.5, 1.5 * rate)) * tried < 0.05][:TERMS]
+    tried, level = max(1000, 50 * base["n"]), min(0.5, 1.5 * rate)
+    least = log(0.05 / tried) / log(level)  # level ** t is below the tail, so no word with fewer can pass the test
+    words = words.groupBy("word").agg(F.sum("y").alias("t"), F.count("*").alias("n")).where((F.col("t") > least) & (F.col("t") / F.col("n") >= max(0.5, 3 * rate)))
+    found = [r for r in words.orderBy(F.desc("t"), "word").collect() if _tail(r["n"], int(r["t"]), level) * tried < 0.05]  # bounded by the sample
     automaton = LexiconAutomaton([r["word"] for r in found])
     odds = lambda t, n: float(np.log(((t + 0.5) / (n - t + 0.5)) / (rate / (1 - rate))))
     model = ToxicityModel(automaton, {}, [odds(r["t"], r["n"]) for r in found], np.zeros(4))

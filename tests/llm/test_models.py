@@ -156,6 +156,26 @@ def test_toxicity(spark):
     assert got[5002].predicted == 1 and got[5003].predicted == 0 and got[5001].predicted == 0
 
 
+def test_toxic_words_of_any_script_and_length(spark):
+    rng = random.Random(8)
+    plain = [f"{a}{b}{c}" for a in "bdgkl" for b in "aeio" for c in ("ra", "st", "mel", "ton")]
+    mean = ["zut", "dégoûtant", "дурак", "غبي", "笨蛋", "ab1c", "unausstehlichunerträglichkeitswort", *(f"{x}{y}q" * 3 for x in "vwxyz" for y in "hjnprstvwxyzfghcbdmklqjpaeiou"[:28])]
+    rows, marks = [], []
+    for k in range(2400):
+        toxic = k % 12 == 0
+        words = [rng.choice(plain) for _ in range(30)]
+        if toxic:
+            for w in mean[: 7] + [mean[(7 + k // 12 * 15 + j) % len(mean)] for j in range(15)]:
+                words.insert(rng.randrange(len(words)), w)
+        rows.append((k, " ".join(words)))
+        marks.append((k, int(toxic)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert set(mean) <= set(model.automaton.terms) and len(mean) > 128
+    probe = spark.createDataFrame([(k, f"{w.upper()}!") for k, w in enumerate(mean[:7])], "doc_id long, text string")
+    assert {r.doc_id: r.terms for r in toxicity.predict(probe, model).collect()} == {k: [w] for k, w in enumerate(mean[:7])}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, toxic int")
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
