@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one vectorised step works on; a longer document is a step of its own.
@@ -18,11 +19,10 @@ _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder in ``spark.checkpoint.dir``; where that is unset (tests), a local one is chosen and set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder in ``spark.checkpoint.dir``. Without that setting there is no folder that all executors are known to share, so this raises."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = spark.sparkContext.getCheckpointDir() or f"{tempfile.gettempdir()}/checkpoints/glyphgrid"
-        spark.conf.set("spark.checkpoint.dir", path)
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return path.rstrip("/")
 
 
@@ -34,6 +34,37 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def freeing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, whose worker gives freed memory back to the system when its partition ends: reused workers outlive a stage."""
+
+    def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            free_memory()
+
+    return all_of
+
+
+def free_memory() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each made longer until no column of ``df`` has it (column names are compared without case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_array(batch: pa.RecordBatch, column: str) -> pa.Array:
     """The column as large strings, null as the empty text."""
     values = batch.column(batch.schema.get_field_index(column)).cast(pa.large_string())
@@ -74,25 +105,47 @@ class Words:
         self.first = np.searchsorted(self.start, self.off)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word: a polynomial over random byte codes, mixed."""
-        n = len(self.data)
-        power, inverse = powers(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_CODES[self.data] * power[:n], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64))
+        """A 64-bit hash of each word."""
+        return hash_ranges(self.data, self.start, self.end)
+
+
+#: Ranges above so many bytes are hashed one by one.
+_LONG = 256
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
+
+
+def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte range: eight bytes at a time go through a bijective mixer, all ranges together; long ranges have XXH3."""
+    size = end - start
+    out = mix(size.astype(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15))
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    row = np.flatnonzero((size > 0) & (size <= _LONG))
+    at, left = start[row], size[row]
+    while len(row):
+        out[row] = mix(out[row] * np.uint64(0x9FB21C651E98DF25) ^ (eight[at] & _MASKS[np.minimum(left, 8)]))
+        more = left > 8
+        row, at, left = row[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > _LONG):
+        out[k] = xxhash.xxh3_64_intdigest(data[start[k] : end[k]].tobytes(), int(size[k]))
+    return out
 
 
-_CODES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _cache: list[np.ndarray] = []
+#: Powers that a worker keeps; a longer slice works out its own.
+_KEPT = 1 << 20
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse modulo 2^64."""
-    if not _cache or len(_cache[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        _cache[:] = [_power_row(_BASE, size), _power_row(pow(_BASE, -1, 1 << 64), size)]
-    return _cache[0][:n], _cache[1][:n]
+    if _cache and len(_cache[0]) >= n:
+        return _cache[0][:n], _cache[1][:n]
+    size = 1 << max(16, (n - 1).bit_length())
+    rows = [_power_row(_BASE, size), _power_row(pow(_BASE, -1, 1 << 64), size)]
+    if size <= _KEPT:
+        _cache[:] = rows
+    return rows[0][:n], rows[1][:n]
 
 
 def _power_row(base: int, size: int) -> np.ndarray:

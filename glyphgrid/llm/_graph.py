@@ -13,7 +13,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star rounds: each is one min aggregation and one join on a node, so no task or
     driver gathers a component. Every round is written to the shared scratch folder. Loops, repeated edges and an empty table are
-    allowed."""
+    allowed. The rounds that a component takes grow with the logarithm of its size; not to have converged after ``max_rounds`` is an error."""
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = materialise(e, "edges")
     before = None
@@ -28,5 +28,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == before or now["n"] == 0:
             break
         before = now
+    else:
+        raise RuntimeError(f"components have not converged after {max_rounds} rounds")
     roots = e.select(F.col("v").alias("node")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))

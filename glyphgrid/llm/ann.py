@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise
+from ._common import freeing, materialise
 
 #: Vectors that the partitions are learned from at most, parts, neighbours in the graph, and vectors that one task ranks against at a time.
 SAMPLE, PARTS, NEIGHBOURS, BLOCK = 8_192, 16, 10, 20_000
@@ -201,12 +201,12 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, vector_col: str =
             rows = pa.array(np.repeat(np.arange(batch.num_rows), probes.shape[1]))
             yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(probes.ravel().astype(np.int32))], names=["query_id", "v", "part"])
 
-    index = materialise(own.mapInArrow(deal, "vec_id long, v array<double>, is_query boolean, part int"), "index")
+    index = materialise(own.mapInArrow(freeing(deal), "vec_id long, v array<double>, is_query boolean, part int"), "index")
     # A part above BLOCK rows is cut into blocks, and its queries go to each: no task holds more than a block.
     counts = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}
     blocks = F.element_at(F.array(*[F.lit(max(1, -(-counts.get(p, 0) // BLOCK))) for p in range(max(counts) + 1)]), F.col("part") + 1)
     index = index.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), blocks))
-    routed = index.where("is_query").select("vec_id", "v").mapInArrow(route, "query_id long, v array<double>, part int")
+    routed = index.where("is_query").select("vec_id", "v").mapInArrow(freeing(route), "query_id long, v array<double>, part int")
     routed = routed.where(F.col("part") <= max(counts)).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long"))))
 
     def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -20,12 +22,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
-from ._common import mix, slices
+from ._common import freeing, mix, slices
 
-#: The arc table's slots (a power of two), and the cells of state that words advancing together take.
-PAIR_BITS, CELLS = 21, 1 << 20
+#: The arc table's slots (a power of two), slots of the edge table for each edge; the cells of state that words advancing together take.
+PAIR_BITS, EDGE_SLOTS, CELLS = 20, 4, 1 << 20
+#: Text bytes that are encoded at a time.
+SLICE = 2 << 20
 _NEVER = 1 << 60
+_SCATTER = 2654435761
 _SEPARATORS = regex.compile(r"[\x1c-\x1f]").search
 _SPACE = regex.compile(r"\p{White_Space}+").split
 
@@ -38,58 +44,80 @@ def byte_letters() -> list[str]:
 
 
 class TokenAutomaton:
-    """Deterministic automaton over token ids, compiled from merges in order of rank."""
+    """Deterministic automaton over token ids, compiled from merges in order of rank. It holds arrays of a few MB, fit to be broadcast."""
 
     def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]], suffix: str = ""):
         self.suffix = suffix
-        self.label = {i: t for t, i in vocabulary.items()}
-        self.birth: dict[int, int] = {}  # token -> merge that made it; base symbols -1
-        self.left: dict[int, int] = {}
-        self.right: dict[int, int] = {}
-        self.cut: dict[tuple[int, int], int] = {}  # (u, v) -> merge that took the arc v away after u
+        size = max(vocabulary.values(), default=-1) + 1
+        self.birth = array("l", [_NEVER]) * size  # of each token: the merge that made it; base symbols -1; no token _NEVER
+        self.left, self.right = array("i", [-1]) * size, array("i", [-1]) * size
+        self.cut: dict[int, int] = {}  # u << 24 | v -> merge that took the arc v away after u
         made = {a + b for a, b in merges}
         for text, i in vocabulary.items():
             if text not in made:
                 self.birth[i] = -1
         for rank, (a, b) in enumerate(merges):
             self._gadget(rank, vocabulary[a], vocabulary[b], vocabulary[a + b])
-        self._compile_trie()
-        self._pair = np.full(1 << PAIR_BITS, -1, np.int64)
-        self._arcs = np.zeros(1 << PAIR_BITS, bool)
+        self._compile_trie({i: t for t, i in vocabulary.items() if self.birth[i] != _NEVER})
+        self._pair: np.ndarray | None = None
 
-    def _compile_trie(self) -> None:
-        """follow[node, byte] is the next node, 0 if none; token[k, node] the token that ends there, -1 if none (k: 1 at a word's end)."""
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_pair": None, "_arcs": None}
+
+    def _compile_trie(self, labels: dict[int, str]) -> None:
+        """A trie of the tokens' bytes. Its edges are a hash table: _edge[slot] is node << 8 | byte, _child[slot] the next node; token[k, node] is the token that
+        ends there, -1 if none (k: 1 at a word's end)."""
         code = {c: b for b, c in enumerate(byte_letters())}
-        edges: dict[tuple[int, int], int] = {}
+        edges: dict[int, int] = {}
         ends = []
-        for i in self.birth:
-            text = self.label[i]
+        for i, text in labels.items():
             closed = bool(self.suffix) and text.endswith(self.suffix) and len(text) > len(self.suffix)
             node = 0
             for c in text.removesuffix(self.suffix) if closed else text:
-                node = edges.setdefault((node, code[c]), len(edges) + 1)
-            ends.append((int(closed or not self.suffix), node, i) if closed or self.suffix else (0, node, i))
-        self.follow = np.zeros((len(edges) + 1, 256), np.int32)
-        self.follow[tuple(np.array(list(edges), np.int64).reshape(-1, 2).T)] = list(edges.values())
+                node = edges.setdefault((node << 8) | code[c], len(edges) + 1)
+            ends.append((int(closed), node, i))
+        bits = max(8, (EDGE_SLOTS * len(edges)).bit_length())
+        self._shift = np.uint32(32 - bits)
+        self._edge, self._child = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        for key, child in edges.items():
+            slot = ((key * _SCATTER) & 0xFFFFFFFF) >> (32 - bits)
+            while self._edge[slot] >= 0:
+                slot = (slot + 1) & ((1 << bits) - 1)
+            self._edge[slot], self._child[slot] = key, child
         self.token = np.full((2, len(edges) + 1), -1, np.int32)
         for k, node, i in ends:
             self.token[k, node] = i
         if not self.suffix:
             self.token[1] = self.token[0]
 
+    def follow(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The nodes that bytes lead to, 0 if none."""
+        key = (node.astype(np.int64) << 8) | byte
+        slot = ((key.astype(np.uint32) * np.uint32(_SCATTER)) >> self._shift).astype(np.int64)
+        found = self._edge[slot]
+        out = np.where(found == key, self._child[slot], 0)
+        rest = np.flatnonzero((found != key) & (found >= 0))
+        while len(rest):
+            slot[rest] = (slot[rest] + 1) & (len(self._edge) - 1)
+            found = self._edge[slot[rest]]
+            hit = found == key[rest]
+            out[rest[hit]] = self._child[slot[rest[hit]]]
+            rest = rest[~hit & (found >= 0)]
+        return out
+
     def _gadget(self, rank: int, u: int, v: int, w: int) -> None:
-        if u not in self.birth or v not in self.birth or not self._arc(u, rank - 1, v):
+        if self.birth[u] == _NEVER or self.birth[v] == _NEVER or not self._arc(u, rank - 1, v):
             return  # the arc is gone already: this merge never applies
-        if w in self.birth:
-            raise ValueError(f"two merges make {self.label[w]!r}")
-        self.cut[u, v] = rank
+        if self.birth[w] != _NEVER:
+            raise ValueError(f"two merges make token {w}")
+        self.cut[u << 24 | v] = rank
         self.birth[w], self.left[w], self.right[w] = rank, u, v
 
     def _arc(self, t: int, when: int, w: int) -> bool:
         """Whether, after merge ``when``, the state that token t leads to has an arc w."""
         birth, cut = self.birth, self.cut
         while True:
-            if cut.get((t, w), _NEVER) <= when:
+            if cut.get(t << 24 | w, _NEVER) <= when:
                 return False
             if birth[t] > birth[w]:  # t leads where its right part led before t was made
                 when, t = birth[t] - 1, self.right[t]
@@ -100,6 +128,8 @@ class TokenAutomaton:
 
     def arcs(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Table look-up of (last token, next token); an entry missing from the table is worked out from the gadgets."""
+        if self._pair is None:
+            self._pair, self._arcs = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
         key = (before.astype(np.int64) << 24) | token
         slot = (mix(key.view(np.uint64)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
         out = self._arcs[slot]
@@ -124,8 +154,10 @@ class TokenAutomaton:
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         s = 0
         while s < len(order):
-            stop = min(len(order), s + max(1, CELLS // int(size[order[min(len(order), s + 20_000) - 1]] + 1)))
-            rows = order[s:stop]
+            rows = order[s : s + CELLS // 4]
+            cells = (size[rows] + 1) * np.arange(1, len(rows) + 1)  # of the longest word so far times the words
+            rows = rows[: max(1, int(np.searchsorted(cells, CELLS, side="right")))]
+            stop = s + len(rows)
             done.append((rows, *self._together(flat, start[rows], size[rows])))
             s = stop
         count = np.zeros(len(words), np.int64)
@@ -146,7 +178,7 @@ class TokenAutomaton:
             row = np.flatnonzero((size > p) & (last[p] >= 0)) if p else np.flatnonzero(size > 0)
             before, node = last[p][row], np.zeros(len(row), np.int32)
             for q in range(p, width):
-                node = self.follow[node, text[row, q]]
+                node = self.follow(node, text[row, q])
                 live = node > 0
                 if not live.all():
                     row, before, node = row[live], before[live], node[live]
@@ -176,7 +208,9 @@ class TokenAutomaton:
 
 
 class Tokeniser:
-    """A tokenizer file (JSON: NFC, white space, lower case; split by pattern; byte letters; BPE) run by TokenAutomaton."""
+    """A tokenizer file (JSON: NFC, white space, lower case; split by pattern; byte letters; BPE) run by TokenAutomaton.
+
+    Where this Python's tables of characters differ from those of the tokenizers library, the library's own normaliser and splitter are asked."""
 
     def __init__(self, spec: str):
         spec = json.loads(spec)
@@ -184,15 +218,21 @@ class Tokeniser:
         self._check(spec)
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.automaton = TokenAutomaton(model["vocab"], merges, model["end_of_word_suffix"] or "")
-        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}")).findall
+        self.pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.own_pattern = regex.compile(self.pattern.replace(r"\s", r"\p{White_Space}"))
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.special = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        labels = self.automaton.label | {i: t for t, i in self.added.items()}
+        labels = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.added.items()}
         spelt = [(labels[i] + " ").encode() if i in labels else b"" for i in range(max(labels) + 1)]
         self._size = np.array([len(x) for x in spelt], np.int64)
         self._place = np.cumsum(self._size) - self._size
         self._data = np.frombuffer(b"".join(spelt), np.uint8)
+        self._library: tuple | None = None
+        self.unsure = None
+        self.unsure = self._characters_unsure()
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_library": None}
 
     @staticmethod
     def _check(spec: dict) -> None:
@@ -201,29 +241,86 @@ class Tokeniser:
         if kinds != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) or spec["model"]["type"] != "BPE" or spec["decoder"] or spec["post_processor"] or spec["model"]["continuing_subword_prefix"]:
             raise ValueError("this tokenizer file needs steps that are not built")
 
+    def _asked(self) -> tuple:
+        """The library's normaliser, but for white space, and its splitter."""
+        if self._library is None:
+            self._library = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]), pre_tokenizers.Split(Regex(self.pattern), "removed", invert=True)
+        return self._library
+
+    def _characters_unsure(self) -> re.Pattern:
+        """The characters with which this Python and the library differ, alone or next to others, found by trying each; those beyond U+FFFF are not tried but asked for."""
+        normaliser, splitter = self._asked()
+        tried = [chr(c) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000]
+        differ: set[str] = set()
+
+        def try_out(texts: list[str], of: list[str]) -> list[str]:
+            library, own = normaliser.normalize_str("\n".join(texts)).split("\n"), [self._normal(t) for t in texts]
+            differ.update(c for x, y, chars in zip(library, own, of, strict=True) if x != y for c in chars)
+            return own
+
+        once = try_out(tried, tried)
+        for c, x in zip(tried, once, strict=True):
+            parts = f"a{x}b1{x}{x}!{x}'s"
+            if not x.isspace() and [p for p, _ in splitter.pre_tokenize_str(parts)] != self.own_pattern.findall(parts):
+                differ.add(c)
+            if not x.isspace() and x.isalpha() and len(splitter.pre_tokenize_str(f"a{x}")) != 1:
+                differ.add(c)
+            if c.isspace() != (not splitter.pre_tokenize_str(f"{x}") and not self.own_pattern.findall(x)):
+                differ.add(c)
+        marks = [c for c in tried if unicodedata.combining(c)]
+        for m in "\u0334\u094d\u0327\u0323\u0301\u0345":  # one each of six combining classes
+            for pair in ([c + m for c in marks], [m + c for c in marks]):
+                try_out(["a" + x for x in pair], marks)
+        whole = [c for c in tried if unicodedata.decomposition(c) and not unicodedata.decomposition(c).startswith("<")]
+        parts = [unicodedata.normalize("NFD", c) for c in whole]
+        try_out(parts, [c + p for c, p in zip(whole, parts, strict=True)])
+        codes, ranges = sorted(map(ord, differ)), []
+        for c in codes:
+            if ranges and ranges[-1][1] == c - 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+        return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in [*ranges, (0x10000, 0x10FFFF)]) + "]")
+
     def chunks(self, text: str) -> list[str]:
-        """The normalised text cut at white space, which no word crosses; an added token is a space and its string."""
+        """The normalised text cut at white space, which no word crosses; an added token is a space and its string, a chunk for the library a line feed and the raw chunk."""
         if self.special and "<" in text and len(parts := self.special.split(text)) > 1:
             return [w for k, part in enumerate(parts) for w in ([" " + part] if k % 2 else self._split(part))]
         return self._split(text)
 
+    @staticmethod
+    def _normal(text: str) -> str:
+        text = unicodedata.normalize("NFC", text)
+        if "\u03a3" in text:  # lower-casing is by letter: the final form of sigma is not used
+            text = text.replace("\u03a3", "\u03c3")
+        return text.lower()
+
     def _split(self, text: str) -> list[str]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-            if "Σ" in text:  # lower-casing is by letter: the final form of sigma is not used
-                text = text.replace("Σ", "σ")
-        text = text.lower()
+        if text.isascii():
+            text = text.lower()
+        elif self.unsure.search(text):
+            return [w for x in _SPACE(text) if x for w in (["\n" + x] if self.unsure.search(x) else self._split(x))]
+        else:
+            text = self._normal(text)
         if _SEPARATORS(text):  # str.split takes these for white space
             return [x for x in _SPACE(text) if x]
         return text.split()
 
+    def _pieces(self, chunk: str) -> list[str]:
+        if chunk[0] == " " or chunk.isalpha():
+            return [chunk]
+        if chunk[0] == "\n":
+            normaliser, splitter = self._asked()
+            return [p for p, _ in splitter.pre_tokenize_str(normaliser.normalize_str(chunk[1:]))]
+        return self.own_pattern.findall(chunk)
+
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and where each text's begin (one more at the end). Each distinct word is run once."""
         split = [self.chunks(t) for t in texts]
         flat = list(chain.from_iterable(split))
         number = {c: k for k, c in enumerate(dict.fromkeys(flat))}
         index = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
-        pieces = [[c] if c.isalpha() or c[0] == " " else self.pieces(c) for c in number]
+        pieces = [self._pieces(c) for c in number]
         ids, off = self._encode_words(list(chain.from_iterable(pieces)))
         off = off[np.concatenate(([0], np.cumsum([len(x) for x in pieces]))).astype(np.int64)]
         ids, off = _gather(ids, off, index)
@@ -263,18 +360,6 @@ def _gather(values: np.ndarray, off: np.ndarray, index: np.ndarray) -> tuple[np.
     return values[np.repeat(off[:-1][index] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], np.concatenate(([0], ends))
 
 
-_tokenisers: dict[str, Tokeniser] = {}
-
-
-def tokeniser_of(spec: str) -> Tokeniser:
-    """Compiled once in each Python worker."""
-    key = hashlib.sha256(spec.encode()).hexdigest()
-    if key not in _tokenisers:
-        _tokenisers.clear()
-        _tokenisers[key] = Tokeniser(spec)
-    return _tokenisers[key]
-
-
 def read_spec(spark: SparkSession, path: str) -> str:
     """A tokenizer file by any path that the driver or Spark reads: a few MB, whatever the corpus."""
     try:
@@ -289,13 +374,13 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", id_
 
     Whole texts are encoded; null counts as the empty text, which has no ids and decodes to the empty text. Strings of added tokens
     in a text become those tokens. Repeated rows are rows of their own; an empty table gives no rows."""
-    spec = docs.sparkSession.sparkContext.broadcast(read_spec(docs.sparkSession, tokenizer_path))
+    compiled = docs.sparkSession.sparkContext.broadcast(Tokeniser(read_spec(docs.sparkSession, tokenizer_path)))  # a few MB, whatever the corpus
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokeniser_of(spec.value)
+        t = compiled.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 ids, off = t.encode_batch([x or "" for x in part.column(1).to_pylist()])
                 raw = ids.astype("<u4").tobytes()
                 digests = [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
@@ -304,16 +389,16 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", id_
                 yield pa.record_batch(columns + [pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids))] * with_ids, names=names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(freeing(run), schema)
 
 
 def bpe_decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, text): the decoded text of each row's ids; null ids decode to the empty text."""
-    spec = encoded.sparkSession.sparkContext.broadcast(read_spec(encoded.sparkSession, tokenizer_path))
+    compiled = encoded.sparkSession.sparkContext.broadcast(Tokeniser(read_spec(encoded.sparkSession, tokenizer_path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokeniser_of(spec.value)
+        t = compiled.value
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([t.decode(x.as_py() or []) for x in batch.column(1)], pa.string())], names=["doc_id", "text"])
 
-    return encoded.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{ids_col}`").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{ids_col}`").cast("array<int>").alias("ids")).mapInArrow(freeing(run), "doc_id long, text string")

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, text_array
+from ._common import freeing, materialise, text_array
 
 #: Distinct fingerprints that one merged block of the filter is meant to hold; the number of blocks follows the table.
 BLOCK_FINGERPRINTS = 500_000
@@ -68,7 +68,7 @@ def exact_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
             fp = np.fromiter((xxhash.xxh3_64_intdigest(t) for t in texts), np.uint64, len(texts))
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(fp.view(np.int64)), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())], names=["doc_id", "raw_hash", "fp", "text_sha256"])
 
-    digests = source.mapInArrow(digest, "doc_id long, raw_hash long, fp long, text_sha256 string").withColumn("rid", F.monotonically_increasing_id())
+    digests = source.mapInArrow(freeing(digest), "doc_id long, raw_hash long, fp long, text_sha256 string").withColumn("rid", F.monotonically_increasing_id())
     digests = materialise(digests, "digests")
     repeated = materialise(repeated_fingerprints(digests.select("fp")), "repeated")
 
@@ -79,7 +79,7 @@ def exact_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
             yield pa.record_batch([batch.column(0), pa.array(fp.view(np.int64)), pa.array(texts, pa.binary()).cast(pa.string())], names=["doc_id", "fp", "norm"])
 
     # Byte verification: grouping by the text itself compares bytes, and copies collapse before the shuffle.
-    suspects = source.select("doc_id", "text").mapInArrow(with_fingerprint, "doc_id long, fp long, norm string").join(repeated.select("fp"), "fp", "left_semi")
+    suspects = source.select("doc_id", "text").mapInArrow(freeing(with_fingerprint), "doc_id long, fp long, norm string").join(repeated.select("fp"), "fp", "left_semi")
     classes = suspects.groupBy("fp", "norm").agg(F.max("doc_id").alias("keep"), F.count("*").alias("n")).where("n > 1")
     classes = classes.select("fp", F.sha2(F.encode("norm", "UTF-8"), 256).alias("text_sha256"), "keep", "n")
     # A repeated row shares its id with its twin: the lowest row number of the two stands.
@@ -110,7 +110,7 @@ def repeated_fingerprints(fingerprints: DataFrame) -> DataFrame:
         many = count > 1
         return pd.DataFrame({"fp": ((np.uint64(q) << np.uint64(64 - bits)) | rest[many]).view(np.int64), "n": count[many]})
 
-    filters = fingerprints.mapInArrow(build, "quotient int, remainders binary, counts binary")
+    filters = fingerprints.mapInArrow(freeing(build), "quotient int, remainders binary, counts binary")
     return filters.groupBy("quotient").applyInPandas(merge, "fp long, n long")
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import offsets_of, slices, text_array
+from ._common import freeing, offsets_of, slices, text_array
 
 GRAMS = 4096
 #: Text bytes of one vectorised step, steps of EM over all languages and over a chosen set, weight of a language in the penalty.
@@ -70,7 +70,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Lang
             yield pa.record_batch([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(row[at].astype(np.int64))], names=["lang", "gram", "n"])
 
     own = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).dropna()
-    rows = own.mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    rows = own.mapInArrow(freeing(run), "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(rows["lang"].unique())
     count = np.zeros((len(languages), GRAMS))
     count[rows["lang"].map({x: k for k, x in enumerate(languages)}).to_numpy(int), rows["gram"].to_numpy(int)] = rows["n"]
@@ -130,7 +130,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", id_co
                 score = np.where(letters, np.clip(share.max(axis=1), 0, 1), 0).astype(float)
                 yield pa.record_batch([*[part.column(k) for k in range(len(carried))], part.column(len(carried)), pa.array(name, pa.string()), pa.array(score), pa.array(sets, pa.list_(pa.string()))], names=[*carried, "doc_id", "lang_pred", "score", "languages"])
 
-    return docs.select(*[F.col(f"`{n}`") for n in carried], F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{n}`") for n in carried], F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text")).mapInArrow(freeing(run), schema)
 
 
 def fold(id_col: Column, folds: int) -> Column:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, mix, offsets_of, powers, slices, text_array
+from ._common import freeing, materialise, mix, offsets_of, powers, slices, text_array
 from ._graph import connected_components
 
 #: Lines shorter than SHORTEST characters are near only their equals. Pairs verified together; rows of a group compared at once.
@@ -313,19 +313,19 @@ def line_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     Classes are connected by links. Null and empty texts have no lines; lines under eight characters link with none; repeated rows of one id have
     lines of the same number, of which one is kept; null ids sort first. An empty table gives no rows."""
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    signed = own.select("text").mapInArrow(_sign, "key long, lid long, pack long")
-    met = materialise(signed.repartition("key").sortWithinPartitions("key").mapInArrow(_meet, "key long, lid long, pack long").distinct(), "met")
+    signed = own.select("text").mapInArrow(freeing(_sign), "key long, lid long, pack long")
+    met = materialise(signed.repartition("key").sortWithinPartitions("key").mapInArrow(freeing(_meet), "key long, lid long, pack long").distinct(), "met")
     lids = met.select("lid").distinct()
     if lids.count() <= BROADCAST_IDS:
         shared = docs.sparkSession.sparkContext.broadcast(np.sort(lids.toPandas()["lid"].to_numpy(np.int64).view(np.uint64)))
-        texts = own.select("text").mapInArrow(_texts_of(lambda: shared.value), "lid long, text string")
+        texts = own.select("text").mapInArrow(freeing(_texts_of(lambda: shared.value)), "lid long, text string")
     else:
-        texts = own.select("text").mapInArrow(_texts_of(lambda: None), "lid long, text string").join(lids, "lid", "left_semi")
+        texts = own.select("text").mapInArrow(freeing(_texts_of(lambda: None)), "lid long, text string").join(lids, "lid", "left_semi")
     texts = texts.groupBy("lid").agg(F.first("text").alias("text"))
     rows = met.join(texts, "lid").select("key", "lid", "pack", "text").repartition("key").sortWithinPartitions("key")
-    found = materialise(rows.mapInArrow(_verify, "a long, b long, links long"), "found")
+    found = materialise(rows.mapInArrow(freeing(_verify), "a long, b long, links long"), "found")
     roots = connected_components(found.where("links = 0").select("a", "b"))
-    lines = materialise(own.mapInArrow(_list_lines, "doc_id long, line_no int, lid long").withColumn("rid", F.monotonically_increasing_id()), "lines")
+    lines = materialise(own.mapInArrow(freeing(_list_lines), "doc_id long, line_no int, lid long").withColumn("rid", F.monotonically_increasing_id()), "lines")
     place = F.struct("doc_id", "line_no", "rid")
     distinct = lines.groupBy("lid").agg(F.min(place).alias("first"), F.count("*").alias("copies"))
     links = found.where("links > 0").groupBy(F.col("a").alias("link_lid")).agg(F.sum("links").alias("n_links"))

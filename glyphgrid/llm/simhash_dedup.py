@@ -1,11 +1,14 @@
 """SimHash near-dedup by deletion-variant signatures.
 
 Two 64-bit fingerprints within three bits, cut into two halves, differ by at most one bit in one of them. So each fingerprint is indexed by every
-half with one bit wildcarded; those that share a signature meet in an equality shuffle and are verified. Equal fingerprints count once."""
+half with one bit wildcarded; those that share a signature meet in an equality shuffle and are verified. Equal fingerprints count once.
+
+For similarity of shingle sets rather than a number of bits, fingerprints are longer and cut into SEGMENTS segments: sets are candidates where one
+segment differs by at most one bit, and are verified by their exact Jaccard similarity."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -14,11 +17,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise
+from ._common import Words, fresh, freeing, materialise, mix, signed, slices, text_array, windows
 from ._graph import connected_components
 
 #: A signature shared by more fingerprints than this is indexed again on the other half, which bounds what meets by construction.
 GROUP_LIMIT = 4096
+#: Segments of a shingle set's fingerprint and their bits: at a Jaccard similarity of 0.8 a bit differs with probability 0.15, so that 98 of 100 such pairs have a
+#: segment with at most one differing bit (0.85: 99.6). Bits of 63 in which candidates may differ: 0.8 lies three and a half deviations below.
+SEGMENTS, SEGMENT_BITS, REACH = 12, 16, 20
+WORDS_OF_BITS = SEGMENTS * SEGMENT_BITS // 64
+#: Sets of one key that are paired at once; rows that the second look at a larger key compares at a time.
+HOT, BLOCK = 256, 1_024
+#: Ids of sets with possible partners that are broadcast at most (8 bytes each); more of them are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+#: The bits of a byte as eight bytes.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
 _ONE = np.uint64(1)
 
 
@@ -51,7 +65,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
             fp = np.fromiter((fingerprint_of(shingle_hashes((t.as_py() or "").encode(), shingle)) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.record_batch([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(freeing(run), "doc_id long, fp long")
 
 
 def _home(x: np.ndarray) -> np.ndarray:
@@ -112,7 +126,7 @@ def _groups(batches: Iterator[pa.RecordBatch], limit: int | None) -> Iterator[tu
         yield False, keys, fps
 
 
-def near_edges(distinct: DataFrame, bits: int = 3) -> DataFrame:
+def near_edges(distinct: DataFrame, bits: int = 3, limit: int = GROUP_LIMIT) -> DataFrame:
     """(a, b) edges that connect the distinct fingerprints (column fp) exactly as the links within ``bits`` (3 at most) do."""
     assert 0 <= bits <= 3
 
@@ -127,10 +141,10 @@ def near_edges(distinct: DataFrame, bits: int = 3) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_key = None  # a key whose members go on to the second index
-        for goes_on, keys, fps in _groups(batches, GROUP_LIMIT):
+        for goes_on, keys, fps in _groups(batches, limit):
             first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
             size = np.diff(np.append(first, len(keys)))
-            big = (size > GROUP_LIMIT) | (keys[first] == open_key if open_key is not None else False)
+            big = (size > limit) | (keys[first] == open_key if open_key is not None else False)
             big[-1] |= goes_on
             open_key = keys[-1] if big[-1] else None
             wide = np.repeat(big, size)
@@ -153,30 +167,244 @@ def near_edges(distinct: DataFrame, bits: int = 3) -> DataFrame:
             a, b = _edges(keys, fps, (keys >> np.uint64(53)).astype(np.int64), bits)
             yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    signed = distinct.select("fp").mapInArrow(sign, "key long, fp long")
-    met = materialise(signed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "key long, a long, b long"), "met")
-    again = met.where("key <> 0").select("key", "a").mapInArrow(sign_again, "key long, fp long")
-    again = again.repartition("key").sortWithinPartitions("key").mapInArrow(meet_again, "a long, b long")
+    entries = distinct.select("fp").mapInArrow(freeing(sign), "key long, fp long")
+    met = materialise(entries.repartition("key").sortWithinPartitions("key").mapInArrow(freeing(meet), "key long, a long, b long"), "met")
+    again = met.where("key <> 0").select("key", "a").mapInArrow(freeing(sign_again), "key long, fp long")
+    again = again.repartition("key").sortWithinPartitions("key").mapInArrow(freeing(meet_again), "a long, b long")
     return met.where("key = 0").select("a", "b").unionByName(again)
 
 
-def simhash_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 3, bits: int = 3) -> DataFrame:
+def simhash_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 3, bits: int = 3, limit: int = GROUP_LIMIT) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id (the smallest id reachable over links of ``bits`` or fewer).
 
     Null and word-less texts have fingerprint zero and link like any other. Rows that repeat an id are rows of their own; null ids are
     the smallest only among themselves. An empty table gives no rows."""
     own = materialise(fingerprints(docs, text_col, id_col, shingle), "fingerprints")
     distinct = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = connected_components(near_edges(distinct, bits))
+    roots = connected_components(near_edges(distinct, bits, limit))
     joined = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     component = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return own.join(component, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def simhash_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 3, bits: int = 3) -> DataFrame:
-    """``docs`` with one document of each linked group: the one whose id names the group; columns as they were. Word-less texts are one group.
+class ShingleSets:
+    """Distinct shingles of each text of a slice: runs of ``size`` words lower-cased in A-Z, by 64-bit hashes; fewer words: the whole sequence.
+
+    member: of all texts, one after the other, sorted within a text; first: where each text's start (one more at the end); count: of each text;
+    node: a hash of each text's set."""
+
+    def __init__(self, values: pa.Array, size: int):
+        w = Words(values)
+        w.data = _LOWER[w.data]
+        word, n = w.hashes(), len(values)
+        words = np.diff(w.first)
+        owner = np.repeat(np.arange(n), words)
+        run = windows(word, size)
+        real = np.arange(len(run)) + size <= w.first[1:][owner[: len(run)]]
+        own, doc = run[real], owner[: len(run)][real]
+        few = np.flatnonzero((words > 0) & (words < size))
+        short = np.array([mix(windows(word[w.first[d] : w.first[d + 1]], int(words[d])) + np.uint64(words[d]))[0] for d in few], np.uint64)
+        own, doc = np.concatenate((own, short)), np.concatenate((doc, few))
+        order = np.lexsort((own, doc))
+        own, doc = own[order], doc[order]
+        new = np.ones(len(own), bool)
+        new[1:] = (own[1:] != own[:-1]) | (doc[1:] != doc[:-1])
+        self.member, self.doc = own[new], doc[new]
+        self.count = np.bincount(self.doc, minlength=n)
+        self.first = np.concatenate(([0], np.cumsum(self.count)))
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(self.member), dtype=np.uint64)))
+        self.node = mix(total[self.first[1:]] - total[self.first[:-1]] + self.count.astype(np.uint64))
+
+    def fingerprints(self) -> np.ndarray:
+        """SimHash of each set, one row a text, WORDS_OF_BITS unsigned words a row; the empty set: zeros.
+
+        Bits are counted in bytes, eight to a word, over at most 255 shingles at a time."""
+        out = np.zeros((len(self.count), WORDS_OF_BITS), "<u8")
+        pieces = -(-self.count // 255)
+        first = np.repeat(self.first[:-1] - 255 * (np.cumsum(pieces) - pieces), pieces) + 255 * np.arange(pieces.sum())
+        some = np.flatnonzero(self.count)
+        if not len(some):
+            return out
+        for k in range(WORDS_OF_BITS):
+            hashed = mix(self.member ^ mix(np.full(1, k + 1, np.uint64))).astype("<u8").view(np.uint8).reshape(-1, 8)
+            counted = np.add.reduceat(_SPREAD[hashed], first, axis=0)
+            counted = np.add.reduceat(counted.view(np.uint8).astype(np.int64).reshape(len(first), 64), (np.cumsum(pieces) - pieces)[some], axis=0)
+            out[some, k] = np.packbits(2 * counted > self.count[some, None], axis=1, bitorder="little").view("<u8").ravel()
+        return out
+
+
+def _index(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                s = ShingleSets(text_array(part, "text"), size)
+                bits = pa.FixedSizeListArray.from_arrays(signed(s.fingerprints().ravel()), WORDS_OF_BITS).cast(pa.list_(pa.int64()))
+                yield pa.record_batch([part.column(0), signed(s.node), bits], names=["doc_id", "node", "bits"])
+
+    return run
+
+
+def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, node, sketch: every segment with each of its bits wildcarded. sketch: the first word of the fingerprint, its lowest bit replaced by the wildcarded one."""
+    place = np.arange(SEGMENTS * SEGMENT_BITS)
+    segment, bit = place // SEGMENT_BITS, (place % SEGMENT_BITS).astype(np.uint64)
+    each = 64 // SEGMENT_BITS
+    for batch in batches:
+        for s in range(0, batch.num_rows, 2048):
+            part = batch.slice(s, 2048)
+            bits = part.column(1).flatten().to_numpy().view(np.uint64).reshape(part.num_rows, -1)
+            own = (bits[:, segment // each] >> ((segment % each) * SEGMENT_BITS).astype(np.uint64)) & np.uint64((1 << SEGMENT_BITS) - 1)
+            key = (place.astype(np.uint64) << np.uint64(SEGMENT_BITS)) | (own & ~(_ONE << bit))
+            sketch = (bits[:, :1] & ~_ONE) | ((own >> bit) & _ONE)
+            yield pa.record_batch([pa.array(key.ravel().astype(np.int32)), pa.array(np.repeat(part.column(0).to_numpy(), len(place))), signed(sketch.ravel())], names=["key", "node", "sketch"])
+
+
+def _may_be_near(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of sketches under one key: whether their wildcarded bits differ, or are alike at a segment's first wildcard, and the sketches are within REACH."""
+    x = a ^ b
+    once = ((x & _ONE) == 1) | ((key >> SEGMENT_BITS) % SEGMENT_BITS == 0)
+    return once & (np.bitwise_count(x >> _ONE) <= REACH)
+
+
+def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of whole keys from batches sorted by the first column."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = [c.to_numpy() for c in batch.columns]
+        cut = int(np.searchsorted(own[0], own[0][-1]))
+        if cut or (held and held[0][0][0] != own[0][0]):
+            ready = [np.concatenate(x) for x in zip(*held, [c[:cut] for c in own], strict=True)]
+            if len(ready[0]):
+                yield ready
+            held = []
+        held.append([c[cut:] for c in own])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _candidates(hot_size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From variants sorted by key: a, b of pairs that may be near (key -1). Of a key of more than ``hot_size`` sets: each set's pair with the smallest one, and
+    all rows (node, sketch) with their key, for the second look."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, node, sketch in _whole_keys(batches):
+            bits = sketch.view(np.uint64)
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            size = np.diff(np.append(first, len(key)))
+            hot = np.repeat(size > hot_size, size)
+            a, b, at, d = [node[:0]], [node[:0]], np.flatnonzero(~hot), 0
+            while len(at):
+                d += 1
+                at = at[at + d < len(key)]
+                at = at[key[at + d] == key[at]]
+                good = at[_may_be_near(key[at], bits[at], bits[at + d])]
+                a.append(node[good])
+                b.append(node[good + d])
+            for s, n in zip(first[size > hot_size], size[size > hot_size], strict=True):
+                least = s + int(np.argmin(node[s : s + n]))
+                near = s + np.flatnonzero((np.bitwise_count((bits[s : s + n] ^ bits[least]) >> _ONE) <= REACH) & (node[s : s + n] != node[least]))
+                a.append(np.full(len(near), node[least]))
+                b.append(node[near])
+            a, b = np.concatenate(a), np.concatenate(b)
+            pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0)
+            keys = np.concatenate((np.full(len(pairs), -1, np.int32), key[hot]))
+            yield pa.record_batch([pa.array(np.concatenate((pairs[:, 0], node[hot]))), pa.array(np.concatenate((pairs[:, 1], sketch[hot]))), pa.array(keys)], names=["a", "b", "key"])
+
+    return run
+
+
+def _second_look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From hot keys' rows sorted by key and component: pairs that may be near, of different components."""
+    for key, part, node, sketch in _whole_keys(batches):
+        bits = sketch.view(np.uint64)
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        for s, e in zip(first, np.append(first[1:], len(key)), strict=True):
+            for x in range(s, e, BLOCK):
+                for y in range(x, e, BLOCK):
+                    z = min(y + BLOCK, e)
+                    if part[x] == part[z - 1]:  # sorted, so all between are of one component
+                        continue
+                    left, right = slice(x, min(x + BLOCK, e)), slice(y, z)
+                    ok = _may_be_near(key[x], bits[left, None], bits[None, right]) & (part[left, None] != part[None, right])
+                    p, q = np.nonzero(ok)
+                    a, b = node[left][p], node[right][q]
+                    yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def _members(size: int, wanted: Callable[[], np.ndarray | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """node, members (sorted) of the texts' sets, of the wanted nodes if these are given (sorted)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = wanted()
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                s = ShingleSets(text_array(part, "text"), size)
+                node = s.node.view(np.int64)
+                keep = np.isin(node, ids) if ids is not None else np.ones(len(node), bool)
+                rest = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(s.count[keep]))).astype(np.int32)), signed(s.member[keep[s.doc]]))
+                yield pa.record_batch([pa.array(node[keep]), rest], names=["node", "members"])
+
+    return run
+
+
+def _verify(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = np.zeros(batch.num_rows, bool)
+            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                if min(len(x), len(y)) >= similarity * max(len(x), len(y)) - 1e-9:
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    good[k] = both >= similarity * (len(x) + len(y) - both) - 1e-9
+            yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
+
+    return run
+
+
+def _near_pairs(own: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Of candidate pairs (a, b) of sets: those whose Jaccard similarity is ``similarity`` or more. own: the texts."""
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    if nodes.count() <= BROADCAST_IDS:
+        shared = own.sparkSession.sparkContext.broadcast(np.sort(nodes.toPandas()["node"].to_numpy(np.int64)))
+        sets = own.select("text").mapInArrow(freeing(_members(size, lambda: shared.value)), "node long, members array<long>")
+    else:
+        sets = own.select("text").mapInArrow(freeing(_members(size, lambda: None)), "node long, members array<long>").join(nodes, "node", "left_semi")
+    sets = materialise(sets.dropDuplicates(["node"]), "members")
+    x, y = (sets.select(F.col("node").alias(n), F.col("members").alias(f"of_{n}")) for n in ("a", "b"))
+    return materialise(pairs.join(x, "a").join(y, "b").select("a", "b", "of_a", "of_b").mapInArrow(freeing(_verify(similarity)), "a long, b long"), "near")
+
+
+def similar_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8, hot_size: int = HOT) -> DataFrame:
+    """One row per row of ``docs``: doc_id, component_id (the smallest id reachable over verified pairs).
+
+    Pairs whose SimHash fingerprints share a one-wildcard segment are candidates; those whose sets of ``shingle``-word runs have a Jaccard similarity of
+    ``similarity`` or more are links. Null and word-less texts have the empty set and are one group. Rows that repeat an id are rows of their own; null ids
+    are the smallest only among themselves. An empty table gives no rows."""
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    sets = materialise(own.mapInArrow(freeing(_index(shingle)), "doc_id long, node long, bits array<long>"), "sets")
+    distinct = materialise(sets.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bits").alias("bits")), "distinct")
+    variants = distinct.select("node", "bits").mapInArrow(freeing(_variants), "key int, node long, sketch long")
+    met = materialise(variants.repartition("key").sortWithinPartitions("key").mapInArrow(freeing(_candidates(hot_size)), "a long, b long, key int"), "met")
+    found = _near_pairs(own, met.where("key < 0").select("a", "b").distinct(), shingle, similarity)
+    hot = met.where("key >= 0").select("key", F.col("a").alias("node"), F.col("b").alias("sketch"))
+    if not hot.isEmpty():  # within a component nothing is left to be found
+        part = connected_components(found)
+        rows = hot.join(part, "node", "left").select("key", F.coalesce("root", "node").alias("part"), "node", "sketch")
+        more = rows.repartition("key").sortWithinPartitions("key", "part").mapInArrow(freeing(_second_look), "a long, b long")
+        found = found.unionByName(_near_pairs(own, materialise(more.distinct(), "more"), shingle, similarity))
+    roots = connected_components(found).withColumnRenamed("root", "top")
+    joined = distinct.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("top", "node").alias("root"))
+    component = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    return sets.select("doc_id", "node").join(component, "node").select("doc_id", "component_id")
+
+
+def simhash_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group of ``similar_classes``: the one whose id names the group; columns as they were. Word-less texts are one group.
 
     Ids are taken to tell rows apart (exact dedup before this sees to repeated rows); rows without id all stay."""
-    groups = simhash_classes(docs, text_col, id_col, shingle, bits)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("_gone_id"), "left_anti")
+    groups = similar_classes(docs, text_col, id_col, shingle, similarity)
+    name = fresh(docs, "gone_id")[0]
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(name), "left_anti")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Words, materialise, mix, powers, signed, slices, text_array, windows
+from ._common import Words, freeing, materialise, mix, powers, signed, slices, text_array, windows
 
 WINDOW, SEED = 35, 8
 #: Anchors whose repeats one task settles before the shuffle, and passages that one automaton holds at most; a larger shard is settled window by window.
@@ -266,14 +266,14 @@ def _same_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """key, first, windows: all windows of WINDOW words that occur more than once in ``docs`` (key long, text string), as runs by word number."""
-    found = docs.select("key", "text").mapInArrow(_find_anchors, "route long, anchor long, whole long, key long, first int, windows int, state byte")
+    found = docs.select("key", "text").mapInArrow(freeing(_find_anchors), "route long, anchor long, whole long, key long, first int, windows int, state byte")
     sorted_ = found.repartition("route").drop("route").sortWithinPartitions("anchor", "whole")
-    marks = materialise(sorted_.mapInArrow(_mark, "anchor long, key long, first int, windows int, kind byte"), "marks")
+    marks = materialise(sorted_.mapInArrow(freeing(_mark), "anchor long, key long, first int, windows int, kind byte"), "marks")
     unsure = marks.where(F.col("kind") != _FULL).groupBy("key").agg(F.collect_list(F.struct("anchor", "first", "windows", "kind")).alias("runs"))
-    passages = docs.select("key", "text").join(unsure, "key").select("key", "runs", "text").mapInArrow(_passages, "anchor long, key long, first int, kind byte, words binary")
-    looked = passages.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_look_into, "key long, first int, windows int, whole long")
+    passages = docs.select("key", "text").join(unsure, "key").select("key", "runs", "text").mapInArrow(freeing(_passages), "anchor long, key long, first int, kind byte, words binary")
+    looked = passages.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(freeing(_look_into), "key long, first int, windows int, whole long")
     looked = materialise(looked, "looked")
-    single = looked.where("whole <> 0").select("whole", "key", "first", "windows").repartition("whole").sortWithinPartitions("whole", "key").mapInArrow(_same_windows, "key long, first int, windows int")
+    single = looked.where("whole <> 0").select("whole", "key", "first", "windows").repartition("whole").sortWithinPartitions("whole", "key").mapInArrow(freeing(_same_windows), "key long, first int, windows int")
     sure = marks.where(F.col("kind") != _OPEN).select("key", "first", "windows")
     return sure.unionByName(looked.where("whole = 0").drop("whole")).unionByName(single)
 
@@ -306,7 +306,7 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
                 kept.append(b" ".join(words))
             yield pa.record_batch([batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
-    return own.join(spans, "key", "left").select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string")
+    return own.join(spans, "key", "left").select("doc_id", "text", "spans").mapInArrow(freeing(cut), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def substring_digest(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Words, slices, text_array
+from ._common import Words, freeing, slices, text_array
 from .language_id import fold
 
 #: Labelled rows that the model is fitted on, about.
@@ -222,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
 
     rate = (base["t"] + 0.5) / (base["n"] + 1)
     # A word counts once for each word that it follows, so near copies of one toxic document don't make its words terms.
-    words = sample.mapInArrow(word_pairs, "word string, prior string, label int").groupBy("word", "prior").agg(F.avg("label").alias("y"))
+    words = sample.mapInArrow(freeing(word_pairs), "word string, prior string, label int").groupBy("word", "prior").agg(F.avg("label").alias("y"))
     tried, level = max(1000, 50 * base["n"]), min(0.5, 1.5 * rate)
     least = log(0.05 / tried) / log(level)  # level ** t is below the tail, so no word with fewer can pass the test
     words = words.groupBy("word").agg(F.sum("y").alias("t"), F.count("*").alias("n")).where((F.col("t") > least) & (F.col("t") / F.col("n") >= max(0.5, 3 * rate)))
@@ -238,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
                 own = sorted({(d, form, state) for d, form, state, _ in hits(text_array(part, "text"), model.automaton)[1]})
                 yield pa.record_batch([pa.array([f for _, f, _ in own], pa.string()), pa.array([int(model.automaton.term[s]) for _, _, s in own], pa.int32()), pa.array([label[d] for d, _, _ in own], pa.int32())], names=["form", "term", "label"])
 
-    seen = sample.mapInArrow(forms, "form string, term int, label int").groupBy("form", "term").agg(F.sum("label").alias("t"), F.count("*").alias("n")).collect() if found else []
+    seen = sample.mapInArrow(freeing(forms), "form string, term int, label int").groupBy("form", "term").agg(F.sum("label").alias("t"), F.count("*").alias("n")).collect() if found else []
     for r in seen:  # forms near a term within the bounded sample
         term = found[r["term"]]
         prior = 2 * min(0.95, 0.8 * (term["t"] + 0.5) / (term["n"] + 1)) if r["form"] != term["word"] else 0
@@ -250,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
                 x = features(text_array(part, "text"), model)
                 yield pa.record_batch([*[pa.array(c.astype(float)) for c in x.T[:3]], part.column(1)], names=["a", "b", "c", "y"])
 
-    table = sample.mapInArrow(rows, "a double, b double, c double, y int").toPandas().to_numpy(float)
+    table = sample.mapInArrow(freeing(rows), "a double, b double, c double, y int").toPandas().to_numpy(float)
     sample.unpersist()
     if len(table):
         model.coefficients = _logistic(np.column_stack([table[:, :3], np.ones(len(table))]), table[:, 3])
@@ -272,7 +272,7 @@ def predict(docs: DataFrame, model: ToxicityModel, text_col: str = "text", id_co
                     terms[d].add(m.automaton.terms[m.automaton.term[state]])
                 yield pa.record_batch([part.column(0), pa.array(score), pa.array([sorted(t) for t in terms], pa.list_(pa.string()))], names=["doc_id", "score", "terms"])
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, terms array<string>")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(freeing(run), "doc_id long, score double, terms array<string>")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from glyphgrid.llm import exact_dedup, line_dedup, near_copies, simhash_dedup, substring_dedup
+from glyphgrid.llm import exact_dedup, line_dedup, simhash_dedup, substring_dedup
 
 SCHEMA = "doc_id long, text string, key string, fp int, kept string"
 
@@ -77,8 +77,7 @@ def _components(ids, linked):
 
 
 @pytest.mark.parametrize("limit", [4096, 4])
-def test_simhash(docs, monkeypatch, limit):
-    monkeypatch.setattr(simhash_dedup, "GROUP_LIMIT", limit)
+def test_simhash(docs, limit):
     rows = [(i, t) for i, t, *_ in _corpus() if i is not None]
     fp = {}
     for i, t in rows:
@@ -87,26 +86,24 @@ def test_simhash(docs, monkeypatch, limit):
         bits = [sum(xxhash.xxh64_intdigest(s, 42) >> b & 1 for s in sh) for b in range(64)]
         fp[i] = sum(1 << b for b in range(64) if 2 * bits[b] > len(sh))
     comp = _components(fp, [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 3])
-    got = simhash_dedup.simhash_classes(docs.where("doc_id is not null")).collect()
+    got = simhash_dedup.simhash_classes(docs.where("doc_id is not null"), limit=limit).collect()
     assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in got) == Counter((i, f"{fp[i]:016x}", comp[i]) for i, _ in rows)
 
 
-def test_dense_fingerprints(spark, monkeypatch):
-    monkeypatch.setattr(simhash_dedup, "GROUP_LIMIT", 8)
+def test_dense_fingerprints(spark):
     rng = np.random.default_rng(1)
     own = set()
     for base in rng.integers(0, 2**63, 3):
         for _ in range(80):
             own.add(int(base) ^ sum(1 << int(k) for k in rng.choice(62, rng.integers(0, 6), replace=False)))
-    edges = [(r.a, r.b) for r in simhash_dedup.near_edges(spark.createDataFrame([(x,) for x in own], "fp long")).collect()]
+    edges = [(r.a, r.b) for r in simhash_dedup.near_edges(spark.createDataFrame([(x,) for x in own], "fp long"), limit=8).collect()]
     assert all((a ^ b).bit_count() <= 3 for a, b in edges)
     assert _components(own, edges) == _components(own, [(a, b) for a in own for b in own if a < b and (a ^ b).bit_count() <= 3])
 
 
 @pytest.mark.parametrize("limit", [8, 20, 41])
-def test_groups_across_arrow_batches(spark, monkeypatch, limit):
+def test_groups_across_arrow_batches(spark, limit):
     """Keys that fill a whole buffer, at either level, must not lose links between their pieces."""
-    monkeypatch.setattr(simhash_dedup, "GROUP_LIMIT", limit)
     code = [sum((k >> 4 ^ (k & x).bit_count()) % 2 << x for x in range(16)) for k in range(32)]  # eight bits apart at least
     own = [5 | (c << 32) | (9 << 48) for c in code] + [5 | ((c ^ 3) << 32) | (13 << 48) for c in code]  # partners: alike in one key of each level
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
@@ -114,7 +111,7 @@ def test_groups_across_arrow_batches(spark, monkeypatch, limit):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
         spark.conf.set("spark.sql.shuffle.partitions", "64")
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-        edges = [(r.a, r.b) for r in simhash_dedup.near_edges(spark.createDataFrame([(x,) for x in own], "fp long")).collect()]
+        edges = [(r.a, r.b) for r in simhash_dedup.near_edges(spark.createDataFrame([(x,) for x in own], "fp long"), limit=limit).collect()]
     finally:
         for name, value in zip(("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"), before, strict=True):
             spark.conf.set(name, value)
@@ -129,15 +126,12 @@ def test_groups_keep_or_flag_each_key():
 
 
 @pytest.mark.parametrize("hot", [256, 3])
-def test_near_copies_are_the_brute_force_pairs(spark, monkeypatch, hot):
-    import corpus_pipeline
-
-    monkeypatch.setattr(near_copies, "HOT", hot)
-    monkeypatch.setattr(near_copies, "BLOCK_SHINGLES", 2_000 if hot == 3 else 1_000_000)
+def test_similar_documents_against_brute_force(spark, hot):
+    """Every link is a pair of Jaccard similarity 0.8 or more; of those, nearly all are found, whether their keys are hot or not."""
     rng = random.Random(6)
-    bases = [[rng.choice("abcdefghijklmnop") * rng.randrange(1, 4) for _ in range(rng.randrange(3, 200))] for _ in range(12)]
+    bases = [[rng.choice("abcdefghijklmnop") * rng.randrange(1, 4) for _ in range(rng.randrange(3, 200))] for _ in range(40)]
     rows = [(0, None), (1, " \n"), (2, "One two"), (3, "one  TWO"), (4, "one two three")]
-    for k in range(120):
+    for k in range(400):
         own = list(rng.choice(bases))
         for _ in range(rng.randrange(0, 6)):
             own[rng.randrange(len(own))] = f"new{rng.randrange(50)}"
@@ -146,11 +140,15 @@ def test_near_copies_are_the_brute_force_pairs(spark, monkeypatch, hot):
     for i, t in rows:
         w = _low(t).split()
         sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
-    near = lambda x, y: 5 * len(x & y) >= 4 * len(x | y)
-    comp = _components(sets, [(a, b) for a in sets for b in sets if a < b and near(sets[a], sets[b])])
-    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
-    assert {r.doc_id: r.component_id for r in near_copies.near_classes(docs).collect()} == comp
-    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == sorted(set(comp.values()))
+    near = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    comp = _components(sets, near)
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, gone_id string").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash_dedup.similar_classes(docs, hot_size=hot).collect()}
+    assert set(got) == set(sets) and all(comp[i] == comp[c] for i, c in got.items())
+    assert sum(got[a] == got[b] for a, b in near) >= 0.98 * len(near) and got[0] == got[1] == 0 and got[2] == got[3] == 2 != got[4]
+    if hot == 256:
+        kept = simhash_dedup.simhash_dedup(docs).collect()
+        assert sorted(r.doc_id for r in kept) == sorted(set(got.values())) and {r.gone_id for r in kept} == {"clash"}
 
 
 @pytest.mark.parametrize("passages", [3000, 2])

@@ -73,6 +73,18 @@ def test_bpe(docs):
         assert hashlib.sha256(r.text.encode()).hexdigest() == digest[r.doc_id]
 
 
+def test_bpe_of_every_character():
+    """All characters of the first two planes, some of the others, next to letters, digits and marks."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ref, own = Tokenizer.from_file(path), bpe.Tokeniser(open(path, encoding="utf-8").read())
+    chars = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x20000 or c % 211 == 0)]
+    for s in range(0, len(chars), 8000):
+        texts = [f"a{c}b 1{c} x\u0301{c}\u0323'S {c}" for c in chars[s : s + 8000]]
+        ids, off = own.encode_batch(texts)
+        wrong = [t for t, a, b, e in zip(texts, off, off[1:], ref.encode_batch(texts, add_special_tokens=False), strict=False) if ids[a:b].tolist() != e.ids]
+        assert not wrong
+
+
 def test_language_id(docs):
     got = language_id.language_id(docs).toPandas()
     assert len(got) == docs.count() and got["score"].between(0, 1).all()
