@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphgrid.llm import bpe, exact_dedup, language_id, mixing, near_copies
+from glyphgrid.llm import bpe, exact_dedup, language_id, mixing, simhash_dedup
 from glyphgrid.llm._common import scratch_dir
 from glyphgrid.llm.queries import tokenizer_path
 
@@ -35,8 +35,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.8 or more of their five-word shingles, the one with the smallest doc_id stays."""
-    return near_copies.near_dedup(docs).select(*COLUMNS)
+    """Of documents that SimHash finds and whose five-word shingles have a Jaccard similarity of 0.8 or more, the one with the smallest doc_id stays."""
+    return simhash_dedup.simhash_dedup(docs).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", identify_language),
     ("exact_dedup", drop_exact_copies),
-    ("near_copies", drop_near_copies),
+    ("simhash_dedup", drop_near_copies),
     ("mixing", mix_sources),
     ("bpe", encode),
 ]
