@@ -1,21 +1,23 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment. DataFrame operations only.
 
 Blocks of equally many words are seats. Sources get seats by the highest quotients target / (2k - 1), then each source's seats go to its shards
-in the same way by shard size, which gives every shard an integer quota. A shard lays its documents out in a seeded order and takes its
-first blocks. What a source's target has beyond its size is taken as whole passes over it."""
+in the same way by shard size, which gives every shard an integer quota; what a quota has beyond its shard's words goes on to the shards with the next
+quotients. A shard lays its documents out in a seeded order and takes its first blocks. What a source's target has beyond its size is taken as whole
+passes over it."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise
+from ._common import fresh, materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Seats shared out over the sources; words that a block has follow from it.
-BLOCKS = 16_384
-#: Documents that a shard has on average; a hot source has as many shards as it needs.
-SHARD_DOCUMENTS = 2_000
+#: Documents that a shard has on average, in a table of up to MOST_SHARDS such shards; in a larger one shards grow, so that what is ranked stays bounded. A hot source
+#: has as many shards as its share of the documents.
+SHARD_DOCUMENTS, MOST_SHARDS = 2_000, 4_096
+#: Seats shared out over the sources: so many at least, and so many for each shard. The words that a block has follow from it.
+BLOCKS, SHARD_BLOCKS = 16_384, 32
 
 
 def words_in(text: Column) -> Column:
@@ -53,7 +55,7 @@ def apportion(parties: DataFrame, within: list[str], vote: str, seats: str, key:
     return own.join(won, match, "left").withColumn("won", F.when(F.col(vote) > 0, F.col("_low") + F.coalesce("_won", F.lit(0))).otherwise(F.lit(0))).drop("_low", "_high", "_left", "_won", *[f"_{n}" for n in names])
 
 
-def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 42) -> DataFrame:
+def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 42, blocks: int = BLOCKS, shard_documents: int = SHARD_DOCUMENTS) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target, taken.
 
     Size: words of the text (null: 0). Sources in code-point order, null last, take the weights in turn; ``share`` of all words
@@ -70,14 +72,22 @@ def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_
     # Whole passes first; seats are for what is left of a target.
     passes = F.coalesce(F.floor(F.try_divide(F.col("target") + 1e-6, F.col("source_size"))), F.lit(0)).cast("long")
     sources = sources.withColumn("passes", passes).withColumn("part", F.greatest(F.col("target") - F.col("passes") * F.col("source_size"), F.lit(0.0)))
-    block = F.greatest(F.ceil(F.sum("part").over(Window.partitionBy()) / BLOCKS), F.lit(1)).cast("long")
+    per_shard = F.greatest(F.lit(shard_documents), F.ceil(F.sum("documents").over(Window.partitionBy()) / MOST_SHARDS))
+    sources = sources.withColumn("shards", F.ceil(F.col("documents") / per_shard))
+    block = F.greatest(F.ceil(F.sum("part").over(Window.partitionBy()) / F.greatest(F.lit(blocks), SHARD_BLOCKS * F.sum("shards").over(Window.partitionBy()))), F.lit(1)).cast("long")
     sources = sources.withColumn("block", block).withColumn("seats", F.round(F.sum("part").over(Window.partitionBy()) / F.col("block")).cast("long"))
-    sources = apportion(sources.withColumn("_one", F.lit(1)), ["_one"], "part", "seats", ["source"], None).withColumnRenamed("won", "source_seats").withColumn("shards", F.ceil(F.col("documents") / SHARD_DOCUMENTS))
+    sources = apportion(sources.withColumn("_one", F.lit(1)), ["_one"], "part", "seats", ["source"], None).withColumnRenamed("won", "source_seats")
     sources = materialise(sources.select("source", "source_size", "target", "passes", "block", "source_seats", "shards"), "sources")
     here = sources.select(F.col("source").alias("_source"), *[c for c in sources.columns if c != "source"])
     own = own.join(here, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("shard", F.pmod(F.shiftright("place", 20), F.col("shards")))
     shards = own.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_seats").alias("source_seats"), F.first("block").alias("block"))
-    shards = apportion(shards, ["source"], "shard_size", "source_seats", ["shard"], 2).select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), (F.col("won") * F.col("block")).alias("quota"))
+    shards = apportion(shards, ["source"], "shard_size", "source_seats", ["shard"], 2).withColumn("quota", F.least(F.col("won") * F.col("block"), F.col("shard_size")))
+    # Words that a quota has beyond its shard go to the highest next quotients with room.
+    whole, room = Window.partitionBy("source"), F.col("shard_size") - F.col("quota")
+    before = F.coalesce(F.sum(room).over(whole.orderBy(F.desc(F.col("shard_size") / (2 * F.col("won") + 1)), "shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    over = F.col("source_seats") * F.col("block") - F.sum("quota").over(whole)
+    shards = shards.withColumn("more", F.greatest(F.least(over - before, room), F.lit(0)))
+    shards = shards.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), (F.col("quota") + F.col("more")).alias("quota"))
     own = own.join(shards, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")))
     order = Window.partitionBy("source", "shard").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     part = F.greatest(F.least(F.col("quota") - F.coalesce(F.sum("size").over(order), F.lit(0)), F.col("size")), F.lit(0))
@@ -86,11 +96,12 @@ def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_
 
 
 def mixed_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", **options: object) -> DataFrame:
-    """The documents that the mix takes words of, once for each pass begun; columns as they were. Partly taken texts stay whole.
+    """The documents that the mix takes words of, once for each pass begun; columns as they were, whatever their names. Partly taken texts stay whole.
 
     Rows are found again by id: ids repeat only if their rows do, and rows without id are taken once each."""
-    taken = mix(docs, text_col, id_col, source_col, **options).where("taken > 0 and doc_id is not null").groupBy("doc_id").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).alias("_times"))
-    taken = taken.select(F.col("doc_id").alias("_mixed_id"), "_times")
-    own = docs.join(taken, F.col(f"`{id_col}`").cast("long") == F.col("_mixed_id"), "left")
-    own = own.where(F.col("_mixed_id").isNotNull() | F.col(f"`{id_col}`").isNull()).withColumn("_pass", F.explode(F.sequence(F.lit(1), F.coalesce(F.col("_times"), F.lit(1)).cast("int"))))
-    return own.select(*[own[c] for c in docs.columns])
+    mixed_id, times, turn = fresh(docs, "mixed_id", "times", "turn")
+    taken = mix(docs, text_col, id_col, source_col, **options).where("taken > 0 and doc_id is not null").groupBy("doc_id").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).alias(times))
+    taken = taken.select(F.col("doc_id").alias(mixed_id), times)
+    own = docs.join(taken, F.col(f"`{id_col}`").cast("long") == F.col(mixed_id), "left")
+    own = own.where(F.col(mixed_id).isNotNull() | F.col(f"`{id_col}`").isNull()).withColumn(turn, F.explode(F.sequence(F.lit(1), F.coalesce(times, F.lit(1)).cast("int"))))
+    return own.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -24,7 +24,11 @@ from .language_id import fold
 SAMPLE_ROWS = 10_000
 #: Words on either side of a hit that belong to its context.
 CONTEXT = 12
-_QUOTES = frozenset(b'"')
+#: Quotation marks that open and close a quotation. Marks of _BOTH_WAYS may do either, so the number of them before a word tells; single ones count at a word's edge only.
+_PAIRS = frozenset({'""', "\u00ab\u00bb", "\u00bb\u00ab", "\u2039\u203a", "\u203a\u2039", "\u201c\u201d", "\u201d\u201d", "\u201e\u201c", "\u201e\u201d", "\u201f\u201d", "''", "\u2018\u2019", "\u2019\u2019", "\u201a\u2018", "\u201a\u2019", "\u300c\u300d", "\u300e\u300f"})
+_MARKS = frozenset("".join(_PAIRS))
+_BOTH_WAYS = [frozenset(x) for x in ('"', "'", "\u00ab\u00bb", "\u2039\u203a", "\u201d", "\u2019")]
+_SINGLE = [ord(c) for c in "'\u2018\u2019\u201a"]
 #: Of each character (those beyond the table are letters, by its last entry): its lower case, where that is one character; whether it is no letter, mark or digit.
 _TABLE = 0x20000
 _LOWER = np.array([ord(x) if len(x := chr(c).lower()) == 1 else c for c in range(_TABLE)], np.uint32)
@@ -148,19 +152,33 @@ class _Text:
         some = last >= lead
         self.from_ = np.where(some, inner[np.minimum(lead, len(inner) - 1)] if len(inner) else 0, self.start)
         self.size = np.where(some, inner[np.maximum(last, 0)] + 1 - self.from_ if len(inner) else 0, 0)
-        marks = np.isin(self.raw, list(_QUOTES))
-        self.marks = np.concatenate(([0], np.cumsum(marks)))
+        marks = np.isin(self.raw, [ord(c) for c in _MARKS])
+        if marks.any():  # an apostrophe between letters is no quotation mark
+            letter, edges = np.concatenate(([False], ~edge, [False])), place[w.off]
+            before, after = letter[:-2].copy(), letter[2:].copy()
+            before[edges[edges < len(before)]] = False
+            after[edges[edges > 0] - 1] = False
+            marks &= ~(np.isin(self.raw, _SINGLE) & before & after)
+        self.mark_at = np.flatnonzero(marks)
 
     def word(self, k: int) -> str:
         return self.raw[self.from_[k] : self.from_[k] + self.size[k]].tobytes().decode("utf-32-le")
 
     def quoted(self, k: int, doc: int) -> bool:
-        """Whether quotation marks stand on both sides of word k, near it: an odd number before it in its document, one after it within its context."""
+        """Whether word k stands in quotation marks: the nearest mark before it opens what the nearest after it closes, both within its context."""
         a, z = self.first[doc], self.first[doc + 1]
-        before = self.marks[self.from_[k]] - self.marks[self.start[a]]
-        after = self.marks[self.end[min(z - 1, k + CONTEXT)]] - self.marks[self.from_[k]]
-        near = self.marks[self.from_[k]] - self.marks[self.start[max(a, k - CONTEXT)]]
-        return bool(before % 2 and after and near)
+        low, high = self.start[max(a, k - CONTEXT)], self.end[min(z - 1, k + CONTEXT)]
+        at = int(np.searchsorted(self.mark_at, self.from_[k]))
+        if at == 0 or at == len(self.mark_at) or self.mark_at[at - 1] < low or self.mark_at[at] >= high:
+            return False
+        pair = chr(self.raw[self.mark_at[at - 1]]) + chr(self.raw[self.mark_at[at]])
+        if pair not in _PAIRS:
+            return False
+        for marks in _BOTH_WAYS:
+            if pair[0] in marks:
+                before = self.raw[self.mark_at[np.searchsorted(self.mark_at, self.start[a]) : at]]
+                return bool(np.isin(before, [ord(c) for c in marks]).sum() % 2)
+        return True
 
 
 def hits(values: pa.Array, automaton: LexiconAutomaton) -> tuple[np.ndarray, list[tuple[int, str, int, bool]]]:
@@ -172,19 +190,19 @@ def hits(values: pa.Array, automaton: LexiconAutomaton) -> tuple[np.ndarray, lis
     return np.diff(t.first), [(int(d), t.word(int(k)), int(state[k]), t.quoted(int(k), int(d))) for k, d in zip(at, doc, strict=True)]
 
 
-def features(values: pa.Array, model: ToxicityModel) -> np.ndarray:
-    """Of each text: weight of its forms outside quotation marks and inside, whether any is outside, and 1."""
+def features(values: pa.Array, model: ToxicityModel) -> tuple[np.ndarray, list[set[str]]]:
+    """Of each text: weight of its forms outside quotation marks and inside, whether any is outside, and 1; and the lexicon terms found."""
     n, found = hits(values, model.automaton)
     direct, quoted = np.zeros(len(n)), np.zeros(len(n))
-    seen = set()
-    for d, form, state, inside in found:
-        if (d, form, inside) not in seen:
-            seen.add((d, form, inside))
-            weight = model.form_weight.get(form)
-            if weight is None:
-                weight = model.term_weight[model.automaton.term[state]] * 0.75
-            (quoted if inside else direct)[d] += max(0.0, weight)
-    return np.stack([np.minimum(direct, 6), np.minimum(quoted, 6), direct > 1, np.ones(len(n))], axis=1)
+    terms: list[set[str]] = [set() for _ in range(len(n))]
+    for d, form, state, inside in set(found):  # a form counts once, in and out of quotation marks
+        term = int(model.automaton.term[state])
+        terms[d].add(model.automaton.terms[term])
+        weight = model.form_weight.get(form)
+        if weight is None:
+            weight = model.term_weight[term] * 0.75
+        (quoted if inside else direct)[d] += max(0.0, weight)
+    return np.stack([np.minimum(direct, 6), np.minimum(quoted, 6), direct > 1, np.ones(len(n))], axis=1), terms
 
 
 def _tail(n: int, t: int, p: float) -> float:
@@ -247,7 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                x = features(text_array(part, "text"), model)
+                x, _ = features(text_array(part, "text"), model)
                 yield pa.record_batch([*[pa.array(c.astype(float)) for c in x.T[:3]], part.column(1)], names=["a", "b", "c", "y"])
 
     table = sample.mapInArrow(freeing(rows), "a double, b double, c double, y int").toPandas().to_numpy(float)
@@ -265,11 +283,8 @@ def predict(docs: DataFrame, model: ToxicityModel, text_col: str = "text", id_co
         m = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
-                values = text_array(part, "text")
-                score = 1 / (1 + np.exp(-(features(values, m) @ m.coefficients)))
-                terms: list[set[str]] = [set() for _ in range(len(values))]
-                for d, _, state, _ in hits(values, m.automaton)[1]:
-                    terms[d].add(m.automaton.terms[m.automaton.term[state]])
+                x, terms = features(text_array(part, "text"), m)
+                score = 1 / (1 + np.exp(-(x @ m.coefficients)))
                 yield pa.record_batch([part.column(0), pa.array(score), pa.array([sorted(t) for t in terms], pa.list_(pa.string()))], names=["doc_id", "score", "terms"])
 
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(freeing(run), "doc_id long, score double, terms array<string>")

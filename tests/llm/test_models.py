@@ -122,6 +122,17 @@ def test_mixing(docs):
     assert got.fillna(-1).sort_values(list(got)).values.tolist() == again.fillna(-1).sort_values(list(got)).values.tolist()
 
 
+@pytest.mark.parametrize(("blocks", "shard_documents"), [(16_384, 2_000), (64, 10), (16, 3)])
+def test_mix_meets_targets_with_many_shards(spark, blocks, shard_documents):
+    """More shards than blocks, parts near whole passes: still each source's words come near its target."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source")
+    got = mixing.mix(docs, blocks=blocks, shard_documents=shard_documents).toPandas()
+    assert (got["taken"] <= 2 * got["size"]).all()
+    by = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
+    block = got["target"].groupby(got["source"]).first().sum() / 1_000
+    assert ((by["taken"] - by["target"]).abs() <= np.maximum(0.01 * by["target"], block)).all()
+
+
 def test_apportionment_is_sainte_lague(spark):
     votes = [(k, float(v)) for k, v in enumerate([340, 280, 160, 60, 15, 0])]
     got = mixing.apportion(spark.createDataFrame(votes, "k long, v double").withColumn("seats", F.lit(7)).withColumn("g", F.lit(1)), ["g"], "v", "seats", ["k"], None)
@@ -188,6 +199,35 @@ def test_toxic_words_of_any_script_and_length(spark):
     assert {r.doc_id: r.terms for r in toxicity.predict(probe, model).collect()} == {k: [w] for k, w in enumerate(mean[:7])}
 
 
+@pytest.mark.parametrize("marks", ['""', "\u00ab\u00bb", "\u00bb\u00ab", "\u2039\u203a", "\u201c\u201d", "\u201e\u201c", "\u201d\u201d", "''", "\u2018\u2019", "\u201a\u2018", "\u300c\u300d"])
+def test_quotation_marks(marks):
+    import pyarrow as pa
+
+    automaton = toxicity.LexiconAutomaton(["grobnik"])
+    cases = [(f"he said {marks[0]}you grobnik{marks[1]} and left", True), (f"{marks[0]}grobnik{marks[1]}", True), (f"{marks[0]}yes{marks[1]} you grobnik {marks[0]}no{marks[1]}", False), ("don't be a grobnik, it's not ok", False), (f"you grobnik {marks[0]}yes{marks[1]}", False), (f"{marks[0]}a {'b ' * 20} grobnik {marks[1]}", False)]
+    _, found = toxicity.hits(pa.array([t for t, _ in cases], pa.large_string()), automaton)
+    assert [q for *_, q in found] == [q for _, q in cases]
+
+
+def test_quoted_abuse_is_told_apart_from_labels(spark):
+    """Rows that quote a term are labelled clean, rows that use it toxic: the weights are learned, and null columns, repeats and clashing names do no harm."""
+    rng = random.Random(3)
+    rows, labels = [], []
+    for k in range(600):
+        filler = [f"word{rng.randrange(200)}" for _ in range(30)]
+        kind = k % 6
+        filler[rng.randrange(3, 27)] = "zorblax" if kind in (0, 1) else "\u00abzorblax\u00bb" if kind == 2 else "plain"
+        rows.append((k, " ".join(filler), "x"))
+        labels.append((k, int(kind in (0, 1)), None))
+    docs = spark.createDataFrame([*rows, rows[0], (None, "zorblax", "x"), (10**6, "zorblax " * 40_000, None)], "doc_id long, text string, _label string")
+    got = toxicity.toxicity(docs, spark.createDataFrame([*labels, labels[0], (None, 1, None), (7, None, None)], "doc_id long, toxic int, quality int")).collect()
+    assert len(got) == 603
+    by = {r.doc_id: r.predicted for r in got}
+    assert all(by[k] == int(k % 6 in (0, 1)) for k in range(600)) and by[10**6] == 1
+    none = toxicity.toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int")).collect()
+    assert len(none) == 603 and {r.predicted for r in none} == {0}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, toxic int")
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
