@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import freeing, materialise, text_array
+from ._common import fresh, freeing, materialise, text_array
 
 #: Distinct fingerprints that one merged block of the filter is meant to hold; the number of blocks follows the table.
 BLOCK_FINGERPRINTS = 500_000
@@ -115,10 +115,12 @@ def repeated_fingerprints(fingerprints: DataFrame) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with one row of each group of equal texts (the largest id), all columns as they were.
+    """``docs`` with one row of each group of equal texts (the largest id), all columns as they were, whatever their names.
 
     Rows are told apart by id and text: of rows alike in both, one stays. An empty table stays empty."""
-    stay = exact_classes(docs, text_col, id_col).where("kept").select(F.col("doc_id").alias("_keep_id"), F.col("raw_hash").alias("_keep_hash")).distinct()
-    own = docs.withColumn("_own_hash", F.xxhash64(F.col(f"`{text_col}`").cast("string")))
-    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_keep_id")) & (F.col("_own_hash") == F.col("_keep_hash"))
-    return own.join(stay, same, "left_semi").dropDuplicates([id_col, "_own_hash"]).drop("_own_hash")
+    name = lambda id_, hash_: F.concat_ws(":", F.coalesce(id_.cast("long").cast("string"), F.lit("")), hash_.cast("string"))
+    key = fresh(docs, "key")[0]
+    stay = exact_classes(docs, text_col, id_col).where("kept").select(name(F.col("doc_id"), F.col("raw_hash")).alias(key)).distinct()
+    own = docs.withColumn(key, name(F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`").cast("string"))))
+    # One key for the join and the grouping, so the texts are shuffled once.
+    return own.join(stay, key, "left_semi").dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -17,14 +17,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Words, fresh, freeing, materialise, mix, signed, slices, text_array, windows
+from ._common import Words, discard, fresh, freeing, materialise, mix, signed, slices, text_array, windows
 from ._graph import connected_components
 
 #: A signature shared by more fingerprints than this is indexed again on the other half, which bounds what meets by construction.
 GROUP_LIMIT = 4096
 #: Segments of a shingle set's fingerprint and their bits: at a Jaccard similarity of 0.8 a bit differs with probability 0.15, so that 98 of 100 such pairs have a
-#: segment with at most one differing bit (0.85: 99.6). Bits of 63 in which candidates may differ: 0.8 lies three and a half deviations below.
-SEGMENTS, SEGMENT_BITS, REACH = 12, 16, 20
+#: segment with at most one differing bit (0.85: 99.6). Bits of 63, and of all, in which candidates may differ: three to four deviations above what 0.8 makes.
+SEGMENTS, SEGMENT_BITS, REACH, FAR = 12, 16, 18, 48
 WORDS_OF_BITS = SEGMENTS * SEGMENT_BITS // 64
 #: Sets of one key that are paired at once; rows that the second look at a larger key compares at a time.
 HOT, BLOCK = 256, 1_024
@@ -245,7 +245,7 @@ def _index(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, node, sketch: every segment with each of its bits wildcarded. sketch: the first word of the fingerprint, its lowest bit replaced by the wildcarded one."""
+    """key, node, sketch: every segment with each of its bits wildcarded. sketch: a word of the fingerprint that the segment isn't in, its lowest bit replaced by the wildcarded one."""
     place = np.arange(SEGMENTS * SEGMENT_BITS)
     segment, bit = place // SEGMENT_BITS, (place % SEGMENT_BITS).astype(np.uint64)
     each = 64 // SEGMENT_BITS
@@ -255,7 +255,7 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = part.column(1).flatten().to_numpy().view(np.uint64).reshape(part.num_rows, -1)
             own = (bits[:, segment // each] >> ((segment % each) * SEGMENT_BITS).astype(np.uint64)) & np.uint64((1 << SEGMENT_BITS) - 1)
             key = (place.astype(np.uint64) << np.uint64(SEGMENT_BITS)) | (own & ~(_ONE << bit))
-            sketch = (bits[:, :1] & ~_ONE) | ((own >> bit) & _ONE)
+            sketch = (bits[:, (segment // each + 1) % WORDS_OF_BITS] & ~_ONE) | ((own >> bit) & _ONE)
             yield pa.record_batch([pa.array(key.ravel().astype(np.int32)), pa.array(np.repeat(part.column(0).to_numpy(), len(place))), signed(sketch.ravel())], names=["key", "node", "sketch"])
 
 
@@ -363,8 +363,16 @@ def _verify(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return run
 
 
-def _near_pairs(own: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Of candidate pairs (a, b) of sets: those whose Jaccard similarity is ``similarity`` or more. own: the texts."""
+def _near_pairs(own: DataFrame, distinct: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Of candidate pairs (a, b) of sets: those whose Jaccard similarity is ``similarity`` or more. own: the texts; distinct: their sets' nodes and fingerprints."""
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(k).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1) for k in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= FAR))
+
+    x, y = (distinct.select(F.col("node").alias(n), F.col("bits").alias(f"of_{n}")) for n in ("a", "b"))
+    pairs = materialise(pairs.join(x, "a").join(y, "b").select("a", "b", "of_a", "of_b").mapInArrow(freeing(close), "a long, b long"), "close")
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     if nodes.count() <= BROADCAST_IDS:
         shared = own.sparkSession.sparkContext.broadcast(np.sort(nodes.toPandas()["node"].to_numpy(np.int64)))
@@ -373,7 +381,9 @@ def _near_pairs(own: DataFrame, pairs: DataFrame, size: int, similarity: float)
         sets = own.select("text").mapInArrow(freeing(_members(size, lambda: None)), "node long, members array<long>").join(nodes, "node", "left_semi")
     sets = materialise(sets.dropDuplicates(["node"]), "members")
     x, y = (sets.select(F.col("node").alias(n), F.col("members").alias(f"of_{n}")) for n in ("a", "b"))
-    return materialise(pairs.join(x, "a").join(y, "b").select("a", "b", "of_a", "of_b").mapInArrow(freeing(_verify(similarity)), "a long, b long"), "near")
+    found = materialise(pairs.join(x, "a").join(y, "b").select("a", "b", "of_a", "of_b").mapInArrow(freeing(_verify(similarity)), "a long, b long"), "near")
+    discard(pairs, sets)
+    return found
 
 
 def similar_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8, hot_size: int = HOT) -> DataFrame:
@@ -387,14 +397,15 @@ def similar_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     distinct = materialise(sets.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bits").alias("bits")), "distinct")
     variants = distinct.select("node", "bits").mapInArrow(freeing(_variants), "key int, node long, sketch long")
     met = materialise(variants.repartition("key").sortWithinPartitions("key").mapInArrow(freeing(_candidates(hot_size)), "a long, b long, key int"), "met")
-    found = _near_pairs(own, met.where("key < 0").select("a", "b").distinct(), shingle, similarity)
+    found = _near_pairs(own, distinct, met.where("key < 0").select("a", "b").distinct(), shingle, similarity)
     hot = met.where("key >= 0").select("key", F.col("a").alias("node"), F.col("b").alias("sketch"))
     if not hot.isEmpty():  # within a component nothing is left to be found
         part = connected_components(found)
         rows = hot.join(part, "node", "left").select("key", F.coalesce("root", "node").alias("part"), "node", "sketch")
         more = rows.repartition("key").sortWithinPartitions("key", "part").mapInArrow(freeing(_second_look), "a long, b long")
-        found = found.unionByName(_near_pairs(own, materialise(more.distinct(), "more"), shingle, similarity))
+        found = found.unionByName(_near_pairs(own, distinct, more.distinct(), shingle, similarity))
     roots = connected_components(found).withColumnRenamed("root", "top")
+    discard(met, found)
     joined = distinct.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("top", "node").alias("root"))
     component = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
     return sets.select("doc_id", "node").join(component, "node").select("doc_id", "component_id")
