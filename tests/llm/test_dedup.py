@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from glyphgrid.llm import exact_dedup, line_dedup, simhash_dedup, substring_dedup
 
@@ -151,10 +152,9 @@ def test_similar_documents_against_brute_force(spark, hot):
         assert sorted(r.doc_id for r in kept) == sorted(set(got.values())) and {r.gone_id for r in kept} == {"clash"}
 
 
-@pytest.mark.parametrize("passages", [3000, 2])
-def test_substring(docs, monkeypatch, passages):
-    monkeypatch.setattr(substring_dedup, "SHARD_PASSAGES", passages)
-    monkeypatch.setattr(substring_dedup, "LOCAL_ANCHORS", 40)
+@pytest.mark.parametrize(("passages", "local", "held"), [(3000, 500_000, 2_000_000), (2, 40, 7), (1, 1, 2)])
+def test_substring(spark, docs, passages, local, held):
+    """With small limits shards are settled window by window, repeats are left to the shuffle, and groups come in pieces, across small Arrow batches."""
     words = [(i, (t or "").encode().split()) for i, t, *_ in _corpus()]
     seen = Counter(tuple(w[p : p + 35]) for _, w in words for p in range(len(w) - 34))
     want = Counter()
@@ -165,7 +165,13 @@ def test_substring(docs, monkeypatch, passages):
                 stay[p : p + 35] = [False] * 35
         kept = b" ".join(x for x, s in zip(w, stay, strict=True) if s)
         want[i, len(w), len(w) - sum(stay), hashlib.sha256(kept).hexdigest()] += 1
-    got = substring_dedup.substring_digest(docs).collect()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before if passages == 3000 else "5")
+        got = substring_dedup.substring_dedup(docs, passages=passages, local=local, held=held)
+        got = got.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == want
 
 
@@ -182,7 +188,9 @@ def test_suffix_automaton():
             assert a.repeated(s, size) == [count[tuple(s[p : p + size])] > 1 for p in range(len(s) - size + 1)]
 
 
-def test_lines(spark):
+@pytest.mark.parametrize("limit", [4096, 5])
+def test_lines(spark, limit):
+    """With a limit of 5 nearly every key is cut into pieces, which must lose nothing."""
     rng = random.Random(3)
     docs, pool = [], ["hello world again"]
     for i in range(60):
@@ -193,7 +201,7 @@ def test_lines(spark):
                 q = rng.randrange(len(a) + 1)
                 a = a[:q] + rng.choice(["", "x", "é", "zz"]) + a[q + 1 :]
             if rng.random() < 0.4:
-                a = "".join(rng.choice("abcdefgh é") for _ in range(rng.randrange(0, 40)))
+                a = "".join(rng.choice("abcdefgh é") for _ in range(rng.randrange(0, 40) if rng.random() < 0.6 else rng.randrange(1, 10)))
             own.append(a)
             pool.append(a)
         docs.append((i, "\n".join(own), 5))
@@ -203,19 +211,42 @@ def test_lines(spark):
         for k, x in enumerate((t or "").split("\n")):
             if x:
                 lines.setdefault(x, []).append((i, k))
-    long = [x for x in lines if len(x) >= 8]
-    linked = [(a, b) for a in long for b in long if a < b and abs(len(a) - len(b)) <= 2 and line_dedup._plain_distance(a, b) <= 2]
+    allowed = lambda a, b: (min(len(a), len(b)) >= 4) + (min(len(a), len(b)) >= 8)
+    linked = [(a, b) for a in lines for b in lines if a < b and abs(len(a) - len(b)) <= allowed(a, b) and line_dedup._plain_distance(a, b) <= allowed(a, b)]
+    assert any(min(len(a), len(b)) < 8 for a, b in linked)
     n = Counter(x for pair in linked for x in pair)
     comp = _components(lines, linked)
     first = {}
     for x, at in lines.items():
         first[comp[x]] = min([*at, first.get(comp[x], (10**9, 0))])
     want = {p: (len(at), n[x], first[comp[x]]) for x, at in lines.items() for p in at}
-    got = line_dedup.line_classes(spark.createDataFrame(docs, "doc_id long, text string, lid int").repartition(3)).collect()
+    got = line_dedup.line_classes(spark.createDataFrame(docs, "doc_id long, text string, lid int").repartition(3), limit=limit).collect()
     assert {(r.doc_id, r.line_no): (r.copies, r.n_links, (r.class_doc_id, r.class_line_no)) for r in got} == want
     assert all(r.kept == ((r.doc_id, r.line_no) == (r.class_doc_id, r.class_line_no)) for r in got)
 
 
+def _thue_morse(a, b, n):
+    return "".join(b if k.bit_count() % 2 else a for k in range(n))
+
+
+def test_lines_and_words_that_collide_under_polynomial_hashes(spark):
+    x, y = _thue_morse("a", "b", 2048), _thue_morse("b", "a", 2048)
+    got = line_dedup.line_classes(spark.createDataFrame([(1, x), (2, y)], "doc_id long, text string")).collect()
+    assert {(r.copies, r.kept) for r in got} == {(1, True)}
+    words = [f"w{k}" for k in range(40)]
+    docs = [(1, " ".join([x, *words[:20], x])), (2, " ".join([y, *words[20:], y])), (3, " ".join([x] * 36)), (4, " ".join([y] * 36))]
+    got = substring_dedup.substring_digest(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.n_removed) for r in got} == {(1, 0), (2, 0), (3, 36), (4, 36)}
+
+
+def test_line_dedup_rebuilds_every_row(spark):
+    rows = [(1, "first line here\n\nsecond line here\nab"), (1, "first line here\n\nsecond line here\nab"), (None, "third line of text"), (None, "third line of texts\nfourth one stands"), (2, None), (3, ""), (4, "second line herE\nab\ncd")]
+    got = line_dedup.line_dedup(spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, row string").repartition(1)).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([(1, "first line here\nsecond line here\nab"), (1, ""), (None, "third line of text"), (None, "fourth one stands"), (2, ""), (3, ""), (4, "cd")])
+    got = line_dedup.line_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 12 and sum(r.kept for r in got) == 6
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     for f in (exact_dedup.exact_classes, exact_dedup.exact_dedup, simhash_dedup.simhash_classes, simhash_dedup.simhash_dedup, substring_dedup.substring_digest, line_dedup.line_classes):
