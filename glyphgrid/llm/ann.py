@@ -11,15 +11,17 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import freeing, materialise
 
-#: Vectors that the partitions are learned from at most, parts, neighbours in the graph, and vectors that one task ranks against at a time.
-SAMPLE, PARTS, NEIGHBOURS, BLOCK = 8_192, 16, 10, 20_000
+#: Vectors that the partitions are learned from at most, neighbours in the graph, and vectors that one task ranks against at a time.
+SAMPLE, NEIGHBOURS, BLOCK = 8_192, 10, 20_000
+#: Parts: at least so many, and at most so that the sample has 64 vectors of each; between these the square root of the table's vectors over PART_ROOT.
+LEAST_PARTS, PART_ROOT = 16, 8
 #: Recall that the number of parts to visit is chosen for, on sample queries that the classifier didn't see.
-WANTED_RECALL = 0.97
+WANTED_RECALL = 0.92
 _RANKED = "query_id long, vec_id long, score double"
 
 
@@ -87,7 +89,7 @@ def balanced_parts(near: np.ndarray, parts: int, rounds: int = 12, seed: int = 7
     return part
 
 
-def fit_partitions(sample: np.ndarray, parts: int = PARTS, neighbours: int = 20, seed: int = 7) -> Partitioner:
+def fit_partitions(sample: np.ndarray, parts: int = LEAST_PARTS, neighbours: int = 20, seed: int = 7) -> Partitioner:
     """From a bounded sample (rows are vectors)."""
     n, dims = sample.shape
     rng = np.random.default_rng(seed)
@@ -184,8 +186,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, vector_col: str =
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     own = own.where(F.size("v") == sizes["n"])
     rate = min(1_000_000, int(1_000_000 * SAMPLE / max(1, sizes["count"])))
-    taken = own.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < rate).select("v").limit(2 * SAMPLE).toPandas()["v"]
-    model = fit_partitions(np.stack(taken.to_numpy()) if len(taken) else np.zeros((0, sizes["n"])), neighbours=k)
+    taken = own.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < rate).select("v").limit(2 * SAMPLE).toArrow().column("v").combine_chunks()
+    sample = taken.flatten().to_numpy(zero_copy_only=False).reshape(len(taken), sizes["n"])
+    model = fit_partitions(sample, max(LEAST_PARTS, round(sizes["count"] ** 0.5 / PART_ROOT)), neighbours=k)
     shared = vectors.sparkSession.sparkContext.broadcast(model)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,6 +218,6 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, vector_col: str =
         return top(left["query_id"].to_numpy(), np.stack(left["v"].to_numpy()), right["vec_id"].to_numpy(), np.stack(right["v"].to_numpy()), k)
 
     found = routed.groupBy("part", "block").cogroup(index.select("vec_id", "v", "part", "block").groupBy("part", "block")).applyInPandas(rank, _RANKED)
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("neg"), "vec_id"))), 1, k)
-    listed = found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("pos", "b"))
-    return listed.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.neg")).alias("score"))
+    # Ranked with a limit, so each task passes on no more than k rows of a query, however many blocks it was sent to.
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
