@@ -9,7 +9,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from ..sources.scratch import scratch_dir
 
 #: Text bytes that one vectorised step works on; a longer document is a step of its own.
 SLICE_BYTES = 2 << 20
@@ -18,14 +20,6 @@ _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder in ``spark.checkpoint.dir``. Without that setting there is no folder that all executors are known to share, so this raises."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return path.rstrip("/")
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage with a Parquet table in the shared scratch folder, so a lost executor loses nothing already written."""
     spark = df.sparkSession
