@@ -251,3 +251,17 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     for f in (exact_dedup.exact_classes, exact_dedup.exact_dedup, simhash_dedup.simhash_classes, simhash_dedup.simhash_dedup, substring_dedup.substring_digest, line_dedup.line_classes):
         assert f(none).count() == 0
+
+
+@pytest.mark.parametrize("task_edges", [0, 1_000_000])
+def test_components_in_one_task_and_in_rounds(spark, task_edges):
+    from glyphgrid.llm._graph import connected_components
+
+    rng = random.Random(8)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1200)] + [(5, 5), (7, 8), (8, 7)]
+    nodes = {x for a, b in edges for x in (a, b) if a != b}
+    got = connected_components(spark.createDataFrame(edges, "a long, b long").repartition(3), task_edges=task_edges).collect()
+    assert Counter((r.node, r.root) for r in got) == Counter(_components(nodes, [e for e in edges if e[0] != e[1]]).items())
+    assert connected_components(spark.createDataFrame([], "a long, b long"), task_edges=task_edges).count() == 0
+    with pytest.raises(RuntimeError):
+        connected_components(spark.createDataFrame(edges, "a long, b long"), max_rounds=1, task_edges=0)
