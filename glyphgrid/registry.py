@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import annotations, datasets, detection, ranking, rewards, spatial, tables
+from .plans import annotations, datasets, detection, ranking, rewards, spatial, spotting, tables
 
-PARTS = (annotations, datasets, detection, ranking, rewards, spatial, tables)
+PARTS = (annotations, datasets, detection, ranking, rewards, spatial, spotting, tables)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
