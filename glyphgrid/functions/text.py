@@ -211,3 +211,36 @@ def weighted_distance(alphabet: str):
         return pd.Series([None if a is None or b is None or s is None else one(a, b, s) for a, b, s in zip(word, other, scores, strict=True)], dtype="float64")
 
     return distance
+
+
+def prompt_question(prompt: Column) -> Column:
+    """The question of a prompt in one of three layouts, in lower case; another layout raises."""
+    lines = F.split(prompt, "\n")
+    marked = F.regexp_extract(prompt, r"(?s)Question: (.*?) Short answer:", 1)
+    out = F.when(prompt.startswith("OCR tokens: "), marked)
+    out = out.when(prompt.contains("Reference OCR token: ") & (F.size(lines) == 3), F.when(prompt.startswith("Reference OCR token:"), lines[1]).otherwise(lines[0]))
+    return F.lower(out.when(F.size(lines) == 2, lines[0]).otherwise(F.raise_error(F.lit("prompt of an unknown layout")).cast("string")))
+
+
+def caption_form(caption: Column, most: int = 50) -> Column:
+    """Lower case, punctuation as spaces, runs of white space as one space, ``most`` words."""
+    spaced = F.regexp_replace(F.regexp_replace(F.lower(caption), r"[.!\"()*#:;~]", " "), r"\s{2,}", " ")
+    words = F.split(F.regexp_replace(F.regexp_replace(spaced, r"\n+\z", ""), r"^ +| +\z", ""), " ")
+    return F.array_join(F.slice(words, 1, most), " ")
+
+
+def question_form(question: Column, most: int = 50) -> Column:
+    """Lower case, without punctuation and spaces at the end, ``most`` words."""
+    words = F.split(F.regexp_replace(F.regexp_replace(F.lower(question), r"[.!\"()*#:;~]", ""), r" +\z", ""), " ")
+    return F.array_join(F.slice(words, 1, most), " ")
+
+
+def turned_left(options: Column) -> Column:
+    """The array with its first item last."""
+    return F.concat(F.slice(options, 2, F.greatest(F.size(options), F.lit(1))), F.slice(options, 1, 1))
+
+
+def ngrams(words: Column, n: int) -> Column:
+    """Runs of n words, joined by spaces."""
+    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda k: F.array_join(F.slice(words, k, n), " "))
