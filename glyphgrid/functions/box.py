@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -115,3 +117,77 @@ def shifted_keypoints(values: Column, by: float = 0.5) -> Column:
 def rle_area(counts: Column) -> Column:
     """Set pixels of alternating run lengths, the first run unset."""
     return F.aggregate(F.transform(counts, lambda n, k: F.when(k % 2 == 1, n).otherwise(0)), F.lit(0).cast("bigint"), lambda t, n: t + n)
+
+
+def matched_iou(a: Column, b: Column) -> Column:
+    """Intersection over union of two boxes as they are; null where the union is empty."""
+    i = intersection(a, b)
+    return F.try_divide(i, area(a) + area(b) - i)
+
+
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value worked out once, however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _around(r: Column) -> Column:
+    b = around_rotated(r[0], r[1], r[2], r[3], r[4])
+    return F.array(b["x1"], b["y1"], b["x2"], b["y2"])
+
+
+_MODES: dict[tuple[str, str], Callable[[Column], Column]] = {
+    ("xywh", "xyxy"): lambda b: F.array(b[0], b[1], b[0] + b[2], b[1] + b[3]),
+    ("xyxy", "xywh"): lambda b: F.array(b[0], b[1], b[2] - b[0], b[3] - b[1]),
+    ("xywh", "xywha"): lambda b: F.array(b[0] + b[2] / 2, b[1] + b[3] / 2, b[2], b[3], F.lit(0.0)),
+    ("xywha", "xyxy"): _around,
+}
+
+
+def to_mode(b: Column, source: str, target: str) -> Column:
+    """Arrays of a box in another mode: xyxy, xywh, xywha (centre, size, degrees)."""
+    if source == target:
+        return b
+    if (source, target) not in _MODES:
+        raise ValueError(f"no conversion from {source} to {target}")
+    return _once(b, _MODES[source, target])
+
+
+def rotated_clip(r: Column, width: float, height: float, flat: float = 1.0) -> Column:
+    """A turned box (array cx, cy, w, h, degrees) cut to the image if turned by ``flat`` degrees or less; its angle is brought into [-180, 180)."""
+    angle = normal_angle(r[4])
+    low = lambda c, s, top: F.greatest(F.least(c - s / 2, F.lit(float(top))), F.lit(0.0))
+    high = lambda c, s, top: F.greatest(F.least(c + s / 2, F.lit(float(top))), F.lit(0.0))
+    x1, x2, y1, y2 = low(r[0], r[2], width), high(r[0], r[2], width), low(r[1], r[3], height), high(r[1], r[3], height)
+    cut = F.array((x1 + x2) / 2, (y1 + y2) / 2, F.least(r[2], x2 - x1), F.least(r[3], y2 - y1), angle)
+    return F.when(F.abs(angle) <= flat, cut).otherwise(F.array(r[0], r[1], r[2], r[3], angle))
+
+
+def rotated_scale(r: Column, sx: float, sy: float) -> Column:
+    """A turned box after scaling by two factors: the turned rectangle that fits the skewed one."""
+    c, s = F.cos(F.radians(r[4])), F.sin(F.radians(r[4]))
+    size = lambda v, a, b: v * F.sqrt(a * a + b * b)
+    return F.array(r[0] * sx, r[1] * sy, size(r[2], sx * c, sy * s), size(r[3], sx * s, sy * c), F.degrees(F.atan2(sx * s, sy * c)))
+
+
+def rotated_inside(r: Column, width: float, height: float, slack: float = 0.0) -> Column:
+    """Whether the upright box around a turned one is inside the image."""
+    return within(around_rotated(r[0], r[1], r[2], r[3], r[4]), F.lit(width), F.lit(height), slack)
+
+
+def vertical_crossings(xs: Column, ys: Column, at: Column) -> Column:
+    """Heights at which a line of points meets the vertical at x: its points there, and where a side passes from one hand to the other."""
+    sides = F.transform(F.sequence(F.lit(0), F.size(xs) - 1), lambda k: F.struct(F.get(xs, k).alias("x"), F.get(ys, k).alias("y"), F.get(xs, k + 1).alias("nx"), F.get(ys, k + 1).alias("ny")))
+    passes = lambda p: (p["x"] == at) | (F.least(p["x"], p["nx"]) < at) & (F.greatest(p["x"], p["nx"]) > at) & p["nx"].isNotNull()
+    height = lambda p: F.when(p["x"] == at, p["y"]).otherwise(p["y"] + (at - p["x"]) * (p["ny"] - p["y"]) / (p["nx"] - p["x"]))
+    return F.transform(F.filter(sides, lambda p: F.coalesce(passes(p), F.lit(False))), height)
+
+
+def from_pairs(b: Column) -> Column:
+    """A box of two corners [[x1, y1], [x2, y2]]; another shape raises."""
+    right = (F.size(b) == 2) & F.forall(b, lambda c: F.size(c) == 2)
+    return F.when(right, box(b[0][0], b[0][1], b[1][0], b[1][1])).otherwise(F.raise_error(F.lit("box isn't two corners")).cast("struct<x1:double,y1:double,x2:double,y2:double>"))
+
+
+def valid_polygons(polygons: Column) -> Column:
+    """Polygons (flat arrays) of an even number of values, three points or more."""
+    return F.filter(polygons, lambda p: (F.size(p) % 2 == 0) & (F.size(p) >= 6))

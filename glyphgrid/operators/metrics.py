@@ -96,3 +96,58 @@ def ema_baseline(df: DataFrame, group: str, order: str, value: str, decay: float
     items = F.sort_array(F.collect_list(F.struct(order, value)))
     fold = F.aggregate("items", F.lit(None).cast("double"), lambda acc, x: F.when(acc.isNull(), x[value]).otherwise(decay * acc + (1 - decay) * x[value]))
     return df.groupBy(group).agg(items.alias("items")).select(group, fold.alias("baseline"))
+
+
+def detailed_histogram(df: DataFrame, value: str, bins: int, *by: str) -> DataFrame:
+    """by, least, most, n, total, squares and counts of ``bins`` equal bins from the least to the most value, the last one closed."""
+    range_ = df.groupBy(*by).agg(F.min(value).alias("least"), F.max(value).alias("most"), F.count(value).alias("n"), F.sum(value).alias("total"), F.sum(F.col(value) * F.col(value)).alias("squares"))
+    joined = df.join(range_.select(*by, "least", "most"), list(by)) if by else df.crossJoin(F.broadcast(range_.select("least", "most")))  # one row
+    place = F.least(F.floor((F.col(value) - F.col("least")) * bins / F.nullif(F.col("most") - F.col("least"), F.lit(0.0))), F.lit(bins - 1))
+    counts = joined.where(F.col(value).isNotNull()).groupBy(*by, F.coalesce(place, F.lit(0)).cast("int").alias("bin")).agg(F.count("*").alias("c"))
+    own = counts.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("m"))  # a row a bin at most
+    every = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0)))
+    out = range_.join(own, list(by)) if by else range_.crossJoin(F.broadcast(own))
+    return out.withColumn("counts", every).drop("m")
+
+
+def answer_accuracy(df: DataFrame, answer: str, truths: str) -> DataFrame:
+    """Over all rows: the share whose answer is among its truths, and the mean of the best edit similarity to one of them, cut at 0.5."""
+    from ..functions import text as T
+
+    best = F.array_max(F.transform(truths, lambda t: T.anls(t, F.col(answer))))
+    return df.agg(F.avg(F.array_contains(truths, F.col(answer)).cast("int")).alias("accuracy"), F.avg(best).alias("anls"))
+
+
+def ensemble_accuracy(df: DataFrame, truth: str, own: str, other: str) -> DataFrame:
+    """Accuracy of another model's answers, ours where it gave none; of either being right; and the share it gave none to."""
+    used = F.coalesce(other, own)
+    right = lambda c: F.coalesce(c == F.col(truth), F.lit(False)).cast("int")
+    return df.agg(F.count("*").alias("total"), F.avg(right(used)).alias("accuracy"), F.avg(F.greatest(right(used), right(F.col(own)))).alias("upper_bound"), F.avg(F.col(other).isNull().cast("int")).alias("no_answer"))
+
+
+def tag_scores(guesses: DataFrame, truths: DataFrame, tags: DataFrame, item: str, tag: str, epsilon: float = 1e-9) -> DataFrame:
+    """(tag, precision, recall) of every tag of the list; a tag that was never guessed or never true has 0. Macro means are averages of its columns."""
+    g = guesses.select(item, tag).distinct().withColumn("_g", F.lit(1))
+    t = truths.select(item, tag).distinct().withColumn("_t", F.lit(1))
+    counts = g.join(t, [item, tag], "full_outer").groupBy(tag).agg(F.sum(F.col("_g") * F.col("_t")).alias("both"), F.sum("_g").alias("g"), F.sum("_t").alias("t"))
+    own = tags.select(tag).distinct().join(counts, tag, "left").na.fill(0, ["both", "g", "t"])
+    return own.select(tag, (F.col("both") / (F.col("g") + epsilon)).alias("precision"), (F.col("both") / (F.col("t") + epsilon)).alias("recall"))
+
+
+def bleu(df: DataFrame, guess: str, truths: str, most: int = 4) -> DataFrame:
+    """Corpus BLEU of word arrays against arrays of word arrays: bleu, and the brevity penalty. Counts of one row's runs of words are summed as the rows are read."""
+    from ..functions import text as T
+
+    def matched(n: int) -> Column:
+        own = T.ngrams(F.col(guess), n)
+        count = lambda words, x: F.size(F.filter(words, lambda y: y == x))
+        return F.aggregate(F.array_distinct(own), F.lit(0), lambda acc, x: acc + F.least(count(own, x), F.array_max(F.transform(truths, lambda t: count(T.ngrams(t, n), x)))))
+
+    size = F.size(guess)
+    nearest = F.array_min(F.transform(truths, lambda t: F.struct(F.abs(F.size(t) - size).alias("gap"), F.size(t).alias("size"))))["size"]
+    sums = [F.sum(matched(n)).alias(f"m{n}") for n in range(1, most + 1)] + [F.sum(F.greatest(size - n + 1, F.lit(0))).alias(f"t{n}") for n in range(1, most + 1)]
+    total = df.agg(*sums, F.sum(size).alias("guessed"), F.sum(nearest).alias("wanted"))
+    logs = [F.log(F.col(f"m{n}") / F.col(f"t{n}")) for n in range(1, most + 1)]
+    brevity = F.when(F.col("guessed") >= F.col("wanted"), 1.0).otherwise(F.exp(1 - F.col("wanted") / F.col("guessed")))
+    geometric = F.when(F.least(*[F.col(f"m{n}") for n in range(1, most + 1)]) > 0, F.exp(sum(logs[1:], logs[0]) / most)).otherwise(0.0)
+    return total.select((brevity * geometric).alias("bleu"), brevity.alias("brevity"))

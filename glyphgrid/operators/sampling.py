@@ -125,3 +125,95 @@ def length_grouped(df: DataFrame, length: str, order: list[str], batch: int, wor
     at = F.when(F.size("items") % world == 0, F.aggregate("items", start, step, lambda s: s["at"])).otherwise(in_turn)
     rows = own.select("megabatch", F.inline(F.arrays_zip(F.col("items"), at.alias("at"))))
     return rows.select("items.row.*", "megabatch", "at.chunk", "at.slot")
+
+
+def seeded(key: Column, seed: int) -> Column:
+    """A seeded value to order by that other engines can work out too: MD5 of seed and key."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
+
+
+def epoch_order(df: DataFrame, key: str, seed: int, epoch: int, rank: int, world: int) -> DataFrame:
+    """The rows of one rank in one epoch of an endless shuffled stream, with step (from 0): every ``world``-th of the epoch's order, from ``rank`` on.
+
+    The order is that of a seeded value; places come from range counts, not from one window over the table."""
+    mixed = df.withColumn("_hash", seeded(F.col(key), seed + epoch)).withColumn("_lead", F.conv(F.substring("_hash", 1, 12), 16, 10).cast("double"))
+    placed = place_in_order(mixed, ["_lead", "_hash", key])
+    return placed.where(F.col("place") % world == rank).withColumn("step", F.expr(f"place div {world}")).drop("_hash", "_lead", "place", "total")
+
+
+def source_batches(df: DataFrame, source: str, order: list[str], batch: int, world: int) -> DataFrame:
+    """Adds rank, batch and slot: each source gives whole batches to every rank alike and drops the rest; a batch is of one source. batch is the source's own number."""
+    w = Window.partitionBy(source)
+    own = df.withColumn("_r", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.expr(f"(count(*) over (partition by `{source}`) div {batch * world}) * {batch * world}"))
+    own = own.where(F.col("_r") < F.col("_n"))
+    turn = F.expr(f"_r div {world}")
+    return own.withColumn("rank", (F.col("_r") % world).cast("int")).withColumn("batch", F.floor(turn / batch)).withColumn("slot", (turn % batch).cast("int")).drop("_r", "_n")
+
+
+def balanced_sample(df: DataFrame, group: str, label: str, key: str, count: int, positive_share: float, background: int, seed: int = 0) -> DataFrame:
+    """Up to ``count`` rows of each group with a label of 0 or more: positives (not ``background``) up to their share of it, then negatives up to what is left, by a seeded order."""
+    positive = F.col(label) != background
+    rank = F.row_number().over(Window.partitionBy(group, positive).orderBy(seeded(F.col(key), seed), key))
+    rows = df.where(F.col(label) >= 0).withColumn("_positive", positive).withColumn("_rank", rank).where(F.col("_rank") <= count)
+    most = int(count * positive_share)
+    taken = F.least(F.sum(F.col("_positive").cast("int")).over(Window.partitionBy(group)), F.lit(most))
+    return rows.withColumn("_taken", taken).where(F.when(F.col("_positive"), F.col("_rank") <= F.col("_taken")).otherwise(F.col("_rank") <= count - F.col("_taken"))).drop("_positive", "_rank", "_taken")
+
+
+def weighted_stream(df: DataFrame, source: str, order: list[str], ratios: dict[str, int]) -> DataFrame:
+    """Rows of the sources by turns: in each turn so many of a source as its ratio says, up to the first turn that a source can't fill. Adds turn (from 0)."""
+    ratio = F.element_at(F.create_map(*[F.lit(v) for pair in ratios.items() for v in pair]), F.col(source))
+    own = df.where(F.col(source).isin(*ratios)).withColumn("_ratio", ratio).withColumn("turn", F.floor((F.row_number().over(Window.partitionBy(source).orderBy(*order)) - 1) / ratio))
+    full = own.groupBy(source).agg(F.floor(F.count("*") / F.first("_ratio")).alias("n"))
+    last = full.agg(F.when(F.count("*") == len(ratios), F.min("n")).otherwise(0).alias("_turns"))  # one row
+    return own.join(F.broadcast(last), F.col("turn") < F.col("_turns")).drop("_ratio", "_turns")
+
+
+def concatenated(tables: list[DataFrame], order: list[str]) -> DataFrame:
+    """All rows with source (the table's number) and index: the row's place in its table after all rows of the tables before."""
+    out, before = None, 0
+    for k, df in enumerate(tables):
+        placed = place_in_order(df, order)
+        rows = placed.withColumn("source", F.lit(k)).withColumn("index", F.col("place") + before).drop("place", "total")
+        before += df.count()
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def consistent(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """One row for each value of ``by`` with the columns' common values; columns that differ within one raise."""
+    own = df.groupBy(*by).agg(*[F.min(c).alias(c) for c in columns], *[(F.min(c).eqNullSafe(F.max(c)) & (F.count(c).isin(0) | (F.count(c) == F.count("*")))).alias(f"_same_{c}") for c in columns])
+    for c in columns:
+        own = own.withColumn(c, F.when(F.col(f"_same_{c}"), F.col(c)).otherwise(F.raise_error(F.lit(f"{c} is not the same everywhere")).cast(dict(own.dtypes)[c])))
+    return own.select(*by, *columns)
+
+
+def time_left(df: DataFrame, key: str, iteration: str, seconds: str, most: int, last: int = 1000) -> DataFrame:
+    """(key, iteration, eta_seconds): the median time of the last iterations times what is left of ``most``."""
+    latest = df.groupBy(key).agg(F.max(iteration).alias("_now"))
+    own = df.join(latest, key).where(F.col(iteration) > F.col("_now") - last)
+    return own.groupBy(key).agg(F.max(iteration).alias(iteration), (F.percentile(seconds, F.lit(0.5)) * (most - F.max(iteration) - 1)).alias("eta_seconds"))
+
+
+def top_proposals(df: DataFrame, group: str, box: str, score: str, order: str, width: Column, height: Column, least_side: float, most: int) -> DataFrame:
+    """The ``most`` proposals of best score of each group after cutting them to the image and leaving out those with a side of ``least_side`` or less; box is the cut one."""
+    from ..functions.box import clip, non_empty
+
+    rows = df.withColumn(box, clip(F.col(box), width, height)).where(non_empty(F.col(box), least_side))
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), order))
+    return rows.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
+
+
+def random_points(df: DataFrame, keys: list[str], box: str, count: int, seed: int = 0) -> DataFrame:
+    """keys, point (from 0), x, y, inside (x and y in the box's left upper part of 3/4): points of a box by a seeded value, alike in every run."""
+    share = lambda axis: F.conv(F.substring(seeded(F.concat_ws("/", *keys, "point", F.lit(axis)), seed), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    own = df.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    b = F.col(box)
+    rows = own.select(*keys, "point", (b["x1"] + (b["x2"] - b["x1"]) * share("x")).alias("x"), (b["y1"] + (b["y2"] - b["y1"]) * share("y")).alias("y"), b.alias("_b"))
+    return rows.withColumn("inside", (F.col("x") <= F.col("_b.x1") + 0.75 * (F.col("_b.x2") - F.col("_b.x1"))) & (F.col("y") <= F.col("_b.y1") + 0.75 * (F.col("_b.y2") - F.col("_b.y1")))).drop("_b")
+
+
+def stuff_labels(categories: DataFrame, thing: str, category: str) -> DataFrame:
+    """(category, label): 0 for things, from 1 on for stuff by category; pixels without a category have 255. A row a category."""
+    stuff = categories.where(~F.col(thing)).select(category, F.row_number().over(Window.orderBy(category)).alias("label"))
+    return categories.where(F.col(thing)).select(category, F.lit(0).alias("label")).unionByName(stuff)
