@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.sampling import place_in_order
+
 ANNOTATION = "id bigint, file_name string, bbox array<double>, score double, rec string, polygon array<array<double>>, VLM string, has_text boolean"
 DOCUMENT = f"images array<struct<file_name:string,width:int,height:int,instances:int>>, annotations array<struct<{', '.join(x.replace(' ', ':', 1) for x in ANNOTATION.split(', '))}>>"
 
@@ -49,16 +51,19 @@ def spotting_lines(lines: DataFrame) -> DataFrame:
 
 
 def manifest_rows(spark: SparkSession, manifest: DataFrame, data: str) -> DataFrame:
-    """The rows that a manifest (parquet, row_index) points to, found by file name and row number."""
-    rows = spark.read.parquet(data).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    m = manifest.select("sample_index", F.regexp_replace("parquet", "^.*/", "").alias("_file"), F.col("row_index").alias("_row"))
-    return m.join(rows, ["_file", "_row"]).drop("_file", "_row")
+    """The rows that a manifest (parquet, row_index) points to, found by row number and by file: by the whole of the shorter of the two paths where the manifest's is relative, so equal names in two folders are told apart
+    as far as the manifest tells them."""
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(data).select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    m = manifest.select("sample_index", F.col("parquet").alias("_wanted"), F.regexp_replace("parquet", "^.*/", "").alias("_file"), F.col("row_index").alias("_row"))
+    same = F.concat(F.lit("/"), F.regexp_replace("_path", "^[a-z0-9]+:/+", "")).endswith(F.concat(F.lit("/"), F.regexp_replace("_wanted", "^([a-z0-9]+:)?/+", "")))
+    return m.join(rows, ["_file", "_row"]).where(same).drop("_file", "_row", "_path", "_wanted")
 
 
 def questions(spark: SparkSession, path: str, key: str, order: str | None = None) -> DataFrame:
-    """JSON lines, of rows with one key the last by order (or any)."""
+    """JSON lines, of rows with one key the last by order, or the largest as text where no order is given."""
     df = spark.read.json(path)
-    return df.dropDuplicates([key]) if order is None else df.join(df.groupBy(key).agg(F.max(order).alias(order)), [key, order])
+    by = F.col(order) if order else F.to_json(F.struct(*df.columns))
+    return df.groupBy(key).agg(F.max_by(F.struct(*df.columns), by).alias("r")).select("r.*")
 
 
 def voc_objects(spark: SparkSession, path: str) -> DataFrame:
@@ -122,9 +127,11 @@ def paired_listing(spark: SparkSession, images: str, labels: str, image_ending:
     a, b = _listing(spark, images, image_ending), _listing(spark, labels, label_ending)
     if a.count() != b.count():
         return a.select("stem", F.col("path").alias("file_name")).join(b.select("stem", F.col("path").alias("label_file")), "stem")
-    number = lambda df: df.orderBy("stem", "path").rdd.zipWithIndex().map(lambda r: (r[1], r[0].path, r[0].stem))  # noqa: E731  a place without one global window
-    left = spark.createDataFrame(number(a), "place long, file_name string, stem string")
-    return left.join(spark.createDataFrame(number(b), "place long, label_file string, _other string"), "place").select("stem", "file_name", "label_file")
+    # Places in sorted order without one window over a listing: names are cut by their first bytes, and numbered within a cut.
+    lead = F.rpad(F.hex(F.substring(F.encode("stem", "UTF-8"), 1, 6)), 12, "0")
+    number = lambda df: place_in_order(df.withColumn("_lead", F.conv(lead, 16, 10).cast("double")), ["_lead", "stem", "path"])
+    left = number(a).select("place", F.col("path").alias("file_name"), "stem")
+    return left.join(number(b).select("place", F.col("path").alias("label_file")), "place").select("stem", "file_name", "label_file")
 
 
 def zip_entries(spark: SparkSession, path: str, pattern: str = "", all_entries: bool = False) -> DataFrame:
@@ -146,3 +153,195 @@ def zip_entries(spark: SparkSession, path: str, pattern: str = "", all_entries:
                 yield pd.DataFrame({"archive": name, "key": list(found), "content": list(found.values())})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(entries, "archive string, key string, content binary")
+
+
+def files_with(spark: SparkSession, path: str, *endings: str) -> DataFrame:
+    """path, name of all files below a folder that end in one of these, whatever their case. Contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    wanted = F.lower("path").rlike("(" + "|".join(re.escape(e.lower()) for e in endings) + ")$")
+    return files.where(wanted).select("path", F.regexp_replace("path", "^.*/", "").alias("name"))
+
+
+def listed_inputs(spark: SparkSession, inputs: list[str], *endings: str) -> DataFrame:
+    """path of what a spotter is given: the files below one folder or glob, or an explicit list as it is."""
+    if len(inputs) > 1:
+        return spark.createDataFrame([(p,) for p in inputs], "path string")
+    return files_with(spark, inputs[0], *endings).select("path")
+
+
+def strict_truth(spark: SparkSession, path: str) -> DataFrame:
+    """image_id, ord, text, box of a table with arrays of texts and corner pairs. Arrays of unequal length and boxes that aren't two corners raise; null arrays are empty."""
+    from ..functions import box as B
+    from ..functions import text as T
+
+    df = spark.read.parquet(path).select("id", *[F.coalesce(c, F.array().cast(k)).alias(c) for c, k in (("text", "array<string>"), ("bbox", "array<array<array<double>>>"))])
+    whole = F.when(F.size("text") == F.size("bbox"), F.arrays_zip("text", "bbox")).otherwise(F.raise_error(F.concat(F.lit("texts and boxes differ in number: "), F.col("id").cast("string"))).cast("array<struct<text:string,bbox:array<array<double>>>>"))
+    return df.select(T.image_key(F.col("id").cast("string")).alias("image_id"), F.posexplode(whole).alias("ord", "t")).select("image_id", "ord", F.col("t.text").alias("text"), B.from_pairs(F.col("t.bbox")).alias("box"))
+
+
+_GUESS = "file_name:string,text:string,rec:string,VLM:string,bbox:array<double>,polygon:array<array<double>>,score:double"
+_GUESSES = f"annotations array<struct<{_GUESS}>>, entries array<struct<original_image:string,crop_id:string,text_instances:array<struct<{_GUESS}>>>>"
+
+
+def predictions(spark: SparkSession, path: str, text_fields: tuple[str, ...] = ("text", "rec", "VLM"), mode: str = "xyxy", least_score: float | None = None) -> DataFrame:
+    """image_id, ord, text, box, score of a JSON document in either layout: a list of annotations, or entries with text instances.
+
+    The text is the first given of the fields; the box that of the polygon where there is none. Records without a file name go; a document of neither layout raises. With
+    ``least_score``, a missing score counts as 0."""
+    from ..functions import box as B
+    from ..functions import text as T
+
+    doc = spark.read.schema(_GUESSES).json(path, multiLine=True)
+    flat = doc.where("annotations IS NOT NULL").select(F.posexplode("annotations").alias("ord", "a")).select(F.col("a.file_name").alias("file"), F.col("ord").cast("long").alias("ord"), "a")
+    entry = doc.where("annotations IS NULL").select(F.posexplode(F.when(F.col("entries").isNull(), F.raise_error(F.lit("document of an unknown layout")).cast(_entries_type())).otherwise(F.col("entries"))).alias("e", "entry"))
+    nested = entry.select(F.coalesce(F.nullif("entry.original_image", F.lit("")), "entry.crop_id").alias("file"), "e", F.posexplode("entry.text_instances").alias("k", "a"))
+    nested = nested.select("file", (F.col("e").cast("long") * (1 << 32) + F.col("k")).alias("ord"), "a")
+    rows = flat.unionByName(nested).where("file <> ''")
+    b, p = F.col("a.bbox"), F.col("a.polygon")
+    corners = F.array(b[0], b[1], b[0] + b[2], b[1] + b[3]) if mode == "xywh" else b
+    around = B.polygon_box(F.transform(p, lambda v: v[0]), F.transform(p, lambda v: v[1]))
+    box = F.when(b.isNotNull(), F.when(F.size(b) == 4, B.box(corners[0], corners[1], corners[2], corners[3])).otherwise(F.raise_error(F.lit("box without four values")).cast("struct<x1:double,y1:double,x2:double,y2:double>"))).otherwise(around)
+    out = rows.select(T.image_key(F.col("file")).alias("image_id"), "ord", F.coalesce(*[F.col(f"a.{f}") for f in text_fields], F.lit("")).alias("text"), box.alias("box"), F.col("a.score").alias("score"))
+    return out if least_score is None else out.where(F.coalesce("score", F.lit(0.0)) >= least_score)
+
+
+def _entries_type() -> str:
+    return _GUESSES[_GUESSES.index("entries ") + len("entries ") :]
+
+
+def typed_csv(spark: SparkSession, path: str, schema: str, most: int | None = None) -> DataFrame:
+    """A CSV file with a header, columns found by name whatever their case and cast as the schema says; whole numbers may be written with a fraction of zeros. A column that isn't there raises."""
+    from pyspark.sql.types import IntegralType, StructType
+
+    raw = spark.read.csv(path, header=True)
+    by = {c.lower(): c for c in raw.columns}
+    fields = StructType.fromDDL(schema).fields
+    missing = [f.name for f in fields if f.name.lower() not in by]
+    if missing:
+        raise ValueError(f"no column {', '.join(missing)}")
+    cast = lambda f: F.col(f"`{by[f.name.lower()]}`").cast("double").cast(f.dataType) if isinstance(f.dataType, IntegralType) else F.col(f"`{by[f.name.lower()]}`").cast(f.dataType)
+    out = raw.select(*[cast(f).alias(f.name) for f in fields])
+    return out if most is None else out.limit(most)
+
+
+def sharded_rows(spark: SparkSession, folder: str, patterns: tuple[str, ...] = ("train-*.parquet", "test-*.parquet", "*.parquet"), columns: list[str] | None = None) -> DataFrame:
+    """Rows of a folder's Parquet shards with file and row_index, of the first pattern that names any file; no file at all raises."""
+    from pyspark.errors import AnalysisException
+
+    for pattern in patterns:
+        try:
+            df = spark.read.option("pathGlobFilter", pattern).parquet(folder)
+        except AnalysisException as e:
+            if e.getCondition() not in ("UNABLE_TO_INFER_SCHEMA", "PATH_NOT_FOUND"):
+                raise
+            continue
+        wanted = [F.col(f"`{c}`") for c in columns] if columns else [F.col("*")]
+        return df.select(*wanted, F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row_index"))
+    raise FileNotFoundError(f"no Parquet file in {folder}")
+
+
+def file_slice(spark: SparkSession, path: str, start: int, count: int | None = None) -> DataFrame:
+    """Rows [start, start + count) of one Parquet file, by its own row numbers."""
+    at = F.col("_metadata.row_index")
+    rows = spark.read.parquet(path).where(at >= start)
+    return rows if count is None else rows.where(at < start + count)
+
+
+def image_columns(df: DataFrame, level: int) -> DataFrame:
+    """id, high, low whatever the layout: a pair of high and of low quality at a level, or one image that is both. Columns of neither layout raise."""
+    if {"hq_img", f"lq_img_lv{level}"} <= set(df.columns):
+        return df.select("id", F.col("hq_img").alias("high"), F.col(f"lq_img_lv{level}").alias("low"))
+    if "image" in df.columns:
+        return df.select("id", F.col("image").alias("high"), F.col("image").alias("low"))
+    raise ValueError(f"no image columns among {df.columns}")
+
+
+def manifest(spark: SparkSession, path: str, count: int) -> DataFrame:
+    """The first ``count`` rows of a JSON-lines manifest by sample_index; fewer than that raise."""
+    rows = spark.read.json(path).orderBy("sample_index").limit(count)
+    if (n := rows.count()) < count:
+        raise ValueError(f"the manifest has {n} rows, {count} are wanted")
+    return rows
+
+
+_COCO = """images array<struct<id:bigint,file_name:string,width:int,height:int>>,
+annotations array<struct<id:bigint,image_id:bigint,category_id:bigint,bbox:array<double>,area:double,iscrowd:int,segmentation:array<array<double>>,keypoints:array<double>,rec:array<int>,bezier_pts:array<double>>>,
+categories array<struct<id:bigint,name:string>>"""
+
+
+def coco_document(spark: SparkSession, path: str, root: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(images, annotations, categories) of a detection JSON document. Category ids are numbered from 0 in their own order; polygons of under three points or an odd number of values go, and an
+    annotation all of whose polygons went too; keypoints are moved by half a pixel. Texts (codes in rec) and curves come along as they are. A repeated annotation id raises."""
+    from ..functions import box as B
+
+    doc = spark.read.schema(_COCO).json(path, multiLine=True)
+    from pyspark.sql import Window
+
+    categories = doc.select(F.inline("categories")).withColumn("number", F.row_number().over(Window.orderBy("id")) - 1)  # a row a category
+    images = doc.select(F.inline("images")).select(F.col("id").alias("image_id"), F.concat(F.lit(root.rstrip("/") + "/" if root else ""), "file_name").alias("file_name"), "width", "height")
+    rows = doc.select(F.inline("annotations"))
+    once = F.when(F.count("*").over(Window.partitionBy("id")) == 1, True).otherwise(F.raise_error(F.lit("annotation ids are not unique")).cast("boolean"))
+    valid = B.valid_polygons(F.col("segmentation"))
+    own = rows.withColumn("_once", once).where(F.col("_once") & (F.col("segmentation").isNull() | (F.size("segmentation") == 0) | (F.size(valid) > 0)))
+    own = own.join(F.broadcast(categories.select(F.col("id").alias("category_id"), "number")), "category_id")  # a row a category
+    kept = own.select(F.col("id").alias("annotation_id"), "image_id", F.col("number").alias("category"), "bbox", F.coalesce("iscrowd", F.lit(0)).alias("iscrowd"), F.when(F.size(valid) > 0, valid).alias("segmentation"), B.shifted_keypoints(F.col("keypoints")).alias("keypoints"), "rec", "bezier_pts")
+    return images, kept, categories
+
+
+def sibling_listing(spark: SparkSession, images: str, ending: str, labels: str, siblings: dict[str, str]) -> DataFrame:
+    """file and a path for each sibling: files below ``images`` that end so, with the folder swapped for ``labels`` and the ending for the sibling's. Only names are read."""
+    files = files_with(spark, images, ending)
+    at = F.expr("length(path)") - len(ending)
+    inner = F.regexp_replace(F.expr(f"substr(path, 1, length(path) - {len(ending)})"), "^.*?" + re.escape(images.rstrip("/").rsplit("/", 1)[-1]) + "/", "")
+    return files.where(at > 0).select(F.col("path").alias("file"), *[F.concat(F.lit(labels.rstrip("/") + "/"), inner, F.lit(e)).alias(n) for n, e in siblings.items()])
+
+
+def tab_table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.csv(path, sep="\t", header=True)
+
+
+def tag_lines(spark: SparkSession, path: str) -> DataFrame:
+    """item, tag: a row for each tag of lines 'item,tag,tag,...'."""
+    parts = F.transform(F.split("value", ","), lambda x: F.trim(x))
+    return text_list(spark, path).select(parts[0].alias("item"), F.explode(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1)))).alias("tag")).where("tag <> ''")
+
+
+def training_list(listing: DataFrame, annotations: DataFrame, width: float, height: float, most: int = 25) -> DataFrame:
+    """A row for each listed file (file_name) that has a usable annotation (file_name, ord, text, box): boxes in centre form as shares of the image with four places, texts as codes. Texts of other than printable
+    ASCII or of more than ``most`` characters don't count."""
+    from ..functions import box as B
+    from ..functions import text as T
+
+    c = B.centred(F.col("box"))
+    shares = F.array(*[F.round(v, 4) for v in (c["cx"] / width, c["cy"] / height, c["w"] / width, c["h"] / height)])
+    own = annotations.where(T.printable_and_short(F.col("text"), most)).select("file_name", F.struct("ord", shares.alias("box"), "text", T.encode_codes(F.col("text"), most).alias("codes")).alias("a"))
+    return listing.join(own.groupBy("file_name").agg(F.sort_array(F.collect_list("a")).alias("annotations")), "file_name")
+
+
+def remapped_path(path, prefixes: dict[str, str]):
+    """A path with back slashes turned and the first of the prefixes that it has replaced."""
+    clean = F.regexp_replace(path, r"\\", "/")
+    out = F.when(F.lit(False), clean)
+    for old, new in prefixes.items():
+        out = out.when(clean.startswith(old), F.concat(F.lit(new), F.substring(clean, len(old) + 1, 1 << 20)))
+    return out.otherwise(clean)
+
+
+def lexicon_pairs(spark: SparkSession, path: str, per_image: str | None = None) -> DataFrame:
+    """word, display (and image_id) of lines 'WORD display text'; per_image: a pattern whose group is the image's id in the file's name."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.trim("value").alias("value")).where("value <> ''")
+    word = F.split("value", " ")[0]
+    pair = [F.upper(word).alias("word"), F.coalesce(F.nullif(F.substring("value", F.length(word) + 2, F.lit(1 << 20)), F.lit("")), word).alias("display")]
+    return lines.select(*pair) if per_image is None else lines.select(F.regexp_extract("file", per_image, 1).alias("image_id"), *pair)
+
+
+def across_chunks(chunks: DataFrame, name: str, chunk: str) -> DataFrame:
+    """Names with their chunk; a name in more than one chunk raises."""
+    own = chunks.groupBy(name).agg(F.count_distinct(chunk).alias("_n"), F.min(chunk).alias(chunk))
+    return own.select(name, F.when(F.col("_n") == 1, F.col(chunk)).otherwise(F.raise_error(F.concat(F.lit("in several chunks: "), F.col(name).cast("string"))).cast(dict(own.dtypes)[chunk])).alias(chunk))
+
+
+def unescaped(text):
+    """A transcription in double quotes without them, with its escaped quotes and back slashes as they are meant; others as they are."""
+    inner = F.regexp_replace(F.regexp_replace(F.substring(text, F.lit(2), F.length(text) - 2), r'\\"', '"'), r"\\\\", r"\\")
+    return F.when((F.length(text) >= 2) & text.startswith('"') & text.endswith('"'), inner).otherwise(text)
