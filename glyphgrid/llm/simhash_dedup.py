@@ -26,8 +26,8 @@ GROUP_LIMIT = 4096
 #: segment with at most one differing bit (0.85: 99.6). Bits of 63, and of all, in which candidates may differ: three to four deviations above what 0.8 makes.
 SEGMENTS, SEGMENT_BITS, REACH, FAR = 12, 16, 18, 48
 WORDS_OF_BITS = SEGMENTS * SEGMENT_BITS // 64
-#: Sets of one key that are paired at once; rows that the second look at a larger key compares at a time.
-HOT, BLOCK = 256, 1_024
+#: Sets of one key that are paired at once; rows that the second look at a larger key compares at a time; sets of a key that one task verifies, twice as many at most.
+HOT, BLOCK, PIECE = 256, 1_024, 2_048
 #: Ids of sets with possible partners that are broadcast at most (8 bytes each); more of them are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -285,24 +285,30 @@ def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]
 
 
 def _candidates(hot_size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From variants sorted by key: a, b of pairs that may be near (key -1). Of a key of more than ``hot_size`` sets: each set's pair with the smallest one, and
-    all rows (node, sketch) with their key, for the second look."""
+    """From variants sorted by key: a, b of pairs that may be near (key -1). Of a hot key, one of more than ``hot_size`` sets or of more pairs than sets: each
+    set's pair with the smallest one at every fourth wildcard, and all rows (node, sketch) with their key, for the second look."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, node, sketch in _whole_keys(batches):
             bits = sketch.view(np.uint64)
             first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             size = np.diff(np.append(first, len(key)))
-            hot = np.repeat(size > hot_size, size)
-            a, b, at, d = [node[:0]], [node[:0]], np.flatnonzero(~hot), 0
+            large = np.repeat(size > hot_size, size)
+            a, b, at, d = [first[:0]], [first[:0]], np.flatnonzero(~large), 0
             while len(at):
                 d += 1
                 at = at[at + d < len(key)]
                 at = at[key[at + d] == key[at]]
                 good = at[_may_be_near(key[at], bits[at], bits[at + d])]
-                a.append(node[good])
-                b.append(node[good + d])
-            for s, n in zip(first[size > hot_size], size[size > hot_size], strict=True):
+                a.append(good)
+                b.append(good + d)
+            a, b = np.concatenate(a), np.concatenate(b)
+            group = np.repeat(np.arange(len(first)), size)
+            dense = (np.bincount(group[a], minlength=len(first)) > size) | (size > hot_size)
+            keep, hot = ~dense[group[a]], dense[group]
+            a, b = [node[a[keep]]], [node[b[keep]]]
+            star = dense & ((key[first] >> SEGMENT_BITS) % 4 == 0)  # every fourth wildcard: the second look finds what these leave apart
+            for s, n in zip(first[star], size[star], strict=True):
                 least = s + int(np.argmin(node[s : s + n]))
                 near = s + np.flatnonzero((np.bitwise_count((bits[s : s + n] ^ bits[least]) >> _ONE) <= REACH) & (node[s : s + n] != node[least]))
                 a.append(np.full(len(near), node[least]))
@@ -316,21 +322,97 @@ def _candidates(hot_size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 
 def _second_look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From hot keys' rows sorted by key and component: pairs that may be near, of different components."""
+    """From hot keys' rows sorted by key and component: key, part, node of the sets that may be near one of another component."""
     for key, part, node, sketch in _whole_keys(batches):
         bits = sketch.view(np.uint64)
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        keep = np.zeros(len(key), bool)
         for s, e in zip(first, np.append(first[1:], len(key)), strict=True):
             for x in range(s, e, BLOCK):
                 for y in range(x, e, BLOCK):
-                    z = min(y + BLOCK, e)
-                    if part[x] == part[z - 1]:  # sorted, so all between are of one component
+                    left, right = slice(x, min(x + BLOCK, e)), slice(y, min(y + BLOCK, e))
+                    if part[x] != part[right.stop - 1]:  # sorted, so else all between are of one component
+                        ok = _may_be_near(key[x], bits[left, None], bits[None, right]) & (part[left, None] != part[None, right])
+                        keep[left] |= ok.any(axis=1)
+                        keep[right] |= ok.any(axis=0)
+        yield pa.record_batch([pa.array(key[keep]), pa.array(part[keep]), pa.array(node[keep])], names=["key", "part", "node"])
+
+
+def _home_key(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of every pair of two tables of fingerprints: the key number (segment and wildcard) at which the pair is verified, -1 if none or if too far apart."""
+    out = np.full((len(x), len(y)), -1, np.int32)
+    far = np.zeros(out.shape, np.int32)
+    each, mask = 64 // SEGMENT_BITS, np.uint64((1 << SEGMENT_BITS) - 1)
+    for k in range(WORDS_OF_BITS):
+        apart = x[:, None, k] ^ y[None, :, k]
+        far += np.bitwise_count(apart)
+        for j in range(each):
+            part = (apart >> np.uint64(j * SEGMENT_BITS)) & mask
+            bit = np.bitwise_count((part & (~part + _ONE)) - _ONE).astype(np.int32) % 64  # of the lowest differing bit; none: 0
+            out = np.where((out < 0) & (np.bitwise_count(part) <= 1), (k * each + j) * SEGMENT_BITS + np.where(part == 0, 0, bit), out)
+    return np.where(far <= FAR, out, -1)
+
+
+def _verify_within(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From rows (deal, side, key, part, node, bits, members) sorted by deal: a, b of near pairs that join the components as all near pairs do. Sides that are alike and above 0 don't meet."""
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            deal = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(deal[1:] != deal[:-1]) + 1).tolist(), len(deal)]
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                if e > s:
+                    if held and held[0].column(0)[0].as_py() != deal[s]:
+                        yield pa.Table.from_batches(held)
+                        held = []
+                    held.append(batch.slice(s, e - s))
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def near(table: pa.Table) -> Iterator[tuple[int, int]]:
+        table = table.combine_chunks()
+        side, key, part, node = (table.column(c).to_numpy() for c in ("side", "key", "part", "node"))
+        bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+        sets = table.column("members").combine_chunks()
+        _, code = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+        count = sets.value_lengths().to_numpy().astype(np.int64)
+        end = np.cumsum(count)
+        mark = np.zeros(int(code.max(initial=0)) + 1, np.int32)
+        joined: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := joined.setdefault(x, x)) != x:
+                joined[x] = up = joined[up]
+                x = up
+            return x
+
+        number = int(key[0]) >> SEGMENT_BITS
+        for x in range(0, len(node), 256):
+            for y in range(x, len(node), 256):
+                left, right = np.arange(x, min(x + 256, len(node))), np.arange(y, min(y + 256, len(node)))
+                ok = (_home_key(bits[left], bits[right]) == number) & (part[left, None] != part[None, right]) & ((side[left, None] != side[None, right]) | (side[left, None] == 0))
+                if x == y:
+                    ok &= left[:, None] < right[None, :]
+                for i in np.flatnonzero(ok.any(axis=1)):
+                    p = int(left[i])
+                    others = [q for q in right[ok[i]].tolist() if root(int(part[q])) != root(int(part[p]))]
+                    if not others:
                         continue
-                    left, right = slice(x, min(x + BLOCK, e)), slice(y, z)
-                    ok = _may_be_near(key[x], bits[left, None], bits[None, right]) & (part[left, None] != part[None, right])
-                    p, q = np.nonzero(ok)
-                    a, b = node[left][p], node[right][q]
-                    yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                    mark[code[end[p] - count[p] : end[p]]] = 1
+                    for q in others:
+                        both = int(mark[code[end[q] - count[q] : end[q]]].sum())
+                        if both >= similarity * (count[p] + count[q] - both) - 1e-9:
+                            joined[root(int(part[q]))] = root(int(part[p]))
+                            yield int(node[p]), int(node[q])
+                    mark[code[end[p] - count[p] : end[p]]] = 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches):
+            found = np.array(list(near(table)), np.int64).reshape(-1, 2)
+            yield pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    return run
 
 
 def _members(size: int, wanted: Callable[[], np.ndarray | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -363,6 +445,16 @@ def _verify(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return run
 
 
+def _sets_of(own: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """node, members of the wanted nodes (column node, distinct), from the texts ``own``."""
+    if nodes.count() <= BROADCAST_IDS:
+        shared = own.sparkSession.sparkContext.broadcast(np.sort(nodes.toPandas()["node"].to_numpy(np.int64)))
+        sets = own.select("text").mapInArrow(freeing(_members(size, lambda: shared.value)), "node long, members array<long>")
+    else:
+        sets = own.select("text").mapInArrow(freeing(_members(size, lambda: None)), "node long, members array<long>").join(nodes, "node", "left_semi")
+    return materialise(sets.dropDuplicates(["node"]), "members")
+
+
 def _near_pairs(own: DataFrame, distinct: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
     """Of candidate pairs (a, b) of sets: those whose Jaccard similarity is ``similarity`` or more. own: the texts; distinct: their sets' nodes and fingerprints."""
 
@@ -373,20 +465,30 @@ def _near_pairs(own: DataFrame, distinct: DataFrame, pairs: DataFrame, size: int
 
     x, y = (distinct.select(F.col("node").alias(n), F.col("bits").alias(f"of_{n}")) for n in ("a", "b"))
     pairs = materialise(pairs.join(x, "a").join(y, "b").select("a", "b", "of_a", "of_b").mapInArrow(freeing(close), "a long, b long"), "close")
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    if nodes.count() <= BROADCAST_IDS:
-        shared = own.sparkSession.sparkContext.broadcast(np.sort(nodes.toPandas()["node"].to_numpy(np.int64)))
-        sets = own.select("text").mapInArrow(freeing(_members(size, lambda: shared.value)), "node long, members array<long>")
-    else:
-        sets = own.select("text").mapInArrow(freeing(_members(size, lambda: None)), "node long, members array<long>").join(nodes, "node", "left_semi")
-    sets = materialise(sets.dropDuplicates(["node"]), "members")
+    sets = _sets_of(own, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), size)
     x, y = (sets.select(F.col("node").alias(n), F.col("members").alias(f"of_{n}")) for n in ("a", "b"))
     found = materialise(pairs.join(x, "a").join(y, "b").select("a", "b", "of_a", "of_b").mapInArrow(freeing(_verify(similarity)), "a long, b long"), "near")
     discard(pairs, sets)
     return found
 
 
-def similar_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8, hot_size: int = HOT) -> DataFrame:
+def _across_components(own: DataFrame, distinct: DataFrame, hot: DataFrame, found: DataFrame, size: int, similarity: float, piece: int) -> DataFrame:
+    """The near pairs of hot keys (key, node, sketch) that join what the pairs found so far have left apart. Sets of a key are dealt out by two pieces at a time, and verified where they meet."""
+    part = connected_components(found)
+    rows = hot.join(part, "node", "left").select("key", F.coalesce("root", "node").alias("part"), "node", "sketch")
+    rows = materialise(rows.repartition("key").sortWithinPartitions("key", "part").mapInArrow(freeing(_second_look), "key int, part long, node long"), "apart")
+    sets = _sets_of(own, rows.select("node").distinct(), size)
+    pieces = rows.groupBy("key").agg(F.ceil(F.count("*") / piece).cast("int").alias("pieces"))
+    dealt = rows.join(pieces, "key").withColumn("piece", F.pmod(F.xxhash64("node"), "pieces").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    side = F.when(F.col("piece") == F.col("other"), 0).when(F.col("piece") < F.col("other"), 1).otherwise(2)
+    dealt = dealt.select(F.xxhash64("key", F.least("piece", "other"), F.greatest("piece", "other")).alias("deal"), side.alias("side"), "key", "part", "node")
+    dealt = dealt.join(distinct.select("node", "bits"), "node").join(sets, "node").select("deal", "side", "key", "part", "node", "bits", "members")
+    out = materialise(dealt.repartition("deal").sortWithinPartitions("deal").mapInArrow(freeing(_verify_within(similarity)), "a long, b long"), "joined")
+    discard(rows, sets)
+    return out
+
+
+def similar_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8, hot_size: int = HOT, piece: int = PIECE) -> DataFrame:
     """One row per row of ``docs``: doc_id, component_id (the smallest id reachable over verified pairs).
 
     Pairs whose SimHash fingerprints share a one-wildcard segment are candidates; those whose sets of ``shingle``-word runs have a Jaccard similarity of
@@ -399,11 +501,8 @@ def similar_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     met = materialise(variants.repartition("key").sortWithinPartitions("key").mapInArrow(freeing(_candidates(hot_size)), "a long, b long, key int"), "met")
     found = _near_pairs(own, distinct, met.where("key < 0").select("a", "b").distinct(), shingle, similarity)
     hot = met.where("key >= 0").select("key", F.col("a").alias("node"), F.col("b").alias("sketch"))
-    if not hot.isEmpty():  # within a component nothing is left to be found
-        part = connected_components(found)
-        rows = hot.join(part, "node", "left").select("key", F.coalesce("root", "node").alias("part"), "node", "sketch")
-        more = rows.repartition("key").sortWithinPartitions("key", "part").mapInArrow(freeing(_second_look), "a long, b long")
-        found = found.unionByName(_near_pairs(own, distinct, more.distinct(), shingle, similarity))
+    if not hot.isEmpty():
+        found = found.unionByName(_across_components(own, distinct, hot, found, shingle, similarity, piece))
     roots = connected_components(found).withColumnRenamed("root", "top")
     discard(met, found)
     joined = distinct.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("top", "node").alias("root"))

@@ -126,8 +126,8 @@ def test_groups_keep_or_flag_each_key():
     assert [(on, len(k)) for on, k, _ in simhash_dedup._groups(batches(n + 5, n), None)] == [(False, n + 5)]
 
 
-@pytest.mark.parametrize("hot", [256, 3])
-def test_similar_documents_against_brute_force(spark, hot):
+@pytest.mark.parametrize(("hot", "piece"), [(256, 2048), (3, 2048), (1, 5)])
+def test_similar_documents_against_brute_force(spark, hot, piece):
     """Every link is a pair of Jaccard similarity 0.8 or more; of those, nearly all are found, whether their keys are hot or not."""
     rng = random.Random(6)
     bases = [[rng.choice("abcdefghijklmnop") * rng.randrange(1, 4) for _ in range(rng.randrange(3, 200))] for _ in range(40)]
@@ -144,7 +144,7 @@ def test_similar_documents_against_brute_force(spark, hot):
     near = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
     comp = _components(sets, near)
     docs = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, gone_id string").repartition(3)
-    got = {r.doc_id: r.component_id for r in simhash_dedup.similar_classes(docs, hot_size=hot).collect()}
+    got = {r.doc_id: r.component_id for r in simhash_dedup.similar_classes(docs, hot_size=hot, piece=piece).collect()}
     assert set(got) == set(sets) and all(comp[i] == comp[c] for i, c in got.items())
     assert sum(got[a] == got[b] for a, b in near) >= 0.98 * len(near) and got[0] == got[1] == 0 and got[2] == got[3] == 2 != got[4]
     if hot == 256:
