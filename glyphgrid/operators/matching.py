@@ -63,3 +63,12 @@ def voc_hits(pred: DataFrame, best: DataFrame, threshold: float = 0.5) -> DataFr
 def threshold_labels(iou: Column, low: float, high: float) -> Column:
     """0 below low, -1 between, 1 from high on."""
     return F.when(iou < low, 0).when(iou < high, -1).otherwise(1)
+
+
+def frame_pairs(boxes: DataFrame, video: str, frame: str, threshold: float) -> DataFrame:
+    """Greedy one-to-one pairs of each frame's boxes with those of the frame before it in the video: video, frame, before, now, iou. boxes: video, frame, gi, box."""
+    earlier = boxes.select(F.col(video), (F.col(frame) + 1).alias(frame), F.col("gi").alias("before"), F.col("box").alias("_a"))
+    pairs = boxes.select(video, frame, F.col("gi").alias("now"), F.col("box").alias("_b")).join(earlier, [video, frame]).where(B.overlaps(F.col("_a"), F.col("_b")))
+    pairs = pairs.withColumn("iou", B.iou(F.col("_a"), F.col("_b"))).where(F.col("iou") >= threshold)
+    keyed = pairs.select(F.struct(video, frame).alias("image_id"), F.col("before").alias("gi"), F.col("now").alias("pi"), "iou")
+    return greedy_match(keyed).select(f"image_id.{video}", f"image_id.{frame}", F.col("gi").alias("before"), F.col("pi").alias("now"), "iou")

@@ -65,14 +65,15 @@ def rotated(index: Column, total: Column, offset: int) -> Column:
 
 
 def stochastic_repeats(df: DataFrame, factor: str, key: str, seed: int = 0) -> DataFrame:
-    """Rows repeated floor(factor) times and once more with the fraction as probability, by a seeded hash of the key."""
-    extra = (F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) / 1_000_000 < F.col(factor) - F.floor(factor)).cast("int")
+    """Rows repeated floor(factor) times and once more with the fraction as probability, by a seeded value of the key. Adds copy (from 1)."""
+    chance = F.conv(F.substring(seeded(F.col(key), seed), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    extra = (chance < F.col(factor) - F.floor(factor)).cast("int")
     return df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest((F.floor(factor) + extra).cast("int"), F.lit(1)))))
 
 
 def subset(df: DataFrame, key: str, ratio: float, seed: int = 0) -> DataFrame:
-    """int(n * ratio) rows in the order of a seeded hash."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(int(df.count() * ratio))
+    """int(n * ratio) rows in the order of a seeded value."""
+    return df.orderBy(seeded(F.col(key), seed), key).limit(int(df.count() * ratio))
 
 
 def dataset_repeat_factors(df: DataFrame, source: str, image: str, category: str, weights: DataFrame, threshold: float) -> DataFrame:
@@ -96,8 +97,8 @@ def padded_groups(df: DataFrame, group: str, order: list[str], size: int, column
 
 
 def chosen_frames(df: DataFrame, group: str, order: str, count: int, how: str, seed: int = 0) -> DataFrame:
-    """The first, last or (by a seeded hash) random ``count`` rows of each group."""
-    by = {"first": [F.asc(order)], "last": [F.desc(order)], "random": [F.xxhash64(F.col(order), F.lit(seed)), F.asc(order)]}[how]
+    """The first, last or (by a seeded value) random ``count`` rows of each group."""
+    by = {"first": [F.asc(order)], "last": [F.desc(order)], "random": [seeded(F.col(order), seed), F.asc(order)]}[how]
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(*by))).where(F.col("_r") <= count).drop("_r")
 
 

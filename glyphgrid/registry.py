@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import annotations, datasets, detection, documents, files, ranking, rewards, samplers, spatial, spotting, tables
+from .plans import annotations, datasets, detection, documents, files, ranking, rewards, samplers, scalars, spatial, spotting, tables
 
-PARTS = (annotations, datasets, detection, documents, files, ranking, rewards, samplers, spatial, spotting, tables)
+PARTS = (annotations, datasets, detection, documents, files, ranking, rewards, samplers, scalars, spatial, spotting, tables)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,3 +18,8 @@ def windowed(events: DataFrame, width: str = "1 hour", late: str = "10 minutes")
 def append_log(events: DataFrame, path: str, checkpoint: str):
     """Writes each row once; what was written before a restart is known from the checkpoint."""
     return events.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def newer_than(events: DataFrame, key: str, order: str, written: DataFrame) -> DataFrame:
+    """Events after the last written one of their key (written: key, last); a key that was never written gives all."""
+    return events.join(written.select(key, "last"), key, "left").where(F.col("last").isNull() | (F.col(order) > F.col("last"))).drop("last")
