@@ -25,6 +25,32 @@ def greedy_match(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("image_id").agg(ordered.alias("pairs")).select("image_id", F.inline(fold)).select("image_id", "gi", "pi", "iou")
 
 
+def image_matches(gt: DataFrame, pred: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """image_id, num_gt, num_pred, matches (array of iou, gi, pi, truth, guess) of every image on either side: ``greedy_match`` with the texts along.
+
+    Each side is shuffled once, by image, and what is derived from a match needs neither again. An image's pairs are held in its row."""
+    g = gt.groupBy("image_id").agg(F.collect_list(F.struct("gi", "text", "box")).alias("g"))
+    p = pred.groupBy("image_id").agg(F.collect_list(F.struct("pi", "text", "box")).alias("p"))
+    pair = lambda x, y: F.struct(B.iou(x["box"], y["box"]).alias("iou"), x["gi"].alias("gi"), y["pi"].alias("pi"), x["text"].alias("truth"), y["text"].alias("guess"))
+    near = F.flatten(F.transform("g", lambda x: F.transform(F.filter("p", lambda y: B.overlaps(x["box"], y["box"])), lambda y: pair(x, y))))
+    ordered = F.sort_array(F.filter(near, lambda k: k["iou"] >= threshold), asc=False)
+    start = F.array().cast("array<struct<iou:double,gi:bigint,pi:bigint,truth:string,guess:string>>")
+    fold = F.aggregate(ordered, start, lambda acc, x: F.when(F.exists(acc, lambda k: (k["gi"] == x["gi"]) | (k["pi"] == x["pi"])), acc).otherwise(F.array_append(acc, x)))
+    size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
+    return g.join(p, "image_id", "full_outer").select("image_id", size("g").alias("num_gt"), size("p").alias("num_pred"), F.coalesce(fold, start).alias("matches"))
+
+
+def match_scores(images: DataFrame) -> DataFrame:
+    """``image_matches`` with num_matched and, over an image's matches, mean_iou, matched_mean (of the reward), mean_ned, 0 without any, and exact_matches."""
+    from ..functions import text as T
+
+    n = F.size("matches")
+    mean = lambda f: F.coalesce(F.try_divide(F.aggregate("matches", F.lit(0.0), lambda s, m: s + f(m)), n), F.lit(0.0))
+    scores = {"mean_iou": lambda m: m["iou"], "matched_mean": lambda m: T.pair_reward(m["truth"], m["guess"]), "mean_ned": lambda m: T.ned(m["truth"], m["guess"])}
+    exact = F.size(F.filter("matches", lambda m: m["truth"] == m["guess"])).cast("long")
+    return images.select("*", n.cast("long").alias("num_matched"), *[mean(f).alias(c) for c, f in scores.items()], exact.alias("exact_matches"))
+
+
 def unmatched(side: DataFrame, matches: DataFrame, key: str) -> DataFrame:
     return side.join(matches, ["image_id", key], "left_anti")
 

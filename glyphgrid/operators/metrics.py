@@ -56,14 +56,6 @@ def count_bucket(n: Column) -> Column:
     return F.when(n <= 3, n.cast("string")).when(n <= 5, "4-5").when(n <= 10, "6-10").otherwise("11+")
 
 
-def ranked_precision(hits: DataFrame, positives: int, *order: Column) -> DataFrame:
-    """Adds rank, tp and precision sums and envelope to hits (column tp) by order. One sequence: for a bounded or pre-grouped table."""
-    w = Window.orderBy(*order)
-    out = hits.withColumn("rank", F.row_number().over(w)).withColumn("cum", F.sum("tp").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = out.withColumn("recall", F.col("cum") / F.lit(positives)).withColumn("precision", F.col("cum") / F.col("rank"))
-    return out.withColumn("envelope", F.max("precision").over(Window.orderBy(F.desc("rank"))))
-
-
 def confusion(df: DataFrame, guess: str, truth: str) -> DataFrame:
     return df.groupBy(guess, truth).agg(F.count("*").alias("n"))
 

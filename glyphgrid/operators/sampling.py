@@ -20,6 +20,27 @@ def place_in_order(df: DataFrame, order: list[str], parts: int = 256) -> DataFra
     return rows.join(F.broadcast(starts), "_part").withColumn("place", own - 1 + F.col("_start")).drop("_part", "_start")
 
 
+def running(df: DataFrame, group: list[str], order: list[str], value: str | None = None, falling: bool = False, parts: int = 256) -> DataFrame:
+    """Adds rank (from 1) and, with a value, cum (its sum so far) of each row in its group by order, whose first column is a number and falls if ``falling``.
+
+    Like ``place_in_order``, in each group: quantiles of the first column over the whole table cut every group into ranges, so that a large group is many tasks."""
+    lead = F.col(order[0]).cast("double")
+    cuts = sorted(set(df.select(lead.alias("v")).approxQuantile("v", [k / parts for k in range(1, parts)], 0.25 / parts)))
+    split = F.size(F.filter(F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>"), lambda c: c <= lead))
+    part = F.when(lead.isNull(), -1).otherwise(split)
+    rows = df.withColumn("_part", -part if falling else part)
+    by = [F.desc(order[0]) if falling else F.asc(order[0]), *order[1:]]
+    inside = Window.partitionBy(*group, "_part").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("rank", F.count("*").over(inside)).withColumn("cum", F.sum(value).over(inside) if value else F.lit(None))
+    ahead = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    totals = rows.groupBy(*group, "_part").agg(F.max("rank").alias("_n"), F.sum(value).alias("_s") if value else F.lit(0).alias("_s"))
+    names = {c: f"_at_{c}" for c in [*group, "_part"]}
+    starts = totals.select(*[F.col(c).alias(n) for c, n in names.items()], F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_s").over(ahead), F.lit(0)).alias("_s0"))
+    out = rows.join(starts, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()])
+    out = out.withColumn("rank", F.col("rank") + F.col("_n0")).withColumn("cum", F.col("cum") + F.col("_s0")).drop("_part", "_n0", "_s0", *names.values())
+    return out if value else out.drop("cum")
+
+
 def contiguous_shards(df: DataFrame, order: list[str], shards: int) -> DataFrame:
     """Adds shard (from 0): the first n mod shards ones hold one row more."""
     out = place_in_order(df, order)
@@ -44,7 +65,7 @@ def full_batches(df: DataFrame, group: list[str], order: list[str], size: int) -
 
 def round_robin(df: DataFrame, source: str, order: list[str]) -> DataFrame:
     """Adds turn: the row's number in its source, by which sources alternate."""
-    return df.withColumn("turn", F.row_number().over(Window.partitionBy(source).orderBy(*order)).cast("long"))
+    return running(df, [source], order).withColumnRenamed("rank", "turn")
 
 
 def repeat_factors(df: DataFrame, image: str, category: str, threshold: float) -> DataFrame:

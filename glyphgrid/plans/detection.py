@@ -49,24 +49,26 @@ def query(sql: str | None = None):
     return add
 
 
-def _matches(spark: SparkSession, d: str, threshold: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:
-    gt, pred = truth(spark, d), guesses(spark, d)
-    return gt, pred, matching.greedy_match(matching.iou_pairs(gt, pred, threshold))
+def _images(spark: SparkSession, d: str) -> DataFrame:
+    return matching.image_matches(truth(spark, d), guesses(spark, d))
+
+
+def _matches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return truth(spark, d), guesses(spark, d), _images(spark, d).select("image_id", F.inline("matches")).select("image_id", "gi", "pi", "iou")
 
 
 def _counts(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.image_counts(*_matches(spark, d))
+    return _images(spark, d).select("image_id", "num_gt", "num_pred", F.size("matches").cast("long").alias("num_matched"))
 
 
 def _rewarded(spark: SparkSession, d: str) -> DataFrame:
-    gt, pred, m = _matches(spark, d)
-    own = m.join(gt.select("image_id", "gi", F.col("text").alias("a")), ["image_id", "gi"]).join(pred.select("image_id", "pi", F.col("text").alias("b")), ["image_id", "pi"])
-    return own.select("image_id", "gi", "pi", T.pair_reward(F.col("a"), F.col("b")).alias("reward"), T.ned(F.col("a"), F.col("b")).alias("ned"), (F.col("a") == F.col("b")).alias("same"))
+    m, a, b = _images(spark, d).select("image_id", F.inline("matches")), F.col("truth"), F.col("guess")
+    return m.select("image_id", "gi", "pi", T.pair_reward(a, b).alias("reward"), T.ned(a, b).alias("ned"), (a == b).alias("same"))
 
 
 def _final(spark: SparkSession, d: str) -> DataFrame:
-    mean = _rewarded(spark, d).groupBy("image_id").agg(F.round(F.avg("reward"), 9).alias("matched_mean"))
-    return metrics.compose_reward(_counts(spark, d).join(mean, "image_id", "left").na.fill(0.0, ["matched_mean"]))
+    rows = matching.match_scores(_images(spark, d)).withColumn("matched_mean", F.round("matched_mean", 9))
+    return metrics.compose_reward(rows.select("image_id", "num_gt", "num_pred", "num_matched", "matched_mean"))
 
 
 @query(f"{_W}, {_PAIRS} SELECT image_id, gi, pi, iou FROM pairs")
@@ -76,7 +78,7 @@ def j1_iou_join(spark, d):
 
 @query(f"{_W}, {_MATCH} SELECT image_id, gi, pi, iou FROM m")
 def j2_greedy_match(spark, d):
-    return _matches(spark, d)[2]
+    return matching.greedy_match(matching.iou_pairs(truth(spark, d), guesses(spark, d), 0.5))
 
 
 @query(f"{_W}, {_MATCH} SELECT 'gt' AS side, image_id, gi AS idx FROM gt WHERE (image_id, gi) NOT IN (SELECT image_id, gi FROM m) UNION ALL SELECT 'pred', image_id, pi FROM pred WHERE (image_id, pi) NOT IN (SELECT image_id, pi FROM m)")
@@ -88,10 +90,8 @@ def j3_unmatched(spark, d):
 
 @query(f"{_W}, {_MATCH}, {_REWARDED}, {_COUNTS} SELECT c.image_id, num_gt, num_pred, num_matched, coalesce(r.iou, 0.0) AS mean_iou, coalesce(w.ned, 0.0) AS mean_ned, coalesce(w.exact, 0)::BIGINT AS exact_matches FROM cnt c LEFT JOIN (SELECT image_id, round(avg(iou), 9) AS iou FROM m GROUP BY 1) r USING (image_id) LEFT JOIN (SELECT image_id, round(avg(ned), 9) AS ned, sum(same::INT) AS exact FROM rew GROUP BY 1) w USING (image_id)")
 def a3_per_image_summary(spark, d):
-    gt, pred, m = _matches(spark, d)
-    out = metrics.image_counts(gt, pred, m).join(m.groupBy("image_id").agg(F.round(F.avg("iou"), 9).alias("mean_iou")), "image_id", "left")
-    text = _rewarded(spark, d).groupBy("image_id").agg(F.round(F.avg("ned"), 9).alias("mean_ned"), F.count_if("same").alias("exact_matches"))
-    return out.join(text, "image_id", "left").na.fill(0)
+    out = matching.match_scores(_images(spark, d))
+    return out.select("image_id", "num_gt", "num_pred", "num_matched", F.round("mean_iou", 9).alias("mean_iou"), F.round("mean_ned", 9).alias("mean_ned"), "exact_matches")
 
 
 _PRF = "sum(num_gt)::BIGINT AS num_gt, sum(num_pred)::BIGINT AS num_pred, sum(num_matched)::BIGINT AS num_matched, sum(num_matched)::DOUBLE / sum(num_pred)::DOUBLE AS precision, sum(num_matched)::DOUBLE / sum(num_gt)::DOUBLE AS recall"

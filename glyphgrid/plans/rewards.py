@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import rewards
-from .detection import _COUNTS, _MATCH, _REWARD_ROWS, _REWARDED, _W, _final, _matches, _rewarded
+from ..functions import text as T
+from ..operators import matching, metrics, rewards
+from .detection import _COUNTS, _MATCH, _REWARD_ROWS, _REWARDED, _W, _images, _rewarded
 from .registered import registrar
 from .views import SQL, lines, table
 
@@ -16,8 +17,8 @@ _FIN = f"{_W}, {_MATCH}, {_REWARDED}, {_COUNTS}, {_REWARD_ROWS}, iou AS (SELECT
 
 def _rows(spark, d):
     """The composed rewards with the mean overlap of each image's matches."""
-    iou = _matches(spark, d)[2].groupBy("image_id").agg(F.avg("iou").alias("mean_iou"))
-    return _final(spark, d).join(iou, "image_id", "left").na.fill(0.0, ["mean_iou"])
+    rows = matching.match_scores(_images(spark, d)).withColumn("matched_mean", F.round("matched_mean", 9))
+    return metrics.compose_reward(rows.drop("matches", "mean_ned", "exact_matches"))
 
 
 def _rounded(df, places, *keep):
@@ -59,8 +60,9 @@ def a18_psnr_bonus(spark, d):
 
 @query(f"{_FIN}, o AS (SELECT rows.*, coalesce(s.t, 0.0) / greatest(num_gt, 1) AS over FROM rows LEFT JOIN (SELECT image_id, sum(reward) AS t FROM rew GROUP BY 1) s USING (image_id)) SELECT round(avg(matched_mean) FILTER (num_matched > 0), 7) AS matched_only, round(avg(over) FILTER (num_gt > 0), 7) AS over_truth FROM o")
 def a19_macro_means(spark, d):
-    total = _rewarded(spark, d).groupBy("image_id").agg(F.sum("reward").alias("t"))
-    rows = _rows(spark, d).join(total, "image_id", "left").withColumn("over", F.coalesce("t", F.lit(0.0)) / F.greatest(F.col("num_gt"), F.lit(1)))
+    rows = matching.match_scores(_images(spark, d)).withColumn("matched_mean", F.round("matched_mean", 9))
+    total = F.aggregate("matches", F.lit(0.0), lambda s, m: s + T.pair_reward(m["truth"], m["guess"]))
+    rows = rows.withColumn("over", total / F.greatest(F.col("num_gt"), F.lit(1)))
     return _rounded(rewards.macro_means(rows, "matched_mean", "over"), 7)
 
 

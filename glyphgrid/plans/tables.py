@@ -116,8 +116,7 @@ def a34_polarity(spark, d):
 @query("SELECT source, round(sum(CASE WHEN quality = 1 THEN cum / rank ELSE 0 END) / sum(quality), 9) AS ap FROM (SELECT source, quality, sum(quality) OVER w AS cum, row_number() OVER w AS rank FROM labels JOIN documents USING (doc_id) WINDOW w AS (PARTITION BY source ORDER BY n_chars DESC, doc_id ROWS UNBOUNDED PRECEDING)) GROUP BY 1 HAVING sum(quality) > 0")
 def a41_tag_ap(spark, d):
     df = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source", "n_chars"), "doc_id")
-    w = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("cum", F.sum("quality").over(w)).withColumn("rank", F.count("*").over(w))
+    df = sampling.running(df, ["source"], ["n_chars", "doc_id"], "quality", falling=True)
     ap = F.sum(F.when(F.col("quality") == 1, F.col("cum") / F.col("rank")).otherwise(0.0)) / F.sum("quality")
     return df.groupBy("source").agg(F.round(F.when(F.sum("quality") > 0, ap), 9).alias("ap")).where("ap is not null")
 
@@ -127,10 +126,12 @@ c AS (SELECT *, sum(tp) OVER (PARTITION BY source ORDER BY rank) AS cum FROM r),
 SELECT source, round(sum(tp * env / pos), 8) AS ap FROM e WHERE pos > 0 GROUP BY 1""")
 def a24_voc_ap(spark, d):
     df = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source", "n_chars"), "doc_id")
-    own, w = Window.partitionBy("source"), Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
-    df = df.withColumn("rank", F.row_number().over(w)).withColumn("cum", F.sum("quality").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("pos", F.sum("quality").over(own)).where("pos > 0")
-    df = df.withColumn("env", F.max(F.col("cum") / F.col("rank")).over(own.orderBy(F.desc("rank"))))
-    return df.groupBy("source").agg(F.round(F.sum(F.col("quality") * F.col("env") / F.col("pos")), 8).alias("ap"))
+    df = sampling.running(df, ["source"], ["n_chars", "doc_id"], "quality", falling=True)
+    # The largest precision from a hit on: by number of hits, so from as few rows as a source has positives.
+    cuts = df.where("cum > 0").groupBy("source", "cum").agg(F.max(F.col("cum") / F.col("rank")).alias("p"))
+    best = cuts.groupBy("source").agg(F.sort_array(F.collect_list(F.struct((-F.col("cum")).alias("neg"), "p"))).alias("c"), F.max("cum").alias("pos"))
+    total = F.aggregate("c", F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("top")), lambda s, x: F.struct((s["sum"] + F.greatest(s["top"], x["p"])).alias("sum"), F.greatest(s["top"], x["p"]).alias("top")), lambda s: s["sum"])
+    return best.select("source", F.round(total / F.col("pos"), 8).alias("ap"))
 
 
 @query("SELECT coalesce(event_type, 'all') AS category, count(*) AS n, round(avg(value), 7) AS mean FROM events GROUP BY ROLLUP (event_type)")
@@ -169,7 +170,7 @@ def j18_three_way(spark, d):
 
 @query("SELECT a.rn AS line, a.item_id, b.page_id FROM (SELECT row_number() OVER (ORDER BY item_id) AS rn, item_id FROM benchmark) a JOIN (SELECT row_number() OVER (ORDER BY page_id) AS rn, page_id FROM pages) b USING (rn)")
 def j19_positional(spark, d):
-    number = lambda t, k: table(spark, d, t).select(k).withColumn("line", F.row_number().over(Window.orderBy(k)).cast("long"))
+    number = lambda t, k: sampling.place_in_order(table(spark, d, t).select(k), [k]).select(k, (F.col("place") + 1).cast("long").alias("line"))
     return number("benchmark", "item_id").join(number("pages", "page_id"), "line")
 
 
@@ -208,8 +209,8 @@ def w13_chunk(spark, d):
 
 @query("SELECT o_orderkey, ((row_number() OVER (ORDER BY o_orderkey) - 1 - 137) % count(*) OVER () + count(*) OVER ()) % count(*) OVER () AS place FROM orders")
 def w15_rotation(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey").withColumn("i", F.row_number().over(Window.orderBy("o_orderkey")) - 1).withColumn("n", F.count("*").over(Window.partitionBy()))
-    return o.select("o_orderkey", sampling.rotated(F.col("i"), F.col("n"), 137).cast("long").alias("place"))
+    o = sampling.place_in_order(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"])
+    return o.select("o_orderkey", sampling.rotated(F.col("place"), F.col("total"), 137).cast("long").alias("place"))
 
 
 @query("SELECT o_orderkey, s FROM orders, range(0, 2000, 60) t(s) WHERE s <= greatest(100 + o_orderkey % 500 - 128, 0) UNION SELECT o_orderkey, greatest(100 + o_orderkey % 500 - 128, 0) FROM orders")
