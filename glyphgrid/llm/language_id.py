@@ -81,9 +81,9 @@ def _maximise(counts: np.ndarray, p: np.ndarray, share: np.ndarray, steps: int)
     """EM from ``share`` (a language at zero stays there): the proportions and their log likelihood."""
     total = np.maximum(counts.sum(axis=1, keepdims=True), 1)
     for _ in range(steps):
-        share = share * ((counts / (share @ p)) @ p.T) / total
+        share = share * ((counts / np.maximum(share @ p, 1e-30)) @ p.T) / total
         share /= np.maximum(share.sum(axis=1, keepdims=True), 1e-30)
-    return share, np.einsum("dg,dg->d", counts, np.log(share @ p))
+    return share, np.einsum("dg,dg->d", counts, np.log(np.maximum(share @ p, 1e-30)))
 
 
 def mixture(counts: np.ndarray, model: LanguageModel) -> np.ndarray:
@@ -108,14 +108,22 @@ def mixture(counts: np.ndarray, model: LanguageModel) -> np.ndarray:
     return best
 
 
+def likelihood_gain(counts: np.ndarray, share: np.ndarray, model: LanguageModel) -> np.ndarray:
+    """Of each document: by how much, in nats a gram, its mixture makes it likelier than a source that knows no language (all grams alike) does; 0 without grams."""
+    p = np.exp(model.log_p).astype(np.float32)
+    total = counts.sum(axis=1)
+    own = np.einsum("dg,dg->d", counts, np.log(np.maximum(share @ p, 1e-12)))
+    return np.where(total > 0, own / np.maximum(total, 1) + np.log(GRAMS), 0.0)
+
+
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, lang_pred, score (the language's proportion), languages (the chosen set, largest first).
+    """One row per row of ``docs``: doc_id, lang_pred, score (the language's proportion), languages (the chosen set, largest first), gain (``likelihood_gain``).
 
-    Null texts and texts without a letter are 'und' with score 0, as is everything if the model has no languages. keep: columns
+    Null texts and texts without a letter are 'und' with score and gain 0, as is everything if the model has no languages. keep: columns
     to carry along under names of their own."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     carried = keep or []
-    schema = ", ".join([f"{n} {docs.select(F.col(f'`{n}`')).schema[0].dataType.simpleString()}" for n in carried] + ["doc_id long, lang_pred string, score double, languages array<string>"])
+    schema = ", ".join([f"{n} {docs.select(F.col(f'`{n}`')).schema[0].dataType.simpleString()}" for n in carried] + ["doc_id long, lang_pred string, score double, languages array<string>, gain double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -123,12 +131,14 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", id_co
             for part in slices(batch, "_text", STEP_BYTES):
                 values = text_array(part, "_text")
                 letters = has_letter(values) if m.languages else np.zeros(len(values), bool)
-                share = mixture(gram_counts(values), m) if letters.any() else np.zeros((len(values), max(1, len(m.languages))), np.float32)
+                counts = gram_counts(values) if letters.any() else None
+                share = mixture(counts, m) if letters.any() else np.zeros((len(values), max(1, len(m.languages))), np.float32)
+                gain = np.where(letters, likelihood_gain(counts, share, m), 0.0) if letters.any() else np.zeros(len(values))
                 order = np.argsort(-share, axis=1, kind="stable")
                 name = [m.languages[o[0]] if ok else "und" for o, ok in zip(order, letters, strict=True)]
                 sets = [[m.languages[j] for j in o if s[j] > 0] if ok else [] for o, s, ok in zip(order, share, letters, strict=True)]
                 score = np.where(letters, np.clip(share.max(axis=1), 0, 1), 0).astype(float)
-                yield pa.record_batch([*[part.column(k) for k in range(len(carried))], part.column(len(carried)), pa.array(name, pa.string()), pa.array(score), pa.array(sets, pa.list_(pa.string()))], names=[*carried, "doc_id", "lang_pred", "score", "languages"])
+                yield pa.record_batch([*[part.column(k) for k in range(len(carried))], part.column(len(carried)), pa.array(name, pa.string()), pa.array(score), pa.array(sets, pa.list_(pa.string())), pa.array(gain.astype(float))], names=[*carried, "doc_id", "lang_pred", "score", "languages", "gain"])
 
     return docs.select(*[F.col(f"`{n}`") for n in carried], F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text")).mapInArrow(freeing(run), schema)
 
@@ -139,10 +149,10 @@ def fold(id_col: Column, folds: int) -> Column:
 
 
 def language_id(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
-    """Trains on all rows outside the held-out fold (crc32(id) mod 4 is 2) and predicts every row: doc_id, held_out, lang_pred, score, languages.
+    """Trains on all rows outside the held-out fold (crc32(id) mod 4 is 2) and predicts every row: doc_id, held_out, lang_pred, score, languages, gain.
 
     See ``fit`` and ``predict`` for nulls and empty tables; repeated rows are rows of their own."""
     held = fold(F.col(f"`{id_col}`"), 4) == 2
     model = fit(docs.where(~held), text_col, lang_col)
     out = predict(docs, model, text_col, id_col)
-    return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "languages")
+    return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "languages", "gain")

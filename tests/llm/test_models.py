@@ -228,6 +228,61 @@ def test_quoted_abuse_is_told_apart_from_labels(spark):
     assert len(none) == 603 and {r.predicted for r in none} == {0}
 
 
+def test_language_stage_rejects_what_no_language_explains(spark):
+    """Scripts and letter salad that no learned language makes likely go, as do texts without a letter; every other document of the corpus stays, repeats and nulls among the columns too."""
+    rng = random.Random(4)
+    own = spark.read.parquet(f"{SF}/documents.parquet")
+    bad = [(9001, "Съешь же ещё этих мягких французских булок да выпей чаю. " * 4), (9002, "".join(rng.choice("qxzjkvw ") for _ in range(300))), (9003, "漢字仮名交じり文は日本語の表記法である。" * 5), (9004, "12 34 !!"), (9005, None)]
+    rows = spark.createDataFrame([(i, t, None, None, None) for i, t in bad], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.identify_language(spark, own.unionByName(rows).unionByName(own.limit(1)), "")
+    kept = [r.doc_id for r in got.collect()]
+    assert not set(kept) & {i for i, _ in bad} and got.columns == corpus_pipeline.COLUMNS
+    letters = {r.doc_id for r in own.collect() if any(map(str.isalpha, r.text or ""))}
+    assert len(letters - set(kept)) <= 1 and len(kept) == len(set(kept)) + 1
+
+
+def test_no_language_at_all(spark, docs):
+    got = language_id.language_id(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert len(got) == docs.count() and {(r.lang_pred, r.score, r.gain) for r in got} == {("und", 0.0, 0.0)}
+    stayed = corpus_pipeline.identify_language(spark, docs.withColumn("lang", F.lit(None).cast("string")), "")
+    assert stayed.count() == sum(any(map(str.isalpha, r.text or "")) for r in docs.collect())
+
+
+def test_search_with_repeated_ids_other_lengths_and_clashing_columns(spark):
+    rows = [(k, [float(k % 7), float(k % 5), 1.0], k, "x") for k in range(60)] + [(20, [6.0, 4.0, 1.0], 1, None), (40, [1.0, 2.0], 1, None), (None, [1.0, 1.0, 1.0], 1, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank long, part string")
+    got = ann.nearest(df, F.col("vec_id") % 20 == 0, k=5).collect()
+    own = [(i, np.array(v)) for i, v, *_ in rows if i is not None and len(v) == 3]
+    for i in {i for i, _ in own if i % 20 == 0}:
+        lists = [sorted(((-float(v @ q), j) for j, v in own if j != i))[:5] for k, q in own if k == i]
+        mine = sorted((-r.score, r.vec_id) for r in got if r.query_id == i)
+        assert len(mine) == 5 and mine in ([sorted(x) for x in lists] + [sorted(sorted(lists[0] + lists[-1])[:5])])
+
+
+def test_mixed_documents_with_clashing_names(spark, docs):
+    clash = docs.withColumn("mixed_id", F.lit("a")).withColumn("times", F.lit("b")).withColumn("turn", F.lit("c"))
+    out = mixing.mixed_documents(clash)
+    assert out.columns == clash.columns
+    rows = out.collect()
+    assert {(r.mixed_id, r.times, r.turn) for r in rows} == {("a", "b", "c")}
+    taken = {}
+    for r in mixing.mix(docs).collect():
+        if r.doc_id is not None and r.taken:
+            taken[r.doc_id] = max(taken.get(r.doc_id, 0), -(-r.taken // r.size))
+    repeats = {i: sum(d.doc_id == i for d in docs.collect()) for i in (904,)}
+    count = {}
+    for r in rows:
+        count[r.doc_id] = count.get(r.doc_id, 0) + 1
+    assert {i: n // repeats.get(i, 1) for i, n in count.items() if i is not None} == taken
+
+
+def test_pipeline_of_an_empty_table(spark):
+    rows = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        rows = stage(spark, rows, "")
+        assert rows.count() == 0
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, toxic int")
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
