@@ -13,12 +13,12 @@ from glyphgrid.llm._common import scratch_dir
 from glyphgrid.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document is rejected if no language has at least this share of it.
-LEAST_SHARE = 0.5
+#: A document is rejected if no language has at least this share of it, or if the learned languages make it less likely, by so many nats a trigram, than a source without any language does.
+LEAST_SHARE, LEAST_GAIN = 0.5, -1.0
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents of which one language has LEAST_SHARE or more; those without a letter and even mixtures go.
+    """Keeps documents of which one language has LEAST_SHARE or more and which the languages explain (LEAST_GAIN); those without a letter, other scripts, letter salad and mixtures without a main language go.
 
     Learns from the documents' own text and lang, over all of them; without any lang nothing can be told, and documents with a letter stay."""
     model = language_id.fit(docs, "text", "lang")
@@ -26,7 +26,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
         return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
     carried = docs.select("doc_id", "text", F.col("lang").alias("own_lang"), "source", "n_chars").withColumn("own_id", F.col("doc_id"))
     out = language_id.predict(carried, model, keep=["text", "own_lang", "source", "n_chars", "own_id"])
-    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(F.col("own_id").alias("doc_id"), "text", F.col("own_lang").alias("lang"), "source", "n_chars")
+    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE) & (F.col("gain") > LEAST_GAIN)).select(F.col("own_id").alias("doc_id"), "text", F.col("own_lang").alias("lang"), "source", "n_chars")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
