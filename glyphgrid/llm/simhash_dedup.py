@@ -30,10 +30,12 @@ WORDS_OF_BITS = SEGMENTS * SEGMENT_BITS // 64
 HOT, BLOCK, PIECE = 256, 1_024, 2_048
 #: Ids of sets with possible partners that are broadcast at most (8 bytes each); more of them are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Members of the sets of hot keys that are broadcast at most (8 bytes each); more of them are joined by a shuffle.
+BROADCAST_VALUES = 4_000_000
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 #: The bits of a byte as eight bytes.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
-_ONE = np.uint64(1)
+_ONE, _SEGMENT = np.uint64(1), np.uint64((1 << SEGMENT_BITS) - 1)
 
 
 def fingerprint_of(shingle_hashes: np.ndarray) -> int:
@@ -245,7 +247,7 @@ def _index(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, node, sketch: every segment with each of its bits wildcarded. sketch: a word of the fingerprint that the segment isn't in, its lowest bit replaced by the wildcarded one."""
+    """key, node, sketch: every segment with each of its bits wildcarded. sketch: the word of the fingerprint before the segment's, its lowest bit replaced by the wildcarded one."""
     place = np.arange(SEGMENTS * SEGMENT_BITS)
     segment, bit = place // SEGMENT_BITS, (place % SEGMENT_BITS).astype(np.uint64)
     each = 64 // SEGMENT_BITS
@@ -255,15 +257,20 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = part.column(1).flatten().to_numpy().view(np.uint64).reshape(part.num_rows, -1)
             own = (bits[:, segment // each] >> ((segment % each) * SEGMENT_BITS).astype(np.uint64)) & np.uint64((1 << SEGMENT_BITS) - 1)
             key = (place.astype(np.uint64) << np.uint64(SEGMENT_BITS)) | (own & ~(_ONE << bit))
-            sketch = (bits[:, (segment // each + 1) % WORDS_OF_BITS] & ~_ONE) | ((own >> bit) & _ONE)
+            sketch = (bits[:, (segment // each - 1) % WORDS_OF_BITS] & ~_ONE) | ((own >> bit) & _ONE)
             yield pa.record_batch([pa.array(key.ravel().astype(np.int32)), pa.array(np.repeat(part.column(0).to_numpy(), len(place))), signed(sketch.ravel())], names=["key", "node", "sketch"])
 
 
 def _may_be_near(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of sketches under one key: whether their wildcarded bits differ, or are alike at a segment's first wildcard, and the sketches are within REACH."""
+    """Of sketches under one key: whether their wildcarded bits differ, or are alike at a segment's first wildcard, the sketches are within REACH, and no segment of the word before,
+    which the sketch is, agrees too: then the pair meets there."""
     x = a ^ b
     once = ((x & _ONE) == 1) | ((key >> SEGMENT_BITS) % SEGMENT_BITS == 0)
-    return once & (np.bitwise_count(x >> _ONE) <= REACH)
+    known = x & ~_ONE
+    before = np.bitwise_count(known & _SEGMENT) == 0  # its lowest bit isn't known
+    for k in range(1, 64 // SEGMENT_BITS):
+        before |= np.bitwise_count((known >> np.uint64(k * SEGMENT_BITS)) & _SEGMENT) <= 1
+    return once & (np.bitwise_count(known) <= REACH) & ~(before & ((key >> SEGMENT_BITS) >= 64))
 
 
 def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -285,7 +292,7 @@ def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]
 
 
 def _candidates(hot_size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From variants sorted by key: a, b of pairs that may be near (key -1). Of a hot key, one of more than ``hot_size`` sets or of more pairs than sets: each
+    """From variants sorted by key: a, b of pairs that may be near (key -1). Of a hot key, one of more than ``hot_size`` sets or of more than three pairs to two sets: each
     set's pair with the smallest one at every fourth wildcard, and all rows (node, sketch) with their key, for the second look."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,7 +311,7 @@ def _candidates(hot_size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
                 b.append(good + d)
             a, b = np.concatenate(a), np.concatenate(b)
             group = np.repeat(np.arange(len(first)), size)
-            dense = (np.bincount(group[a], minlength=len(first)) > size) | (size > hot_size)
+            dense = (2 * np.bincount(group[a], minlength=len(first)) > 3 * size) | (size > hot_size)
             keep, hot = ~dense[group[a]], dense[group]
             a, b = [node[a[keep]]], [node[b[keep]]]
             star = dense & ((key[first] >> SEGMENT_BITS) % 4 == 0)  # every fourth wildcard: the second look finds what these leave apart
@@ -321,21 +328,37 @@ def _candidates(hot_size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return run
 
 
-def _second_look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From hot keys' rows sorted by key and component: key, part, node of the sets that may be near one of another component."""
-    for key, part, node, sketch in _whole_keys(batches):
-        bits = sketch.view(np.uint64)
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        keep = np.zeros(len(key), bool)
-        for s, e in zip(first, np.append(first[1:], len(key)), strict=True):
-            for x in range(s, e, BLOCK):
-                for y in range(x, e, BLOCK):
-                    left, right = slice(x, min(x + BLOCK, e)), slice(y, min(y + BLOCK, e))
-                    if part[x] != part[right.stop - 1]:  # sorted, so else all between are of one component
-                        ok = _may_be_near(key[x], bits[left, None], bits[None, right]) & (part[left, None] != part[None, right])
-                        keep[left] |= ok.any(axis=1)
-                        keep[right] |= ok.any(axis=0)
-        yield pa.record_batch([pa.array(key[keep]), pa.array(part[keep]), pa.array(node[keep])], names=["key", "part", "node"])
+def _second_look(piece: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From hot keys' rows sorted by key and component: deal, side, key, part, node of the sets that may be near one of another component.
+
+    Those of a key are dealt out in pieces of ``piece``, two pieces to a deal, with sides 1 and 2, and each piece with itself, side 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, part, node, sketch in _whole_keys(batches):
+            bits = sketch.view(np.uint64)
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            rows = []
+            for s, e in zip(first, np.append(first[1:], len(key)), strict=True):
+                keep = np.zeros(e - s, bool)
+                for x in range(s, e, BLOCK):
+                    for y in range(x, e, BLOCK):
+                        left, right = slice(x, min(x + BLOCK, e)), slice(y, min(y + BLOCK, e))
+                        if part[x] != part[right.stop - 1]:  # sorted, so else all between are of one component
+                            ok = _may_be_near(key[x], bits[left, None], bits[None, right]) & (part[left, None] != part[None, right])
+                            keep[x - s : left.stop - s] |= ok.any(axis=1)
+                            keep[y - s : right.stop - s] |= ok.any(axis=0)
+                at = s + np.flatnonzero(keep)
+                pieces = [at[k : k + piece] for k in range(0, len(at), piece)]
+                for low in range(len(pieces)):
+                    for high in range(low, len(pieces)):
+                        own = pieces[low] if low == high else np.concatenate((pieces[low], pieces[high]))
+                        side = np.zeros(len(own), np.int8) if low == high else np.repeat(np.array([1, 2], np.int8), [len(pieces[low]), len(pieces[high])])
+                        rows.append((np.full(len(own), (int(key[s]) << 32) | (low << 16) | high), side, own))
+            if rows:
+                deal, side, own = (np.concatenate(x) for x in zip(*rows, strict=True))
+                yield pa.record_batch([pa.array(deal), pa.array(side), pa.array(key[own]), pa.array(part[own]), pa.array(node[own])], names=["deal", "side", "key", "part", "node"])
+
+    return run
 
 
 def _home_key(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -353,8 +376,29 @@ def _home_key(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.where(far <= FAR, out, -1)
 
 
-def _verify_within(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From rows (deal, side, key, part, node, bits, members) sorted by deal: a, b of near pairs that join the components as all near pairs do. Sides that are alike and above 0 don't meet."""
+class _SetTable:
+    """Fingerprints and members of nodes, by look-up."""
+
+    def __init__(self, table: pa.Table):
+        order = np.argsort(table.column("node").to_numpy(), kind="stable")
+        table = table.take(pa.array(order)).combine_chunks()
+        self.node = table.column("node").to_numpy()
+        self.bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(self.node), WORDS_OF_BITS)
+        members = table.column("members").combine_chunks()
+        self.count, self.member = members.value_lengths().to_numpy().astype(np.int64), members.flatten().to_numpy()
+        self.first = np.cumsum(self.count) - self.count
+
+    def of(self, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Fingerprints, members one after the other, and their counts."""
+        at = np.searchsorted(self.node, node)
+        count = self.count[at]
+        ends = np.cumsum(count)
+        return self.bits[at], self.member[np.repeat(self.first[at] - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)], count
+
+
+def _verify_within(similarity: float, table_of: Callable[[], _SetTable | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From rows (deal, side, key, part, node and, where there is no table of sets, bits, members) sorted by deal: a, b of near pairs that join the components as all near pairs do. Sides that are alike
+    and above 0 don't meet."""
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         held: list[pa.RecordBatch] = []
@@ -373,10 +417,8 @@ def _verify_within(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], It
     def near(table: pa.Table) -> Iterator[tuple[int, int]]:
         table = table.combine_chunks()
         side, key, part, node = (table.column(c).to_numpy() for c in ("side", "key", "part", "node"))
-        bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
-        sets = table.column("members").combine_chunks()
-        _, code = np.unique(sets.flatten().to_numpy(), return_inverse=True)
-        count = sets.value_lengths().to_numpy().astype(np.int64)
+        bits, member, count = (table_of() or _SetTable(table.select(["node", "bits", "members"]))).of(node)
+        _, code = np.unique(member, return_inverse=True)
         end = np.cumsum(count)
         mark = np.zeros(int(code.max(initial=0)) + 1, np.int32)
         joined: dict[int, int] = {}
@@ -476,15 +518,18 @@ def _across_components(own: DataFrame, distinct: DataFrame, hot: DataFrame, foun
     """The near pairs of hot keys (key, node, sketch) that join what the pairs found so far have left apart. Sets of a key are dealt out by two pieces at a time, and verified where they meet."""
     part = connected_components(found)
     rows = hot.join(part, "node", "left").select("key", F.coalesce("root", "node").alias("part"), "node", "sketch")
-    rows = materialise(rows.repartition("key").sortWithinPartitions("key", "part").mapInArrow(freeing(_second_look), "key int, part long, node long"), "apart")
-    sets = _sets_of(own, rows.select("node").distinct(), size)
-    pieces = rows.groupBy("key").agg(F.ceil(F.count("*") / piece).cast("int").alias("pieces"))
-    dealt = rows.join(pieces, "key").withColumn("piece", F.pmod(F.xxhash64("node"), "pieces").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    side = F.when(F.col("piece") == F.col("other"), 0).when(F.col("piece") < F.col("other"), 1).otherwise(2)
-    dealt = dealt.select(F.xxhash64("key", F.least("piece", "other"), F.greatest("piece", "other")).alias("deal"), side.alias("side"), "key", "part", "node")
-    dealt = dealt.join(distinct.select("node", "bits"), "node").join(sets, "node").select("deal", "side", "key", "part", "node", "bits", "members")
-    out = materialise(dealt.repartition("deal").sortWithinPartitions("deal").mapInArrow(freeing(_verify_within(similarity)), "a long, b long"), "joined")
-    discard(rows, sets)
+    rows = rows.repartition("key").sortWithinPartitions("key", "part").mapInArrow(freeing(_second_look(piece)), "deal long, side byte, key int, part long, node long")
+    rows = materialise(rows, "apart")
+    sets = _sets_of(own, rows.select("node").distinct(), size).join(distinct.select("node", "bits"), "node")
+    values = sets.agg(F.coalesce(F.sum(F.size("members") + WORDS_OF_BITS + 1), F.lit(0)).alias("n")).first()["n"]
+    if values <= BROADCAST_VALUES:
+        shared = own.sparkSession.sparkContext.broadcast(_SetTable(sets.select("node", "bits", "members").toArrow()))
+        dealt, table_of = rows, lambda: shared.value
+    else:
+        dealt, table_of = rows.join(sets, "node").select("deal", "side", "key", "part", "node", "bits", "members"), lambda: None
+    out = dealt.repartition("deal").sortWithinPartitions("deal").mapInArrow(freeing(_verify_within(similarity, table_of)), "a long, b long")
+    out = materialise(out, "joined")
+    discard(rows)
     return out
 
 
