@@ -243,7 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     words = sample.mapInArrow(freeing(word_pairs), "word string, prior string, label int").groupBy("word", "prior").agg(F.avg("label").alias("y"))
     tried, level = max(1000, 50 * base["n"]), min(0.5, 1.5 * rate)
     least = log(0.05 / tried) / log(level)  # level ** t is below the tail, so no word with fewer can pass the test
-    words = words.groupBy("word").agg(F.sum("y").alias("t"), F.count("*").alias("n")).where((F.col("t") > least) & (F.col("t") / F.col("n") >= max(0.5, 3 * rate)))
+    words = words.groupBy("word").agg(F.sum("y").alias("t"), F.count("*").alias("n")).where((F.col("t") > least) & (F.col("t") / F.col("n") >= max(0.5, min(3 * rate, 0.5 + rate / 2))))
     found = [r for r in words.orderBy(F.desc("t"), "word").collect() if _tail(r["n"], int(r["t"]), level) * tried < 0.05]  # bounded by the sample
     automaton = LexiconAutomaton([r["word"] for r in found])
     odds = lambda t, n: float(np.log(((t + 0.5) / (n - t + 0.5)) / (rate / (1 - rate))))
