@@ -14,6 +14,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -487,6 +488,24 @@ def _verify(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return run
 
 
+def _verify_by_table(similarity: float, table_of: Callable[[], _SetTable]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of pairs (a, b): those whose sets, looked up in the table, are near."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = table_of()
+        for batch in batches:
+            good = np.zeros(batch.num_rows, bool)
+            x, y = (np.searchsorted(table.node, batch.column(k).to_numpy()) for k in (0, 1))
+            small, large = np.minimum(table.count[x], table.count[y]), np.maximum(table.count[x], table.count[y])
+            for k in np.flatnonzero(small >= similarity * large - 1e-9):
+                p, q = (table.member[table.first[i] : table.first[i] + table.count[i]] for i in (x[k], y[k]))
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                good[k] = both >= similarity * (len(p) + len(q) - both) - 1e-9
+            yield batch.filter(pa.array(good))
+
+    return run
+
+
 def _sets_of(own: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """node, members of the wanted nodes (column node, distinct), from the texts ``own``."""
     if nodes.count() <= BROADCAST_IDS:
@@ -507,13 +526,26 @@ def _near_pairs(own: DataFrame, distinct: DataFrame, pairs: DataFrame, size: int
 
     x, y = (distinct.select(F.col("node").alias(n), F.col("bits").alias(f"of_{n}")) for n in ("a", "b"))
     pairs = materialise(pairs.join(x, "a").join(y, "b").select("a", "b", "of_a", "of_b").mapInArrow(freeing(close), "a long, b long"), "close")
-    sets = _sets_of(own, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), size)
-    x, y = (sets.select(F.col("node").alias(n), F.col("members").alias(f"of_{n}")) for n in ("a", "b"))
-    found = materialise(pairs.join(x, "a").join(y, "b").select("a", "b", "of_a", "of_b").mapInArrow(freeing(_verify(similarity)), "a long, b long"), "near")
-    discard(pairs, sets)
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = _sets_of(own, nodes, size).join(distinct.select("node", "bits"), "node")
+    if (table := _broadcast_table(sets)) is not None:
+        verified = pairs.select("a", "b").mapInArrow(freeing(_verify_by_table(similarity, lambda: table.value)), "a long, b long")
+    else:
+        x, y = (sets.select(F.col("node").alias(n), F.col("members").alias(f"of_{n}")) for n in ("a", "b"))
+        verified = pairs.join(x, "a").join(y, "b").select("a", "b", "of_a", "of_b").mapInArrow(freeing(_verify(similarity)), "a long, b long")
+    found = materialise(verified, "near")
+    discard(pairs)
     return found
 
 
+def _broadcast_table(sets: DataFrame) -> Broadcast | None:
+    """The sets (node, bits, members) as a broadcast table, if they have no more than BROADCAST_VALUES values."""
+    values = sets.agg(F.coalesce(F.sum(F.size("members") + WORDS_OF_BITS + 1), F.lit(0)).alias("n")).first()["n"]
+    if values > BROADCAST_VALUES:
+        return None
+    return sets.sparkSession.sparkContext.broadcast(_SetTable(sets.select("node", "bits", "members").toArrow()))
+
+
 def _across_components(own: DataFrame, distinct: DataFrame, hot: DataFrame, found: DataFrame, size: int, similarity: float, piece: int) -> DataFrame:
     """The near pairs of hot keys (key, node, sketch) that join what the pairs found so far have left apart. Sets of a key are dealt out by two pieces at a time, and verified where they meet."""
     part = connected_components(found)
@@ -521,10 +553,8 @@ def _across_components(own: DataFrame, distinct: DataFrame, hot: DataFrame, foun
     rows = rows.repartition("key").sortWithinPartitions("key", "part").mapInArrow(freeing(_second_look(piece)), "deal long, side byte, key int, part long, node long")
     rows = materialise(rows, "apart")
     sets = _sets_of(own, rows.select("node").distinct(), size).join(distinct.select("node", "bits"), "node")
-    values = sets.agg(F.coalesce(F.sum(F.size("members") + WORDS_OF_BITS + 1), F.lit(0)).alias("n")).first()["n"]
-    if values <= BROADCAST_VALUES:
-        shared = own.sparkSession.sparkContext.broadcast(_SetTable(sets.select("node", "bits", "members").toArrow()))
-        dealt, table_of = rows, lambda: shared.value
+    if (table := _broadcast_table(sets)) is not None:
+        dealt, table_of = rows, lambda: table.value
     else:
         dealt, table_of = rows.join(sets, "node").select("deal", "side", "key", "part", "node", "bits", "members"), lambda: None
     out = dealt.repartition("deal").sortWithinPartitions("deal").mapInArrow(freeing(_verify_within(similarity, table_of)), "a long, b long")
