@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import box as B
 from ..functions import text as T
-from ..operators import curation, matching, metrics, sampling
+from ..operators import curation, matching, sampling
 from .detection import _W, _iou
 from .registered import registrar
 from .views import guesses, table, truth

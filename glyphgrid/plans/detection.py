@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import box as B
 from ..functions import text as T
 from ..operators import curation, matching, metrics, sampling
-from .views import SQL, guesses, lines, table, truth
+from .views import SQL, guesses, table, truth
 
 QUERIES, ORACLE = {}, {}
 

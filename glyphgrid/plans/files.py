@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import box as B
 from ..functions import text as T
 from ..sources import readers, sinks
 from ..sources.scratch import scratch_dir

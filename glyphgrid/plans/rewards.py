@@ -22,7 +22,7 @@ def _rows(spark, d):
 
 
 def _rounded(df, places, *keep):
-    return df.select(*[F.col(c) if c in keep else F.round(c, places).alias(c) for c in df.columns])
+    return df.select(*[F.col(c) if c in keep else (F.round(c, places) + F.lit(0.0)).alias(c) for c in df.columns])  # no negative zero
 
 
 _BINS = ", ".join(f"({low}, {high}, '{name}')" for low, high, name in rewards.REWARD_BINS)
@@ -81,7 +81,7 @@ def a55_image_similarity(spark, d):
     return _rounded(_similar(spark, d), 6, "image_id")
 
 
-@query(f"{_FIN}, {_SIMILAR} SELECT image_id, round(final_reward + greatest(least(psnr / 40, 1), 0) * 0.2, 6) AS selected_reward, round(final_reward, 6) AS base_reward, round(greatest(least(psnr / 40, 1), 0) * 0.2, 6) AS psnr_bonus, round(psnr, 6) AS psnr, round(ssim, 6) AS ssim, num_gt, num_pred, num_matched, missed, false_positive, round(matched_mean, 6) AS matched_mean, round(final_reward, 6) AS final_reward, round(final_reward_norm, 6) AS final_reward_norm, round(mean_iou, 6) AS mean_iou FROM rows JOIN sim USING (image_id)")
+@query(f"{_FIN}, {_SIMILAR} SELECT image_id, round(final_reward + greatest(least(psnr / 40, 1), 0) * 0.2, 6) + 0.0 AS selected_reward, round(final_reward, 6) + 0.0 AS base_reward, round(greatest(least(psnr / 40, 1), 0) * 0.2, 6) AS psnr_bonus, round(psnr, 6) AS psnr, round(ssim, 6) AS ssim, num_gt, num_pred, num_matched, missed, false_positive, round(matched_mean, 6) AS matched_mean, round(final_reward, 6) + 0.0 AS final_reward, round(final_reward_norm, 6) + 0.0 AS final_reward_norm, round(mean_iou, 6) AS mean_iou FROM rows JOIN sim USING (image_id)")
 def p14_reward_table(spark, d):
     rows = _rows(spark, d).join(_similar(spark, d), "image_id")
     rows = rows.withColumn("selected", F.col("final_reward") + F.greatest(F.least(F.col("psnr") / 40, F.lit(1)), F.lit(0)) * 0.2)

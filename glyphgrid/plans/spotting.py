@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import box as B
-from ..operators import matching, metrics, spotting
+from ..operators import matching, spotting
 from .detection import _W, _iou
 from .ranking import _COVER
 from .registered import registrar
