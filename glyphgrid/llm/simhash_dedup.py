@@ -294,7 +294,7 @@ def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]
 
 def _candidates(hot_size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """From variants sorted by key: a, b of pairs that may be near (key -1). Of a hot key, one of more than ``hot_size`` sets or of more than three pairs to two sets: each
-    set's pair with the smallest one at every fourth wildcard, and all rows (node, sketch) with their key, for the second look."""
+    set's pair with the smallest one at every fourth wildcard, and one row of the key with all its nodes and sketches, for the second look."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, node, sketch in _whole_keys(batches):
@@ -323,19 +323,34 @@ def _candidates(hot_size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
                 b.append(node[near])
             a, b = np.concatenate(a), np.concatenate(b)
             pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0)
-            keys = np.concatenate((np.full(len(pairs), -1, np.int32), key[hot]))
-            yield pa.record_batch([pa.array(np.concatenate((pairs[:, 0], node[hot]))), pa.array(np.concatenate((pairs[:, 1], sketch[hot]))), pa.array(keys)], names=["a", "b", "key"])
+            n = np.concatenate((np.zeros(len(pairs), np.int64), size[dense]))
+            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(x[hot])) for x in (node, sketch)]
+            ends = [pa.array(np.concatenate((pairs[:, k], np.zeros(dense.sum(), np.int64)))) for k in (0, 1)]
+            yield pa.record_batch([*ends, pa.array(np.concatenate((np.full(len(pairs), -1, np.int32), key[first[dense]]))), *lists], names=["a", "b", "key", "nodes", "sketches"])
 
     return run
 
 
-def _second_look(piece: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From hot keys' rows sorted by key and component: deal, side, key, part, node of the sets that may be near one of another component.
+def _hot_rows(batches: Iterator[pa.RecordBatch], roots_of: Callable[[], tuple[np.ndarray, np.ndarray]]) -> Iterator[list[np.ndarray]]:
+    """key, part, node, sketch of one hot key at a time, sorted by part, the component's root, or the node where it has none."""
+    known, root = roots_of()
+    for batch in batches:
+        for key, nodes, sketches in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            node, sketch = nodes.values.to_numpy(), sketches.values.to_numpy()
+            at = np.minimum(np.searchsorted(known, node), max(0, len(known) - 1))
+            part = np.where(known[at] == node, root[at], node) if len(known) else node
+            order = np.argsort(part, kind="stable")
+            yield [np.full(len(node), key, np.int32), part[order], node[order], sketch[order]]
+
+
+def _second_look(piece: int, roots_of: Callable[[], tuple[np.ndarray, np.ndarray]] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From hot keys (key, nodes, sketches) and the components by look-up, or else from their rows with part sorted by key and part: deal, side, key, part, node of the sets that
+    may be near one of another component.
 
     Those of a key are dealt out in pieces of ``piece``, two pieces to a deal, with sides 1 and 2, and each piece with itself, side 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, part, node, sketch in _whole_keys(batches):
+        for key, part, node, sketch in _hot_rows(batches, roots_of) if roots_of else _whole_keys(batches):
             bits = sketch.view(np.uint64)
             first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             rows = []
@@ -547,10 +562,17 @@ def _broadcast_table(sets: DataFrame) -> Broadcast | None:
 
 
 def _across_components(own: DataFrame, distinct: DataFrame, hot: DataFrame, found: DataFrame, size: int, similarity: float, piece: int) -> DataFrame:
-    """The near pairs of hot keys (key, node, sketch) that join what the pairs found so far have left apart. Sets of a key are dealt out by two pieces at a time, and verified where they meet."""
+    """The near pairs of hot keys (key, nodes, sketches) that join what the pairs found so far have left apart. Sets of a key are dealt out by two pieces at a time, and verified where they meet."""
     part = connected_components(found)
-    rows = hot.join(part, "node", "left").select("key", F.coalesce("root", "node").alias("part"), "node", "sketch")
-    rows = rows.repartition("key").sortWithinPartitions("key", "part").mapInArrow(freeing(_second_look(piece)), "deal long, side byte, key int, part long, node long")
+    if part.count() <= BROADCAST_IDS:
+        table = part.orderBy("node").toArrow()
+        shared = own.sparkSession.sparkContext.broadcast((table.column("node").to_numpy(), table.column("root").to_numpy()))
+        rows, look = hot.repartition("key"), _second_look(piece, lambda: shared.value)
+    else:
+        flat = hot.select("key", F.explode(F.arrays_zip("nodes", "sketches")).alias("x")).select("key", F.col("x.nodes").alias("node"), F.col("x.sketches").alias("sketch"))
+        flat = flat.join(part, "node", "left").select("key", F.coalesce("root", "node").alias("part"), "node", "sketch")
+        rows, look = flat.repartition("key").sortWithinPartitions("key", "part"), _second_look(piece, None)
+    rows = rows.mapInArrow(freeing(look), "deal long, side byte, key int, part long, node long")
     rows = materialise(rows, "apart")
     sets = _sets_of(own, rows.select("node").distinct(), size).join(distinct.select("node", "bits"), "node")
     if (table := _broadcast_table(sets)) is not None:
@@ -573,9 +595,9 @@ def similar_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     sets = materialise(own.mapInArrow(freeing(_index(shingle)), "doc_id long, node long, bits array<long>"), "sets")
     distinct = materialise(sets.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bits").alias("bits")), "distinct")
     variants = distinct.select("node", "bits").mapInArrow(freeing(_variants), "key int, node long, sketch long")
-    met = materialise(variants.repartition("key").sortWithinPartitions("key").mapInArrow(freeing(_candidates(hot_size)), "a long, b long, key int"), "met")
+    met = materialise(variants.repartition("key").sortWithinPartitions("key").mapInArrow(freeing(_candidates(hot_size)), "a long, b long, key int, nodes array<long>, sketches array<long>"), "met")
     found = _near_pairs(own, distinct, met.where("key < 0").select("a", "b").distinct(), shingle, similarity)
-    hot = met.where("key >= 0").select("key", F.col("a").alias("node"), F.col("b").alias("sketch"))
+    hot = met.where("key >= 0").select("key", "nodes", "sketches")
     if not hot.isEmpty():
         found = found.unionByName(_across_components(own, distinct, hot, found, shingle, similarity, piece))
     roots = connected_components(found).withColumnRenamed("root", "top")

@@ -127,8 +127,11 @@ def test_groups_keep_or_flag_each_key():
 
 
 @pytest.mark.parametrize(("hot", "piece"), [(256, 2048), (3, 2048), (1, 5)])
-def test_similar_documents_against_brute_force(spark, hot, piece):
-    """Every link is a pair of Jaccard similarity 0.8 or more; of those, nearly all are found, whether their keys are hot or not."""
+def test_similar_documents_against_brute_force(spark, monkeypatch, hot, piece):
+    """Every link is a pair of Jaccard similarity 0.8 or more; of those, nearly all are found, whether their keys are hot or not, and whether tables are small enough to be broadcast (a choice of the driver) or not."""
+    if piece == 5:
+        monkeypatch.setattr(simhash_dedup, "BROADCAST_IDS", 0)
+        monkeypatch.setattr(simhash_dedup, "BROADCAST_VALUES", 0)
     rng = random.Random(6)
     bases = [[rng.choice("abcdefghijklmnop") * rng.randrange(1, 4) for _ in range(rng.randrange(3, 200))] for _ in range(40)]
     rows = [(0, None), (1, " \n"), (2, "One two"), (3, "one  TWO"), (4, "one two three")]
