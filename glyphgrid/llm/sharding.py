@@ -65,9 +65,9 @@ def shard(docs: DataFrame, shards: int = 8, text_col: str = "text", id_col: str
     several = [r for r in large if r["rows"] > 1]  # placed first; single rows even things out after them
     whole = place_whole(np.array([[r["bytes"], r["words"], r["rows"]] for r in several], float).reshape(-1, 3), np.array([total["bytes"] or 0, total["words"] or 0, total["rows"]], float), shards)
     whole = {r["group"]: int(p) for r, p in zip(several, whole, strict=True) if p >= 0}
-    pieces = [1 if r["group"] in whole else min(r["rows"], int(np.ceil(r["part"]))) for r in large]
+    pieces = [min(r["rows"], int(np.ceil(r["part"]))) for r in large]  # of a group placed whole all on its shard: no task numbers a large group by itself
     base = np.cumsum([0, *pieces]).tolist()
-    fixed = {COARSE + FINE + b: whole[r["group"]] for r, b in zip(large, base, strict=False) if r["group"] in whole}
+    fixed = {COARSE + FINE + b + k: whole[r["group"]] for r, n, b in zip(large, pieces, base, strict=False) if r["group"] in whole for k in range(n)}
     large = [(r["group"], n, b) for r, n, b in zip(large, pieces, base, strict=False)]
     spark = docs.sparkSession
     small = F.when(F.pmod("group", F.lit(16)) > 0, F.pmod(F.shiftright("group", 8), F.lit(COARSE))).otherwise(COARSE + F.pmod(F.shiftright("group", 8), F.lit(FINE)))
