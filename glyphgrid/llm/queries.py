@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, language_id, line_dedup, mixing, sharding, simhash_dedup, substring_dedup, toxicity
+from . import ann, bpe, exact_dedup, filter_audit, language_id, line_dedup, mixing, sharding, simhash_dedup, substring_dedup, toxicity
 
 
 def tokenizer_path() -> str:
@@ -60,6 +60,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,7 +71,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_simhash_dedup, op3_exact_dedup, op4_sharding, op5_bpe, op6_language_id, op7_ann, op8_mixing, op9_line_dedup, op10_toxicity, pipeline)
+    f.__name__: f for f in (op1_substring_dedup, op2_simhash_dedup, op3_exact_dedup, op4_sharding, op5_bpe, op6_language_id, op7_ann, op8_mixing, op9_line_dedup, op10_toxicity, op11_filter_audit, pipeline)
 }
 
 #: Lower-casing of A-Z only, as SQL.
@@ -87,6 +91,25 @@ FROM docs d LEFT JOIN txt t USING (doc_id)""",
 WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
   doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM d""",
+    "op11_filter_audit": r"""
+WITH raw AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+d AS (SELECT doc_id, part, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS lowest FROM raw),
+m AS (SELECT doc_id, part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+  + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t))::INT
+  + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * (doc_id > lowest)::INT AS mask FROM d),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS g, sum(coalesce(toxic, 0)) AS x FROM m LEFT JOIN l USING (doc_id) GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS b),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a, f b, f c, f d, f e WHERE a.b | b.b | c.b | d.b | e.b = 31),
+s AS (SELECT filter_order, step, (SELECT b FROM f WHERE f.f = filter_order[step]) AS b,
+  (SELECT coalesce(sum(b), 0)::INT FROM f WHERE contains(filter_order[1 : step - 1], f.f)) AS earlier FROM o, range(1, 6) AS r(step)),
+z AS (SELECT part, filter_order, step, s.b, sum(CASE WHEN mask & (s.b | earlier) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+  sum(CASE WHEN mask & s.b <> 0 AND mask & earlier = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+  sum(CASE WHEN mask & s.b <> 0 AND mask & earlier <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+  sum(CASE WHEN mask = s.b THEN n ELSE 0 END)::BIGINT AS unique_fails,
+  sum(CASE WHEN mask & s.b <> 0 AND mask & earlier = 0 THEN g ELSE 0 END)::BIGINT AS good_lost,
+  sum(CASE WHEN mask & s.b <> 0 AND mask & earlier = 0 THEN x ELSE 0 END)::BIGINT AS toxic_lost FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, b)::BIGINT AS shapley FROM z""",
 }
 
 
