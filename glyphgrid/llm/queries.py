@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, filter_audit, language_id, line_dedup, mixing, sharding, simhash_dedup, substring_dedup, toxicity
+from . import ann, bpe, byte_bpe, exact_dedup, filter_audit, language_id, line_dedup, mixing, sharding, simhash_dedup, substring_dedup, toxicity
 
 
 def tokenizer_path() -> str:
@@ -16,6 +16,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def ranks_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -64,6 +70,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.byte_bpe_encode(_table(spark, sf_dir, "documents"), ranks_path(), with_ids=False)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,7 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_simhash_dedup, op3_exact_dedup, op4_sharding, op5_bpe, op6_language_id, op7_ann, op8_mixing, op9_line_dedup, op10_toxicity, op11_filter_audit, pipeline)
+    f.__name__: f for f in (op1_substring_dedup, op2_simhash_dedup, op3_exact_dedup, op4_sharding, op5_bpe, op6_language_id, op7_ann, op8_mixing, op9_line_dedup, op10_toxicity, op11_filter_audit, op13_byte_bpe, pipeline)
 }
 
 #: Lower-casing of A-Z only, as SQL.

@@ -1,13 +1,19 @@
 """Filter audit, phrase mining and byte-level BPE on small tables, held against plain Python."""
 
+import base64
+import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 from itertools import permutations
 
+import public_tokenizers
+import pyarrow as pa
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
-from glyphgrid.llm import filter_audit
+from glyphgrid.llm import byte_bpe, filter_audit
 
 DOCS = "doc_id long, text string, lang string, quality string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -69,3 +75,63 @@ def test_order_audit_of_other_filters(spark):
     assert got["p", "xy", 1] == (0, 2, 0, 3) and got["p", "xy", 2] == (0, 0, 1, 1) and got["p", "yx", 1] == (1, 1, 0, 1) and got["p", "yx", 2] == (0, 1, 1, 3) and got["q", "xy", 2] == (1, 0, 0, 0)
     with pytest.raises(ValueError):
         filter_audit.order_audit(filter_audit.mask_cells(masks), "xx")
+
+
+def _library(name="byte_bpe_50k.tiktoken"):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(name), "rb"))}
+    return ranks, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"])
+def test_byte_bpe_of_any_text(name, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "KEPT", 500)
+    assert byte_bpe.PATTERN == public_tokenizers.PATTERN
+    ranks, ref = _library(name)
+    own = byte_bpe.ByteTokeniser(ranks)
+    rng = random.Random(3)
+    pool = list("abst lvre''''  \n\t\r\x0b\x85\xa0\u2028\u3000 0129\u00b2\u2167\u0663.,!?-\u00e9\u6f22\u5b57\U0001f642\U0001f44d\U0001f3fd e\u0301\u200d dmLSTV\x00\x1c")
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(0, 40))) for _ in range(6000)]
+    texts += ["".join(chr(rng.choice([rng.randrange(0xD800), rng.randrange(0xE000, 0x110000)])) for _ in range(rng.randrange(0, 30))) for _ in range(2000)]
+    texts += ["a" * 3000, "ab" * 2000, "!" * 999, "x'll've'd's 's '", " " * 500, "z" * 49, "<|endoftext|>", "", "q" * 33 + " " + "q" * 32]
+    texts += ["".join(rng.choice("abcdefghij") for _ in range(n)) for n in (31, 32, 33, 5000)]
+    for at in range(0, len(texts), 900):  # blocks of the scan begin elsewhere each time
+        part = texts[at : at + 900]
+        ids, off = own.encode_array(pa.array(part, pa.large_string()))
+        data, to = own.decode_array(ids, off)
+        for k, text in enumerate(part):
+            assert ids[off[k] : off[k + 1]].tolist() == ref.encode_ordinary(text), text
+            assert data[to[k] : to[k + 1]] == text.encode()
+
+
+def test_scan_composes_in_any_grouping():
+    rng = random.Random(1)
+    for n in (0, 1, 7, 511, 512, 513, 600_000):
+        symbols = byte_bpe.np.array([rng.randrange(16) for _ in range(min(n, 5000))] * (n // 5000 or 1), byte_bpe.np.uint8)
+        got = byte_bpe.LANDS[byte_bpe.running(byte_bpe.ELEMENT[symbols])].tolist()
+        state, want = byte_bpe.CLOSED, []
+        for x in symbols.tolist():
+            state = byte_bpe._step(byte_bpe.CLOSED if x >= byte_bpe.FIRST else state, x % byte_bpe.FIRST)[0]
+            want.append(state)
+        assert got == want
+
+
+def test_byte_bpe_of_tables(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    _, ref = _library()
+    more = [(901, None), (902, ""), (903, " \n"), (None, "le la"), (904, "1234 5678"), (904, "1234 5678"), (905, "ab " * 30_000), (906, "x" * 20_000), (None, None)]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string")).withColumn("ids", F.lit("clash")).withColumn("n_tokens", F.lit(1))
+    src = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=repr)
+    rows = byte_bpe.byte_bpe_encode(docs, path)
+    got = rows.collect()
+    want = []
+    for i, text in src:
+        ids = ref.encode_ordinary(text)
+        want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), ids))
+    assert sorted(((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256, r.ids) for r in got), key=repr) == sorted(want, key=repr)
+    by = {r.doc_id: r for r in got}
+    assert by[904].ends == [len(ref.decode(by[904].ids[: k + 1]).encode()) for k in range(len(by[904].ids))]
+    back = byte_bpe.byte_bpe_decode(rows, path).collect()
+    assert sorted((bytes(r.bytes) for r in back)) == sorted(t.encode() for _, t in src)
+    odd = spark.createDataFrame([(1, [0, None, -4, 10**8, 1]), (2, None), (3, [])], "doc_id long, ids array<int>")
+    assert [bytes(r.bytes) for r in byte_bpe.byte_bpe_decode(odd, path).sort("doc_id").collect()] == [ref.decode_bytes([0, 1]), b"", b""]
+    assert byte_bpe.byte_bpe_encode(docs.limit(0), path).count() == 0
