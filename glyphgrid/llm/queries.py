@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, byte_bpe, exact_dedup, filter_audit, language_id, line_dedup, mixing, sharding, simhash_dedup, substring_dedup, toxicity
+from . import ann, bpe, byte_bpe, exact_dedup, filter_audit, language_id, line_dedup, mixing, phrases, sharding, simhash_dedup, substring_dedup, toxicity
 
 
 def tokenizer_path() -> str:
@@ -70,6 +70,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.byte_bpe_encode(_table(spark, sf_dir, "documents"), ranks_path(), with_ids=False)
 
@@ -81,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_simhash_dedup, op3_exact_dedup, op4_sharding, op5_bpe, op6_language_id, op7_ann, op8_mixing, op9_line_dedup, op10_toxicity, op11_filter_audit, op13_byte_bpe, pipeline)
+    f.__name__: f for f in (op1_substring_dedup, op2_simhash_dedup, op3_exact_dedup, op4_sharding, op5_bpe, op6_language_id, op7_ann, op8_mixing, op9_line_dedup, op10_toxicity, op11_filter_audit, op12_phrases, op13_byte_bpe, pipeline)
 }
 
 #: Lower-casing of A-Z only, as SQL.
@@ -120,6 +124,22 @@ z AS (SELECT part, filter_order, step, s.b, sum(CASE WHEN mask & (s.b | earlier)
   sum(CASE WHEN mask & s.b <> 0 AND mask & earlier = 0 THEN g ELSE 0 END)::BIGINT AS good_lost,
   sum(CASE WHEN mask & s.b <> 0 AND mask & earlier = 0 THEN x ELSE 0 END)::BIGINT AS toxic_lost FROM c, s GROUP BY ALL)
 SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, b)::BIGINT AS shapley FROM z""",
+    "op12_phrases": rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, {_LOWER} AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, unnest(flatten([list_transform(range(1, len(w) - s + 2), lambda i: w[i : i + s - 1]) for s in [1, 2, 3]])) AS g FROM w WHERE len(w) > 0),
+f AS (SELECT lang, g, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 10),
+cut AS (SELECT c.lang, c.g, c.a, k, x.a AS l, y.a AS r, (1000000::HUGEINT * c.a * c.a) // (x.a::HUGEINT * y.a) AS score
+  FROM (SELECT *, unnest(range(1, len(g))) AS k FROM f WHERE len(g) > 1) c JOIN f x ON x.lang = c.lang AND x.g = c.g[1 : k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1 : len(c.g)]),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+long AS (SELECT lang, a, unnest([g[1 : 2], g[2 : 3]]) AS g FROM f WHERE len(g) = 3),
+most AS (SELECT lang, g, max(a) AS most FROM long GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN most m ON m.lang = b.lang AND m.g = b.g WHERE most IS NULL OR 100 * most < 50 * b.a),
+ranked AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score::BIGINT AS score,
+  row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000""",
 }
 
 

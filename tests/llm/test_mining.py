@@ -13,7 +13,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from glyphgrid.llm import byte_bpe, filter_audit
+from glyphgrid.llm import byte_bpe, filter_audit, phrases
 
 DOCS = "doc_id long, text string, lang string, quality string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -135,3 +135,45 @@ def test_byte_bpe_of_tables(spark):
     odd = spark.createDataFrame([(1, [0, None, -4, 10**8, 1]), (2, None), (3, [])], "doc_id long, ids array<int>")
     assert [bytes(r.bytes) for r in byte_bpe.byte_bpe_decode(odd, path).sort("doc_id").collect()] == [ref.decode_bytes([0, 1]), b"", b""]
     assert byte_bpe.byte_bpe_encode(docs.limit(0), path).count() == 0
+
+
+def _mined(rows, longest, least, top):
+    count, words = Counter(), Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", low):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            words[lang] += len(w)
+            count.update((lang, tuple(w[i : i + k])) for k in range(1, longest + 1) for i in range(len(w) - k + 1))
+    often = {k: n for k, n in count.items() if n >= least}
+    out = defaultdict(list)
+    for (lang, w), a in often.items():
+        inside = any(g == lang and len(v) > len(w) and any(v[i : i + len(w)] == w for i in range(len(v))) and 100 * n >= 50 * a for (g, v), n in often.items())
+        if len(w) > 1 and not inside:
+            score, _, left, right = min((10**6 * a * a // (often[lang, w[:k]] * often[lang, w[k:]]), k, often[lang, w[:k]], often[lang, w[k:]]) for k in range(1, len(w)))
+            out[lang].append((-score, -a, " ".join(w).encode(), left, right))
+    return sorted((lang, k, t.decode(), -a, left, right, words[lang], -score) for lang, x in out.items() for k, (score, a, t, left, right) in enumerate(sorted(x)[:top], 1))
+
+
+@pytest.mark.parametrize(("longest", "least", "top", "bits"), [(3, 3, 2000, 24), (4, 2, 25, 6), (2, 5, 2000, 10)])
+def test_collocations(spark, longest, least, top, bits):
+    rng = random.Random(longest)
+    vocabulary = ["a", "A", "b", "of", "New", "york", "é", "\u6f22", "x\x1cy", "z\x85", "\U0001f642", "\uff5a"]
+    ends = [" ", "  ", "\t", ", ", ".", "\n", "\x0b", "\r ", "! ", " "] + [" "] * 15
+    rows = [("".join(rng.choice(vocabulary) + rng.choice(ends) for _ in range(rng.randrange(0, 60))), rng.choice(["en", "en", "fr", None, "", "und"])) for _ in range(60)]
+    rows += [(None, "en"), ("", None), (" .,", "de"), ("the same row", "en"), ("the same row", "en"), ("the same row", "en"), ("the same row", "fr"), ("of New York " * 9000, "es"), ("a" * 5000, "es")]
+    docs = spark.createDataFrame(rows, "text string, lang string").withColumn("phrase", F.lit("clash")).withColumn("n", F.lit(1)).withColumn("bucket", F.lit(0)).repartition(4)
+    got = phrases.collocations(docs, longest, least, top, bucket_bits=bits)
+    assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    assert sorted(map(tuple, got.collect())) == _mined(rows, longest, least, top)
+    assert phrases.collocations(docs.limit(0)).count() == 0
+
+
+def test_scores_beyond_64_bits(spark):
+    big = 3 * 10**14
+    counts = spark.createDataFrame([("en", "x", 1, 4 * big), ("en", "y", 1, big + 1), ("en", "x y", 2, big), ("en", "y x", 2, 7), ("en", "x y x", 3, big // 2 - 1)], "lang string, phrase string, size int, a long")
+    got = {r.phrase: (r.l, r.r, r.score) for r in phrases.scored(counts).collect()}
+    assert got["x y"] == (4 * big, big + 1, 10**6 * big * big // (4 * big * (big + 1)))
+    assert got["x y x"] == min(((4 * big, 7), (big, 4 * big)), key=lambda x: 10**6 * (big // 2 - 1) ** 2 // (x[0] * x[1])) + (min(10**6 * (big // 2 - 1) ** 2 // (4 * big * 7), 10**6 * (big // 2 - 1) ** 2 // (big * 4 * big)),)
+    assert "y x" not in got
