@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -78,12 +79,12 @@ def offsets_of(values: pa.Array) -> np.ndarray:
     return np.frombuffer(values.buffers()[1], dtype=np.int64)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, np.int64)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts a batch by rows so that each piece holds about ``limit`` text bytes; a text is never cut."""
+def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch by rows so that each piece holds about ``limit`` text bytes, and ``rows`` rows at most; a text is never cut."""
     off = offsets_of(text_array(batch, column))
     start, n = 0, batch.num_rows
     while start < n:
-        stop = max(start + 1, int(np.searchsorted(off, off[start] + limit, side="right")) - 1)
+        stop = min(start + rows, max(start + 1, int(np.searchsorted(off, off[start] + limit, side="right")) - 1))
         yield batch.slice(start, min(stop, n) - start)
         start = min(stop, n)
 
@@ -107,9 +108,18 @@ class Words:
         self.end = np.flatnonzero(inside & (~after | edge[1:])) + 1
         self.first = np.searchsorted(self.start, self.off)
 
+    def digests(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two halves of a 128-bit BLAKE2b digest of each word: words of equal digests can't be written down, nor met by chance. Each distinct word is digested once."""
+        size = self.end - self.start
+        place = np.concatenate(([0], np.cumsum(size)))
+        flat = self.data[np.repeat(self.start - place[:-1], size) + np.arange(place[-1])]
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(place), pa.py_buffer(flat)]).dictionary_encode()
+        both = np.frombuffer(b"".join([blake2b(w, digest_size=16).digest() for w in words.dictionary.to_pylist()]), np.uint64).reshape(-1, 2)[words.indices.to_numpy()]
+        return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word."""
-        return hash_ranges(self.data, self.start, self.end)
+        """The first half of each word's digest."""
+        return self.digests()[0]
 
 
 #: Ranges above so many bytes are hashed one by one.
@@ -118,7 +128,7 @@ _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], np.uint6
 
 
 def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range: eight bytes at a time go through a bijective mixer, all ranges together; long ranges have XXH3."""
+    """A 64-bit hash of each byte range, for buckets only: eight bytes at a time go through a bijective mixer, so equal hashes can be written down."""
     size = end - start
     out = mix(size.astype(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15))
     padded = np.concatenate((data, np.zeros(8, np.uint8)))

@@ -3,7 +3,7 @@
 Every window of WINDOW words has a content-defined anchor: the smallest hash of SEED words in it. Equal windows have equal anchors, so anchors
 route text to reference shards: a shard is the distinct passages about one anchor. A passage that occurs as a whole more than once needs
 no further look. For the rest each shard is made a suffix automaton with occurrence counts, and the passages are streamed through it for matching
-statistics: where a suffix of WINDOW words has two occurrences, its words go. Words are compared by 64-bit hashes of their bytes, runs of words by two of them."""
+statistics: where a suffix of WINDOW words has two occurrences, its words go. Words are compared by digests of 128 bits, runs of words by two hashes, one over each half of them."""
 
 from __future__ import annotations
 
@@ -21,7 +21,7 @@ WINDOW, SEED = 35, 8
 #: Anchors whose repeats one task settles before the shuffle, and passages that one automaton holds at most; a larger shard is settled window by window.
 LOCAL_ANCHORS, SHARD_PASSAGES = 500_000, 3_000
 _FULL, _OPEN, _REFERENCE = 0, 1, 2
-_LOW, _OTHER = np.uint64((1 << 28) - 1), np.uint64(0x5851F42D4C957F2D)
+_LOW = np.uint64((1 << 28) - 1)
 #: Rows of one anchor, or of one window's hash, that are held at once.
 HELD = 2_000_000
 
@@ -30,17 +30,17 @@ class SuffixAutomaton:
     """Of several word sequences; count[s]: occurrences of the sequences that end in state s."""
 
     def __init__(self) -> None:
-        self.next: list[dict[int, int]] = [{}]
+        self.next: list[dict[bytes, int]] = [{}]
         self.link, self.length, self.count = [-1], [0], [0]
 
-    def _state(self, length: int, link: int, arcs: dict[int, int]) -> int:
+    def _state(self, length: int, link: int, arcs: dict[bytes, int]) -> int:
         self.next.append(arcs)
         self.link.append(link)
         self.length.append(length)
         self.count.append(0)
         return len(self.link) - 1
 
-    def _split(self, p: int, c: int, q: int) -> int:
+    def _split(self, p: int, c: bytes, q: int) -> int:
         """The state of the sequences of q that end in p's and c."""
         if self.length[p] + 1 == self.length[q]:
             return q
@@ -51,7 +51,7 @@ class SuffixAutomaton:
             p = self.link[p]
         return own
 
-    def add(self, words: list[int]) -> None:
+    def add(self, words: list[bytes]) -> None:
         last = 0
         for c in words:
             q = self.next[last].get(c)
@@ -73,7 +73,7 @@ class SuffixAutomaton:
         for s in sorted(range(1, len(self.link)), key=self.length.__getitem__, reverse=True):
             self.count[self.link[s]] += self.count[s]
 
-    def repeated(self, words: list[int], size: int) -> list[bool]:
+    def repeated(self, words: list[bytes], size: int) -> list[bool]:
         """Of each run of ``size`` words of a sequence: whether it has a second occurrence. Words that lead nowhere end the match."""
         out, s, depth = [], 0, 0
         for k, c in enumerate(words):
@@ -100,7 +100,7 @@ def _sliding_least(x: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def anchors(w: Words, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
+def anchors(w: Words, hashes: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, ...]:
     """Runs of windows with one anchor: (anchor hash, two hashes of all words of the run, text, first window, windows). Windows are numbered by word within their text."""
     n = len(hashes)
     none = tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.uint64, np.int64, np.int64, np.int64))
@@ -120,7 +120,7 @@ def anchors(w: Words, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
     # Hashes over [first, first + count + WINDOW - 1), its length mixed in.
     power, inverse = powers(n + 1)
     both = []
-    for values in (hashes, mix(hashes ^ _OTHER)):
+    for values in (hashes, others):
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(values * power[:n], out=total[1:])
         both.append(mix((total[first + count + WINDOW - 1] - total[first]) * inverse[first] + count.astype(np.uint64)))
@@ -176,7 +176,7 @@ def _find_anchors(local: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
         for batch in batches:
             for part in slices(batch, "text"):
                 w = Words(text_array(part, "text"))
-                anchor, whole, other, text, first, count = anchors(w, w.hashes())
+                anchor, whole, other, text, first, count = anchors(w, *w.digests())
                 parts.append((anchor, whole, other, part.column(0).to_numpy()[text], first, count))
                 held += len(anchor)
                 if held >= local:
@@ -209,17 +209,17 @@ def _mark(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """anchor, key, first, kind, words (64-bit hashes) of every run that is to be looked into or to be a reference."""
+    """anchor, key, first, kind, words (16 bytes each) of every run that is to be looked into or to be a reference."""
     for batch in batches:
         for part in slices(batch, "text"):
             w = Words(text_array(part, "text"))
-            hashes = w.hashes()
+            both = np.stack(w.digests(), axis=1)
             runs = part.column(1).combine_chunks() if isinstance(part.column(1), pa.ChunkedArray) else part.column(1)
             owner = np.repeat(np.arange(len(runs)), runs.value_lengths().to_numpy())
             flat = runs.flatten()
             anchor, first, count, kind = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
             base = w.first[owner] + first
-            words = [hashes[a : a + n + WINDOW - 1].tobytes() for a, n in zip(base.tolist(), count.tolist(), strict=True)]
+            words = [both[a : a + n + WINDOW - 1].tobytes() for a, n in zip(base.tolist(), count.tolist(), strict=True)]
             yield pa.record_batch([pa.array(anchor), part.column(0).take(pa.array(owner)), pa.array(first), pa.array(kind), pa.array(words, pa.binary())], names=["anchor", "key", "first", "kind", "words"])
 
 
@@ -236,7 +236,7 @@ def _look_into(passages: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     def settle(shard: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int, int, int]]:
         if len(shard) < 2 or all(kind == _REFERENCE for _, _, kind, _ in shard):
             return []
-        automaton, sequences = SuffixAutomaton(), [np.frombuffer(w, np.uint64).tolist() for _, _, _, w in shard]
+        automaton, sequences = SuffixAutomaton(), [[w[k : k + 16] for k in range(0, len(w), 16)] for _, _, _, w in shard]
         for s in sequences:
             automaton.add(s)
         automaton.close()
@@ -248,8 +248,8 @@ def _look_into(passages: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
         return out
 
     def windows_of(key: int, first: int, kind: int, words: bytes) -> list[tuple[int, int, int, int, int]]:
-        hashes = np.frombuffer(words, np.uint64)
-        both = zip(*(windows(x, WINDOW).view(np.int64).tolist() for x in (hashes, mix(hashes ^ _OTHER))), strict=True)
+        halves = np.frombuffer(words, np.uint64).reshape(-1, 2).T
+        both = zip(*(windows(x, WINDOW).view(np.int64).tolist() for x in halves), strict=True)
         return [(key, first + p, 1 if kind == _OPEN else 0, h | 1, g) for p, (h, g) in enumerate(both)]
 
     def table(rows: list[tuple[int, int, int, int, int]]) -> pa.RecordBatch:

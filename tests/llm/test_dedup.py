@@ -180,7 +180,7 @@ def test_substring(spark, docs, passages, local, held):
 
 def test_suffix_automaton():
     rng = random.Random(2)
-    seqs = [[rng.randrange(3) for _ in range(rng.randrange(1, 30))] for _ in range(8)]
+    seqs = [[b"%016d" % rng.randrange(3) for _ in range(rng.randrange(1, 30))] for _ in range(8)]
     a = substring_dedup.SuffixAutomaton()
     for s in seqs:
         a.add(s)
@@ -242,6 +242,14 @@ def test_lines_and_words_that_collide_under_polynomial_hashes(spark):
     assert {(r.doc_id, r.n_removed) for r in got} == {(1, 0), (2, 0), (3, 36), (4, 36)}
 
 
+def test_words_that_collide_in_blocks_of_eight_bytes(spark):
+    """Words made to collide under hashes that take eight bytes at a time are told apart, and so are longer ones made of them."""
+    for x, y in (("abcdefghstuvwxyz", "vtfkxxnd'2p_&TC>"), ("abcdefghstuvwxyz" + "tail", "vtfkxxnd'2p_&TC>" + "tail"), ("headhead" + "abcdefghstuvwxyz", "headhead" + "vtfkxxnd'2p_&TC>")):
+        docs = [(1, " ".join([x] * 40)), (2, " ".join([y] * 20 + [x] * 20)), (3, " ".join([f"u{k}" for k in range(20)] + [x] * 20)), (4, " ".join([f"u{k}" for k in range(20)] + [y] * 20))]
+        got = substring_dedup.substring_digest(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+        assert {(r.doc_id, r.n_removed) for r in got} == {(1, 40), (2, 0), (3, 0), (4, 0)}
+
+
 def test_line_dedup_rebuilds_every_row(spark):
     rows = [(1, "first line here\n\nsecond line here\nab"), (1, "first line here\n\nsecond line here\nab"), (None, "third line of text"), (None, "third line of texts\nfourth one stands"), (2, None), (3, ""), (4, "second line herE\nab\ncd")]
     got = line_dedup.line_dedup(spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, row string").repartition(1)).collect()
