@@ -22,7 +22,7 @@ SAMPLE, NEIGHBOURS, BLOCK = 8_192, 10, 20_000
 LEAST_PARTS, PART_ROOT = 16, 8
 #: Recall that the number of parts to visit is chosen for, on sample queries that the classifier didn't see.
 WANTED_RECALL = 0.92
-_RANKED = "query_id long, vec_id long, score double"
+_RANKED = "row long, query_id long, vec_id long, score double"
 
 
 @dataclass
@@ -154,11 +154,11 @@ def _matrix(values: pa.Array) -> np.ndarray:
     return np.array(values.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(values), -1) if len(values) else np.zeros((0, 1))
 
 
-def top(query_id: np.ndarray, q: np.ndarray, vec_id: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
+def top(row: np.ndarray, query_id: np.ndarray, q: np.ndarray, vec_id: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
     """The k largest inner products of each query with other rows, ties to the smaller id, in double precision.
 
     A matrix product finds the candidates; their scores are summed again component by component, so equal vectors get equal scores."""
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    out: list[tuple[np.ndarray, ...]] = []
     scale = np.abs(x).max(initial=0.0)
     for s in range(0, len(q), 256):
         score = q[s : s + 256] @ x.T
@@ -169,24 +169,24 @@ def top(query_id: np.ndarray, q: np.ndarray, vec_id: np.ndarray, x: np.ndarray,
             pick = np.flatnonzero((score[j] >= bar[j] - slack[j]) & (score[j] > -np.inf))
             exact = (x[pick] * q[s + j]).sum(axis=1)
             best = np.lexsort((vec_id[pick], -exact))[:k]
-            out.append((np.full(len(best), query_id[s + j]), vec_id[pick][best], exact[best]))
-    ids, vecs, scores = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
-    return pd.DataFrame({"query_id": ids, "vec_id": vecs, "score": scores})
+            out.append((np.full(len(best), row[s + j]), np.full(len(best), query_id[s + j]), vec_id[pick][best], exact[best]))
+    rows, ids, vecs, scores = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
+    return pd.DataFrame({"row": rows, "query_id": ids, "vec_id": vecs, "score": scores})
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 20, vector_col: str = "embedding", id_col: str = "vec_id") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: of each row that ``queries`` selects, the k nearest found among all other rows.
 
     Rows without a usable vector (see ``usable``), without id, or of other than the commonest length take no part. Rows with a query's own id are never its
-    neighbours. An empty table gives no rows; with fewer than 128 vectors there is one part and the search is exact."""
-    own = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("is_query"))
+    neighbours; each row that repeats a query's id has ranks of its own. An empty table gives no rows; with fewer than 128 vectors there is one part and the search is exact."""
+    own = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("is_query"), F.monotonically_increasing_id().alias("row"))
     own = own.where(usable(F.col("v")) & F.col("vec_id").isNotNull())
     sizes = own.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if sizes is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     own = own.where(F.size("v") == sizes["n"])
-    rate = min(1_000_000, int(1_000_000 * SAMPLE / max(1, sizes["count"])))
-    taken = own.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < rate).select("v").limit(2 * SAMPLE).toArrow().column("v").combine_chunks()
+    rate = min(1 << 62, (SAMPLE << 62) // max(1, sizes["count"]))
+    taken = own.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 62)) < rate).select("v").limit(2 * SAMPLE).toArrow().column("v").combine_chunks()
     sample = taken.flatten().to_numpy(zero_copy_only=False).reshape(len(taken), sizes["n"])
     model = fit_partitions(sample, max(LEAST_PARTS, round(sizes["count"] ** 0.5 / PART_ROOT)), neighbours=k)
     shared = vectors.sparkSession.sparkContext.broadcast(model)
@@ -195,29 +195,35 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, vector_col: str =
         m = shared.value
         for batch in batches:
             part = m.probabilities(_matrix(batch.column(1))).argmax(axis=1).astype(np.int32) if batch.num_rows else np.zeros(0, np.int32)
-            yield pa.record_batch([*batch.columns, pa.array(part)], names=["vec_id", "v", "is_query", "part"])
+            yield pa.record_batch([*batch.columns, pa.array(part)], names=["vec_id", "v", "is_query", "row", "part"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             probes = np.argsort(-m.probabilities(_matrix(batch.column(1))), axis=1, kind="stable")[:, : m.probes] if batch.num_rows else np.zeros((0, 1), int)
             rows = pa.array(np.repeat(np.arange(batch.num_rows), probes.shape[1]))
-            yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(probes.ravel().astype(np.int32))], names=["query_id", "v", "part"])
+            yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), batch.column(2).take(rows), pa.array(probes.ravel().astype(np.int32))], names=["query_id", "v", "row", "part"])
 
-    index = materialise(own.mapInArrow(freeing(deal), "vec_id long, v array<double>, is_query boolean, part int"), "index")
-    # A part above BLOCK rows is cut into blocks, and its queries go to each: no task holds more than a block.
-    counts = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}
-    blocks = F.element_at(F.array(*[F.lit(max(1, -(-counts.get(p, 0) // BLOCK))) for p in range(max(counts) + 1)]), F.col("part") + 1)
-    index = index.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), blocks))
-    routed = index.where("is_query").select("vec_id", "v").mapInArrow(freeing(route), "query_id long, v array<double>, part int")
-    routed = routed.where(F.col("part") <= max(counts)).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long"))))
+    index = materialise(own.mapInArrow(freeing(deal), "vec_id long, v array<double>, is_query boolean, row long, part int"), "index")
+    routed = index.where("is_query").select("vec_id", "v", "row").mapInArrow(freeing(route), "query_id long, v array<double>, row long, part int")
+
+    def blocks_of(rows: DataFrame) -> Column:
+        """Into how many blocks a part's rows are cut; one number for each part, of which there are as many as the root of the table's size."""
+        counts = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}
+        return F.element_at(F.array(*[F.lit(-(-counts.get(p, 0) // BLOCK)).cast("long") for p in range(len(model.b2))]), F.col("part") + 1)
+
+    # A part above BLOCK rows is cut into blocks, its queries into blocks too, and each meets each: no task holds more than a block of either.
+    blocks, asked = blocks_of(index), blocks_of(routed)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    index = index.withColumn("asked", asked).where("asked > 0").withColumn("block", F.pmod(F.xxhash64("row"), blocks)).withColumn("ask", each(F.col("asked")))
+    routed = routed.withColumn("blocks", blocks).where("blocks > 0").withColumn("ask", F.pmod(F.xxhash64("row"), asked)).withColumn("block", each(F.col("blocks")))
 
     def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        return top(left["query_id"].to_numpy(), np.stack(left["v"].to_numpy()), right["vec_id"].to_numpy(), np.stack(right["v"].to_numpy()), k)
+            return pd.DataFrame({"row": pd.Series(dtype="int64"), "query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        return top(left["row"].to_numpy(), left["query_id"].to_numpy(), np.stack(left["v"].to_numpy()), right["vec_id"].to_numpy(), np.stack(right["v"].to_numpy()), k)
 
-    found = routed.groupBy("part", "block").cogroup(index.select("vec_id", "v", "part", "block").groupBy("part", "block")).applyInPandas(rank, _RANKED)
+    found = routed.groupBy("part", "block", "ask").cogroup(index.select("vec_id", "v", "part", "block", "ask").groupBy("part", "block", "ask")).applyInPandas(rank, _RANKED)
     # Ranked with a limit, so each task passes on no more than k rows of a query, however many blocks it was sent to.
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    place = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from ._common import freeing, offsets_of, slices, text_array
 
 GRAMS = 4096
-#: Text bytes of one vectorised step, steps of EM over all languages and over a chosen set, weight of a language in the penalty.
-STEP_BYTES, FULL_STEPS, SET_STEPS, PENALTY = 1 << 20, 12, 5, 2.0
+#: Text bytes and rows (of GRAMS counts each) of one vectorised step, steps of EM over all languages and over a chosen set, weight of a language in the penalty.
+STEP_BYTES, STEP_ROWS, FULL_STEPS, SET_STEPS, PENALTY = 1 << 20, 1024, 12, 5, 2.0
 _PLAIN = np.array([b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256)], np.uint8)
 
 
@@ -61,7 +61,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Lang
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in slices(batch, "text", STEP_BYTES):
+            for part in slices(batch, "text", STEP_BYTES, STEP_ROWS):
                 counts, names = gram_counts(text_array(part, "text")), np.array(part.column(1).to_pylist(), object)
                 for name in set(names):
                     total[name] = total.get(name, 0) + counts[names == name].sum(axis=0, dtype=np.float64)
@@ -128,7 +128,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", id_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for part in slices(batch, "_text", STEP_BYTES):
+            for part in slices(batch, "_text", STEP_BYTES, STEP_ROWS):
                 values = text_array(part, "_text")
                 letters = has_letter(values) if m.languages else np.zeros(len(values), bool)
                 counts = gram_counts(values) if letters.any() else None

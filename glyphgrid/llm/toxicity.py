@@ -1,13 +1,12 @@
 """Toxicity by a lexicon that allows for misspelling.
 
-The Levenshtein automata of all terms, intersected with the trie of the lexicon, are made deterministic once: one table of states by letters,
-run over all words together. A term's weight is learned from labelled rows; a misspelt form has its own evidence, and the term's where it was never seen.
+The Levenshtein automaton of each distinct word, a universal table of error profiles, is intersected with the trie of the lexicon, for many words together; memory is
+linear in the lexicon. A term's weight is learned from labelled rows; a misspelt form has its own evidence, and the term's where it was never seen.
 What stands in quotation marks counts apart from what doesn't, and a small logistic model puts both together."""
 
 from __future__ import annotations
 
 import unicodedata
-from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import exp, lgamma, log
@@ -22,6 +21,8 @@ from .language_id import fold
 
 #: Labelled rows that the model is fitted on, about.
 SAMPLE_ROWS = 10_000
+#: Distinct words that are searched together, and words that a worker keeps with their nearest terms.
+WORDS, KNOWN = 8_192, 1 << 18
 #: Words on either side of a hit that belong to its context.
 CONTEXT = 12
 #: Quotation marks that open and close a quotation. Marks of _BOTH_WAYS may do either, so the number of them before a word tells; single ones count at a word's edge only.
@@ -39,92 +40,166 @@ def errors_allowed(term: str) -> int:
     return 0 if len(term) < 4 else 1 if len(term) < 8 else 2
 
 
+#: Errors that terms allow at most; a profile holds the errors at 2 * MOST + 1 places of a word about the letters read, each up to MOST + 1.
+MOST = 2
+_WIDTH, _DEAD = 2 * MOST + 1, MOST + 1
+
+
+def _universal() -> tuple[np.ndarray, np.ndarray]:
+    """The Levenshtein automaton of any word: value[state, k]: the errors at place k of a profile; step[state, bits]: the profile after a letter that equals the word's at the places whose bits are set."""
+    base = _DEAD + 1
+    states = base**_WIDTH
+    value = np.stack([np.arange(states) // base**k % base for k in range(_WIDTH)], axis=1).astype(np.int8)
+    step = np.zeros((states, 1 << _WIDTH), np.int32)
+    for bits in range(1 << _WIDTH):
+        before = np.full(states, _DEAD, np.int8)
+        for k in range(_WIDTH):
+            here = value[:, k] + (0 if bits >> k & 1 else 1)
+            if k + 1 < _WIDTH:
+                here = np.minimum(here, value[:, k + 1] + 1)
+            before = np.minimum(np.minimum(here, before + 1), _DEAD).astype(np.int8)
+            step[:, bits] += before.astype(np.int32) * base**k
+    return value, step
+
+
+VALUE, STEP = _universal()
+_LEAST = VALUE.min(axis=1)
+#: No letter read, and MOST places at hand before the word.
+_START = sum((k - MOST if k >= MOST else _DEAD) * (_DEAD + 1) ** k for k in range(_WIDTH))
+
+
+class _Trie:
+    """Terms as arrays: children sorted by node and letter. limit: errors up to a node with which one of its terms can still be met; low, high: lengths of the words that it can be met by."""
+
+    def __init__(self, terms: list[tuple[int, np.ndarray, np.ndarray]], letters: int):
+        """terms: number, letters, limit after each letter."""
+        self.letters = letters
+        edges: dict[int, int] = {}
+        limit, low, high, term = [0], [1 << 30], [0], [-1]
+        for k, word, allowed in terms:
+            node, size, n = 0, len(word), int(allowed[-1])
+            for c, most in zip(word.tolist(), allowed.tolist(), strict=True):
+                node = edges.setdefault(node * letters + c, len(limit))
+                if node == len(limit):
+                    limit.append(0)
+                    low.append(1 << 30)
+                    high.append(0)
+                    term.append(-1)
+                limit[node] = max(limit[node], most)
+                low[node], high[node] = min(low[node], size - n), max(high[node], size + n)
+            term[node] = k
+        self.key = np.array(sorted(edges), np.int64)
+        self.child = np.array([edges[k] for k in self.key.tolist()], np.int64)
+        self.limit, self.low, self.high, self.term = (np.array(x, np.int64) for x in (limit, low, high, term))
+        self.first = np.searchsorted(self.key, np.arange(len(limit) + 1) * letters)
+        self.ahead = np.zeros(len(limit), np.int64)  # the most that a child allows
+        np.maximum.at(self.ahead, self.key // letters, self.limit[self.child])
+
+    def search(self, word: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, term, errors) of words near terms. word: letters of each word, MOST places of -1 before and behind them."""
+        row = np.arange(len(word))
+        node, state, depth = np.zeros(len(word), np.int64), np.full(len(word), _START, np.int64), 0
+        while len(row):
+            # Where no error is left, only letters of the word lead on.
+            tight = _LEAST[state] >= self.ahead[node]
+            r, s, n = row[tight], state[tight], node[tight]
+            rows, states, edges = [], [], []
+            near = word[r, depth : depth + _WIDTH]
+            for k in range(_WIDTH):
+                new = near[:, k] >= 0
+                for j in range(k):
+                    new &= near[:, j] != near[:, k]
+                at = np.flatnonzero(new)
+                wanted = n[at] * self.letters + near[at, k]
+                place = np.minimum(np.searchsorted(self.key, wanted), max(0, len(self.key) - 1))
+                hit = self.key[place] == wanted if len(self.key) else np.zeros(len(at), bool)
+                rows.append(r[at[hit]])
+                states.append(s[at[hit]])
+                edges.append(place[hit])
+            r, s, n = row[~tight], state[~tight], node[~tight]
+            count = self.first[n + 1] - self.first[n]
+            rows.append(np.repeat(r, count))
+            states.append(np.repeat(s, count))
+            edges.append(np.repeat(self.first[n] - np.cumsum(count) + count, count) + np.arange(count.sum()))
+            row, state, edge = np.concatenate(rows), np.concatenate(states), np.concatenate(edges)
+            node, letter = self.child[edge], self.key[edge] % self.letters
+            fits = (size[row] >= self.low[node]) & (size[row] <= self.high[node])
+            row, state, node, letter = row[fits], state[fits], node[fits], letter[fits]
+            bits = ((word[row, depth : depth + _WIDTH] == letter[:, None]) << np.arange(_WIDTH)).sum(axis=1) if len(row) else np.zeros(0, np.int64)
+            state = STEP[state, bits].astype(np.int64)
+            live = _LEAST[state] <= self.limit[node]
+            row, state, node = row[live], state[live], node[live]
+            depth += 1
+            ends = np.flatnonzero((self.term[node] >= 0) & (np.abs(size[row] - depth) <= MOST))
+            yield row[ends], self.term[node[ends]], VALUE[state[ends], size[row[ends]] - depth + MOST]
+
+
 class LexiconAutomaton:
-    """Deterministic automaton of all words within each term's allowed edit distance. letters: the characters of the terms, sorted; follow[state, number of
-    the letter, or the last for any other]: state 0 is dead, 1 the start; term[state], distance[state]: the nearest term if a word may end there, else -1."""
+    """All words within each term's allowed edit distance: the universal Levenshtein automaton of a word, intersected with the trie of the terms.
+
+    Of at most n errors, the front half of a term has at most n // 2 or its back half none: one trie is searched from the front with so few errors
+    up to the middle, another from the back, so that few of its nodes are met. Both hold a node a letter of a term: memory is linear in the lexicon."""
 
     def __init__(self, terms: list[str]):
         self.terms = terms
-        trie: list[dict[str, int]] = [{}]
-        ends: dict[int, int] = {}
-        slack: list[int] = [0]  # most errors that a term below the node allows
-        for k, t in enumerate(terms):
-            node = 0
-            slack[0] = max(slack[0], errors_allowed(t))
-            for c in t:
-                if c not in trie[node]:
-                    trie[node][c] = len(trie)
-                    trie.append({})
-                    slack.append(0)
-                node = trie[node][c]
-                slack[node] = max(slack[node], errors_allowed(t))
-            ends[node] = k
-
-        def closed(items: dict[int, int]) -> tuple[tuple[int, int], ...]:
-            """(node, errors) with letters of terms left out; the fewest errors of a node, within what its terms allow."""
-            best, todo = {}, sorted(items.items(), key=lambda x: x[1])
-            while todo:
-                node, e = todo.pop(0)
-                if e > slack[node] or best.get(node, 99) <= e:
-                    continue
-                best[node] = e
-                todo += [(child, e + 1) for child in trie[node].values()]
-                todo.sort(key=lambda x: x[1])
-            return tuple(sorted(best.items()))
-
-        letters = sorted({c for t in terms for c in t})
-        column = {c: k for k, c in enumerate(letters)}
-        self.letters = np.array([ord(c) for c in letters], np.uint32)
-        number = {(): 0, closed({0: 0}): 1}
-        queue, rows = deque([closed({0: 0})]), [np.zeros(len(letters) + 1, np.int32)]
-        while queue:
-            state = queue.popleft()
-            row = np.zeros(len(letters) + 1, np.int32)
-            for c in ["", *sorted({label for node, _ in state for label in trie[node]})]:  # "": any other letter
-                step: dict[int, int] = {}
-                for node, e in state:
-                    for label, child in trie[node].items():
-                        cost = e + (label != c)
-                        step[child] = min(step.get(child, 99), cost)
-                    step[node] = min(step.get(node, 99), e + 1)
-                target = closed(step)
-                if target not in number:
-                    number[target] = len(number)
-                    queue.append(target)
-                if c:
-                    row[column[c]] = number[target]
-                else:
-                    row[:] = number[target]
-            rows.append(row)
-        self.follow = np.stack(rows)
-        self.term, self.distance = np.full(len(rows), -1, np.int32), np.zeros(len(rows), np.int8)
-        for state, s in number.items():
-            found = min(((e, ends[n]) for n, e in state if n in ends and e <= errors_allowed(terms[ends[n]])), default=None)
-            if found:
-                self.distance[s], self.term[s] = found
-
-    def _columns(self, data: np.ndarray) -> np.ndarray:
-        if not len(self.letters):
-            return np.zeros(len(data), np.int64)
-        at = np.minimum(np.searchsorted(self.letters, data), len(self.letters) - 1)
-        return np.where(self.letters[at] == data, at, len(self.letters))
+        codes = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in terms]
+        self.letters = np.unique(np.concatenate(codes)) if terms else np.zeros(0, np.uint32)
+        self.allowed = np.array([errors_allowed(t) for t in terms], np.int64)
+        self.longest = max((len(t) + MOST for t in terms), default=0)
+        front, back = [], []
+        for k, (code, n) in enumerate(zip(codes, self.allowed.tolist(), strict=True)):
+            word, place, half = np.searchsorted(self.letters, code), np.arange(1, len(code) + 1), len(code) // 2
+            front.append((k, word, np.where(place <= half, n // 2, n)))
+            if n:
+                back.append((k, word[::-1], np.where(place <= len(code) - half, 0, n)))
+        self.tries = [_Trie(x, max(1, len(self.letters))) for x in (front, back)]
+        self._known: dict[bytes, int] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_known": {}}
+
+    def nearest(self, words: list[bytes]) -> list[int]:
+        """Of each word (UTF-32): errors * terms + the term of fewest errors, the first of several; -1 if none is near."""
+        best = np.full(len(words), 1 << 60)
+        size = np.fromiter(map(len, words), np.int64, len(words)) >> 2
+        for s in range(0, len(words), WORDS):
+            own, n = words[s : s + WORDS], size[s : s + WORDS]
+            code = np.frombuffer(b"".join(own), np.uint32)
+            at = np.minimum(np.searchsorted(self.letters, code), max(0, len(self.letters) - 1))
+            letter = np.where(self.letters[at] == code, at, -1) if len(self.letters) else np.full(len(code), -1)
+            inside = np.arange(int(n.max(initial=0))) < n[:, None]
+            for trie, turned in zip(self.tries, (False, True), strict=True):
+                table = np.full((len(own), self.longest + 2 * _WIDTH), -1, np.int64)
+                area = table[:, MOST : MOST + inside.shape[1]]
+                area[inside] = letter
+                if turned:
+                    place = np.where(inside, n[:, None] - 1 - np.arange(inside.shape[1]), 0)
+                    area[:] = np.where(inside, np.take_along_axis(area, place, 1), -1)
+                for row, term, errors in trie.search(table, n):
+                    good = errors <= self.allowed[term]
+                    np.minimum.at(best, s + row[good], errors[good].astype(np.int64) * len(self.terms) + term[good])
+        return np.where(best < 1 << 60, best, -1).tolist()
 
     def match(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """The state that each word (characters data[start : start + size]) ends in, 0 if no term is near."""
-        data = self._columns(data)
-        longest = max((len(t) + errors_allowed(t) for t in self.terms), default=0)
-        out = np.zeros(len(start), np.int32)
-        row = np.flatnonzero((size <= longest) & (size > 0))
-        state = np.ones(len(row), np.int32)
-        for k in range(longest):
-            state = self.follow[state, data[start[row] + k]]
-            live = state > 0
-            row, state = row[live], state[live]
-            done = size[row] == k + 1
-            out[row[done]] = np.where(self.term[state[done]] >= 0, state[done], 0)
-            row, state = row[~done], state[~done]
-            if not len(row):
-                break
+        """The term that each word (characters data[start : start + size]) is near to, -1 if none. A word that the worker knows isn't searched again."""
+        out = np.full(len(start), -1, np.int64)
+        at = np.flatnonzero((size > 0) & (size <= self.longest))
+        if not len(at):
+            return out
+        ends = np.concatenate(([0], np.cumsum(size[at])))
+        flat = data[np.repeat(start[at] - ends[:-1], size[at]) + np.arange(ends[-1])].astype(np.uint32)
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(4 * ends), pa.py_buffer(flat)]).dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        found = list(map(self._known.get, words))
+        new = [k for k, x in enumerate(found) if x is None]
+        if len(self._known) + len(new) > KNOWN:
+            self._known.clear()
+        for k, x in zip(new, self.nearest([words[k] for k in new]), strict=True):
+            found[k] = x
+            if len(self._known) < KNOWN:
+                self._known[words[k]] = x
+        found = np.array(found)
+        out[at] = np.where(found >= 0, found % max(1, len(self.terms)), -1)[coded.indices.to_numpy()]
         return out
 
 
@@ -182,12 +257,12 @@ class _Text:
 
 
 def hits(values: pa.Array, automaton: LexiconAutomaton) -> tuple[np.ndarray, list[tuple[int, str, int, bool]]]:
-    """Words of each text, and (text, form, state, quoted) of each word near a term."""
+    """Words of each text, and (text, form, term, quoted) of each word near a term."""
     t = _Text(values)
-    state = automaton.match(t.raw, t.from_, t.size)
-    at = np.flatnonzero(state)
+    term = automaton.match(t.raw, t.from_, t.size)
+    at = np.flatnonzero(term >= 0)
     doc = np.searchsorted(t.first, at, side="right") - 1
-    return np.diff(t.first), [(int(d), t.word(int(k)), int(state[k]), t.quoted(int(k), int(d))) for k, d in zip(at, doc, strict=True)]
+    return np.diff(t.first), [(int(d), t.word(int(k)), int(term[k]), t.quoted(int(k), int(d))) for k, d in zip(at, doc, strict=True)]
 
 
 def features(values: pa.Array, model: ToxicityModel) -> tuple[np.ndarray, list[set[str]]]:
@@ -195,8 +270,7 @@ def features(values: pa.Array, model: ToxicityModel) -> tuple[np.ndarray, list[s
     n, found = hits(values, model.automaton)
     direct, quoted = np.zeros(len(n)), np.zeros(len(n))
     terms: list[set[str]] = [set() for _ in range(len(n))]
-    for d, form, state, inside in set(found):  # a form counts once, in and out of quotation marks
-        term = int(model.automaton.term[state])
+    for d, form, term, inside in set(found):  # a form counts once, in and out of quotation marks
         terms[d].add(model.automaton.terms[term])
         weight = model.form_weight.get(form)
         if weight is None:
@@ -222,8 +296,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 25, ridge: float = 1.0)
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic") -> ToxicityModel:
     """Fitted on about SAMPLE_ROWS labelled rows, taken by a hash of the id. Ids with more than one label count by the largest."""
     own = labels.where(F.col(f"`{label_col}`").isNotNull() & F.col(f"`{id_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").cast("long").alias("_id")).agg(F.max(F.col(f"`{label_col}`").cast("int")).alias("_label"))
-    rate = min(1.0, SAMPLE_ROWS / max(1, own.count()))
-    own = own.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(rate * 1_000_000))
+    share = min(1 << 62, (SAMPLE_ROWS << 62) // max(1, own.count()))
+    own = own.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 62)) < share)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     sample = texts.join(F.broadcast(own), "_id").select("text", "_label").persist()  # the broadcast side is bounded by SAMPLE_ROWS
     base = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("_label"), F.lit(0)).alias("t")).first()
@@ -232,11 +306,12 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
         for batch in batches:
             for part in slices(batch, "text"):
                 t = _Text(text_array(part, "text"))
-                label = part.column(1).to_pylist()
-                for d in range(len(label)):
+                pairs: list[tuple[str, str, int]] = []
+                for d, label in enumerate(part.column(1).to_pylist()):
                     words = [t.word(k) for k in range(t.first[d], t.first[d + 1])]
-                    own = {(w, v) for v, w in zip(["", *words], words, strict=False) if any(map(str.isalpha, w))}
-                    yield pa.record_batch([pa.array([w for w, _ in own], pa.string()), pa.array([v for _, v in own], pa.string()), pa.array([label[d]] * len(own), pa.int32())], names=["word", "prior", "label"])
+                    pairs += [(w, v, label) for w, v in {(w, v) for v, w in zip(["", *words], words, strict=False) if any(map(str.isalpha, w))}]
+                word, prior, label = zip(*pairs, strict=True) if pairs else ((), (), ())
+                yield pa.record_batch([pa.array(word, pa.string()), pa.array(prior, pa.string()), pa.array(label, pa.int32())], names=["word", "prior", "label"])
 
     rate = (base["t"] + 0.5) / (base["n"] + 1)
     # A word counts once for each word that it follows, so near copies of one toxic document don't make its words terms.
@@ -247,14 +322,15 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     found = [r for r in words.orderBy(F.desc("t"), "word").collect() if _tail(r["n"], int(r["t"]), level) * tried < 0.05]  # bounded by the sample
     automaton = LexiconAutomaton([r["word"] for r in found])
     odds = lambda t, n: float(np.log(((t + 0.5) / (n - t + 0.5)) / (rate / (1 - rate))))
+    shared = docs.sparkSession.sparkContext.broadcast(automaton)  # some 100 bytes a letter of the lexicon, which the sample bounds
     model = ToxicityModel(automaton, {}, [odds(r["t"], r["n"]) for r in found], np.zeros(4))
 
     def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 label = part.column(1).to_pylist()
-                own = sorted({(d, form, state) for d, form, state, _ in hits(text_array(part, "text"), model.automaton)[1]})
-                yield pa.record_batch([pa.array([f for _, f, _ in own], pa.string()), pa.array([int(model.automaton.term[s]) for _, _, s in own], pa.int32()), pa.array([label[d] for d, _, _ in own], pa.int32())], names=["form", "term", "label"])
+                own = sorted({(d, form, term) for d, form, term, _ in hits(text_array(part, "text"), shared.value)[1]})
+                yield pa.record_batch([pa.array([f for _, f, _ in own], pa.string()), pa.array([t for _, _, t in own], pa.int32()), pa.array([label[d] for d, _, _ in own], pa.int32())], names=["form", "term", "label"])
 
     seen = sample.mapInArrow(freeing(forms), "form string, term int, label int").groupBy("form", "term").agg(F.sum("label").alias("t"), F.count("*").alias("n")).collect() if found else []
     for r in seen:  # forms near a term within the bounded sample
@@ -262,10 +338,12 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
         prior = 2 * min(0.95, 0.8 * (term["t"] + 0.5) / (term["n"] + 1)) if r["form"] != term["word"] else 0
         model.form_weight[r["form"]] = float(np.log(((r["t"] + prior + 0.25) / (r["n"] - r["t"] + (2 - prior if prior else 0) + 0.25)) / (rate / (1 - rate))))
 
+    weighed = docs.sparkSession.sparkContext.broadcast(model)
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                x, _ = features(text_array(part, "text"), model)
+                x, _ = features(text_array(part, "text"), weighed.value)
                 yield pa.record_batch([*[pa.array(c.astype(float)) for c in x.T[:3]], part.column(1)], names=["a", "b", "c", "y"])
 
     table = sample.mapInArrow(freeing(rows), "a double, b double, c double, y int").toPandas().to_numpy(float)

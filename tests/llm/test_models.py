@@ -161,12 +161,47 @@ def test_search(spark):
     assert hits / (20 * len(ids[ids % 20 == 0])) >= 0.9 and set(got["query_id"]) == set(ids[ids % 20 == 0])
 
 
-def test_lexicon_automaton():
-    a = toxicity.LexiconAutomaton(["moron", "worthless", "bad"])
-    for word, want in (("moron", 0), ("moran", 1), ("mooron", 1), ("moro", 1), ("maran", None), ("worthles", 1), ("w0rthles", 2), ("bad", 0), ("bat", None), ("", None)):
-        data = np.frombuffer(word.encode() + b" ", np.uint8)
-        state = int(a.match(data, np.array([0]), np.array([len(word)]))[0])
-        assert (int(a.distance[state]) if state else None) == want, word
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for x in a:
+        last, row[0] = row[0], row[0] + 1
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcé漢z"])
+def test_lexicon_automaton_against_edit_distances(letters):
+    """Words within the errors that a term allows, the nearest term and of these the first, by brute force."""
+    rng = random.Random(len(letters))
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    terms = sorted({word(rng.randrange(1, 13)) for _ in range(60)}, key=lambda _: rng.random())
+    a = toxicity.LexiconAutomaton(terms)
+    words = [word(rng.randrange(0, 15)) for _ in range(1500)] + terms + [""]
+    for t in terms * 12:
+        w = list(t)
+        for _ in range(rng.randrange(0, 4)):
+            k = rng.randrange(len(w) + 1)
+            w[k : k + rng.randrange(2)] = [rng.choice([*letters, "x"])] * rng.randrange(2)
+        words.append("".join(w))
+    want = [min((d, k) for k, t in enumerate(terms) if (d := _distance(w, t)) <= toxicity.errors_allowed(t)) if any(_distance(w, t) <= toxicity.errors_allowed(t) for t in terms) else None for w in words]
+    near = a.nearest([w.encode("utf-32-le") for w in words])
+    assert [divmod(x, len(terms)) if x >= 0 else None for x in near] == want
+    size = np.array([len(w) for w in words])
+    for _ in range(2):  # searched, then known
+        got = a.match(np.frombuffer("".join(words).encode("utf-32-le"), np.uint32), np.cumsum(size) - size, size)
+        assert got.tolist() == [w[1] if w and n else -1 for w, n in zip(want, size, strict=True)]
+    assert toxicity.LexiconAutomaton([]).match(np.zeros(3, np.uint32), np.array([0]), np.array([3])).tolist() == [-1]
+
+
+def test_large_lexicon():
+    """Thousands of long terms take memory in proportion to their letters."""
+    rng = random.Random(2)
+    terms = sorted({"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(5000)})
+    a = toxicity.LexiconAutomaton(terms)
+    assert sum(x.nbytes for t in a.tries for x in vars(t).values() if isinstance(x, np.ndarray)) < 150 * sum(map(len, terms))
+    words = [t[:3] + t[4:] + "q" for t in terms[:300]]
+    assert [divmod(x, len(terms)) for x in a.nearest([w.encode("utf-32-le") for w in words])] == [(2, k) for k in range(300)]
 
 
 def test_toxicity(spark):
@@ -255,8 +290,24 @@ def test_search_with_repeated_ids_other_lengths_and_clashing_columns(spark):
     own = [(i, np.array(v)) for i, v, *_ in rows if i is not None and len(v) == 3]
     for i in {i for i, _ in own if i % 20 == 0}:
         lists = [sorted(((-float(v @ q), j) for j, v in own if j != i))[:5] for k, q in own if k == i]
-        mine = sorted((-r.score, r.vec_id) for r in got if r.query_id == i)
-        assert len(mine) == 5 and mine in ([sorted(x) for x in lists] + [sorted(sorted(lists[0] + lists[-1])[:5])])
+        mine = sorted((r.rank, -r.score, r.vec_id) for r in got if r.query_id == i)
+        assert mine == sorted((k, s, j) for x in lists for k, (s, j) in enumerate(x, 1))
+    assert sum(r.query_id == 20 for r in got) == 10
+
+
+def test_search_in_blocks_of_queries(spark, monkeypatch):
+    """Parts cut into blocks of vectors and of queries give what one block gives."""
+    df = spark.createDataFrame([(k, [float(k * k % 101), float(k * 7 % 31), float(k % 13) - 6]) for k in range(1, 400)], "vec_id long, embedding array<double>")
+    want = sorted(map(tuple, ann.nearest(df, F.col("vec_id") % 3 == 0, k=7).collect()))
+    monkeypatch.setattr(ann, "BLOCK", 11)
+    assert sorted(map(tuple, ann.nearest(df, F.col("vec_id") % 3 == 0, k=7).collect())) == want
+
+
+def test_many_short_texts_in_a_batch():
+    """Ten thousand short texts are worked on in steps of a bounded number of rows."""
+    batch = language_id.pa.record_batch([language_id.pa.array([f"le chat {k}" for k in range(10_000)])], names=["text"])
+    parts = list(language_id.slices(batch, "text", language_id.STEP_BYTES, language_id.STEP_ROWS))
+    assert sum(p.num_rows for p in parts) == 10_000 and max(p.num_rows for p in parts) * language_id.GRAMS * 4 <= 16 << 20
 
 
 def test_mixed_documents_with_clashing_names(spark, docs):
