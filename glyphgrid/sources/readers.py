@@ -12,15 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.sampling import place_in_order
+from .json_document import Document
 
+IMAGE = "file_name string, width int, height int, instances int"
 ANNOTATION = "id bigint, file_name string, bbox array<double>, score double, rec string, polygon array<array<double>>, VLM string, has_text boolean"
-DOCUMENT = f"images array<struct<file_name:string,width:int,height:int,instances:int>>, annotations array<struct<{', '.join(x.replace(' ', ':', 1) for x in ANNOTATION.split(', '))}>>"
 
 
 def detection_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(images, annotations) of a JSON document; what can't be parsed gives no rows."""
-    doc = spark.read.schema(DOCUMENT).json(path, multiLine=True, mode="PERMISSIVE")
-    return doc.select(F.inline("images")), doc.select(F.inline("annotations"))
+    """(images, annotations) of a JSON document, read by byte ranges; a field of another type is null."""
+    doc = Document(spark, path)
+    return doc.rows("images", IMAGE), doc.rows("annotations", ANNOTATION)
 
 
 def text_list(spark: SparkSession, path: str) -> DataFrame:
@@ -74,9 +75,8 @@ def voc_objects(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", "name", *[(F.col(c).cast("double") - (1 if c.endswith("min") else 0)).alias(c) for c in cols])
 
 
-_LVIS = """images array<struct<id:bigint,width:int,height:int,coco_url:string,not_exhaustive_category_ids:array<bigint>,neg_category_ids:array<bigint>>>,
-annotations array<struct<id:bigint,image_id:bigint,category_id:bigint,bbox:array<double>,area:double,segmentation:array<array<double>>>>,
-categories array<struct<id:bigint,name:string,frequency:string>>"""
+_LVIS_IMAGE = "id bigint, width int, height int, coco_url string, not_exhaustive_category_ids array<bigint>, neg_category_ids array<bigint>"
+_LVIS_NOTE = "id bigint, image_id bigint, category_id bigint, bbox array<double>, area double, segmentation array<array<double>>"
 
 
 def lvis_document(spark: SparkSession, path: str, root: str, mapping: dict[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -84,8 +84,8 @@ def lvis_document(spark: SparkSession, path: str, root: str, mapping: dict[int,
 
     A file name is the root and the last two parts of the image's address. Categories are as the mapping says, without one less 1. An annotation without a
     polygon, or with one of under three points, raises, as does a repeated id."""
-    doc = spark.read.schema(_LVIS).json(path, multiLine=True)
-    image = doc.select(F.inline("images"))
+    doc = Document(spark, path)
+    image = doc.rows("images", _LVIS_IMAGE)
     parts = F.split("coco_url", "/")
     name = F.concat_ws("/", F.lit(root.rstrip("/")), F.element_at(parts, -2), F.element_at(parts, -1))
     none = F.array().cast("array<bigint>")
@@ -93,18 +93,18 @@ def lvis_document(spark: SparkSession, path: str, root: str, mapping: dict[int,
     valid = (F.size("segmentation") > 0) & F.forall("segmentation", lambda p: (F.size(p) % 2 == 0) & (F.size(p) >= 6))
     table = F.create_map(*[F.lit(v) for pair in mapping.items() for v in pair]) if mapping else None
     category = F.col("category_id") - 1 if table is None else F.element_at(table, F.col("category_id").cast("int")).cast("long")
-    rows = doc.select(F.inline("annotations"))
+    rows = doc.rows("annotations", _LVIS_NOTE)
     own = rows.groupBy("id").agg(F.count("*").alias("_n"), F.first(F.struct(*rows.columns)).alias("a")).select("_n", "a.*")
     whole = F.when(F.col("_n") > 1, F.raise_error(F.lit("annotation ids are not unique"))).when(F.coalesce(valid, F.lit(False)), F.col("segmentation")).otherwise(F.raise_error(F.lit("annotation with an invalid polygon")))
     return images, own.select("id", "image_id", "bbox", "area", category.alias("category_id"), whole.alias("segmentation"))
 
 
-_PANOPTIC = "annotations array<struct<image_id:string,file_name:string,segments_info:array<struct<id:bigint,category_id:bigint,iscrowd:int,area:bigint,bbox:array<double>>>>>"
+_PANOPTIC = "image_id string, file_name string, segments_info array<struct<id:bigint,category_id:bigint,iscrowd:int,area:bigint,bbox:array<double>>>"
 
 
 def panoptic_document(spark: SparkSession, path: str, images: str, labels: str, things: dict[int, int], stuff: dict[int, int]) -> DataFrame:
     """image_id, file_name, label_file and the segments: category by the things' map, else by the stuff's (another one raises), and isthing."""
-    doc = spark.read.schema(_PANOPTIC).json(path, multiLine=True).select(F.inline("annotations"))
+    doc = Document(spark, path).rows("annotations", _PANOPTIC)
     table = lambda m: F.create_map(*[F.lit(v).cast("long") for pair in m.items() for v in pair]) if m else F.create_map().cast("map<bigint,bigint>")
     a, b = table(things), table(stuff)
 
@@ -179,24 +179,29 @@ def strict_truth(spark: SparkSession, path: str) -> DataFrame:
     return df.select(T.image_key(F.col("id").cast("string")).alias("image_id"), F.posexplode(whole).alias("ord", "t")).select("image_id", "ord", F.col("t.text").alias("text"), B.from_pairs(F.col("t.bbox")).alias("box"))
 
 
-_GUESS = "file_name:string,text:string,rec:string,VLM:string,bbox:array<double>,polygon:array<array<double>>,score:double"
-_GUESSES = f"annotations array<struct<{_GUESS}>>, entries array<struct<original_image:string,crop_id:string,text_instances:array<struct<{_GUESS}>>>>"
+_GUESS = "file_name string, text string, rec string, VLM string, bbox array<double>, polygon array<array<double>>, score double"
+_ENTRY = f"original_image string, crop_id string, text_instances array<struct<{_GUESS}>>"
 
 
 def predictions(spark: SparkSession, path: str, text_fields: tuple[str, ...] = ("text", "rec", "VLM"), mode: str = "xyxy", least_score: float | None = None) -> DataFrame:
-    """image_id, ord, text, box, score of a JSON document in either layout: a list of annotations, or entries with text instances.
+    """image_id, ord (grows along the document), text, box, score of a JSON document in either layout: a list of annotations, or entries with text instances.
 
     The text is the first given of the fields; the box that of the polygon where there is none. Records without a file name go; a document of neither layout raises. With
     ``least_score``, a missing score counts as 0."""
     from ..functions import box as B
     from ..functions import text as T
 
-    doc = spark.read.schema(_GUESSES).json(path, multiLine=True)
-    flat = doc.where("annotations IS NOT NULL").select(F.posexplode("annotations").alias("ord", "a")).select(F.col("a.file_name").alias("file"), F.col("ord").cast("long").alias("ord"), "a")
-    entry = doc.where("annotations IS NULL").select(F.posexplode(F.when(F.col("entries").isNull(), F.raise_error(F.lit("document of an unknown layout")).cast(_entries_type())).otherwise(F.col("entries"))).alias("e", "entry"))
-    nested = entry.select(F.coalesce(F.nullif("entry.original_image", F.lit("")), "entry.crop_id").alias("file"), "e", F.posexplode("entry.text_instances").alias("k", "a"))
-    nested = nested.select("file", (F.col("e").cast("long") * (1 << 32) + F.col("k")).alias("ord"), "a")
-    rows = flat.unionByName(nested).where("file <> ''")
+    doc = Document(spark, path)
+    if not doc.keys & {"annotations", "entries"}:
+        raise ValueError("document of an unknown layout")
+    if "annotations" in doc.keys:
+        own = doc.rows("annotations", _GUESS, order="_ord")
+        rows = own.select(F.col("file_name").alias("file"), F.col("_ord").alias("ord"), F.struct(*[c for c in own.columns if c != "_ord"]).alias("a"))
+    else:
+        entry = doc.rows("entries", _ENTRY, order="_ord")
+        nested = entry.select(F.coalesce(F.nullif("original_image", F.lit("")), "crop_id").alias("file"), "_ord", F.posexplode("text_instances").alias("k", "a"))
+        rows = nested.select("file", (F.col("_ord") * (1 << 20) + F.col("k")).alias("ord"), "a")
+    rows = rows.where("file <> ''")
     b, p = F.col("a.bbox"), F.col("a.polygon")
     corners = F.array(b[0], b[1], b[0] + b[2], b[1] + b[3]) if mode == "xywh" else b
     around = B.polygon_box(F.transform(p, lambda v: v[0]), F.transform(p, lambda v: v[1]))
@@ -205,10 +210,6 @@ def predictions(spark: SparkSession, path: str, text_fields: tuple[str, ...] = (
     return out if least_score is None else out.where(F.coalesce("score", F.lit(0.0)) >= least_score)
 
 
-def _entries_type() -> str:
-    return _GUESSES[_GUESSES.index("entries ") + len("entries ") :]
-
-
 def typed_csv(spark: SparkSession, path: str, schema: str, most: int | None = None) -> DataFrame:
     """A CSV file with a header, columns found by name whatever their case and cast as the schema says; whole numbers may be written with a fraction of zeros. A column that isn't there raises."""
     from pyspark.sql.types import IntegralType, StructType
@@ -264,9 +265,8 @@ def manifest(spark: SparkSession, path: str, count: int) -> DataFrame:
     return rows
 
 
-_COCO = """images array<struct<id:bigint,file_name:string,width:int,height:int>>,
-annotations array<struct<id:bigint,image_id:bigint,category_id:bigint,bbox:array<double>,area:double,iscrowd:int,segmentation:array<array<double>>,keypoints:array<double>,rec:array<int>,bezier_pts:array<double>>>,
-categories array<struct<id:bigint,name:string>>"""
+_COCO_IMAGE = "id bigint, file_name string, width int, height int"
+_COCO_NOTE = "id bigint, image_id bigint, category_id bigint, bbox array<double>, area double, iscrowd int, segmentation array<array<double>>, keypoints array<double>, rec array<int>, bezier_pts array<double>"
 
 
 def coco_document(spark: SparkSession, path: str, root: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -274,12 +274,12 @@ def coco_document(spark: SparkSession, path: str, root: str = "") -> tuple[DataF
     annotation all of whose polygons went too; keypoints are moved by half a pixel. Texts (codes in rec) and curves come along as they are. A repeated annotation id raises."""
     from ..functions import box as B
 
-    doc = spark.read.schema(_COCO).json(path, multiLine=True)
     from pyspark.sql import Window
 
-    categories = doc.select(F.inline("categories")).withColumn("number", F.row_number().over(Window.orderBy("id")) - 1)  # a row a category
-    images = doc.select(F.inline("images")).select(F.col("id").alias("image_id"), F.concat(F.lit(root.rstrip("/") + "/" if root else ""), "file_name").alias("file_name"), "width", "height")
-    rows = doc.select(F.inline("annotations"))
+    doc = Document(spark, path)
+    categories = doc.rows("categories", "id bigint, name string").withColumn("number", F.row_number().over(Window.orderBy("id")) - 1)  # a row a category
+    images = doc.rows("images", _COCO_IMAGE).select(F.col("id").alias("image_id"), F.concat(F.lit(root.rstrip("/") + "/" if root else ""), "file_name").alias("file_name"), "width", "height")
+    rows = doc.rows("annotations", _COCO_NOTE)
     once = F.when(F.count("*").over(Window.partitionBy("id")) == 1, True).otherwise(F.raise_error(F.lit("annotation ids are not unique")).cast("boolean"))
     valid = B.valid_polygons(F.col("segmentation"))
     own = rows.withColumn("_once", once).where(F.col("_once") & (F.col("segmentation").isNull() | (F.size("segmentation") == 0) | (F.size(valid) > 0)))
