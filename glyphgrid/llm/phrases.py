@@ -2,7 +2,8 @@
 
 One pass over the texts for each phrase length. A pass counts its phrases exactly and, beside them, throws the phrases that are one word longer
 into a fixed number of buckets. The next pass only counts a phrase whose bucket holds enough of them and whose two parts without an end word
-were frequent (Apriori); both tests are bitmaps of a fixed size, which let too much through but never too little, so counts stay exact."""
+were frequent (Apriori); both tests are bitmaps of a fixed size, which let too much through but never too little, so counts stay exact. What a pass counted is a written table, from which
+both the phrases and the bitmaps of the next pass are made."""
 
 from __future__ import annotations
 
@@ -18,12 +19,12 @@ from pyspark.sql import functions as F
 
 from ._common import discard, freeing, hash_ranges, materialise, mix, offsets_of, slices, text_array
 
-#: log2 of the buckets. A worker's counters take 4 bytes each (64 MB), a bitmap one bit (2 MB); fewer or more buckets only prune less or more.
-BUCKET_BITS = 24
-#: Text bytes that are counted at a time; rows of a batch of bucket counts.
-SLICE, ROWS = 8 << 20, 1 << 18
+#: log2 of the buckets. A worker's counters take a byte each (64 MB) for up to 255 wanted occurrences, a bitmap one bit (8 MB); fewer or more buckets only prune less or more.
+BUCKET_BITS = 26
+#: Text bytes that are counted at a time; log2 of the buckets of a block, in which bucket counts are put together.
+SLICE, BLOCK_BITS = 2 << 20, 16
 #: Pieces of a language's ranking, each cut to the wanted number before they are put together.
-RANKING_PIECES = 64
+RANKING_PIECES = 16
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 0x20
@@ -91,43 +92,86 @@ class Grams:
         return out
 
 
-def _counts(size: int, frequent: list[Broadcast], crowded: Broadcast | None, last: bool, bucket_bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (lang, phrase, bucket, n): phrases of ``size`` words of each slice; without a phrase and a bucket a language's words; without a language the counts of buckets of longer phrases."""
-    names = ["lang", "phrase", "bucket", "n"]
+_RAW = "lang string, phrase string, bucket int, n long, block int, places binary, counts binary"
+
+
+def _counts(size: int, frequent: list[Broadcast], crowded: Broadcast | None, last: bool, bucket_bits: int, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of three kinds: phrases of ``size`` words of each slice with their bucket and number; with a language alone, its words; and at a task's end, for each block
+    of buckets, the places of those that phrases of one word more fell into and their counts, which stop at ``least``."""
+    names, number = ["lang", "phrase", "bucket", "n", "block", "places", "counts"], np.min_scalar_type(least)
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+
+    def table(**columns: pa.Array) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        return pa.record_batch([columns[c].cast(t) if c in columns else pa.nulls(n, t) for c, t in zip(names, kinds, strict=True)], names=names)
 
     def has(bits: Broadcast, grams: Grams) -> np.ndarray:
         at = grams.buckets(bucket_bits)
         return (bits.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None if last else np.zeros(1 << bucket_bits, np.uint32)
+        total = None if last else np.zeros(1 << bucket_bits, number)
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 coded = part.column(1).dictionary_encode()
                 langs = coded.dictionary.to_pylist()
                 grams = Grams(text_array(part, "text"), coded.indices.to_numpy().astype(np.int64), langs)
                 if size == 1:
-                    n = np.bincount(grams.lang, weights=grams.count, minlength=len(langs)).astype(np.int64)
-                    none = pa.nulls(len(langs))
-                    yield pa.record_batch([pa.array(langs, pa.string()), none.cast(pa.string()), none.cast(pa.int32()), pa.array(n)], names=names)
+                    yield table(lang=pa.array(langs, pa.string()), n=pa.array(np.bincount(grams.lang, weights=grams.count, minlength=len(langs)).astype(np.int64)))
                 for bits in frequent:
                     grams.keep(has(bits, grams))
                     grams = grams.longer()
                 if crowded is not None:
                     grams.keep(has(crowded, grams))
-                yield pa.record_batch([pa.array(langs, pa.string()).take(pa.array(grams.lang)), grams.text.cast(pa.string()), pa.array(grams.buckets(bucket_bits).astype(np.int32)), pa.array(grams.count)], names=names)
+                yield table(lang=pa.array(langs, pa.string()).take(pa.array(grams.lang)), phrase=grams.text, bucket=pa.array(grams.buckets(bucket_bits)), n=pa.array(grams.count))
                 if total is not None:
                     more = grams.longer(texts=False)
-                    np.add.at(total, more.buckets(bucket_bits), more.count.astype(np.uint32))
+                    at, which = np.unique(more.buckets(bucket_bits), return_inverse=True)
+                    total[at] = np.minimum(total[at] + np.bincount(which, more.count, len(at)), least).astype(number)
         at = np.zeros(0, np.int64) if total is None else np.flatnonzero(total)
-        for k in range(0, len(at), ROWS):
-            own = at[k : k + ROWS]
-            none = pa.nulls(len(own), pa.string())
-            yield pa.record_batch([none, none, pa.array(own.astype(np.int32)), pa.array(total[own].astype(np.int64))], names=names)
+        if len(at):
+            blocks, first = np.unique(at >> BLOCK_BITS, return_index=True)
+            ends = np.append(first, len(at)).astype(np.int32)
+            places, counts = (at & ((1 << BLOCK_BITS) - 1)).astype("<u2"), total[at]
+            cut = lambda values: pa.BinaryArray.from_buffers(pa.binary(), len(blocks), [None, pa.py_buffer(ends * np.int32(values.itemsize)), pa.py_buffer(values)])
+            for k in range(0, len(blocks), 64):
+                yield table(block=pa.array(blocks), places=cut(places), counts=cut(counts)).slice(k, 64)
+
+    return freeing(run)
+
+
+def _crowded(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From bucket counts sorted by block: block, bits of the buckets with ``least`` or more. One block is held at a time."""
+    number = np.min_scalar_type(least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, np.zeros(1 << BLOCK_BITS, np.int64)
+
+        def closed() -> pa.RecordBatch:
+            return pa.record_batch([pa.array([now], pa.int32()), pa.array([np.packbits(total >= least, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
+
+        for batch in batches:
+            for block, places, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block != now:
+                    if now is not None:
+                        yield closed()
+                    now, total[:] = block, 0
+                total[np.frombuffer(places, "<u2")] += np.frombuffer(counts, number)
+        if now is not None:
+            yield closed()
 
     return freeing(run)
 
 
+def _crowded_bits(raw: DataFrame, bucket_bits: int, least: int) -> np.ndarray:
+    """The buckets that hold ``least`` phrases or more, as bits."""
+    blocks = raw.where("block IS NOT NULL").select("block", "places", "counts").repartition("block").sortWithinPartitions("block").mapInArrow(_crowded(least), "block int, bits binary").toArrow()
+    out = np.zeros((max(1, 1 << bucket_bits >> BLOCK_BITS), 1 << BLOCK_BITS >> 6), np.uint64)
+    for block, bits in zip(blocks.column("block").to_pylist(), blocks.column("bits").to_pylist(), strict=True):
+        out[block] = np.frombuffer(bits, "<u8")
+    return out.reshape(-1)
+
+
 def _bitmap(buckets: DataFrame, bucket_bits: int) -> np.ndarray:
     """The buckets of a table as bits: 2^bucket_bits of them, so a bounded array whatever the table."""
     bits = buckets.groupBy(F.shiftright("bucket", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, bucket & 63)")).alias("bits")).toArrow()
@@ -148,12 +192,13 @@ def frequent_phrases(docs: DataFrame, longest: int = 3, least: int = 10, text_co
     frequent: list[Broadcast] = []
     crowded, tables = None, []
     for size in range(1, longest + 1):
-        raw = source.mapInArrow(_counts(size, frequent, crowded, size == longest, bucket_bits), "lang string, phrase string, bucket int, n long")
-        found = raw.groupBy("lang", "phrase", "bucket").agg(F.sum("n").alias("n"))
+        raw = materialise(source.mapInArrow(_counts(size, frequent, crowded, size == longest, bucket_bits, least), _RAW), f"counts{size}")
+        found = raw.where("lang IS NOT NULL").groupBy("lang", "phrase", "bucket").agg(F.sum("n").alias("n"))
         tables.append(materialise(found.where((F.col("n") >= least) | F.col("bucket").isNull()), f"phrases{size}"))
         if size < longest:
             frequent.append(spark.sparkContext.broadcast(_bitmap(tables[-1].where("phrase IS NOT NULL"), bucket_bits)))
-            crowded = spark.sparkContext.broadcast(_bitmap(tables[-1].where("lang IS NULL"), bucket_bits))
+            crowded = spark.sparkContext.broadcast(_crowded_bits(raw, bucket_bits, least))
+        discard(raw)
     words = materialise(tables[0].where("bucket IS NULL AND n > 0").select("lang", "n"), "words")
     out = None
     for size, t in enumerate(tables, 1):
