@@ -7,21 +7,68 @@ from pyspark.sql import functions as F
 
 from ..functions import box as B
 from ..functions import text as T
+from ..sources.scratch import written
 from . import matching, metrics, ranking
 
 #: Characters that a word-spotting transcription has spaces for (fixed value).
 SPECIAL_CHARACTERS = "'!?.:,*\"()·[]/"
 
 
-def nearest_word(words: DataFrame, lexicon: DataFrame, key: str, word: str, keep_far: bool = True, cut: float = 2.5) -> DataFrame:
-    """``words`` with match and distance: the lexicon word (lexicon: key, ord, word) of least edit distance, letters of either case alike, the first of several.
+#: Longest word that is found by its deletions, words of a block that longer or far ones are held against, and pieces of a key's far words.
+LONGEST, BLOCK, PIECES = 40, 512, 32
 
-    A key's lexicon is one array, which its words are held against one by one; keys without a lexicon have null. keep_far: else a word ``cut`` or more away is null."""
-    own = lexicon.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ord", F.upper("word").alias("upper"), F.col("word").alias("shown")))).alias("_lexicon"))
-    best = F.array_min(F.transform("_lexicon", lambda x: F.struct(F.levenshtein(x["upper"], F.upper(F.col(word))).alias("distance"), x["ord"], x["shown"])))
-    out = words.join(own, key, "left").withColumn("_best", best).drop("_lexicon")
+
+def deletions(word: Column, most: int) -> Column:
+    """The word and all that is left of it without up to ``most`` of its characters, each once. Two words within that edit distance have one of these in common."""
+    if most == 0:
+        return F.array(word)
+    one = F.transform(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))), lambda k: F.concat(F.substring(word, F.lit(1), k - 1), F.substring(word, k + 1, F.length(word))))
+    one = F.array_distinct(F.array_prepend(one, word))
+    return one if most == 1 else F.array_distinct(F.flatten(F.transform(one, lambda v: deletions(v, most - 1))))
+
+
+def _least(pairs: DataFrame) -> DataFrame:
+    """_key, _word, _best: of pairs with _upper, ord and shown the one of least distance, the first of several."""
+    best = F.min(F.struct(F.levenshtein("_upper", "_word").alias("distance"), "ord", "shown"))
+    return pairs.groupBy("_key", "_word").agg(best.alias("_best"))
+
+
+def _within(words: DataFrame, lexicon: DataFrame, most: int) -> DataFrame:
+    """``_least`` of words up to ``most`` edits from a lexicon word, found by equal deletions and verified."""
+    probe = words.where(F.length("_word") <= LONGEST).select("_key", "_word", F.explode(deletions(F.col("_word"), most)).alias("_sign"))
+    index = lexicon.where(F.length("_upper") <= LONGEST + most).select("_key", "_upper", "ord", "shown", F.explode(deletions(F.col("_upper"), most)).alias("_sign"))
+    near = F.levenshtein("_upper", "_word", most)
+    return _least(probe.join(index, ["_key", "_sign"]).where(near.between(0, most)))
+
+
+def _far(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """``_least`` of words that are near to nothing: each is held against its key's lexicon in blocks, a piece of the words at a time."""
+    size = lexicon.groupBy("_key").agg(F.ceil(F.count("*") / BLOCK).alias("_blocks"))
+    dealt = lexicon.join(size, "_key").withColumn("_block", F.pmod(F.xxhash64("_upper"), "_blocks"))
+    blocks = dealt.groupBy("_key", "_block").agg(F.collect_list(F.struct("_upper", "ord", "shown")).alias("_words")).withColumn("_piece", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))))
+    pairs = words.withColumn("_piece", F.pmod(F.hash("_word"), F.lit(PIECES))).join(blocks, ["_key", "_piece"])
+    best = F.array_min(F.transform("_words", lambda x: F.struct(F.levenshtein(x["_upper"], F.col("_word")).alias("distance"), x["ord"].alias("ord"), x["shown"].alias("shown"))))
+    return pairs.select("_key", "_word", best.alias("_one")).groupBy("_key", "_word").agg(F.min("_one").alias("_best"))
+
+
+def nearest_word(words: DataFrame, lexicon: DataFrame, key: str | None, word: str, keep_far: bool = True, cut: float = 2.5) -> DataFrame:
+    """``words`` with match and distance: the lexicon word (lexicon: key if there is one, ord, word) of least edit distance, letters of either case alike, the first of several.
+
+    Distinct words meet the lexicon by equal deletions: first one character each, then for those without a partner two; what is farther than that, or longer than LONGEST, is
+    held against its key's lexicon in blocks. Null words and words of keys without a lexicon have null. keep_far: else a word ``cut`` or more away is null."""
+    of = F.col(f"`{key}`") if key else F.lit(0)
+    index = lexicon.where(F.col("word").isNotNull()).select(of.alias("_key"), F.upper("word").alias("_upper"), "ord", F.col("word").alias("shown"))
+    index = written(index.groupBy("_key", "_upper").agg(F.min(F.struct("ord", "shown")).alias("s")).select("_key", "_upper", "s.*").where("_key IS NOT NULL"), "lexicon")
+    rows = words.withColumns({"_key": of, "_word": F.upper(F.col(f"`{word}`"))})
+    left = written(rows.select("_key", "_word").distinct().where("_key IS NOT NULL AND _word IS NOT NULL"), "words")
+    found: list[DataFrame] = []
+    for most in (1, 2):
+        found.append(written(_within(left, index, most), "near"))
+        left = left.join(found[-1], ["_key", "_word"], "left_anti")
+    best = found[0].unionByName(found[1]).unionByName(_far(left, index))
+    out = rows.join(best, ["_key", "_word"], "left")
     match = F.col("_best.shown") if keep_far else F.when(F.col("_best.distance") < cut, F.col("_best.shown"))
-    return out.withColumn("match", match).withColumn("distance", F.col("_best.distance")).drop("_best")
+    return out.select(*[F.col(f"`{c}`") for c in words.columns if c not in ("match", "distance")], match.alias("match"), F.col("_best.distance").alias("distance"))
 
 
 def recognition_by_lexicon(words: DataFrame, truth: str, guess: str, matches: dict[str, str]) -> DataFrame:

@@ -12,17 +12,22 @@ from .views import guesses, table, truth
 
 QUERIES, ORACLE, query = registrar()
 
-_LEXICON = "lex AS (SELECT p_partkey % 5 AS k, p_partkey AS ord, 'W' || (p_partkey * 37 % 1000) AS word FROM part WHERE p_partkey <= 200)"
-_NEAREST = f"{_LEXICON}, near AS (SELECT image_id, gi, text, arg_min(word, (levenshtein(word, upper(text)), ord)) AS match, min(levenshtein(word, upper(text))) AS distance FROM gt JOIN lex ON k = image_id % 5 GROUP BY 1, 2, 3)"
+#: A lexicon of all parts, without a key: words of every length, most of them an edit or more from the recognised ones.
+_LEXICON = "lex AS (SELECT p_partkey AS ord, CASE p_partkey % 3 WHEN 0 THEN 'W' || (p_partkey * 37 % 1000) WHEN 1 THEN 'x' || (p_partkey * 11 % 700) || '-' ELSE p_name END AS word FROM part), low AS (SELECT upper(word) AS u, min(ord) AS ord, arg_min(word, ord) AS word FROM lex GROUP BY 1)"
+_SEEN = "CASE WHEN gi % 5 = 0 THEN text || 'qq' || gi WHEN gi % 5 = 1 THEN 'v' || text ELSE text END"
+_NEAREST = f"{_LEXICON}, seen AS (SELECT image_id, gi, text, {_SEEN} AS word FROM gt), d AS (SELECT DISTINCT upper(word) AS w FROM seen), one AS (SELECT w, arg_min(low.word, (levenshtein(u, w), ord)) AS match, min(levenshtein(u, w)) AS distance FROM d, low GROUP BY 1), near AS (SELECT image_id, gi, text, seen.word, match, distance FROM seen JOIN one ON w = upper(word))"
 
 
 def _lexicon(spark, d):
-    return table(spark, d, "part").where("p_partkey <= 200").select((F.col("p_partkey") % 5).alias("k"), F.col("p_partkey").alias("ord"), F.concat(F.lit("W"), F.col("p_partkey") * 37 % 1000).alias("word"))
+    k = F.col("p_partkey")
+    word = F.when(k % 3 == 0, F.concat(F.lit("W"), k * 37 % 1000)).when(k % 3 == 1, F.concat(F.lit("x"), k * 11 % 700, F.lit("-"))).otherwise(F.col("p_name"))
+    return table(spark, d, "part").select(k.alias("ord"), word.alias("word"))
 
 
 def _nearest(spark, d, **options):
-    words = truth(spark, d).select("image_id", "gi", "text", (F.col("image_id") % 5).alias("k"))
-    return spotting.nearest_word(words, _lexicon(spark, d), "k", "text", **options)
+    g = F.col("gi") % 5
+    seen = F.when(g == 0, F.concat("text", F.lit("qq"), "gi")).when(g == 1, F.concat(F.lit("v"), "text")).otherwise(F.col("text"))
+    return spotting.nearest_word(truth(spark, d).select("image_id", "gi", "text", seen.alias("word")), _lexicon(spark, d), None, "word", **options)
 
 
 @query(f"{_W}, {_NEAREST} SELECT image_id, gi, CASE WHEN distance < 2.5 THEN match END AS match, distance::INT AS distance FROM near")
@@ -30,10 +35,10 @@ def t10_nearest_word(spark, d):
     return _nearest(spark, d, keep_far=False).select("image_id", "gi", "match", "distance")
 
 
-@query(f"{_W}, {_NEAREST}, j AS (SELECT near.text, p.text AS guess, match FROM near JOIN pred p ON p.image_id = near.image_id AND p.pi = near.gi), r AS (SELECT 'none' AS lexicon, text, guess AS refined FROM j UNION ALL SELECT 'strong', text, lower(match) FROM j) SELECT lexicon, avg((text = refined)::INT) AS accuracy, sum(levenshtein(refined, text))::BIGINT AS edits FROM r GROUP BY 1")
+@query(f"{_W}, {_NEAREST}, j AS (SELECT near.text, p.text AS guess, match FROM near JOIN pred p ON p.image_id = near.image_id AND p.pi = near.gi), r AS (SELECT 'none' AS lexicon, text, guess AS refined FROM j UNION ALL SELECT 'full', text, lower(match) FROM j) SELECT lexicon, avg((text = refined)::INT) AS accuracy, sum(levenshtein(refined, text))::BIGINT AS edits FROM r GROUP BY 1")
 def a44_by_lexicon(spark, d):
     side = guesses(spark, d).select("image_id", F.col("pi").alias("gi"), F.col("text").alias("guess"))
-    return spotting.recognition_by_lexicon(_nearest(spark, d).join(side, ["image_id", "gi"]), "text", "guess", {"strong": "match"})
+    return spotting.recognition_by_lexicon(_nearest(spark, d).join(side, ["image_id", "gi"]), "text", "guess", {"full": "match"})
 
 
 _SPECIAL = spotting.SPECIAL_CHARACTERS.replace("'", "''")

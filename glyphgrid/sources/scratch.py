@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -17,3 +18,10 @@ def scratch_dir(spark: SparkSession) -> str:
         path = f"{tempfile.gettempdir()}/checkpoints/glyphgrid"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows from a table written to the scratch folder: lineage ends there, and what is lost with an executor is read again."""
+    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
