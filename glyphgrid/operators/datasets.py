@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import rle
+
 
 def mapped_categories(annotations: Column, mapping: dict[int, int]) -> Column:
     """The annotations (array of struct with category_id) whose category is mapped, with the new one; null for null."""
@@ -114,3 +116,40 @@ def segment_quality(gt: DataFrame, pred: DataFrame, pairs: DataFrame, things: li
     sq = F.when(F.col("tp") > 0, F.col("iou") / F.col("tp")).otherwise(0.0)
     rows = rows.select(F.explode(F.array(F.lit("all"), F.when(F.col("cat").isin(*things), "things").otherwise("stuff"))).alias("part"), (F.col("iou") / half).alias("pq"), sq.alias("sq"), (F.col("tp") / half).alias("rq"))
     return rows.groupBy("part").agg(*[(100 * F.avg(c)).alias(c) for c in ("pq", "sq", "rq")])
+
+
+def panoptic_matches(gt: DataFrame, pred: DataFrame) -> DataFrame:
+    """cat, kind (tp, fp, fn), iou: a row for each segment that counts.
+
+    gt: image_id, seg, cat (null: void), crowd, spans; pred: image_id, seg, cat, spans (see ``rle.spans_of``); segments of a side don't overlap. Segments of one category with
+    an IoU above 0.5 match, void places of the truth left out of it; a crowd matches nothing. A guess without a match counts unless over half of it lies in void or in crowds
+    of its category. Segments of an image meet by their ends first, then by their places."""
+    size = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda t, x: t + x["last"] - x["first"])
+    side = lambda df, p: df.where(F.size("spans") > 0).select("image_id", *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c != "image_id"], size(F.col("spans")).alias(f"{p}_size"))
+    g, h = side(gt.select("image_id", "seg", "cat", "crowd", "spans"), "g"), side(pred.select("image_id", "seg", "cat", "spans"), "p")
+    ends = lambda c: (F.get(F.col(c), 0)["first"], F.try_element_at(F.col(c), F.lit(-1))["last"])
+    (g0, g1), (p0, p1) = ends("g_spans"), ends("p_spans")
+    both = rle.overlap(F.col("g_spans"), F.col("p_spans"))["both"]
+    pairs = g.join(h, "image_id").where((g0 < p1) & (p0 < g1)).select("image_id", "g_seg", "g_cat", "g_crowd", "g_size", "p_seg", "p_cat", "p_size", both.alias("both")).where("both > 0")
+    same = F.coalesce(F.col("g_cat") == F.col("p_cat"), F.lit(False))
+    void, crowd = F.col("g_cat").isNull(), same & F.coalesce("g_crowd", F.lit(False))
+    met = F.collect_list(F.when(same & ~crowd, F.struct("g_seg", "g_size", "both")))
+    own = pairs.groupBy("image_id", "p_seg", "p_cat", "p_size").agg(F.sum(F.when(void, F.col("both")).otherwise(0)).alias("void"), F.sum(F.when(crowd, F.col("both")).otherwise(0)).alias("crowd"), met.alias("met"))
+    iou = lambda x: x["both"] / (F.col("p_size") + x["g_size"] - x["both"] - F.col("void"))
+    hit = F.get(F.filter(F.transform("met", lambda x: F.struct(x["g_seg"].alias("g_seg"), iou(x).alias("iou"))), lambda x: x["iou"] > 0.5), 0)
+    own = own.select("image_id", "p_seg", "void", "crowd", hit.alias("hit"))
+    guesses = h.select("image_id", "p_seg", "p_cat", "p_size").join(own, ["image_id", "p_seg"], "left")
+    share = (F.coalesce("void", F.lit(0)) + F.coalesce("crowd", F.lit(0))) / F.col("p_size")
+    counted = guesses.where(F.col("hit").isNotNull() | (share <= 0.5)).select(F.col("p_cat").alias("cat"), F.when(F.col("hit").isNotNull(), "tp").otherwise("fp").alias("kind"), F.col("hit.iou").alias("iou"))
+    found = own.where("hit IS NOT NULL").select("image_id", F.col("hit.g_seg").alias("g_seg"))
+    missed = g.where("g_cat IS NOT NULL AND NOT coalesce(g_crowd, false)").join(found, ["image_id", "g_seg"], "left_anti").select(F.col("g_cat").alias("cat"), F.lit("fn").alias("kind"), F.lit(None).cast("double").alias("iou"))
+    return counted.unionByName(missed)
+
+
+def panoptic_quality(matches: DataFrame, things: list[int]) -> DataFrame:
+    """part (all, things, stuff), pq, sq, rq in percent, categories: means over the categories of ``panoptic_matches``."""
+    n = lambda kind: F.count_if(F.col("kind") == kind)
+    rows = matches.groupBy("cat").agg(n("tp").alias("tp"), (n("tp") + (n("fp") + n("fn")) / 2).alias("half"), F.coalesce(F.sum("iou"), F.lit(0.0)).alias("iou"))
+    sq = F.when(F.col("tp") > 0, F.col("iou") / F.col("tp")).otherwise(0.0)
+    rows = rows.select(F.explode(F.array(F.lit("all"), F.when(F.col("cat").isin(*things), "things").otherwise("stuff"))).alias("part"), (F.col("iou") / F.col("half")).alias("pq"), sq.alias("sq"), (F.col("tp") / F.col("half")).alias("rq"))
+    return rows.groupBy("part").agg(*[(100 * F.avg(c)).alias(c) for c in ("pq", "sq", "rq")], F.count("*").alias("categories"))

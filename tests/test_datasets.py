@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import random
 import zipfile
 
 import numpy as np
@@ -163,3 +164,44 @@ def test_paired_listing_and_zip(spark, tmp_path):
     assert [(r.key, bytes(r.content)) for r in readers.zip_entries(spark, path, r"res_(\d+)\.txt").collect()] == [("1", b"one")]
     with pytest.raises(PySparkException, match="entry not valid"):
         readers.zip_entries(spark, path, r"res_(\d+)\.txt", all_entries=True).collect()
+
+
+def test_run_length_algebra(spark):
+    """Unions, intersections, overlaps and the text form of random masks, against masks place by place."""
+    rng = random.Random(6)
+    rows = []
+    for k in range(60):
+        size = rng.choice([1, 7, 60, 3000])
+        masks = [[rng.random() < p for _ in range(size)] for p in (rng.choice([0, 0.1, 0.5, 1]), rng.choice([0.02, 0.5, 0.9]))]
+        runs = []
+        for m in masks:
+            own, at = [0], False
+            for x in m:
+                if x != at:
+                    own.append(0)
+                    at = x
+                own[-1] += 1
+            runs.append(own)
+        rows.append((k, size, *runs, [sum(a and b for a, b in zip(*masks, strict=True)), sum(a or b for a, b in zip(*masks, strict=True)), sum(masks[0])], masks))
+    df = spark.createDataFrame([r[:4] for r in rows], "k int, size int, a array<bigint>, b array<bigint>")
+    df = df.select("k", "size", "a", "b", *[rle.spans_of(rle.runs_of(rle.text_of(F.col(c)))).alias(f"s{c}") for c in "ab"])
+    a, b = F.col("sa"), F.col("sb")
+    got = df.select("k", rle.runs_of(rle.text_of("a")).alias("back"), F.col("a"), rle.overlap(a, b).alias("o"), rle.runs_of_spans(rle.union(a, b), F.col("size")).alias("u"), rle.runs_of_spans(rle.intersection(a, b), F.col("size")).alias("i"), rle.mask_iou(a, b).alias("iou"), rle.mask_iou(a, b, F.lit(True)).alias("crowd")).collect()
+    for r in got:
+        _, size, _, _, (both, any_, own), masks = rows[r.k]
+        assert r.back == r.a and (r.o["both"], r.o["any"]) == (both, any_)
+        for runs, want in ((r.u, [x or y for x, y in zip(*masks, strict=True)]), (r.i, [x and y for x, y in zip(*masks, strict=True)])):
+            assert [k % 2 == 1 for k, n in enumerate(runs) for _ in range(n)] == want and 0 not in runs[1:]
+        assert r.iou == (both / any_ if any_ else 0) and r.crowd == (both / own if own else 0)
+
+
+def test_panoptic_rules(spark):
+    """Void and crowds: a guess mostly on them counts nowhere, one on a crowd of another category is wrong; a crowd isn't missed; void places don't lower an IoU."""
+    span = lambda a, b: [(a, b)]
+    gt = [(1, 1, 0, False, span(0, 10)), (1, 2, None, False, span(10, 30)), (1, 3, 1, True, span(30, 60)), (1, 4, 1, False, span(60, 70)), (2, 1, 0, False, span(0, 4)), (2, 2, 0, False, [])]
+    pred = [(1, 1, 0, span(0, 25)), (1, 2, 1, span(28, 40)), (1, 3, 0, span(40, 60)), (1, 4, 1, span(66, 80)), (3, 1, 1, span(0, 5)), (1, 5, 1, span(25, 28))]
+    schema = "image_id int, seg int, cat int, {}spans array<struct<first:bigint,last:bigint>>"
+    rows = datasets.panoptic_matches(spark.createDataFrame(gt, schema.format("crowd boolean, ")), spark.createDataFrame(pred, schema.format("")))
+    assert sorted((r.cat, r.kind, r.iou) for r in rows.collect()) == [(0, "fn", None), (0, "fp", None), (0, "tp", 1.0), (1, "fn", None), (1, "fp", None), (1, "fp", None)]
+    out = {r.part: (r.pq, r.sq, r.rq, r.categories) for r in datasets.panoptic_quality(rows, [0]).collect()}
+    assert out == {"all": (25.0, 50.0, 25.0, 2), "things": (50.0, 100.0, 50.0, 1), "stuff": (0.0, 0.0, 0.0, 1)}
