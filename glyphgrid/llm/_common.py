@@ -17,6 +17,9 @@ from ..sources.scratch import scratch_dir
 #: Text bytes that one vectorised step works on; a longer document is a step of its own.
 SLICE_BYTES = 2 << 20
 
+#: Words that are digested before their digests are put into an array.
+_DIGESTS = 4096
+
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -99,7 +102,7 @@ class Words:
         off = offsets_of(values)
         data = np.frombuffer(values.buffers()[2] or b"", dtype=np.uint8)[off[0] : off[-1]] if len(values) else np.zeros(0, np.uint8)
         self.data, self.off = data, off - off[0]
-        inside = ~_SEPARATOR[data]
+        self.inside = inside = ~_SEPARATOR[data]
         edge = np.zeros(len(data) + 1, dtype=bool)
         edge[self.off] = True
         before = np.concatenate(([False], inside[:-1])) if len(data) else inside
@@ -110,12 +113,17 @@ class Words:
 
     def digests(self) -> tuple[np.ndarray, np.ndarray]:
         """Two halves of a 128-bit BLAKE2b digest of each word: words of equal digests can't be written down, nor met by chance. Each distinct word is digested once."""
-        size = self.end - self.start
-        place = np.concatenate(([0], np.cumsum(size)))
-        flat = self.data[np.repeat(self.start - place[:-1], size) + np.arange(place[-1])]
-        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(place), pa.py_buffer(flat)]).dictionary_encode()
-        both = np.frombuffer(b"".join([blake2b(w, digest_size=16).digest() for w in words.dictionary.to_pylist()]), np.uint64).reshape(-1, 2)[words.indices.to_numpy()]
-        return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+        place = np.concatenate(([0], np.cumsum(self.end - self.start)))
+        flat = self.data[self.inside]
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(place), pa.py_buffer(flat)]).dictionary_encode()
+        text, at = words.dictionary.buffers()[2], offsets_of(words.dictionary).tolist()
+        text = memoryview(text) if text else b""
+        distinct = np.empty((len(at) - 1, 2), np.uint64)
+        for k in range(0, len(distinct), _DIGESTS):
+            ends = at[k : k + _DIGESTS + 1]
+            distinct[k : k + _DIGESTS] = np.frombuffer(b"".join([blake2b(text[a:b], digest_size=16).digest() for a, b in zip(ends[:-1], ends[1:], strict=True)]), np.uint64).reshape(-1, 2)
+        index = words.indices.to_numpy()
+        return distinct[index, 0], distinct[index, 1]
 
     def hashes(self) -> np.ndarray:
         """The first half of each word's digest."""

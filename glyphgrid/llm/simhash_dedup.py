@@ -239,7 +239,7 @@ class ShingleSets:
 def _index(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", 1 << 19):
                 s = ShingleSets(text_array(part, "text"), size)
                 bits = pa.FixedSizeListArray.from_arrays(signed(s.fingerprints().ravel()), WORDS_OF_BITS).cast(pa.list_(pa.int64()))
                 yield pa.record_batch([part.column(0), signed(s.node), bits], names=["doc_id", "node", "bits"])
@@ -479,7 +479,7 @@ def _members(size: int, wanted: Callable[[], np.ndarray | None]) -> Callable[[It
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = wanted()
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", 1 << 19):
                 s = ShingleSets(text_array(part, "text"), size)
                 node = s.node.view(np.int64)
                 keep = np.isin(node, ids) if ids is not None else np.ones(len(node), bool)
