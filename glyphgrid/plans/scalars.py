@@ -8,7 +8,7 @@ from ..functions import box as B
 from ..functions import text as T
 from ..operators import curation, datasets, matching, providers, sampling, selector
 from ..sources import readers, sinks
-from ..streaming import events
+from ..streaming import events, metric_log
 from .detection import _W, _iou
 from .files import _folder
 from .registered import registrar
@@ -245,11 +245,18 @@ def k11_report(spark, d):
     return spark.createDataFrame([("\n".join(text[2:]), len(text))], "body string, lines int")
 
 
-@query("SELECT user_id % 50 AS key, event_id FROM events WHERE event_id > (user_id % 50) * 20")
+@query("""WITH e AS (SELECT event_type || (user_id % 10) AS metric, event_id // 40 AS iteration, value, event_id FROM events), l AS (SELECT metric, iteration, arg_max(value, event_id) AS value FROM e GROUP BY ALL)
+SELECT metric, iteration, value, round(median(value) OVER (PARTITION BY metric ORDER BY iteration ROWS 19 PRECEDING), 9) AS median FROM l""")
 def x2_newer_events(spark, d):
-    own = table(spark, d, "events").select((F.col("user_id") % 50).alias("key"), "event_id")
-    written = spark.range(50).select(F.col("id").alias("key"), (F.col("id") * 20).alias("last"))
-    return events.newer_than(own, "key", "event_id", written).select("key", "event_id")
+    """Events in three parts, each of which begins with a share of the one before, go through a query that is started anew for each."""
+    own = table(spark, d, "events").select(F.concat("event_type", F.col("user_id") % 10).alias("metric"), F.expr("event_id div 40").alias("iteration"), "value", F.lit(True).alias("smooth"), F.col("event_id").alias("arrived"))
+    top = own.agg(F.max("iteration")).first()[0] or 0
+    folder = _folder(spark)
+    for k in range(3):
+        part = own.where(F.col("iteration").between(max(0, (2 * k - 1) * top // 6 + 1) if k else 0, (k + 1) * top // 3 if k < 2 else top))
+        part.write.mode("append").parquet(f"{folder}/in")
+        metric_log.append_metrics(events.read_events(spark, f"{folder}/in", own.schema), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("metric", "iteration", "value", F.round("median", 9).alias("median"))
 
 
 @query("SELECT 'counts' AS evaluator, 'n' AS measure, count(*)::DOUBLE AS value FROM lineitem UNION ALL SELECT 'quantity', 'mean', round(avg(l_quantity::DOUBLE), 6) FROM lineitem")
