@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+from . import sampling
+
 
 def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -30,9 +33,10 @@ def rates(counts: DataFrame, *by: str) -> DataFrame:
 
 def describe(df: DataFrame, value: str, *by: str) -> DataFrame:
     """n, mean, population standard deviation, min, quartiles (interpolated), max."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("lo"), q.alias("q"), F.max(value).alias("hi"))
-    return out.select(*by, "n", "mean", "std", "lo", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "hi")
+    own = written(df.select(*by, value), "described")
+    out = own.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    out = sampling.with_quantiles(out, own, list(by), value, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    return out.select(*by, "n", "mean", "std", "lo", "p25", "p50", "p75", "hi")
 
 
 def histogram(df: DataFrame, value: str, edges: list[float]) -> DataFrame:

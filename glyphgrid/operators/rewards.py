@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+from . import sampling
+
 #: Half-open bins of a reward, with the two points 0 and 1 apart.
 REWARD_BINS = ((0.0, 0.0001, "=0.00"), (0.0001, 0.25, "(0,0.25)"), (0.25, 0.5, "[0.25,0.5)"), (0.5, 0.75, "[0.5,0.75)"), (0.75, 0.9999, "[0.75,1)"), (0.9999, 1.01, "=1.00"))
 #: Fields of a reward row that step statistics are taken of.
@@ -56,10 +59,12 @@ def compare_models(rows: DataFrame, model: str, reward: str) -> DataFrame:
     """One row a model: count, mean, spread, median and range of the reward, and means of its components."""
     mean = lambda c, n: F.avg(c).alias(n)
     truths = F.greatest(F.col("num_gt"), F.lit(1))
-    return rows.groupBy(model).agg(
-        F.count("*").alias("n"), mean(reward, "reward_mean"), F.stddev_pop(reward).alias("reward_std"), F.percentile(reward, F.lit(0.5)).alias("reward_median"), F.min(reward).alias("reward_min"), F.max(reward).alias("reward_max"),
+    rows = written(rows.select(model, reward, "num_gt", "matched_mean", "missed", "false_positive"), "compared")
+    own = rows.groupBy(model).agg(
+        F.count("*").alias("n"), mean(reward, "reward_mean"), F.stddev_pop(reward).alias("reward_std"), F.min(reward).alias("reward_min"), F.max(reward).alias("reward_max"),
         mean("matched_mean", "matched_mean"), mean(F.col("missed") / truths, "missed_per_gt"), mean(F.col("false_positive") / truths, "false_positive_per_gt"),
     )
+    return sampling.with_quantiles(own, rows, [model], reward, {"reward_median": 0.5})
 
 
 def macro_means(rows: DataFrame, matched_mean: str, over_truth: str) -> DataFrame:

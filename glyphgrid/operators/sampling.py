@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 
 def place_in_order(df: DataFrame, order: list[str], parts: int = 256) -> DataFrame:
     """Adds place (from 0) and total: the row's place in the whole table by order, whose first column is a number (nulls first).
@@ -41,6 +43,31 @@ def running(df: DataFrame, group: list[str], order: list[str], value: str | None
     return out if value else out.drop("cum")
 
 
+def quantiles(df: DataFrame, group: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """group and a column for each of ``shares`` (name to a share from 0 to 1): the exact quantile of the group's values, between two of them in proportion; null values don't count.
+
+    Rows are ranked by ranges of the value, so that neither a task nor a buffer holds a group; of each group the few rows at the wanted ranks are kept. Groups without a value have no row."""
+    own = df.select(*[F.col(f"`{c}`") for c in group], F.col(f"`{value}`").cast("double").alias("_value")).where("_value IS NOT NULL")
+    own = written(own.withColumn("_all", F.lit(0)), "values")
+    key = [*group, "_all"]
+    counts = own.groupBy(*key).agg((F.count("*") - 1).alias("_last")).select(*[F.col(f"`{c}`").alias(f"_of_{c}") for c in key], "_last")
+    at = {n: F.col("_last") * F.lit(float(p)) for n, p in shares.items()}
+    ranked = running(own, key, ["_value"]).withColumn("_place", F.col("rank") - 1).join(counts, [F.col(f"`{c}`").eqNullSafe(F.col(f"`_of_{c}`")) for c in key])
+    wanted = ranked.where(F.col("_place").isin(*[f(h).cast("long") for h in at.values() for f in (F.floor, F.ceil)]))
+    value_at = lambda place: F.max(F.when(F.col("_place") == place.cast("long"), F.col("_value")))
+    ends = [(n, value_at(F.floor(h)).alias(f"_lo_{n}"), value_at(F.ceil(h)).alias(f"_hi_{n}")) for n, h in at.items()]
+    out = wanted.groupBy(*key, "_last").agg(*[c for _, lo, hi in ends for c in (lo, hi)])
+    share = lambda n: at[n] - F.floor(at[n])
+    return out.select(*[F.col(f"`{c}`") for c in group], *[(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * share(n)).alias(n) for n in shares])
+
+
+def with_quantiles(stats: DataFrame, df: DataFrame, group: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """``stats``, a row a group, with the group's ``quantiles``; null where it has no value."""
+    own = quantiles(df, group, value, shares).select(*[F.col(f"`{c}`").alias(f"_q_{c}") for c in group], *shares, F.lit(0).alias("_q"))
+    same = [F.col(f"`{c}`").eqNullSafe(F.col(f"`_q_{c}`")) for c in group] or [F.lit(0) == F.col("_q")]
+    return stats.join(F.broadcast(own) if not group else own, same, "left").drop("_q", *[f"_q_{c}" for c in group])  # without groups there is one row
+
+
 def contiguous_shards(df: DataFrame, order: list[str], shards: int) -> DataFrame:
     """Adds shard (from 0): the first n mod shards ones hold one row more."""
     out = place_in_order(df, order)

@@ -126,7 +126,8 @@ def a17_reward_rows(spark, d):
 @query(f"{_W}, {_MATCH}, {_REWARDED}, {_COUNTS}, {_REWARD_ROWS} SELECT CASE WHEN num_gt <= 3 THEN num_gt::VARCHAR WHEN num_gt <= 5 THEN '4-5' WHEN num_gt <= 10 THEN '6-10' ELSE '11+' END AS bucket, count(*) AS n, round(avg(final_reward), 7) AS mean, round(stddev_pop(final_reward), 7) AS std, round(median(final_reward), 7) AS med FROM fin GROUP BY 1")
 def a9_gt_buckets(spark, d):
     v = "final_reward"
-    return _final(spark, d).groupBy(metrics.count_bucket(F.col("num_gt")).alias("bucket")).agg(F.count("*").alias("n"), F.round(F.avg(v), 7).alias("mean"), F.round(F.stddev_pop(v), 7).alias("std"), F.round(F.percentile(v, F.lit(0.5)), 7).alias("med"))
+    out = metrics.describe(_final(spark, d).withColumn("bucket", metrics.count_bucket(F.col("num_gt"))), v, "bucket")
+    return out.select("bucket", "n", *[F.round(c, 7).alias(n) for n, c in (("mean", "mean"), ("std", "std"), ("med", "p50"))])
 
 
 @query(f"{_W}, {_MATCH}, {_REWARDED}, {_COUNTS}, {_REWARD_ROWS} SELECT avg((round(final_reward, 8) > 0)::INT) AS positive, avg((round(final_reward, 8) = 0)::INT) AS zero, avg((round(final_reward, 8) < 0)::INT) AS negative FROM fin")

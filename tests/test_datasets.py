@@ -205,3 +205,20 @@ def test_panoptic_rules(spark):
     assert sorted((r.cat, r.kind, r.iou) for r in rows.collect()) == [(0, "fn", None), (0, "fp", None), (0, "tp", 1.0), (1, "fn", None), (1, "fp", None), (1, "fp", None)]
     out = {r.part: (r.pq, r.sq, r.rq, r.categories) for r in datasets.panoptic_quality(rows, [0]).collect()}
     assert out == {"all": (25.0, 50.0, 25.0, 2), "things": (50.0, 100.0, 50.0, 1), "stuff": (0.0, 0.0, 0.0, 1)}
+
+
+def test_exact_quantiles(spark):
+    """By ranges of the value, against numpy: ties, one value, null groups, null values, all rows as one group."""
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([1.0, rng.uniform(-5, 5), 2.5])) for _ in range(3000)] + [("c", 7.0), ("d", None), ("a", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    shares = {"low": 0.0, "q": 0.25, "m": 0.5, "r": 0.977, "high": 1.0}
+    got = {r.g: [r[n] for n in shares] for r in sampling.quantiles(df, ["g"], "v", shares).collect()}
+    for g in ("a", "b", None, "c"):
+        assert got.pop(g) == pytest.approx(list(np.quantile([v for k, v in rows if k == g and v is not None], list(shares.values()))), abs=1e-12)
+    assert not got
+    one = sampling.quantiles(df, [], "v", {"m": 0.5}).collect()
+    assert [r.m for r in one] == [float(np.median([v for _, v in rows if v is not None]))]
+    stats = sampling.with_quantiles(df.groupBy("g").count(), df, ["g"], "v", {"m": 0.5}).collect()
+    assert len(stats) == 5 and {r.g: r.m for r in stats}["d"] is None
+    assert "percentile" not in sampling.quantiles(df, ["g"], "v", shares)._jdf.queryExecution().toString()
