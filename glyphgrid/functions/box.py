@@ -109,6 +109,39 @@ def clockwise(xs: Column, ys: Column) -> Column:
     return F.aggregate(terms, F.lit(0.0), lambda t, v: t + v) > 0
 
 
+def _side(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column) -> Column:
+    """-1, 0 or 1: on which side of the line from a to b the point c lies."""
+    return F.signum((bx - ax) * (cy - ay) - (by - ay) * (cx - ax))
+
+
+def _meet(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Whether the sides from a to b and from c to d have a point in common (structs x, y)."""
+    of = lambda p, q, r: _side(p["x"], p["y"], q["x"], q["y"], r["x"], r["y"])
+    within = lambda p, q, r: r["x"].between(F.least(p["x"], q["x"]), F.greatest(p["x"], q["x"])) & r["y"].between(F.least(p["y"], q["y"]), F.greatest(p["y"], q["y"]))
+    on = [(of(a, b, c) == 0) & within(a, b, c), (of(a, b, d) == 0) & within(a, b, d), (of(c, d, a) == 0) & within(c, d, a), (of(c, d, b) == 0) & within(c, d, b)]
+    return ((of(a, b, c) != of(a, b, d)) & (of(c, d, a) != of(c, d, b))) | on[0] | on[1] | on[2] | on[3]
+
+
+def crossing(points: Column) -> Column:
+    """Whether two sides of a polygon (array of structs x, y) that aren't neighbours meet: then it isn't simple."""
+    n = F.size(points)
+    side = lambda i: (F.get(points, i), F.get(points, (i + 1) % n))
+    later = lambda i: F.filter(F.sequence(i + 2, F.greatest(n - 1, i + 2)), lambda j: (j < n) & ~((i == 0) & (j == n - 1)))
+    return F.exists(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), lambda i: F.exists(later(i), lambda j: _meet(*side(i), *side(j))))
+
+
+def refusal(points: Column, width: Column, height: Column) -> Column:
+    """Why a transcription's polygon (array of structs x, y, y grows downward) can't be taken, null if it can: 'points' (under three, or one without a number), 'outside' the image, 'line' (all
+    points on one), 'crossing' sides, 'counterclockwise'."""
+    n = F.size(points)
+    at = lambda k: F.get(points, k % n)
+    number = F.forall(points, lambda p: p["x"].isNotNull() & p["y"].isNotNull() & ~F.isnan(p["x"]) & ~F.isnan(p["y"]))
+    inside = F.forall(points, lambda p: (p["x"] >= 0) & (p["y"] >= 0) & (p["x"] <= width) & (p["y"] <= height))
+    flat = F.forall(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda k: _side(at(k)["x"], at(k)["y"], at(k + 1)["x"], at(k + 1)["y"], at(k + 2)["x"], at(k + 2)["y"]) == 0)
+    turns = clockwise(F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"]))
+    return F.when(points.isNull() | (n < 3) | ~number, "points").when(~inside, "outside").when(flat, "line").when(crossing(points), "crossing").when(~turns, "counterclockwise")
+
+
 def shifted_keypoints(values: Column, by: float = 0.5) -> Column:
     """x, y, visibility triples with x and y moved."""
     return F.transform(values, lambda v, k: F.when(k % 3 != 2, v + by).otherwise(v))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import box as B
 from ..functions import text as T
 from ..operators import curation, matching, sampling
+from ..sources import readers
 from .detection import _W, _iou
 from .registered import registrar
 from .views import guesses, table, truth
@@ -214,6 +215,33 @@ def g14_clockwise(spark, d):
     return truth(spark, d).select(*_KEY, right.alias("clockwise"), B.rle_area(F.array(b["x1"].cast("long"), (b["x2"] - b["x1"]).cast("long"), F.lit(7).cast("long"))).alias("run"))
 
 
+#: Polygons of five kinds: clockwise, reversed, with crossing sides, on a line, and moved to where some leave the image.
+_FOUR = """q AS (SELECT image_id, gi, CASE gi % 5 WHEN 0 THEN [[x1, y1], [x2, y1], [x2, y2], [x1, y2]] WHEN 1 THEN [[x1, y2], [x2, y2], [x2, y1], [x1, y1]] WHEN 2 THEN [[x1, y1], [x2, y2], [x2, y1], [x1, y2]] WHEN 3 THEN [[x1, y1], [x2, y2], [(x1 + x2) / 2, (y1 + y2) / 2], [x1, y1]] ELSE [[x1 - 50, y1], [x2 - 50, y1], [x2 - 40, y2], [x1 - 45, y2]] END AS p FROM gt)"""
+
+
+def _turn_sql(a: int, b: int, c: int) -> str:
+    return f"sign((p[{b}][1] - p[{a}][1]) * (p[{c}][2] - p[{a}][2]) - (p[{b}][2] - p[{a}][2]) * (p[{c}][1] - p[{a}][1]))"
+
+
+def _meet_sql(a: int, b: int, c: int, d: int) -> str:
+    on = lambda x, y, z: f"({_turn_sql(x, y, z)} = 0 AND p[{z}][1] BETWEEN least(p[{x}][1], p[{y}][1]) AND greatest(p[{x}][1], p[{y}][1]) AND p[{z}][2] BETWEEN least(p[{x}][2], p[{y}][2]) AND greatest(p[{x}][2], p[{y}][2]))"
+    return f"(({_turn_sql(a, b, c)} <> {_turn_sql(a, b, d)} AND {_turn_sql(c, d, a)} <> {_turn_sql(c, d, b)}) OR {on(a, b, c)} OR {on(a, b, d)} OR {on(c, d, a)} OR {on(c, d, b)})"
+
+
+_FLAT = " AND ".join(f"{_turn_sql(k % 4 + 1, (k + 1) % 4 + 1, (k + 2) % 4 + 1)} = 0" for k in range(4))
+_AROUND = " + ".join(f"(p[{k}][1] * p[{k % 4 + 1}][2] - p[{k % 4 + 1}][1] * p[{k}][2])" for k in range(1, 5))
+
+
+@query(f"{_W}, {_FOUR} SELECT image_id, gi, CASE WHEN list_min(list_transform(p, lambda v: v[1])) < 0 OR list_max(list_transform(p, lambda v: v[1])) > 160 OR list_max(list_transform(p, lambda v: v[2])) > 150 THEN 'outside' WHEN {_FLAT} THEN 'line' WHEN {_meet_sql(1, 2, 3, 4)} OR {_meet_sql(2, 3, 4, 1)} THEN 'crossing' WHEN {_AROUND} <= 0 THEN 'counterclockwise' END AS refused FROM q")
+def g14_refused_polygons(spark, d):
+    b, kind = F.col("box"), F.col("gi") % 5
+    x1, y1, x2, y2 = (b[k] for k in ("x1", "y1", "x2", "y2"))
+    line = lambda *points: F.concat_ws(",", *[v.cast("string") for p in points for v in p], F.lit("####x"))
+    drawn = F.when(kind == 0, line((x1, y1), (x2, y1), (x2, y2), (x1, y2))).when(kind == 1, line((x1, y2), (x2, y2), (x2, y1), (x1, y1))).when(kind == 2, line((x1, y1), (x2, y2), (x2, y1), (x1, y2)))
+    drawn = drawn.when(kind == 3, line((x1, y1), (x2, y2), ((x1 + x2) / 2, (y1 + y2) / 2), (x1, y1))).otherwise(line((x1 - 50, y1), (x2 - 50, y1), (x2 - 40, y2), (x1 - 45, y2)))
+    return readers.checked_lines(truth(spark, d).select(*_KEY, drawn.alias("value")), 160.0, 150.0).select(*_KEY, "refused")
+
+
 _BY_NAME = "cats AS (SELECT o AS gi, 'n' || (o % 4) AS name FROM (SELECT DISTINCT o FROM lines) WHERE o <= 6), named AS (SELECT name, row_number() OVER (ORDER BY name) AS new_id FROM (SELECT DISTINCT name FROM cats))"
 
 

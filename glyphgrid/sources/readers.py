@@ -51,6 +51,16 @@ def spotting_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumn("coords", F.transform(F.split(parts[0], ","), lambda x: x.try_cast("double"))).withColumn("transcription", F.coalesce(F.get(parts, 1), F.lit("")))
 
 
+def checked_lines(lines: DataFrame, width: float, height: float) -> DataFrame:
+    """``spotting_lines`` with points (array of structs x, y) and refused: why a line's polygon can't be taken, null if it can (see ``box.refusal``; 'coordinates' of an odd number or that aren't numbers)."""
+    from ..functions import box as B
+
+    own, c = spotting_lines(lines), F.col("coords")
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.expr("size(coords) div 2") - 1, F.lit(0))), lambda k: F.struct(F.get(c, 2 * k).alias("x"), F.get(c, 2 * k + 1).alias("y")))
+    odd = (F.size(c) % 2 == 1) | F.exists(c, lambda v: v.isNull())
+    return own.withColumn("points", pairs).withColumn("refused", F.when(odd, "coordinates").otherwise(B.refusal(F.col("points"), F.lit(width), F.lit(height))))
+
+
 def manifest_rows(spark: SparkSession, manifest: DataFrame, data: str) -> DataFrame:
     """The rows that a manifest (parquet, row_index) points to, found by row number and by file: by the whole of the shorter of the two paths where the manifest's is relative, so equal names in two folders are told apart
     as far as the manifest tells them."""

@@ -222,3 +222,15 @@ def test_exact_quantiles(spark):
     stats = sampling.with_quantiles(df.groupBy("g").count(), df, ["g"], "v", {"m": 0.5}).collect()
     assert len(stats) == 5 and {r.g: r.m for r in stats}["d"] is None
     assert "percentile" not in sampling.quantiles(df, ["g"], "v", shares)._jdf.queryExecution().toString()
+
+
+def test_refused_polygons(spark):
+    """Polygons of any number of points: stars cross, a notch doesn't, touching sides count as crossing; lines of spotting with odd or wrong numbers."""
+    star = [(50 + 40 * np.cos(2 * np.pi * 2 * k / 5), 50 + 40 * np.sin(2 * np.pi * 2 * k / 5)) for k in range(5)]
+    hexagon = [(50 + 40 * np.cos(2 * np.pi * k / 6), 50 + 40 * np.sin(2 * np.pi * k / 6)) for k in range(6)]
+    notch = [(0, 0), (90, 0), (90, 90), (45, 10), (0, 90)]
+    cases = [(hexagon, None), (hexagon[::-1], "counterclockwise"), (star, "crossing"), (notch, None), ([(0, 0), (90, 0), (90, 90), (45, 0), (0, 90)], "crossing"), ([(0, 0), (4, 0), (4, 4)], None), ([(0, 0), (4, 4), (4, 0)], "counterclockwise")]
+    cases += [([(0, 0), (1, 1), (3, 3), (2, 2)], "line"), ([(5, 5)] * 4, "line"), ([(0, 0), (101, 0), (5, 5)], "outside"), ([(0, 0), (1, 0)], "points"), ([], "coordinates")]
+    lines = [(k, ",".join(str(float(v)) for p in points for v in p) + ",####t") for k, (points, _) in enumerate(cases)] + [(90, "1,2,3,4,5,####t"), (91, "1,2,x,4,5,6,####t")]
+    got = {r.k: r.refused for r in readers.checked_lines(spark.createDataFrame(lines, "k int, value string"), 100.0, 100.0).collect()}
+    assert got == {k: why for k, (_, why) in enumerate(cases)} | {90: "coordinates", 91: "coordinates"}
