@@ -176,6 +176,26 @@ def length_grouped(df: DataFrame, length: str, order: list[str], batch: int, wor
     return rows.select("items.row.*", "megabatch", "at.chunk", "at.slot")
 
 
+def modality_grouped(df: DataFrame, length: str, images: str, order: list[str], batch: int, world: int, seed: int) -> DataFrame:
+    """``df`` with megabatch and slot (both from 0): ``length_grouped`` rows with images (a column that is true) and rows without apart, so that a megabatch is of one kind, and the
+    megabatches of both kinds in one seeded order.
+
+    What each kind has left, its last megabatch, goes into one more at the end, in order. A table of one kind keeps the order of its megabatches. Within a megabatch chunks follow one another."""
+    kinds = [length_grouped(df.where(test), length, order, batch, world).withColumn("_kind", F.lit(k)) for k, test in enumerate((F.coalesce(F.col(images), F.lit(False)), ~F.coalesce(F.col(images), F.lit(False))))]
+    rows = written(kinds[0].unionByName(kinds[1]).withColumn("slot", (F.col("chunk") * batch + F.col("slot")).cast("long")), "grouped")
+    last = {r["_kind"]: r["last"] for r in rows.groupBy("_kind").agg(F.max("megabatch").alias("last")).collect()}  # two kinds
+    if len(last) < 2:
+        size = F.count("*").over(Window.partitionBy("megabatch"))  # rows of a megabatch
+        short = F.row_number().over(Window.partitionBy("megabatch").orderBy("chunk", "slot")) - 1
+        return rows.withColumn("slot", F.when(size == batch * world, F.col("slot")).otherwise(short).cast("long")).drop("chunk", "_kind")
+    left = F.col("megabatch") == F.when(F.col("_kind") == 0, last[0]).otherwise(last[1])
+    names = rows.where(~left).select("_kind", "megabatch").distinct().withColumn("_seed", seeded(F.concat_ws("-", "_kind", "megabatch"), seed))
+    placed = place_in_order(names.withColumn("_lead", F.conv(F.substring("_seed", 1, 8), 16, 10).cast("long")), ["_lead", "_seed"]).select("_kind", "megabatch", F.col("place").alias("_place"))
+    own = rows.where(~left).join(placed, ["_kind", "megabatch"]).withColumn("megabatch", F.col("_place")).drop("_place")
+    rest = rows.where(left).withColumn("slot", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1).cast("long")).withColumn("megabatch", F.lit(last[0] + last[1]).cast("long"))  # two megabatches at most
+    return own.withColumn("megabatch", F.col("megabatch").cast("long")).unionByName(rest).drop("chunk", "_kind")
+
+
 def seeded(key: Column, seed: int) -> Column:
     """A seeded value to order by that other engines can work out too: MD5 of seed and key."""
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
