@@ -186,9 +186,10 @@ def u1_key_union(spark, d):
     return truth(spark, d).select("image_id").union(guesses(spark, d).select("image_id")).distinct()
 
 
-@query(f"{_W} SELECT DISTINCT text FROM gt EXCEPT SELECT text FROM pred")
+@query(f"{_W} SELECT 'im' || image_id AS name FROM gt EXCEPT SELECT 'im' || image_id FROM pred WHERE score >= 0.05")
 def u5_name_difference(spark, d):
-    return truth(spark, d).select("text").distinct().join(guesses(spark, d).select("text"), "text", "left_anti")
+    name = F.concat(F.lit("im"), "image_id").alias("name")
+    return truth(spark, d).select(name).distinct().join(guesses(spark, d).where("score >= 0.05").select(name), "name", "left_anti")
 
 
 @query(f"{_W} SELECT (o - 1) // 4 AS batch, wide, image_id, gi FROM (SELECT image_id, gi, x2 > 100 AS wide, row_number() OVER (PARTITION BY x2 > 100, image_id % 16 ORDER BY image_id, gi) AS o, count(*) OVER (PARTITION BY x2 > 100, image_id % 16) AS n FROM gt) WHERE ((o - 1) // 4 + 1) * 4 <= n")

@@ -194,11 +194,12 @@ def a2_decremented_counts(spark, d):
     return curation.decremented(gt.groupBy("image_id").agg(F.count("*").alias("instances")), gone.unionByName(gone), "image_id")
 
 
-@query(f"{_W} SELECT image_id FROM (SELECT coalesce(g.image_id, p.image_id) AS image_id, g.text AS a, p.text AS b FROM gt g FULL JOIN pred p ON g.image_id = p.image_id AND g.gi = p.pi) GROUP BY 1 HAVING bool_and(a IS NOT DISTINCT FROM b)")
+@query(f"{_W} SELECT image_id FROM (SELECT coalesce(g.image_id, p.image_id) AS image_id, g.text AS a, p.text AS b FROM gt g FULL JOIN (SELECT image_id, gi, CASE WHEN image_id % 3 = 0 THEN text ELSE text || 'x' END AS text FROM gt WHERE gi % 4 <> 0) p ON g.image_id = p.image_id AND g.gi = p.gi) GROUP BY 1 HAVING bool_and(a IS NOT DISTINCT FROM b)")
 def f4_agreed_images(spark, d):
+    """The second annotator misses every fourth instance and reads two images of three otherwise."""
     key = F.concat_ws(":", "image_id", F.col("k"))
     a = truth(spark, d).withColumn("k", F.col("gi")).withColumn("id", key)
-    b = guesses(spark, d).withColumn("k", F.col("pi")).withColumn("id", key)
+    b = a.where("gi % 4 <> 0").withColumn("text", F.when(F.col("image_id") % 3 == 0, F.col("text")).otherwise(F.concat("text", F.lit("x"))))
     merged = curation.merge_annotators(a, b, "id", "text", "k").withColumn("image_id", F.split("id", ":")[0].cast("long"))
     return curation.agreed_groups(merged, "image_id")
 

@@ -270,10 +270,10 @@ def s32_remapped_paths(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), readers.remapped_path(F.concat(start, F.col("o_custkey").cast("string")), {"s3:/bucket/": "/mnt/new/", "old/": "store/"}).alias("path"))
 
 
-@query("SELECT DISTINCT o_orderstatus AS image_id, upper('w' || o_custkey) AS word, CASE WHEN o_custkey % 2 = 0 THEN 'W' || o_custkey || ' shown' ELSE 'w' || o_custkey END AS display FROM orders WHERE o_custkey < 60")
+@query("SELECT DISTINCT o_orderstatus AS image_id, upper('w' || o_custkey) AS word, CASE WHEN o_custkey % 2 = 0 THEN 'W' || o_custkey || ' shown' ELSE 'w' || o_custkey END AS display FROM orders")
 def s33_lexicon_pairs(spark, d):
     path = _folder(spark)
-    own = table(spark, d, "orders").where("o_custkey < 60").select("o_orderstatus", "o_custkey").distinct()
+    own = table(spark, d, "orders").select("o_orderstatus", "o_custkey").distinct()
     line = F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit("w"), "o_custkey", F.lit(" W"), "o_custkey", F.lit(" shown"))).otherwise(F.concat(F.lit("w"), "o_custkey"))
     for status in ("F", "O", "P"):  # one folder for each kind, as lexicons come
         own.where(F.col("o_orderstatus") == status).select(line.alias("value")).write.text(f"{path}/{status}")
