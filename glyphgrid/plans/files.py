@@ -224,6 +224,32 @@ def k9_coco_results(spark, d):
     return out.select("image_id", "category_id", *[b[k].alias(c) for k, c in enumerate(("x1", "y1", "w", "h"))], "score")
 
 
+@query(f"{_W} SELECT image_id * 100 + gi AS id, image_id, gi % 7 AS category_id, 'root/train/im' || image_id || '.jpg' AS file_name, x1, (x2 - x1) * (y2 - y1) AS area, 8::INT AS points, (image_id % 3)::INT AS partial FROM gt")
+def s19_vocabulary_document(spark, d):
+    path, b = _folder(spark), F.col("box")
+    own = truth(spark, d)
+    notes = own.select(
+        (F.col("image_id") * 100 + F.col("gi")).alias("id"), "image_id", (F.col("gi") % 7 + 1).alias("category_id"), F.array(b["x1"], b["y1"], b["x2"] - b["x1"], b["y2"] - b["y1"]).alias("bbox"),
+        ((b["x2"] - b["x1"]) * (b["y2"] - b["y1"])).alias("area"), F.array(F.array(b["x1"], b["y1"], b["x2"], b["y1"], b["x2"], b["y2"], b["x1"], b["y2"])).alias("segmentation"),
+    )
+    partial = F.slice(F.array(*[F.lit(k).cast("long") for k in range(3)]), F.lit(1), (F.col("id") % 3).cast("int"))
+    images = own.select(F.col("image_id").alias("id")).distinct().select("id", F.lit(160).alias("width"), F.lit(150).alias("height"), F.concat(F.lit("http://host/x/train/im"), "id", F.lit(".jpg")).alias("coco_url"), partial.alias("not_exhaustive_category_ids"))
+    sinks.write_document(path, images=images, annotations=notes)
+    images, notes = readers.lvis_document(spark, path, "root/")
+    rows = notes.join(images.select("image_id", "file_name", F.size("not_exhaustive_category_ids").alias("partial")), "image_id")
+    return rows.select("id", "image_id", "category_id", "file_name", F.col("bbox")[0].alias("x1"), "area", F.size(F.col("segmentation")[0]).alias("points"), "partial")
+
+
+@query(f"{_W} SELECT image_id, 'img/p' || image_id || '.jpg' AS file_name, 'lab/p' || image_id || '.png' AS label_file, gi AS segment, (CASE gi % 4 WHEN 0 THEN 5 WHEN 1 THEN 6 WHEN 2 THEN 50 ELSE 51 END)::BIGINT AS category, gi % 4 < 2 AS isthing FROM gt")
+def s21_panoptic_document(spark, d):
+    path = _folder(spark)
+    segment = F.struct(F.col("gi").alias("id"), (F.col("gi") % 4 + 1).alias("category_id"), F.lit(0).alias("iscrowd"), F.lit(9).cast("long").alias("area"), _b(F.col("box")).alias("bbox"))
+    own = truth(spark, d).groupBy("image_id").agg(F.sort_array(F.collect_list(segment)).alias("segments_info"))
+    sinks.write_document(path, annotations=own.select(F.col("image_id").cast("string").alias("image_id"), F.concat(F.lit("p"), "image_id", F.lit(".png")).alias("file_name"), "segments_info"))
+    rows = readers.panoptic_document(spark, path, "img/", "lab", {1: 5, 2: 6}, {3: 50, 4: 51})
+    return rows.select("image_id", "file_name", "label_file", F.explode("segments").alias("s")).select("image_id", "file_name", "label_file", F.col("s.id").alias("segment"), F.col("s.category_id").alias("category"), F.col("s.isthing").alias("isthing"))
+
+
 @query("SELECT DISTINCT 'fine/c=' || o_orderstatus AS folder, true AS both FROM orders")
 def s20_sibling_listing(spark, d):
     path = _folder(spark)
