@@ -1,5 +1,7 @@
 """Literal cases of the ranked metrics, tracks, clusters, polygons and placing rows."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -95,6 +97,19 @@ def test_cluster_crops(spark):
     assert got == [(1, 0, 0, 2), (1, 200, 200, 1), (2, 0, 0, 2)]
 
 
+def test_cluster_crops_of_boxes_in_another_order_each_time(spark):
+    """Collected boxes have no fixed order, and the operator reads its images more than once."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(40):
+        corners = [(float(rng.randrange(150)), float(rng.randrange(150))) for _ in range(9)]
+        rows.append((i, 240, 240, [(x, y, x + 15.0, y + 15.0) for x, y in corners]))
+    df = spark.createDataFrame(rows, f"image_id long, width int, height int, boxes array<{BOX}>")
+    mixed = F.udf(lambda boxes: random.SystemRandom().sample(boxes, len(boxes)), f"array<{BOX}>").asNondeterministic()
+    want = sorted(map(tuple, spatial.cluster_crops(df, 100).collect()))
+    assert sorted(map(tuple, spatial.cluster_crops(df.withColumn("boxes", mixed("boxes")), 100).collect())) == want and len(want) > 40
+
+
 def test_places_and_shards(spark):
     df = spark.createDataFrame([(v, k) for k, v in enumerate([5, None, 5, 1, 9, 5, 1])], "v int, k int")
     got = [r.k for r in sampling.place_in_order(df, ["v", "k"], 3).orderBy("place").collect()]
