@@ -47,6 +47,37 @@ def test_no_guesses_and_no_truths(spark):
     assert ranking.banded_labels(gt.limit(0), _guesses(spark, [(1, 0, 0, 9.0, 0.5, (0.0, 0.0, 3.0, 3.0))])).collect() == [(1, 0, None, 0)]
 
 
+def _crowded(spark):
+    """Images of many boxes on a small field, with crowds, ignored truths, equal and null scores, images without truths and guesses."""
+    rng, gt, pred = random.Random(11), [], []
+    for i in range(60):
+        for side, rows in (("g", gt), ("p", pred)):
+            for k in range(rng.randrange(14)):
+                x, y, w = float(rng.randrange(20)), float(rng.randrange(20)), rng.choice([20.0, 30.0, 60.0, 110.0])
+                box = (x, y, x + w, y + w)
+                rows.append((i, k % 2, k, w * w, box, rng.random() < 0.1, rng.random() < 0.1) if side == "g" else (i, k % 2, k, w * w, rng.choice([None, 0.1, 0.5, 0.9, rng.random()]), box))
+    return _truths(spark, gt).repartition(3), _guesses(spark, pred).repartition(3)
+
+
+@pytest.mark.parametrize("block", [4, 1 << 15])
+def test_masks_against_rows(spark, monkeypatch, block):
+    """Fates as bits give the curves that a row for each fate gives, over blocks of any size and batches that end within an image."""
+    monkeypatch.setattr(ranking, "BLOCK", block)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        gt, pred = _crowded(spark)
+        rows = ranking.ranked_match(gt, pred)
+        mine, want = ranking.matched_curves(gt, pred, (1, 3, 100)), ranking.curves(rows, ranking.positives(gt), (1, 3, 100))
+        flat = lambda df: {(r.most, r.cat, r.area, r.thr): (r.n, r.recall, r.precision) for r in df.collect()}
+        got = flat(mine)
+        assert got == flat(want) and len(got) == 240 and len({v[1] for v in got.values()}) > 20
+        fates = ranking.ranked_masks(gt, pred).agg(F.sum(F.bit_count("counted")), F.sum(F.bit_count("hit")), F.count("*")).first()
+        kept = rows.where("NOT ignored").agg(F.count("*"), F.count("gi")).first()
+        assert tuple(fates) == (*kept, rows.count() // 40)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def _inside(px, py, xs, ys):
     hit = np.zeros(px.shape, dtype=bool)
     for k in range(len(xs)):
