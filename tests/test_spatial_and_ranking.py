@@ -78,6 +78,32 @@ def test_masks_against_rows(spark, monkeypatch, block):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+@pytest.mark.parametrize("block", [3, 1 << 15])
+def test_envelope_against_a_loop(spark, monkeypatch, block):
+    """Equal and null scores, predictions without a truth, hits that an earlier one takes at low thresholds only."""
+    monkeypatch.setattr(ranking, "BLOCK", block)
+    rng = random.Random(3)
+    rows = [(i, k, rng.choice([None, 0.2, 0.2, 0.7, 2.0, rng.random()]), *rng.choice([(None, None), (rng.randrange(3), rng.random())])) for i in range(30) for k in range(8)]
+    df = spark.createDataFrame(rows, "image_id long, pi long, score double, gi long, iou double").repartition(3)
+    want = {}
+    for thr in (0.3, 0.6, 0.9):
+        seen, hits = set(), []
+        for i, _, _, g, iou in sorted(rows, key=lambda r: (r[2] is None, -(r[2] or 0), r[0], r[1])):
+            hits.append(iou is not None and iou > thr and (i, g) not in seen)
+            seen |= {(i, g)} if hits[-1] else set()
+        precision = [sum(hits[: n + 1]) / (n + 1) for n in range(len(hits))]
+        want[thr] = round(sum(max(precision[n:]) for n, h in enumerate(hits) if h) / 90, 9)
+    assert {r.thr: r.ap for r in ranking.envelope_ap(df, 90, (0.3, 0.6, 0.9)).collect()} == pytest.approx(want)
+    assert ranking.envelope_ap(df.limit(0), 90).collect() == []
+
+
+def test_envelope_frames_grow_with_the_rows(spark, capfd):
+    """A frame that reaches to the end of its group is gone through again for every row."""
+    df = spark.createDataFrame([(1, 1, 0.5, 1, 0.9)], "image_id long, pi long, score double, gi long, iou double")
+    ranking.envelope_ap(df, 1).explain()
+    assert "UNBOUNDED FOLLOWING" not in capfd.readouterr().out.upper().replace("UNBOUNDEDFOLLOWING", "UNBOUNDED FOLLOWING")
+
+
 def _inside(px, py, xs, ys):
     hit = np.zeros(px.shape, dtype=bool)
     for k in range(len(xs)):
