@@ -125,6 +125,21 @@ def test_shared_areas_against_a_grid():
             assert got[row] == pytest.approx([a.mean(), b.mean(), (a & b).mean()], abs=3e-3)
 
 
+def test_convex_polygons_are_cut_as_the_sweep_has_them(monkeypatch):
+    """Turned boxes, triangles, bow ties and arrows, either way round, sharing sides and corners; the sweep between heights is left for what isn't convex."""
+    rng = np.random.default_rng(8)
+    turned = lambda n: polygon.corners(np.column_stack([rng.uniform(0, 6, (n, 2)), rng.uniform(1, 6, (n, 2)), rng.choice([0, 30, 90, 45, 211], n)]))
+    whole = lambda n: tuple(rng.integers(0, 4, (n, 4)).astype(float) for _ in range(2))
+    for a, b in ((turned(3000), turned(3000)), (whole(3000), whole(3000)), (turned(2000), whole(2000))):
+        back = rng.random((len(b[0]), 1)) < 0.5
+        b = tuple(np.where(back, v[:, ::-1], v) for v in b)
+        assert np.allclose(polygon._areas(*a, *b), polygon.shared_areas(*a, *b), atol=1e-9)
+    one = polygon.corners(np.array([[2.0, 2.0, 2.0, 2.0, 0.0]] * 2))
+    assert polygon._areas(*one, *polygon.corners(np.array([[4.0, 2.0, 2.0, 2.0, 0.0], [2.0, 2.0, 2.0, 2.0, 90.0]])))[:, 2] == pytest.approx([0.0, 4.0])
+    monkeypatch.setattr(polygon, "shared_areas", lambda ax, *_: (_ for _ in ()).throw(AssertionError) if len(ax) else np.zeros((0, 3)))
+    polygon._ious(*turned(100), *turned(100))
+
+
 def test_polygon_iou_of_uneven_lengths_and_nulls(spark):
     square, arrow = ([0.0, 2.0, 2.0, 0.0], [0.0, 0.0, 2.0, 2.0]), ([0.0, 2.0, 2.0, 1.0, 0.0], [0.0, 0.0, 2.0, 1.0, 2.0])
     df = spark.createDataFrame([(*square, *arrow), (*square, None, None), (*square, [], [])], "a array<double>, b array<double>, c array<double>, d array<double>")
