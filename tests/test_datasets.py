@@ -68,6 +68,13 @@ def test_length_groups_against_plain_loop(spark):
             load[c] += n
 
 
+def test_small_assignments_make_no_array_calls(monkeypatch):
+    """Frames hold a few boxes, for which a call of NumPy a step costs more than the assignment."""
+    cost = np.array([[-0.9, -0.8, 1e5], [-0.9, 1e5, 1e5]])
+    monkeypatch.setattr(spatial, "np", None)
+    assert spatial.least_cost(cost) == [1, 0] and spatial.least_cost(cost.T) == [1, 0, -1]
+
+
 def test_least_cost_against_all_assignments():
     rng = np.random.default_rng(3)
     for n, m in [(1, 1), (2, 3), (4, 2), (4, 4), (3, 5), (5, 5)]:
